@@ -82,13 +82,20 @@ def hash_rank(
 
 
 def order_rank(
-    df: DataFrame, keys: list[str], order_col: str, *, out: str = "rank", size_out: str | None = None
+    df: DataFrame,
+    keys: list[str],
+    order_col: str,
+    *,
+    out: str = "rank",
+    size_out: str | None = None,
+    bounds_from: DataFrame | None = None,
 ) -> DataFrame:
     """Zero-based position of each row in its group, ordered by a unique numeric column.
 
-    With no keys this is a global row index.
+    With no keys this is a global row index. ``bounds_from`` names a cheaper frame (a bare scan) that
+    covers the range of the order column.
     """
-    bucket = _span_bucket(df, order_col, bucket_count(df))
+    bucket = _span_bucket(df if bounds_from is None else bounds_from, order_col, bucket_count(df))
     return _bucketed_rank(df, keys, bucket, [F.col(order_col)], out, size_out)
 
 

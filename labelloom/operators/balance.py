@@ -52,7 +52,7 @@ def replicate(df: DataFrame, target: int | None = None, *, id_col: str = S.ROW_I
     join from copies to rows is needed.
     """
     short = short_classes(df, target).filter(F.col("n") >= min_size)
-    placed = order_rank(short, S.CLASS, id_col, out="__place")
+    placed = order_rank(short, S.CLASS, id_col, out="__place", bounds_from=df)
     made = F.when(
         F.col("__place") < F.col("need"), F.floor((F.col("need") - 1 - F.col("__place")) / F.col("n")) + 1
     ).otherwise(0)
@@ -96,7 +96,6 @@ def augment_single(
 def _original(df: DataFrame, id_col: str) -> DataFrame:
     return with_class(df).select(
         F.col(id_col).alias("source_id"),
-        F.lit(None).cast("bigint").alias("i"),
         *S.LABELLED_COLUMNS,
         F.lit("original").alias("origin"),
     )
@@ -122,7 +121,7 @@ def dynamic_balance(
         others = replicate(df, target, id_col=id_col, min_size=2).withColumn("origin", F.lit("replicated"))
     else:
         others = smote_texts(df, vectors, target, seed=seed, id_col=id_col).withColumn("origin", F.lit("smote"))
-    columns = ["source_id", "i", *S.LABELLED_COLUMNS, "origin"]
+    columns = ["source_id", *S.LABELLED_COLUMNS, "origin"]
     return (
         _original(df, id_col)
         .select(*columns)

@@ -62,9 +62,10 @@ def _head(level: str, kind: str, classes: int, max_iter: int, trees: int, depth:
             return RandomForestClassifier(
                 numTrees=trees, maxDepth=depth, seed=seed, rawPredictionCol=f"__{level}_raw", probabilityCol=f"__{level}_prob", **columns
             )
-        return OneVsRest(
-            classifier=GBTClassifier(maxIter=trees, stepSize=0.1, maxDepth=depth, seed=seed), rawPredictionCol=f"__{level}_raw", **columns
-        )
+        outputs = {"rawPredictionCol": f"__{level}_raw"}
+        booster = GBTClassifier(maxIter=trees, stepSize=0.1, maxDepth=depth, seed=seed)
+        booster.setRawPredictionCol(f"__{level}_raw").setProbabilityCol(f"__{level}_prob")
+        return OneVsRest(classifier=booster, **outputs, **columns)
     raise ValueError(f"unknown head: {kind}")
 
 

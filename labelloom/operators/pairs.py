@@ -8,6 +8,8 @@ resolved by an equi-join on the position.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +20,7 @@ from labelloom.functions.ranking import hash_rank, order_rank, sample_n
 from labelloom.functions.text import effective_text
 from labelloom.functions.vectors import dot
 from labelloom.operators.profile import class_counts, with_class
+from labelloom.session import materialise
 
 WIDE = "decimal(38,0)"  # numbers of pairs outgrow a bigint
 
@@ -56,11 +59,24 @@ def pair_classes(df: DataFrame) -> DataFrame:
     )
 
 
-def positions(df: DataFrame, id_col: str = S.ROW_ID) -> DataFrame:
-    """(id, domain, concept, place in class, position in class order)."""
-    rows = order_rank(with_class(df).select(id_col, *S.CLASS), S.CLASS, id_col, out="place")
-    starts = pair_classes(df).select(*S.CLASS, "start")
-    return rows.join(starts, S.CLASS).withColumn("pos", F.col("start") + F.col("place")).drop("start")
+@dataclass
+class PairSpace:
+    """A table laid out for pair draws: its class table, and its rows with their positions.
+
+    Both are written once; draws read them several times.
+    """
+
+    classes: DataFrame
+    rows: DataFrame
+
+
+def pair_space(df: DataFrame, id_col: str = S.ROW_ID) -> PairSpace:
+    """Rows: (id, domain, concept, place in class, position in class order)."""
+    classes = materialise(pair_classes(df))
+    placed = order_rank(with_class(df).select(id_col, *S.CLASS), S.CLASS, id_col, out="place", bounds_from=df)
+    starts = classes.select(*S.CLASS, "start")
+    rows = placed.join(starts, S.CLASS).withColumn("pos", F.col("start") + F.col("place")).drop("start")
+    return PairSpace(classes, materialise(rows))
 
 
 def positive_pair_runs(df: DataFrame, id_col: str = S.ROW_ID) -> DataFrame:
@@ -81,8 +97,12 @@ def positive_pair_runs(df: DataFrame, id_col: str = S.ROW_ID) -> DataFrame:
 
 def positive_total(df: DataFrame) -> DataFrame:
     """Number of positive pairs, from the class sizes alone (one row)."""
+    return _positive_total(class_counts(df))
+
+
+def _positive_total(classes: DataFrame) -> DataFrame:
     n = F.col("n").cast(WIDE)
-    return class_counts(df).agg(
+    return classes.agg(
         F.coalesce(F.sum(_whole_div(n * (n - 1), F.lit(2).cast(WIDE))), F.lit(0)).cast(WIDE).alias("pairs")
     )
 
@@ -128,7 +148,7 @@ def _draws(anchors: DataFrame, partners: str, base: Column, n_pairs: Column, tot
 
 
 def negative_pairs(
-    df: DataFrame,
+    df: DataFrame | PairSpace,
     n_pairs: int | None = None,
     *,
     strategy: str = "all",
@@ -143,7 +163,8 @@ def negative_pairs(
     exist. Every row costs the same arithmetic, whatever the size of its class.
     """
     column = {"all": "later_all", "same": "later_same", "other": "later_other"}[strategy]
-    classes = pair_classes(df)
+    space = df if isinstance(df, PairSpace) else pair_space(df, id_col)
+    classes, rows = space.classes, space.rows
     m = F.col(column).cast(WIDE)
     upto = Window.orderBy(*S.CLASS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     weighted = classes.withColumn("__w", (F.col("n").cast(WIDE) * m).cast(WIDE))
@@ -151,11 +172,10 @@ def negative_pairs(
         "__all", F.sum("__w").over(Window.partitionBy()).cast(WIDE)
     )
     if n_pairs is None:
-        wanted = positive_total(df).scalar()
-        scaled = wanted if share == 1.0 else F.floor(wanted.cast("decimal(38,6)") * F.lit(str(share)).cast("decimal(6,4)"))
+        wanted = _positive_total(classes).scalar()
+        scaled = wanted if share == 1.0 else F.floor(wanted.cast("double") * F.lit(share))
     else:
         scaled = F.lit(n_pairs) if share == 1.0 else F.lit(int(n_pairs * share))
-    rows = positions(df, id_col)
     anchors = rows.join(
         table.select(*S.CLASS, "n", "start", "domain_end", "skips", column, "__before", "__all"), S.CLASS
     )
@@ -208,8 +228,9 @@ def domain_mix_negatives(
     id_col: str = S.ROW_ID,
 ) -> DataFrame:
     """Negatives with another concept: 70 % within the domain, 30 % across domains (of the positives)."""
-    same = negative_pairs(df, n_pairs, strategy="same", share=same_share, seed=seed, id_col=id_col)
-    other = negative_pairs(df, n_pairs, strategy="other", share=other_share, seed=seed, id_col=id_col)
+    space = pair_space(df, id_col)
+    same = negative_pairs(space, n_pairs, strategy="same", share=same_share, seed=seed, id_col=id_col)
+    other = negative_pairs(space, n_pairs, strategy="other", share=other_share, seed=seed, id_col=id_col)
     return same.withColumn("kind", F.lit("same_domain")).unionByName(other.withColumn("kind", F.lit("other_domain")))
 
 
@@ -219,10 +240,11 @@ def mix_similar_negatives(
     """Up to total // 2 pairs of similar concepts, then pairs of similar texts up to the total."""
     limit = F.lit(total).cast("bigint") if isinstance(total, int) else total.cast("bigint")
     keyed = lambda d: d.select("id1", "id2", F.concat_ws("|", "id1", "id2").alias("__pair"))
+    concept_pairs, text_pairs = materialise(keyed(concept_pairs)), materialise(keyed(text_pairs))
     half = F.floor(limit / 2)
-    by_concept = sample_n(keyed(concept_pairs), half, id_col="__pair", seed=seed, salt="mix_concept")
+    by_concept = sample_n(concept_pairs, half, id_col="__pair", seed=seed, salt="mix_concept")
     taken = F.least(half, concept_pairs.agg(F.count(F.lit(1))).scalar())
-    by_text = sample_n(keyed(text_pairs), limit - taken, id_col="__pair", seed=seed, salt="mix_text")
+    by_text = sample_n(text_pairs, limit - taken, id_col="__pair", seed=seed, salt="mix_text")
     tag = lambda d, kind: d.select("id1", "id2", F.lit(kind).alias("kind"), F.lit(0.0).alias("label"))
     return tag(by_concept, "concept").unionByName(tag(by_text, "text"))
 
@@ -292,17 +314,19 @@ def contrastive_slots(
     text than the anchor (different rows while enough exist, else repeated), negatives from uniform
     other labels. Default: one tuple per row. An anchor without another text in its label gives none.
     """
-    rows = _tuple_rows(df, id_col)
-    counts = class_counts(df)
+    rows = materialise(_tuple_rows(df, id_col))
+    counts = class_counts(rows)
     # class table only: numbers the labels
-    labels = counts.withColumn("label_no", (F.row_number().over(Window.orderBy(*S.CLASS)) - 1).cast("bigint"))
-    n_labels = counts.agg(F.count(F.lit(1))).scalar()
+    labels = materialise(
+        counts.withColumn("label_no", (F.row_number().over(Window.orderBy(*S.CLASS)) - 1).cast("bigint"))
+    )
+    n_labels = labels.agg(F.count(F.lit(1))).scalar()
     if n_tuples is None:
         tuples = order_rank(with_class(df).select(id_col), [], id_col, out="tuple_id").select("tuple_id")
     else:
         tuples = df.sparkSession.range(n_tuples).select(F.col("id").alias("tuple_id"))
     chosen = tuples.withColumn("label_no", hash_mod(n_labels, seed, "anchor_label", "tuple_id"))
-    anchored = (
+    anchored = materialise(
         chosen.join(labels, "label_no")
         .withColumn("place", hash_mod(F.col("n"), seed, "anchor_row", "tuple_id"))
         .join(rows, [*S.CLASS, "place"])
@@ -435,6 +459,8 @@ def pair_score(pairs: DataFrame, vectors: DataFrame, *, id_col: str = S.ROW_ID,
     """Spearman agreement of pair cosine with the 0/1 label (one row)."""
     a = vectors.select(F.col(id_col).alias("id1"), F.col(vector).alias("__a"))
     b = vectors.select(F.col(id_col).alias("id2"), F.col(vector).alias("__b"))
-    scored = pairs.join(a, "id1").join(b, "id2").select(F.round(dot("__a", "__b"), 9).alias("sim"), "label")
+    scored = materialise(
+        pairs.join(a, "id1").join(b, "id2").select(F.round(dot("__a", "__b"), 9).alias("sim"), "label")
+    )
     ranked = average_rank(average_rank(scored, "sim", -1.0, 1.0, "r_sim"), "label", 0.0, 1.0, "r_label")
     return ranked.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.corr("r_sim", "r_label"), 6).alias("spearman"))

@@ -75,17 +75,18 @@ def top_k_matches(
 
     cells = blocks(q, "__qn").join(blocks(b, "__bn"), group)
     one = F.lit(1).cast("bigint")
+    cell = F.struct(*group, "__qb", "__bb").alias("__cell")
     qs = (
         q.join(cells, group)
         .withColumn("__qb", hash_mod(F.col("__qn"), S.SEED, "block", "__id"))
         .withColumn("__bb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__bn") - one)))
-        .select(*group, "__qb", "__bb", "__id", "__v", F.lit(True).alias("__query"))
+        .select(cell, "__id", "__v")
     )
     bs = (
         b.join(cells, group)
         .withColumn("__bb", hash_mod(F.col("__bn"), S.SEED, "block", "__id"))
         .withColumn("__qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__qn") - one)))
-        .select(*group, "__qb", "__bb", "__id", "__v", F.lit(False).alias("__query"))
+        .select(cell, "__id", "__v")
     )
     schema = T.StructType(
         [
@@ -95,12 +96,9 @@ def top_k_matches(
         ]
     )
 
-    def match(cell: pd.DataFrame) -> pd.DataFrame:
-        left, right = cell[cell["__query"]], cell[~cell["__query"]]
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "base_id": [], "score": []}).astype(
-                {"query_id": cell["__id"].dtype, "base_id": cell["__id"].dtype, "score": "float64"}
-            )
+            return pd.DataFrame({"query_id": left["__id"].iloc[:0], "base_id": right["__id"].iloc[:0], "score": np.zeros(0)})
         lm, rm = _matrix(left["__v"]), _matrix(right["__v"])
         lid, rid = left["__id"].to_numpy(), right["__id"].to_numpy()
         scores = lm @ rm.T
@@ -109,16 +107,14 @@ def top_k_matches(
         scores = np.round(scores, DIGITS)
         if exclude_self:
             scores[lid[:, None] == rid[None, :]] = -np.inf
-        out_q, out_b, out_s = [], [], []
-        for i in range(len(lid)):
-            best = _top(rid, scores[i], k)
-            best = best[np.isfinite(scores[i][best])]
-            out_q.extend([lid[i]] * len(best))
-            out_b.extend(rid[best])
-            out_s.extend(scores[i][best])
-        return pd.DataFrame({"query_id": out_q, "base_id": out_b, "score": out_s})
-
-    found = qs.unionByName(bs).groupBy(*group, "__qb", "__bb").applyInPandas(match, schema)
+        best = [_top(rid, row, k) for row in scores]
+        picks = np.concatenate(best)
+        owner = np.repeat(np.arange(len(lid)), [len(x) for x in best])
+        values = scores[owner, picks]
+        known = np.isfinite(values)
+        return pd.DataFrame({"query_id": lid[owner[known]], "base_id": rid[picks[known]], "score": values[known]})
+
+    found = qs.groupBy("__cell").cogroup(bs.groupBy("__cell")).applyInPandas(match, schema)
     per_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "base_id")
     ranked = found.withColumn("rank", F.row_number().over(per_query).cast("bigint")).filter(F.col("rank") <= k)
     score = (-F.col("score")) if metric == "l2" else F.col("score")

@@ -11,6 +11,7 @@ from labelloom.functions.hashing import hash_mod, uniform
 from labelloom.functions.ranking import order_rank
 from labelloom.operators.balance import explode_copies
 from labelloom.operators.similarity import knn_join, nearest_original
+from labelloom.session import materialise
 
 
 def smote_plan(
@@ -81,6 +82,11 @@ def smote_vectors(
     )
 
 
+def _class_vectors(df: DataFrame, vectors: DataFrame, id_col: str) -> DataFrame:
+    known = df.filter(F.col(S.DOMAIN).isNotNull() & F.col(S.CONCEPT).isNotNull())
+    return materialise(known.select(id_col, *S.CLASS).join(vectors.select(id_col, "vector"), id_col))
+
+
 def _with_nearest(points: DataFrame, vectors: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     named = points.withColumn("synthetic_id", F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("i").cast("string")))
     best = nearest_original(named, vectors, keys=keys, id_col=id_col)
@@ -102,8 +108,8 @@ def smote_texts(
     """
     keys = S.CLASS
     known = df.filter(F.col(S.DOMAIN).isNotNull() & F.col(S.CONCEPT).isNotNull())
-    placed = known.select(id_col, *keys).join(vectors.select(id_col, "vector"), id_col)
-    points = smote_vectors(placed, target, keys=keys, neighbours=neighbours, seed=seed, id_col=id_col)
+    placed = _class_vectors(df, vectors, id_col)
+    points = materialise(smote_vectors(placed, target, keys=keys, neighbours=neighbours, seed=seed, id_col=id_col))
     near = _with_nearest(points, placed, keys, id_col)
     texts = known.select(id_col, S.DESCRIPTION)
     number = (F.col("i") - F.col("n") + 1).cast("string")
@@ -130,8 +136,8 @@ def simple_smote_texts(
     """
     keys = S.CLASS
     known = df.filter(F.col(S.DOMAIN).isNotNull() & F.col(S.CONCEPT).isNotNull())
-    placed = known.select(id_col, *keys).join(vectors.select(id_col, "vector"), id_col)
-    points = smote_vectors(placed, None, keys=keys, neighbours=neighbours, seed=seed, id_col=id_col)
+    placed = _class_vectors(df, vectors, id_col)
+    points = materialise(smote_vectors(placed, None, keys=keys, neighbours=neighbours, seed=seed, id_col=id_col))
     named = points.withColumn("synthetic_id", F.concat_ws("|", *keys, F.col("i").cast("string")))
     best = nearest_original(named, placed, id_col=id_col)
     counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from labelloom.plans.catalogue import profiling
+from labelloom.plans.catalogue import balancing, evaluation, models, pairing, profiling, vectors
 
-MODULES = [profiling]
+MODULES = [profiling, balancing, pairing, vectors, evaluation, models]
 
 
 def queries() -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared checkpoint folder.
+    """Cut lineage: write the frame once as Parquet in the shared checkpoint folder and read it back.
 
     Used where a result must not be computed twice (answers of an external function) or where a
-    later stage reads it many times. The files outlive lost executors.
+    later stage reads it several times. The files outlive lost executors, and their known size lets
+    Spark decide on broadcasts. A reliable checkpoint would run the last stage a second time.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/labelloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
