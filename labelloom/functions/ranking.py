@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelloom.functions.hashing import HASH_BITS, hash_int
+from labelloom.session import materialise
 
 MAX_BUCKETS = 2048  # h * MAX_BUCKETS still fits a bigint
 
@@ -124,16 +125,17 @@ def hash_cuts(
     upto = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = (
         counted.withColumn("__before", F.sum("__count").over(upto) - F.col("__count"))
-        .withColumn("__need", want(F.sum("__count").over(whole)).cast("bigint") - F.col("__before"))
+        .withColumn("__size", F.sum("__count").over(whole))
+        .withColumn("__need", want(F.col("__size")).cast("bigint") - F.col("__before"))
         .filter((F.col("__need") > 0) & (F.col("__need") <= F.col("__count")))
-        .select(*group, "__bucket", "__need")
+        .select(*group, "__bucket", "__need", "__size")
     )
     inside = Window.partitionBy(*group).orderBy("__h", id_col)
     return (
         narrow.join(edge, [*group, "__bucket"])
         .withColumn("__rn", F.row_number().over(inside))
         .filter(F.col("__rn") == F.col("__need"))
-        .select(*keys, F.col("__h").alias("cut_hash"), F.col(id_col).alias("cut_id"))
+        .select(*keys, F.col("__h").alias("cut_hash"), F.col(id_col).alias("cut_id"), F.col("__size").alias("cut_size"))
     )
 
 
@@ -146,19 +148,26 @@ def mark_first(
     salt: str,
     id_col: str,
     out: str = "chosen",
+    size_out: str | None = None,
 ) -> DataFrame:
-    """Flag, per group, exactly the first ``want(n)`` rows of the seeded random order."""
+    """Flag, per group, exactly the first ``want(n)`` rows of the seeded random order.
+
+    The cuts (one record per group) are written first: their known size lets Spark broadcast them,
+    so the wide rows are flagged where they are read; a larger table is sort-merged, with hot groups
+    split by adaptive execution.
+    """
     cuts = hash_cuts(df, keys, want, seed=seed, salt=salt, id_col=id_col)
     h = hash_int(seed, salt, id_col)
     if keys:
-        joined = df.join(cuts, keys, "left")
+        joined = df.join(materialise(cuts), keys, "left")
         cut_hash, cut_id = F.col("cut_hash"), F.col("cut_id")
     else:
         joined = df
         cut = cuts.select(F.struct("cut_hash", "cut_id").alias("cut")).scalar()
         cut_hash, cut_id = cut["cut_hash"], cut["cut_id"]
     first = (h < cut_hash) | ((h == cut_hash) & (F.col(id_col) <= cut_id))
-    return joined.select(*df.columns, F.coalesce(first, F.lit(False)).alias(out))
+    sizes = [F.col("cut_size").alias(size_out)] if size_out else []
+    return joined.select(*df.columns, F.coalesce(first, F.lit(False)).alias(out), *sizes)
 
 
 def sample_n(df: DataFrame, n: int | Column, *, id_col: str, seed: int, salt: str = "sample") -> DataFrame:

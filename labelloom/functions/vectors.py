@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,12 +38,9 @@ def unit(a: pd.Series) -> pd.Series:
 
 
 def mean_vector(df: DataFrame, keys: list[str], vector: str, out: str = "vector") -> DataFrame:
-    """Element-wise mean per group, by position, so that partial sums combine on the map side."""
-    exploded = df.select(*keys, F.posexplode(vector).alias("pos", "x"))
-    summed = exploded.groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return summed.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias(out)
-    )
+    """Element-wise mean per group; partial sums combine on the map side."""
+    dense = array_to_vector(F.col(vector).cast("array<double>"))
+    return df.groupBy(*keys).agg(vector_to_array(Summarizer.mean(dense)).alias(out))
 
 
 def squared_norm(vector: Column) -> Column:

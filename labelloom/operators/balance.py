@@ -10,6 +10,7 @@ from labelloom.functions.hashing import hash_mod
 from labelloom.functions.ranking import order_rank
 from labelloom.operators.profile import class_counts, with_class
 from labelloom.operators.split import cap_split
+from labelloom.session import materialise
 
 CHUNK = 4096  # copies made by one record before the work is spread again
 
@@ -35,7 +36,8 @@ def short_classes(df: DataFrame, target: int | None = None) -> DataFrame:
     """Rows of the classes below the target (default: size of the largest class), with ``n``, ``need``."""
     counts = class_counts(df)
     goal = F.lit(target).cast("bigint") if target is not None else counts.agg(F.max("n")).scalar()
-    needs = counts.withColumn("need", goal - F.col("n")).filter("need > 0")
+    # one record per short class, of known size: the rows need no shuffle to find theirs
+    needs = materialise(counts.withColumn("need", goal - F.col("n")).filter("need > 0"))
     return with_class(df).join(needs, S.CLASS)
 
 

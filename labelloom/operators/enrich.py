@@ -37,6 +37,10 @@ def map_batches(
     return df.mapInPandas(run, schema)
 
 
+def _spread(df: DataFrame, tasks: int | None) -> DataFrame:
+    return df.repartition(tasks or df.sparkSession.sparkContext.defaultParallelism)
+
+
 def refine_prompt() -> F.Column:
     """Prompt that asks for a clearer description of one attribute."""
     return F.concat(
@@ -55,12 +59,14 @@ def enrich_text(
     enabled: bool = True,
     retries: int = 3,
     persist: bool = True,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add ``processed_description``: the user's rewrite of each description.
 
     Each distinct (name, description) is sent once. After ``retries`` failures the original text
     stays, with ``rewrite_status`` = ``failed``. Disabled: the frame is returned unchanged. The
-    answers are checkpointed, so later stages never call the function again.
+    answers are written once, so later stages never call the function again. The calls are spread over
+    ``tasks`` tasks (default: one per core), because a slow function is the cost here, not the bytes.
     """
     if not enabled:
         return df
@@ -96,7 +102,7 @@ def enrich_text(
             )
 
     inputs = df.select(S.NAME, S.DESCRIPTION).distinct().withColumn("__prompt", refine_prompt())
-    answers = inputs.mapInPandas(run, schema)
+    answers = _spread(inputs, tasks).mapInPandas(run, schema)
     if persist:
         answers = materialise(answers)
     answers = answers.select(
@@ -111,11 +117,16 @@ def enrich_text(
 
 
 def generate_responses(
-    prompts: DataFrame, fn: Callable[[str], str], *, retries: int = 3, persist: bool = True
+    prompts: DataFrame,
+    fn: Callable[[str], str],
+    *,
+    retries: int = 3,
+    persist: bool = True,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Send each planned prompt to the user's generator once; the answers become a response table.
 
-    A prompt that keeps failing gives a null response. The table is checkpointed by default.
+    A prompt that keeps failing gives a null response. The table is written once by default.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,5 +143,5 @@ def generate_responses(
                 answers.append(answer)
             yield frame[[*S.CLASS, "batch_id"]].assign(response=pd.Series(answers, index=frame.index, dtype="object"))
 
-    out = prompts.mapInPandas(run, S.RESPONSE_SCHEMA)
+    out = _spread(prompts, tasks).mapInPandas(run, S.RESPONSE_SCHEMA)
     return materialise(out) if persist else out

@@ -5,6 +5,8 @@ The generator itself is a user function (see ``enrich.generate_responses``); its
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +18,7 @@ from labelloom.functions.text import is_snake_case, strip
 from labelloom.operators.balance import explode_copies
 from labelloom.operators.prepare import with_definition
 from labelloom.operators.profile import class_need, with_class
+from labelloom.session import materialise
 
 IDENTITY = [S.NAME, S.DESCRIPTION]
 NAME_IN_CLASS = [S.DOMAIN, S.CONCEPT, S.NAME]
@@ -63,7 +66,9 @@ def context_sample(
     high = F.floor((F.col("slot") + 1) * F.col("n") / F.col("k"))
     place = low + hash_mod(high - low, seed, "context", *S.CLASS, "batch_id", "slot")
     wanted = slots.select(*S.CLASS, "batch_id", "slot", place.cast("bigint").alias("place"))
-    rows = order_rank(with_class(df).select(id_col, *S.LABELLED_COLUMNS), S.CLASS, id_col, out="place")
+    planned = materialise(plan.select(*S.CLASS).distinct())
+    short = with_class(df).select(id_col, *S.LABELLED_COLUMNS).join(planned, S.CLASS, "left_semi")
+    rows = order_rank(short, S.CLASS, id_col, out="place", bounds_from=df)
     return wanted.join(rows, [*S.CLASS, "place"]).drop("place")
 
 
@@ -81,6 +86,7 @@ def build_prompts(
     A batch shows at most six examples. ``used`` (domain, concept, attribute_name) lists names to avoid;
     only classes below the cap are planned, so such a list is shorter than the cap.
     """
+    plan = materialise(plan)
     examples = (
         context_sample(df, plan, seed=seed, id_col=id_col)
         .groupBy(*S.CLASS, "batch_id")
@@ -163,16 +169,26 @@ def parse_responses(
 def drop_used(candidates: DataFrame, used: DataFrame, identity: list[str]) -> DataFrame:
     """Candidates not yet used: repeats among themselves go (first batch and line stays), then an anti join.
 
-    Nulls are equal in the identity, as for a set of tuples.
+    Nulls are equal in the identity, as for a set of tuples. The used table is first reduced to the
+    identities that occur among the candidates: with few candidates Spark broadcasts them, and the
+    large used table is only scanned.
     """
     first = Window.partitionBy(*identity).orderBy(*S.CLASS, "batch_id", "line_no")
-    unique = candidates.withColumn("__rn", F.row_number().over(first)).filter("__rn <= 1").drop("__rn")
-    taken = used.select(*[F.col(c).alias(f"__{c}") for c in identity]).distinct()
-    condition = None
-    for c in identity:
-        same = F.col(c).eqNullSafe(F.col(f"__{c}"))
-        condition = same if condition is None else condition & same
-    return unique.join(taken, condition, "left_anti")
+    unique = materialise(
+        candidates.withColumn("__rn", F.row_number().over(first)).filter("__rn <= 1").drop("__rn")
+    )
+
+    def same(left: str, right: str) -> Column:
+        terms = [F.col(left + c).eqNullSafe(F.col(right + c)) for c in identity]
+        return reduce(lambda a, b: a & b, terms)
+
+    wanted = unique.select(*[F.col(c).alias(f"__w_{c}") for c in identity])
+    taken = (
+        used.select(*[F.col(c).alias(f"__u_{c}") for c in identity])
+        .join(wanted, same("__u_", "__w_"), "left_semi")
+        .distinct()
+    )
+    return unique.join(taken, same("", "__u_"), "left_anti")
 
 
 def accept_generated(
@@ -212,8 +228,8 @@ def generation_stats(
 ) -> DataFrame:
     """Per short class: sizes, accepted rows, batch outcomes, duplicates avoided, shortfall."""
     identity = IDENTITY if mode == "all_or_nothing" else NAME_IN_CLASS
-    valid = parse_responses(responses, mode, batch_size)
-    fresh = drop_used(valid, df, identity)
+    valid = materialise(parse_responses(responses, mode, batch_size))
+    fresh = materialise(drop_used(valid, df, identity))
     per_batch_valid = valid.groupBy(*S.CLASS, "batch_id").agg(F.count(F.lit(1)).alias("valid"))
     per_batch_fresh = fresh.groupBy(*S.CLASS, "batch_id").agg(F.count(F.lit(1)).alias("fresh"))
     batches = (

@@ -176,9 +176,8 @@ def negative_pairs(
         scaled = wanted if share == 1.0 else F.floor(wanted.cast("double") * F.lit(share))
     else:
         scaled = F.lit(n_pairs) if share == 1.0 else F.lit(int(n_pairs * share))
-    anchors = rows.join(
-        table.select(*S.CLASS, "n", "start", "domain_end", "skips", column, "__before", "__all"), S.CLASS
-    )
+    facts = ["n", "start", column, "__before", "__all", *(["domain_end", "skips"] if strategy == "other" else [])]
+    anchors = rows.join(table.select(*S.CLASS, *facts), S.CLASS)
     base = F.col("__before") + (F.col("place").cast(WIDE) * m)
     drawn = _draws(anchors, column, base, scaled, F.col("__all"), seed, "negative_" + strategy, id_col)
     if strategy == "other":

@@ -9,6 +9,7 @@ from labelloom import schema as S
 from labelloom.functions.hashing import uniform
 from labelloom.functions.ranking import order_rank
 from labelloom.functions.text import render_template, text_spec
+from labelloom.session import materialise
 from labelloom.sources.readers import require_columns
 
 
@@ -127,4 +128,4 @@ def known_pairs_only(
 ) -> DataFrame:
     """Predictions whose (domain, concept) pair was observed in training."""
     pairs = observed.select(F.col(S.DOMAIN).alias(domain), F.col(S.CONCEPT).alias(concept)).distinct()
-    return predictions.join(pairs, [domain, concept], "left_semi")
+    return predictions.join(materialise(pairs), [domain, concept], "left_semi")

@@ -22,7 +22,7 @@ from labelloom.functions.vectors import unit
 
 BLOCK = 2048  # vectors of one side in one task
 BROADCAST_FLOATS = 4_000_000  # at most 32 MB of doubles are sent to every executor
-MAX_PIVOTS = 64
+MAX_PIVOTS = 2048  # bounds the pivot table on the driver and in each task
 ANGLE_SLACK = 1e-6  # covers the rounding of arccos near 1
 DIGITS = 9  # similarities are rounded before ranking, so that ties are ties in every engine
 
@@ -234,31 +234,55 @@ def similarity_pairs(
     id_col: str = S.ROW_ID,
     vector: str = "vector",
     differ: str | None = None,
-    pivots: int = MAX_PIVOTS,
+    pivots: int | None = None,
     block: int = BLOCK,
     inclusive: bool = False,
 ) -> DataFrame:
     """All pairs (id1 < id2) of unit vectors with cosine above ``threshold``: exact.
 
     Each vector has the cell of its nearest pivot as its home. By the triangle inequality on angles, a
-    vector can only match vectors of another cell j when its angle to pivot j exceeds the angle to
-    its own pivot by at most twice the threshold angle; only there it is sent as a visitor. Cells
-    are cut into blocks of bounded size, and every block pair is one task-sized matrix product. With
-    ``differ`` only pairs that differ in that column are kept.
+    vector can only match vectors of another cell j when its angle to pivot j is at most the radius
+    of cell j plus the threshold angle, and exceeds the angle to its own pivot by at most twice the
+    threshold angle; only there it is sent as a visitor. Cells are cut into blocks of bounded size,
+    and every block pair is one task-sized matrix product. There are about as many pivots as blocks,
+    so a small table is one product. With ``differ`` only pairs that differ in that column are kept.
+
+    The answer is exact, so the work depends on how well the data clusters: high thresholds on
+    clustered vectors meet few cells, low thresholds on spread-out vectors meet all of them.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
+    if pivots is None:
+        pivots = max(1, min(MAX_PIVOTS, -(-df.count() // block)))
     centres = _pivots(df, id_col, vector, pivots)
     if not len(centres):
         width = df.filter(F.col(vector).isNotNull()).agg(F.max(F.size(vector))).first()[0] or 1
         centres = np.zeros((1, width))
     shared = df.sparkSession.sparkContext.broadcast(centres)
-    reach = 2.0 * float(np.arccos(np.clip(threshold, -1.0, 1.0))) + ANGLE_SLACK
+    angle = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + ANGLE_SLACK
     rows = df.select(
         F.col(id_col).alias("__id"),
         unit(vector).alias("__v"),
         (F.col(differ).cast("string") if differ else F.lit(None).cast("string")).alias("__c"),
     ).filter(F.col("__v").isNotNull())
+    radii = np.full(len(centres), np.inf)
+    if len(centres) > 1:
+
+        def widest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            middle = shared.value
+            reach = np.full(len(middle), -1.0)
+            for frame in frames:
+                if not frame.empty:
+                    angles = np.arccos(np.clip(_matrix(frame["__v"]) @ middle.T, -1.0, 1.0))
+                    np.maximum.at(reach, angles.argmin(axis=1), angles.min(axis=1))
+            used = np.nonzero(reach >= 0)[0]
+            yield pd.DataFrame({"cell": used.astype("int32"), "radius": reach[used]})
+
+        # at most one record per pivot comes back
+        per_cell = rows.select("__v").mapInPandas(widest, "cell int, radius double").groupBy("cell").agg(F.max("radius").alias("radius"))
+        radii = np.full(len(centres), -np.inf)
+        for record in per_cell.collect():
+            radii[record["cell"]] = record["radius"]
     cell_schema = T.StructType(
         [
             T.StructField("__id", _spec(df, id_col)),
@@ -276,7 +300,8 @@ def similarity_pairs(
                 continue
             angles = np.arccos(np.clip(_matrix(frame["__v"]) @ middle.T, -1.0, 1.0))
             home = angles.argmin(axis=1)
-            near = angles <= angles[np.arange(len(home)), home][:, None] + reach
+            own = angles[np.arange(len(home)), home][:, None]
+            near = (angles <= own + 2 * angle) & (angles <= radii[None, :] + angle)
             # a pair of two homes meets once, in the cell with the larger number
             later = np.arange(len(middle))[None, :] > home[:, None]
             row, cell = np.nonzero(near & later)

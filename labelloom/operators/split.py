@@ -52,15 +52,18 @@ def split_per_label(
     df: DataFrame, share: float = S.VALIDATION_SHARE, *, seed: int = S.SEED, id_col: str = S.ROW_ID
 ) -> DataFrame:
     """Per class, ceil(share * n) rows to ``val``, the rest to ``train``; a one-row class to both."""
-    keys = S.CLASS
-    rows = with_class(df)
     marked = mark_first(
-        rows, keys, lambda n: F.ceil(n.cast("double") * F.lit(share)), seed=seed, salt="val", id_col=id_col
+        with_class(df),
+        S.CLASS,
+        lambda n: F.ceil(n.cast("double") * F.lit(share)),
+        seed=seed,
+        salt="val",
+        id_col=id_col,
+        size_out="__n",
     )
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     sides = (
         F.when(F.col("__n") == 1, F.array(F.lit("train"), F.lit("val")))
         .when(F.col("chosen"), F.array(F.lit("val")))
         .otherwise(F.array(F.lit("train")))
     )
-    return marked.join(sizes, keys).withColumn("split", F.explode(sides)).drop("chosen", "__n")
+    return marked.withColumn("split", F.explode(sides)).drop("chosen", "__n")
