@@ -157,12 +157,13 @@ def mark_first(
     split by adaptive execution.
     """
     cuts = hash_cuts(df, keys, want, seed=seed, salt=salt, id_col=id_col)
-    h = hash_int(seed, salt, id_col)
+    rows = df.withColumn("__h", hash_int(seed, salt, id_col))
+    h = F.col("__h")
     if keys:
-        joined = df.join(materialise(cuts), keys, "left")
+        joined = rows.join(materialise(cuts), keys, "left")
         cut_hash, cut_id = F.col("cut_hash"), F.col("cut_id")
     else:
-        joined = df
+        joined = rows
         cut = cuts.select(F.struct("cut_hash", "cut_id").alias("cut")).scalar()
         cut_hash, cut_id = cut["cut_hash"], cut["cut_id"]
     first = (h < cut_hash) | ((h == cut_hash) & (F.col(id_col) <= cut_id))
@@ -170,6 +171,34 @@ def mark_first(
     return joined.select(*df.columns, F.coalesce(first, F.lit(False)).alias(out), *sizes)
 
 
+def running_total(
+    df: DataFrame, keys: list[str], bucket: Column, order: list[str], weight: str, *, out: str = "before"
+) -> DataFrame:
+    """Sum of ``weight`` over the earlier rows of the group, in the order given.
+
+    ``bucket`` must not decrease along the order. Bucket sums are prefix-summed first, so that one
+    task only ever sees the bucket sums of a group, or the rows of one bucket.
+    """
+    rows = df.withColumn("__bucket", bucket)
+    if not keys:
+        rows = rows.withColumn("__group", F.lit(0))
+    group = keys or ["__group"]
+    sums = rows.groupBy(*group, "__bucket").agg(F.sum(weight).alias("__sum"))
+    upto = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = sums.select(*group, "__bucket", (F.sum("__sum").over(upto) - F.col("__sum")).alias("__offset"))
+    inside = (
+        Window.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return rows.join(offsets, [*group, "__bucket"]).select(
+        *df.columns, (F.col("__offset") + F.sum(weight).over(inside) - F.col(weight)).alias(out)
+    )
+
+
+def hex_bucket(column: str) -> Column:
+    """First three digits of a hex string: 4096 buckets in its order."""
+    return F.substring(F.col(column), 1, 3)
+
+
 def sample_n(df: DataFrame, n: int | Column, *, id_col: str, seed: int, salt: str = "sample") -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement. Nothing passes through the driver."""
     limit = F.lit(n) if isinstance(n, int) else n

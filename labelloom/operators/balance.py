@@ -34,10 +34,10 @@ def explode_copies(df: DataFrame, count: Column, spread_by: list[str], out: str)
 
 def short_classes(df: DataFrame, target: int | None = None) -> DataFrame:
     """Rows of the classes below the target (default: size of the largest class), with ``n``, ``need``."""
-    counts = class_counts(df)
+    counts = materialise(class_counts(df))
     goal = F.lit(target).cast("bigint") if target is not None else counts.agg(F.max("n")).scalar()
     # one record per short class, of known size: the rows need no shuffle to find theirs
-    needs = materialise(counts.withColumn("need", goal - F.col("n")).filter("need > 0"))
+    needs = counts.withColumn("need", goal - F.col("n")).filter("need > 0")
     return with_class(df).join(needs, S.CLASS)
 
 

@@ -12,11 +12,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from labelloom import schema as S
 from labelloom.functions.hashing import hash_int, hash_mod
-from labelloom.functions.ranking import hash_rank, order_rank, sample_n
+from labelloom.functions.ranking import bucket_count, hash_rank, hex_bucket, order_rank, running_total, sample_n
 from labelloom.functions.text import effective_text
 from labelloom.functions.vectors import dot
 from labelloom.operators.profile import class_counts, with_class
@@ -31,31 +30,43 @@ def _whole_div(a: Column, b: Column) -> Column:
 
 
 def pair_classes(df: DataFrame) -> DataFrame:
-    """Class table: rows before the class and its domain, and negative partners after each row.
+    """Class table: rows before each class and after its domain, and later rows to pair with.
 
-    The windows without a partition run over this table only: one record per (domain, concept).
-    ``skips`` lists, for the ``other`` strategy, where the concept recurs in later domains; its length
-    is at most the number of domains.
+    Classes are ordered by the md5 of domain and concept, which keeps the classes of a domain together
+    and gives the running sums even buckets.
     """
-    counts = class_counts(df)
-    before = Window.orderBy(*S.CLASS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_domain = Window.partitionBy(S.DOMAIN)
-    by_concept = Window.partitionBy(S.CONCEPT)
-    placed = (
-        counts.withColumn("start", F.sum("n").over(before) - F.col("n"))
-        .withColumn("total", F.sum("n").over(Window.partitionBy()))
-        .withColumn("domain_end", F.min("start").over(by_domain) + F.sum("n").over(by_domain))
-        .withColumn("__same", F.array_sort(F.collect_list(F.struct("start", "n")).over(by_concept)))
-        .withColumn("skips", F.filter("__same", lambda e: e["start"] >= F.col("domain_end")))
-        .drop("__same")
+    counts = materialise(class_counts(df)).withColumns({"__d": F.md5(S.DOMAIN), "__c": F.md5(S.CONCEPT)})
+    domains = counts.groupBy(S.DOMAIN, "__d").agg(F.sum("n").alias("__size"))
+    placed = running_total(domains, [], hex_bucket("__d"), ["__d"], "__size", out="__first").select(
+        S.DOMAIN, "__first", (F.col("__first") + F.col("__size")).alias("domain_end")
     )
+    inside = running_total(counts, [S.DOMAIN], hex_bucket("__c"), ["__c"], "n", out="__inside")
+    total = counts.agg(F.sum("n")).scalar()
+    start = F.col("__first") + F.col("__inside")
+    return inside.join(placed, S.DOMAIN).select(
+        *S.CLASS,
+        "n",
+        start.alias("start"),
+        "domain_end",
+        (total - start - F.col("n")).alias("later_all"),
+        (F.col("domain_end") - start - F.col("n")).alias("later_same"),
+    )
+
+
+def _with_other(classes: DataFrame) -> DataFrame:
+    """Adds ``later_other`` and ``skips``: where the concept recurs in later domains.
+
+    The list holds one entry per domain with that concept, so it is as short as the domain list.
+    """
+    spots = classes.groupBy(S.CONCEPT).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("__spots"))
+    later = F.filter("__spots", lambda e: e["start"] >= F.col("domain_end"))
     skipped = F.aggregate("skips", F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"])
-    return placed.withColumns(
-        {
-            "later_all": F.col("total") - F.col("start") - F.col("n"),
-            "later_same": F.col("domain_end") - F.col("start") - F.col("n"),
-            "later_other": F.col("total") - F.col("domain_end") - skipped,
-        }
+    total = classes.agg(F.sum("n")).scalar()
+    return (
+        classes.join(spots, S.CONCEPT)
+        .withColumn("skips", later)
+        .withColumn("later_other", total - F.col("domain_end") - skipped)
+        .drop("__spots")
     )
 
 
@@ -166,20 +177,22 @@ def negative_pairs(
     space = df if isinstance(df, PairSpace) else pair_space(df, id_col)
     classes, rows = space.classes, space.rows
     m = F.col(column).cast(WIDE)
-    upto = Window.orderBy(*S.CLASS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if strategy == "other":
+        classes = _with_other(classes)
+    # pairs that start in a class; positions are in class order, so the start orders the classes
     weighted = classes.withColumn("__w", (F.col("n").cast(WIDE) * m).cast(WIDE))
-    table = weighted.withColumn("__before", (F.sum("__w").over(upto) - F.col("__w")).cast(WIDE)).withColumn(
-        "__all", F.sum("__w").over(Window.partitionBy()).cast(WIDE)
-    )
+    bucket = F.floor(F.col("start").cast("double") / (F.col("later_all") + F.col("start") + F.col("n")) * 4096)
+    table = materialise(running_total(weighted, [], bucket, ["start"], "__w", out="__before"))
+    everything = table.agg(F.sum("__w").cast(WIDE)).scalar()
     if n_pairs is None:
         wanted = _positive_total(classes).scalar()
         scaled = wanted if share == 1.0 else F.floor(wanted.cast("double") * F.lit(share))
     else:
         scaled = F.lit(n_pairs) if share == 1.0 else F.lit(int(n_pairs * share))
-    facts = ["n", "start", column, "__before", "__all", *(["domain_end", "skips"] if strategy == "other" else [])]
+    facts = ["n", "start", column, "__before", *(["domain_end", "skips"] if strategy == "other" else [])]
     anchors = rows.join(table.select(*S.CLASS, *facts), S.CLASS)
     base = F.col("__before") + (F.col("place").cast(WIDE) * m)
-    drawn = _draws(anchors, column, base, scaled, F.col("__all"), seed, "negative_" + strategy, id_col)
+    drawn = _draws(anchors, column, base, scaled, everything, seed, "negative_" + strategy, id_col)
     if strategy == "other":
         start = F.col("domain_end") + F.col("offset")
         # step over the runs of the anchor's own concept in later domains
@@ -273,7 +286,7 @@ def _tuple_rows(df: DataFrame, id_col: str) -> DataFrame:
     text = F.concat(F.coalesce(F.col(S.NAME), F.lit("")), F.lit(" "), F.coalesce(F.col(S.DESCRIPTION), F.lit("")))
     rows = with_class(df).select(id_col, *S.CLASS, F.md5(text).alias("__t"))
     per_text = rows.groupBy(*S.CLASS, "__t").agg(F.count(F.lit(1)).alias("__c"))
-    runs = _running(per_text, S.CLASS, "__t", "__c")
+    runs = running_total(per_text, S.CLASS, hex_bucket("__t"), ["__t"], "__c", out="__before")
     inside = order_rank(rows, [*S.CLASS, "__t"], id_col, out="__in")
     return inside.join(runs, [*S.CLASS, "__t"]).select(
         id_col,
@@ -284,20 +297,6 @@ def _tuple_rows(df: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def _running(df: DataFrame, keys: list[str], hexkey: str, weight: str) -> DataFrame:
-    """Exclusive running sum of a weight in order of a hex key, by buckets of its first digits."""
-    bucketed = df.withColumn("__bucket", F.substring(hexkey, 1, 3))
-    sums = bucketed.groupBy(*keys, "__bucket").agg(F.sum(weight).alias("__s"))
-    upto = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = sums.select(*keys, "__bucket", (F.sum("__s").over(upto) - F.col("__s")).alias("__o"))
-    inner = Window.partitionBy(*keys, "__bucket").orderBy(hexkey).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        bucketed.join(offsets, [*keys, "__bucket"])
-        .withColumn("__before", F.col("__o") + F.sum(weight).over(inner) - F.col(weight))
-        .drop("__o", "__bucket")
-    )
-
-
 def contrastive_slots(
     df: DataFrame,
     n_tuples: int | None = None,
@@ -314,10 +313,10 @@ def contrastive_slots(
     other labels. Default: one tuple per row. An anchor without another text in its label gives none.
     """
     rows = materialise(_tuple_rows(df, id_col))
-    counts = class_counts(rows)
-    # class table only: numbers the labels
+    counts = materialise(class_counts(rows))
+    marked = counts.withColumns({"__md5": F.md5(F.concat_ws("|", *S.CLASS)), "__one": F.lit(1).cast("bigint")})
     labels = materialise(
-        counts.withColumn("label_no", (F.row_number().over(Window.orderBy(*S.CLASS)) - 1).cast("bigint"))
+        running_total(marked, [], hex_bucket("__md5"), ["__md5", *S.CLASS], "__one", out="label_no").drop("__md5", "__one")
     )
     n_labels = labels.agg(F.count(F.lit(1))).scalar()
     if n_tuples is None:
@@ -437,19 +436,12 @@ def info_nce(slots: DataFrame, vectors: DataFrame, template_vectors: DataFrame |
 
 def average_rank(df: DataFrame, value: str, low: float, high: float, out: str) -> DataFrame:
     """Tie-averaged rank of a value within known limits: counts per value, prefix-summed by bucket."""
-    from labelloom.functions.ranking import bucket_count
-
     buckets = bucket_count(df)
     share = (F.col(value) - F.lit(low)) / F.lit(high - low)
     bucket = F.least(F.greatest(F.floor(share * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__c")).withColumn("__bucket", bucket)
-    sums = counts.groupBy("__bucket").agg(F.sum("__c").alias("__s"))
-    # at most one record per bucket
-    upto = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = sums.select("__bucket", (F.sum("__s").over(upto) - F.col("__s")).alias("__o"))
-    inner = Window.partitionBy("__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.join(offsets, "__bucket").select(
-        value, (F.col("__o") + F.sum("__c").over(inner) - F.col("__c") + (F.col("__c") + 1) / 2.0).alias(out)
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__c")).withColumn("__spot", bucket)
+    ranks = running_total(counts, [], F.col("__spot"), [value], "__c", out="__before").select(
+        value, (F.col("__before") + (F.col("__c") + 1) / 2.0).alias(out)
     )
     return df.join(ranks, value)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelloom import schema as S
+from labelloom.session import materialise
 
 
 def with_class(df: DataFrame) -> DataFrame:
@@ -23,10 +24,11 @@ def class_counts(df: DataFrame) -> DataFrame:
 def distribution(df: DataFrame) -> DataFrame:
     """Per class: domain count and share of all rows, concept count and share of its domain.
 
-    One shuffle of partial counts; the windows and the total run over the class table only. Rows
-    without a concept count for their domain, rows without a domain only for the total.
+    The rows are read once, into partial counts; the class table is written, because the total and
+    the shares both read it. Rows without a concept count for their domain, rows without a domain
+    only for the total.
     """
-    counts = df.groupBy(*S.CLASS).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(df.groupBy(*S.CLASS).agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).scalar()
     by_domain = Window.partitionBy(S.DOMAIN)
     return (
@@ -108,7 +110,7 @@ def class_need(df: DataFrame, cap: int = S.CLASS_CAP) -> DataFrame:
 
 def label_stats(df: DataFrame) -> DataFrame:
     """Number of labels, number of attributes, and attributes per label (long form)."""
-    counts = class_counts(df)
+    counts = materialise(class_counts(df))
     totals = counts.agg(
         F.count(F.lit(1)).alias("total_labels"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_attributes")
     )
@@ -144,56 +146,39 @@ def texts_by_class(df: DataFrame) -> DataFrame:
     return order_rank(rows, S.CLASS, S.ROW_ID, out="text_no", size_out="n")
 
 
+def _balance_counts(split: DataFrame) -> DataFrame:
+    return split.groupBy(*S.CLASS).agg(
+        F.count(F.when(F.col("origin") == "original", 1)).alias("original"),
+        F.count(F.when(F.col("split") == "train", 1)).alias("training"),
+        F.count(F.when(F.col("split") == "eval", 1)).alias("evaluation"),
+    )
+
+
+def _balance_totals(counts: DataFrame) -> DataFrame:
+    zero = F.lit(0).cast("bigint")
+    sums = counts.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("original", "training", "evaluation")])
+    return sums.withColumn("generated", F.col("training") - (F.col("original") - F.col("evaluation")))
+
+
 def balance_summary(split: DataFrame) -> DataFrame:
     """Original, training, evaluation and generated rows of a balanced set (one row).
 
     Expects the ``split`` and ``origin`` columns of ``balance``.
     """
-    n = F.sum(F.lit(1))
-    return split.agg(
-        F.count(F.when(F.col("origin") == "original", 1)).alias("original"),
-        F.count(F.when(F.col("split") == "train", 1)).alias("training"),
-        F.count(F.when(F.col("split") == "eval", 1)).alias("evaluation"),
-        n.alias("rows"),
-    ).select(
-        "original",
-        "training",
-        "evaluation",
-        (F.col("training") - (F.col("original") - F.col("evaluation"))).alias("generated"),
-    )
+    return _balance_totals(_balance_counts(split))
 
 
 def balance_report(split: DataFrame) -> DataFrame:
     """Totals and class distributions as (section, domain, concept, metric, value) rows."""
-    none = F.lit(None).cast("string")
-    totals = balance_summary(split).select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-                    for m in ("original", "training", "evaluation", "generated")
-                ]
-            )
-        ).alias("e")
-    ).select(F.lit("totals").alias("section"), none.alias(S.DOMAIN), none.alias(S.CONCEPT), "e.metric", "e.value")
-    per_class = (
-        split.groupBy(*S.CLASS)
-        .agg(
-            F.count(F.when(F.col("origin") == "original", 1)).alias("original"),
-            F.count(F.when(F.col("split") == "train", 1)).alias("training"),
-            F.count(F.when(F.col("split") == "eval", 1)).alias("evaluation"),
-        )
-        .select(
-            *S.CLASS,
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-                        for m in ("original", "training", "evaluation")
-                    ]
-                )
-            ).alias("e"),
+    counts = materialise(_balance_counts(split))
+
+    def long(df: DataFrame, section: str, metrics: tuple[str, ...]) -> DataFrame:
+        cells = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
+        return df.select(F.lit(section).alias("section"), *S.CLASS, F.explode(F.array(*cells)).alias("e")).select(
+            "section", *S.CLASS, "e.metric", "e.value"
         )
-        .select(F.lit("classes").alias("section"), *S.CLASS, "e.metric", "e.value")
-    )
-    return totals.unionByName(per_class)
+
+    none = F.lit(None).cast("string")
+    totals = _balance_totals(counts).withColumns({S.DOMAIN: none, S.CONCEPT: none})
+    metrics = ("original", "training", "evaluation")
+    return long(totals, "totals", (*metrics, "generated")).unionByName(long(counts, "classes", metrics))

@@ -66,24 +66,26 @@ def top_k_matches(
     keys = keys or []
     q = queries.select(*keys, F.col(query_id).alias("__id"), F.col(vector).alias("__v"))
     b = base.select(*keys, F.col(base_id).alias("__id"), F.col(vector).alias("__v"))
-    if not keys:
-        q, b = q.withColumn("__key", F.lit(0)), b.withColumn("__key", F.lit(0))
-    group = keys or ["__key"]
+    in_blocks = F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("bigint")
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("bigint").alias(name))
+    def sized(df: DataFrame) -> DataFrame:
+        """Adds the number of query and base blocks of the row's key."""
+        if not keys:
+            counts = {name: side.agg(in_blocks).scalar() for name, side in (("__qn", q), ("__bn", b))}
+            return df.withColumns(counts).filter("__qn > 0 AND __bn > 0")
+        per_key = q.groupBy(*keys).agg(in_blocks.alias("__qn")).join(b.groupBy(*keys).agg(in_blocks.alias("__bn")), keys)
+        return df.join(per_key, keys)
 
-    cells = blocks(q, "__qn").join(blocks(b, "__bn"), group)
     one = F.lit(1).cast("bigint")
-    cell = F.struct(*group, "__qb", "__bb").alias("__cell")
+    cell = F.struct(*keys, "__qb", "__bb").alias("__cell")
     qs = (
-        q.join(cells, group)
+        sized(q)
         .withColumn("__qb", hash_mod(F.col("__qn"), S.SEED, "block", "__id"))
         .withColumn("__bb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__bn") - one)))
         .select(cell, "__id", "__v")
     )
     bs = (
-        b.join(cells, group)
+        sized(b)
         .withColumn("__bb", hash_mod(F.col("__bn"), S.SEED, "block", "__id"))
         .withColumn("__qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__qn") - one)))
         .select(cell, "__id", "__v")
@@ -125,8 +127,22 @@ def knn_join(
     df: DataFrame, k: int, *, keys: list[str], id_col: str = S.ROW_ID, vector: str = "vector", block: int = BLOCK
 ) -> DataFrame:
     """k nearest other rows of the same class by squared L2 distance (a flat index per class)."""
+    return neighbours_of(df, df, k, keys=keys, id_col=id_col, vector=vector, block=block)
+
+
+def neighbours_of(
+    queries: DataFrame,
+    base: DataFrame,
+    k: int,
+    *,
+    keys: list[str],
+    id_col: str = S.ROW_ID,
+    vector: str = "vector",
+    block: int = BLOCK,
+) -> DataFrame:
+    """``knn_join`` for some rows only."""
     return top_k_matches(
-        df, df, k, keys=keys, query_id=id_col, base_id=id_col, vector=vector, metric="l2", exclude_self=True, block=block
+        queries, base, k, keys=keys, query_id=id_col, base_id=id_col, vector=vector, metric="l2", exclude_self=True, block=block
     ).select(
         F.col("query_id").alias(id_col), F.col("base_id").alias("neighbour_id"), F.col("score").alias("distance2"), "rank"
     )
@@ -293,27 +309,40 @@ def similarity_pairs(
         ]
     )
 
-    def to_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def homes_and_visits(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         middle = shared.value
+        angles = np.arccos(np.clip(vectors @ middle.T, -1.0, 1.0))
+        home = angles.argmin(axis=1)
+        own = angles[np.arange(len(home)), home][:, None]
+        near = (angles <= own + 2 * angle) & (angles <= radii[None, :] + angle)
+        # a pair of two homes meets once, in the cell with the larger number
+        later = np.arange(len(middle))[None, :] > home[:, None]
+        return home, *np.nonzero(near & later)
+
+    def to_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if frame.empty:
                 continue
-            angles = np.arccos(np.clip(_matrix(frame["__v"]) @ middle.T, -1.0, 1.0))
-            home = angles.argmin(axis=1)
-            own = angles[np.arange(len(home)), home][:, None]
-            near = (angles <= own + 2 * angle) & (angles <= radii[None, :] + angle)
-            # a pair of two homes meets once, in the cell with the larger number
-            later = np.arange(len(middle))[None, :] > home[:, None]
-            row, cell = np.nonzero(near & later)
+            home, row, cell = homes_and_visits(_matrix(frame["__v"]))
             stay = frame.assign(__cell=home.astype("int32"), __home=True)
             visit = frame.iloc[row].assign(__cell=cell.astype("int32"), __home=False)
             yield pd.concat([stay, visit])
 
+    def count_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stays, visits = np.zeros(len(shared.value), "int64"), np.zeros(len(shared.value), "int64")
+        for frame in frames:
+            if not frame.empty:
+                home, _, cell = homes_and_visits(_matrix(frame["__v"]))
+                np.add.at(stays, home, 1)
+                np.add.at(visits, cell, 1)
+        used = np.nonzero(stays + visits)[0]
+        yield pd.DataFrame({"__cell": used.astype("int32"), "__stays": stays[used], "__visits": visits[used]})
+
     celled = rows.mapInPandas(to_cells, cell_schema)
-    sizes = celled.groupBy("__cell").agg(
-        F.ceil(F.count(F.when(F.col("__home"), 1)) / F.lit(float(block))).cast("bigint").alias("__hn"),
-        F.ceil(F.count(F.when(~F.col("__home"), 1)) / F.lit(float(block))).cast("bigint").alias("__vn"),
-    )
+    # one record per cell and task is shuffled to size the blocks
+    counted = rows.select("__v").mapInPandas(count_cells, "__cell int, __stays long, __visits long")
+    in_blocks = lambda c: F.ceil(F.sum(c) / F.lit(float(block))).cast("bigint")
+    sizes = counted.groupBy("__cell").agg(in_blocks("__stays").alias("__hn"), in_blocks("__visits").alias("__vn"))
     zero = F.lit(0).cast("bigint")
     placed = celled.join(sizes, "__cell").filter("__hn > 0")
     own = placed.withColumn(

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from labelloom import schema as S
 from labelloom.functions.hashing import hash_mod, uniform
-from labelloom.functions.ranking import order_rank
+from labelloom.functions.ranking import hex_bucket, order_rank, running_total
 from labelloom.operators.balance import explode_copies
-from labelloom.operators.similarity import knn_join, nearest_original
+from labelloom.operators.similarity import nearest_original, neighbours_of
 from labelloom.session import materialise
 
 
@@ -30,7 +29,7 @@ def smote_plan(
     a seeded place among them and no distances are needed. Otherwise the k nearest rows are found
     first (k = min(neighbours, n - 1)). Classes of one row have no neighbour and are left out.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
     goal = F.lit(target).cast("bigint") if target is not None else counts.agg(F.max("n")).scalar()
     short = counts.withColumn("need", goal - F.col("n")).filter("need > 0 AND n > 1")
     points = explode_copies(short, F.col("need"), keys, "t").withColumn("i", F.col("n") + F.col("t"))
@@ -48,8 +47,11 @@ def smote_plan(
             .join(other, [*keys, "other"])
             .select(*keys, "n", "i", "base_id", "neighbour_id", lam)
         )
+    based = materialise(based)
     in_short = df.join(short.select(*keys), keys, "left_semi").select(*keys, id_col, vector)
-    near = knn_join(in_short, neighbours, keys=keys, id_col=id_col, vector=vector).select(
+    # only rows drawn as a base need neighbours
+    bases = in_short.join(based.select(F.col("base_id").alias(id_col)).distinct(), id_col, "left_semi")
+    near = neighbours_of(bases, in_short, neighbours, keys=keys, id_col=id_col, vector=vector).select(
         F.col(id_col).alias("base_id"), "neighbour_id", "rank"
     )
     pick = hash_mod(F.least(F.lit(neighbours).cast("bigint"), F.col("n") - 1), seed, "smote_neighbour", *keys, "i") + 1
@@ -140,18 +142,11 @@ def simple_smote_texts(
     points = materialise(smote_vectors(placed, None, keys=keys, neighbours=neighbours, seed=seed, id_col=id_col))
     named = points.withColumn("synthetic_id", F.concat_ws("|", *keys, F.col("i").cast("string")))
     best = nearest_original(named, placed, id_col=id_col)
-    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    # class table only: where the numbers of each class start
-    made = F.when(F.col("__n") > 1, F.max("__n").over(Window.partitionBy()) - F.col("__n")).otherwise(0)
-    started = counts.withColumn("__made", made).select(
-        *keys,
-        (
-            F.sum("__n").over(Window.partitionBy())
-            + F.sum("__made").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
-        ).alias("__s"),
-        F.sum("__n").over(Window.partitionBy()).alias("__total"),
-    )
-    number = F.coalesce(F.col("__s"), F.col("__total")) + F.col("i") - F.col("n")
+    counts = materialise(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
+    made = F.when(F.col("__n") > 1, counts.agg(F.max("__n")).scalar() - F.col("__n")).otherwise(0)
+    marked = counts.withColumns({"__made": made, "__md5": F.md5(F.concat_ws("|", *keys))})
+    started = running_total(marked, [], hex_bucket("__md5"), ["__md5", *keys], "__made", out="__first").select(*keys, "__first")
+    number = counts.agg(F.sum("__n")).scalar() + F.col("__first") + F.col("i") - F.col("n")
     return (
         named.join(best, "synthetic_id")
         .join(started, keys)

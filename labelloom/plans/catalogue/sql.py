@@ -122,7 +122,7 @@ VIEWS = {
         UNION ALL SELECT 'concept', concept, predicted_concept FROM predictions""",
     "positions": """
         SELECT *, row_number() OVER (PARTITION BY domain, concept ORDER BY row_id) - 1 AS place,
-               row_number() OVER (ORDER BY domain, concept, row_id) - 1 AS pos,
+               row_number() OVER (ORDER BY md5(domain), md5(concept), row_id) - 1 AS pos,
                count(*) OVER (PARTITION BY domain, concept) AS n
         FROM capped""",
     "positives": "SELECT sum(n - 1 - place)::BIGINT AS p FROM positions",

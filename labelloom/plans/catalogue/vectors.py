@@ -187,7 +187,7 @@ ORACLES = {
           FROM ({_nearest('synthetic', _IN_CLASS)}) x""",
     "smote_to_text_simple": using("vectors", **_VIEWS, neighbours=_NEIGHBOURS, near=_KNN_SYNTHETIC)
     + f"""SELECT row_id AS source_id, 'synthetic_' || ((SELECT count(*) FROM vectors)
-            + row_number() OVER (ORDER BY domain, concept, i) - 1)::VARCHAR AS attribute_name,
+            + row_number() OVER (ORDER BY md5(domain || '|' || concept), i) - 1)::VARCHAR AS attribute_name,
           'SYNTHETIC - Based on: ' || {_NAMED} AS description, domain, concept
           FROM ({_nearest('near', 'true')}) x""",
 }

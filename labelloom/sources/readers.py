@@ -116,11 +116,9 @@ HISTORY_SCHEMA = T.StructType(
 
 def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(experiment records, corrupt lines) of an experiment history folder."""
-    raw = (
-        spark.read.schema(HISTORY_SCHEMA)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-    )
+    lines = spark.read.text(path).filter(strip(F.col("value")) != "")
+    parsed = lines.select(
+        F.from_json("value", HISTORY_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")
+    ).select("r.*")
     bad = F.col("_corrupt_record").isNotNull()
-    return raw.filter(~bad).drop("_corrupt_record"), raw.filter(bad).select("_corrupt_record")
+    return parsed.filter(~bad).drop("_corrupt_record"), parsed.filter(bad).select("_corrupt_record")
