@@ -128,13 +128,18 @@ def positive_pairs(df: DataFrame, id_col: str = S.ROW_ID) -> DataFrame:
     runs = positive_pair_runs(df, id_col)
     mates = runs.select(*S.CLASS, F.col("place").alias("__mate"), F.col(id_col).alias("id2"))
     return (
-        runs.filter("pairs > 0")
+        _spread(runs.filter("pairs > 0"), id_col)
         .select(F.col(id_col).alias("id1"), *S.CLASS, F.explode(F.sequence("first", "last")).alias("__mate"))
         .join(mates, [*S.CLASS, "__mate"])
         .select("id1", "id2", *S.CLASS, F.lit(1.0).alias("label"))
     )
 
 
+def _spread(df: DataFrame, id_col: str) -> DataFrame:
+    """Narrow rows over all tasks, before each of them grows into many pairs."""
+    return df.repartition(bucket_count(df), id_col)
+
+
 def _draws(anchors: DataFrame, partners: str, base: Column, n_pairs: Column, total: Column, seed: int, salt: str, id_col: str) -> DataFrame:
     """Spread exactly ``min(n_pairs, total)`` draws evenly over the pair ranges of the anchors.
 
@@ -147,7 +152,7 @@ def _draws(anchors: DataFrame, partners: str, base: Column, n_pairs: Column, tot
     share = lambda upto: _whole_div(upto * limit, total.cast(WIDE))
     m = F.col(partners)
     return (
-        wide.filter(m > 0)
+        _spread(wide.filter(m > 0), id_col)
         .withColumn("__q", (share((F.col("__base") + F.col("__m")).cast(WIDE)) - share(F.col("__base"))).cast("bigint"))
         .filter("__q > 0")
         .withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__q") - 1)))

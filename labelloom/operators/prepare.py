@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelloom import schema as S
 from labelloom.functions.hashing import uniform
+from labelloom.functions.joins import join_hot
 from labelloom.functions.ranking import order_rank
 from labelloom.functions.text import render_template, text_spec
 from labelloom.session import materialise
@@ -16,15 +17,16 @@ from labelloom.sources.readers import require_columns
 def build_labelled(taxonomy: DataFrame, master: DataFrame) -> DataFrame:
     """Taxonomy joined to its definitions on the attribute name (many-to-many, inner).
 
-    No join hint: Spark broadcasts the definition side when its measured size allows, otherwise it
-    sort-merges, and adaptive execution splits hot names.
+    No broadcast hint: Spark broadcasts the definition side when its size allows, otherwise it
+    sort-merges. Names that hold a large share of the taxonomy are salted when it has row ids.
     """
     require_columns(taxonomy, S.TAXONOMY_COLUMNS)
     require_columns(master, S.MASTER_COLUMNS)
     keep = [c for c in (S.ROW_ID,) if c in taxonomy.columns]
     left = taxonomy.select(*keep, *S.TAXONOMY_COLUMNS)
     right = master.select(*S.MASTER_COLUMNS)
-    return left.join(right, S.NAME, "inner").select(*keep, *S.LABELLED_COLUMNS)
+    joined = join_hot(left, right, S.NAME) if keep else left.join(right, S.NAME, "inner")
+    return joined.select(*keep, *S.LABELLED_COLUMNS)
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:

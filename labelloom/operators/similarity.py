@@ -31,9 +31,17 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype="float64") for v in column])
 
 
-def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, lowest id first on ties."""
-    return np.lexsort((ids, -scores))[:k]
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rank from 1) of the k best scores of each row, lowest id first on ties."""
+    width = scores.shape[1]
+    k = min(k, width)
+    kth = np.partition(scores, width - k, axis=1)[:, width - k]
+    row, column = np.nonzero(scores >= kth[:, None])
+    order = np.lexsort((ids[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    keep = rank <= k
+    return row[keep], column[keep], rank[keep]
 
 
 def _spec(df: DataFrame, column: str) -> T.DataType:
@@ -109,9 +117,7 @@ def top_k_matches(
         scores = np.round(scores, DIGITS)
         if exclude_self:
             scores[lid[:, None] == rid[None, :]] = -np.inf
-        best = [_top(rid, row, k) for row in scores]
-        picks = np.concatenate(best)
-        owner = np.repeat(np.arange(len(lid)), [len(x) for x in best])
+        owner, picks, _ = _best(rid, scores, k)
         values = scores[owner, picks]
         known = np.isfinite(values)
         return pd.DataFrame({"query_id": lid[owner[known]], "base_id": rid[picks[known]], "score": values[known]})
@@ -209,16 +215,9 @@ def nearest_template(
             lengths = np.linalg.norm(left, axis=1, keepdims=True)
             sims = np.round((left / np.where(lengths > 0, lengths, 1.0)) @ right.T, DIGITS)
             rows = frame[id_col].to_numpy()
-            best = [_top(names, s, k) for s in sims]
-            take = min(k, len(names))
-            picks = np.concatenate(best)
+            owner, picks, rank = _best(names, sims, k)
             yield pd.DataFrame(
-                {
-                    id_col: np.repeat(rows, take),
-                    template_id: names[picks],
-                    "confidence": sims[np.repeat(np.arange(len(rows)), take), picks],
-                    "rank": np.tile(np.arange(1, take + 1), len(rows)),
-                }
+                {id_col: rows[owner], template_id: names[picks], "confidence": sims[owner, picks], "rank": rank}
             )
 
     return df.select(id_col, vector).mapInPandas(score, schema)

@@ -59,13 +59,17 @@ QUERIES = {
 }
 
 _COPIES = """
-SELECT source_id, i, 'synthetic_' || domain || '_' || concept || '_' || i::VARCHAR AS attribute_name,
-       'Replicated (' || (i + 1)::VARCHAR || '): ' || description AS description, domain, concept
+SELECT source_id, i, n, 'synthetic_' || domain || '_' || concept || '_' || i::VARCHAR AS attribute_name, description, domain, concept
 FROM (SELECT c.domain, c.concept, c.n, unnest(range(0, (SELECT max(n) FROM counts) - c.n)) AS i FROM counts c) w
 JOIN (SELECT row_id AS source_id, description, domain, concept,
              row_number() OVER (PARTITION BY domain, concept ORDER BY row_id) - 1 AS place FROM attributes) r
 USING (domain, concept) WHERE r.place = w.i % w.n"""
 
+_REPLICATED = "'Replicated (' || (i + 1)::VARCHAR || '): ' || description"
+
+_VARIANT = f"""CASE {h('variant', 'source_id', 'i')} % 3 WHEN 0 THEN 'Alternative ' || (i + 1)::VARCHAR || ': ' || description
+     WHEN 1 THEN 'Variant ' || (i + 1)::VARCHAR || ' of: ' || description ELSE 'Similar to: ' || description END"""
+
 _PLAN = """
 SELECT domain, concept, n, need, unnest(range(1, ceil(need / 5.0)::BIGINT + 1)) AS batch_id,
        least(CASE WHEN n <= 1 THEN 1 WHEN n <= 3 THEN 2 WHEN n <= 10 THEN 3 ELSE 6 END, n)::BIGINT AS k FROM needs15"""
@@ -112,19 +116,17 @@ SELECT domain, concept, string_agg(attribute_name, ', ' ORDER BY attribute_name)
 FROM (SELECT DISTINCT domain, concept, attribute_name FROM attributes) GROUP BY 1, 2"""
 
 ORACLES = {
-    "replicate": using("attributes", "counts") + _COPIES,
+    "replicate": using("attributes", "counts", copies=_COPIES)
+    + f"SELECT source_id, i, attribute_name, {_REPLICATED} AS description, domain, concept FROM copies",
     "augment_single": using("fine")
     + f"""SELECT source_id, i, 'synthetic_' || domain || '_' || concept || '_' || i::VARCHAR AS attribute_name,
-          CASE pick WHEN 0 THEN 'Alternative ' || (i + 1)::VARCHAR || ': ' || description
-                    WHEN 1 THEN 'Variant ' || (i + 1)::VARCHAR || ' of: ' || description
-                    ELSE 'Similar to: ' || description END AS description, domain, concept
-          FROM (SELECT *, {h('variant', 'source_id', 'i')} % 3 AS pick FROM (
-                SELECT row_id AS source_id, description, domain, concept, unnest(range(0, 3)) AS i
-                FROM (SELECT *, count(*) OVER (PARTITION BY domain, concept) AS n FROM fine) WHERE n = 1))""",
-    "dynamic_balance": using("attributes", "counts")
-    + "SELECT source_id, attribute_name, description, domain, concept, 'replicated' AS origin FROM ("
-    + _COPIES
-    + """) UNION ALL SELECT row_id, attribute_name, description, domain, concept, 'original' FROM attributes""",
+          {_VARIANT} AS description, domain, concept
+          FROM (SELECT row_id AS source_id, description, domain, concept, unnest(range(0, 3)) AS i
+                FROM (SELECT *, count(*) OVER (PARTITION BY domain, concept) AS n FROM fine) WHERE n = 1)""",
+    "dynamic_balance": using("attributes", "counts", copies=_COPIES)
+    + f"""SELECT source_id, attribute_name, CASE WHEN n = 1 THEN {_VARIANT} ELSE {_REPLICATED} END AS description,
+          domain, concept, CASE WHEN n = 1 THEN 'variation' ELSE 'replicated' END AS origin FROM copies
+          UNION ALL SELECT row_id, attribute_name, description, domain, concept, 'original' FROM attributes""",
     "balanced_training_set": using("balanced15") + "SELECT * FROM balanced15",
     "balance_summary": using("balanced15")
     + """SELECT count(*) FILTER (origin = 'original') AS original, count(*) FILTER (split = 'train') AS training,

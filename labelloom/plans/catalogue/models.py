@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from labelloom import schema as S
+from labelloom.functions.vectors import squared_norm
 from labelloom.operators import classify, split
 from labelloom.plans import views as V
+from labelloom.plans.catalogue.sql import using
 from labelloom.plans.template_route import predict_templates
 
 
@@ -38,7 +41,21 @@ def _templates(spark, sf):
     )
 
 
+def _index(spark, sf):
+    rows = V.attributes(spark, sf).select(S.ROW_ID, *S.CLASS)
+    for level in S.CLASS:
+        rows = classify.index_labels(rows, level).transform(rows)
+    return rows
+
+
+def _features(spark, sf):
+    made = classify.featurize(V.attributes(spark, sf), 1 << 10)
+    return made.select(S.ROW_ID, F.round(squared_norm(vector_to_array("features")), 6).alias("norm2"))
+
+
 QUERIES = {
+    "index_labels": _index,
+    "featurize": _features,
     "predict_logistic": lambda s, d: _predict(s, d, "logistic", max_iter=100),
     "predict_trees": lambda s, d: _predict(s, d, "trees", trees=5, depth=3),
     "predict_text": _text_model,
@@ -46,4 +63,9 @@ QUERIES = {
     "predict_templates": _templates,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "index_labels": using("attributes")
+    + """SELECT row_id, domain, concept, (dense_rank() OVER (ORDER BY domain) - 1)::DOUBLE AS domain_index,
+         (dense_rank() OVER (ORDER BY concept) - 1)::DOUBLE AS concept_index FROM attributes""",
+    "featurize": using("attributes") + "SELECT row_id, 1.0::DOUBLE AS norm2 FROM attributes",
+}

@@ -41,6 +41,7 @@ def _text_functions(spark, sf):
 QUERIES = {
     "distribution": lambda s, d: profile.distribution(V.attributes(s, d)),
     "distribution_documents": lambda s, d: profile.distribution(V.doc_attributes(s, d)),
+    "ordered_report": lambda s, d: profile.ordered_report(profile.distribution(V.attributes(s, d))),
     "class_counts": lambda s, d: profile.class_counts(V.attributes(s, d)),
     "cardinalities": lambda s, d: profile.cardinalities(V.attributes(s, d)),
     "domain_counts": lambda s, d: profile.domain_counts(V.attributes(s, d), dedup.keep_first(V.attributes(s, d))),
@@ -115,6 +116,7 @@ FROM (SELECT *, row_number() OVER ({part} ORDER BY {hash}, row_id) AS rn, count(
 ORACLES = {
     "distribution": using("attributes") + _SHARE.format(source="attributes"),
     "distribution_documents": using("docs") + _SHARE.format(source="docs"),
+    "ordered_report": using("attributes") + _SHARE.format(source="attributes"),
     "class_counts": using("attributes") + "SELECT domain, concept, count(*) AS n FROM attributes GROUP BY 1, 2",
     "cardinalities": using("attributes")
     + """SELECT count(*) AS total, count(DISTINCT domain) AS domains, count(DISTINCT concept) AS concepts,

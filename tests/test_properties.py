@@ -155,6 +155,20 @@ def test_replication_matches_the_cyclic_rule(skewed, local):
     assert {k: r["description"] for k, r in got.items()} == want
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_is_the_plain_join(spark, skewed, how):
+    from labelloom.functions.joins import join_hot
+
+    names = [("hot name", "m1"), ("hot name", "m2"), (None, "m3"), ("unused", "m4")] + [(f"name {i}", f"x{i}") for i in range(9)]
+    right = spark.createDataFrame(names, "attribute_name string, master string")
+    left = skewed.withColumn("attribute_name", F.when(F.col("row_id") % 7 != 0, F.col("attribute_name")))
+    got = join_hot(left, right, "attribute_name", how)
+    want = left.join(right, "attribute_name", how)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    salted = got._jdf.queryExecution().analyzed().toString()
+    assert "__salt" in salted
+
+
 def _vectors(n, dims, seed, copies=0):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(6, dims))
