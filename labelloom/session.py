@@ -28,13 +28,19 @@ def build_session(app: str = "labelloom", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named (tests)."""
+    """The shared checkpoint folder of the context or of ``spark.checkpoint.dir``.
+
+    Where neither is set, a cluster gets an error: a machine-local folder would lose rows. Only a
+    one-process session (``local[...]``), as in tests, makes a folder of its own.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="labelloom-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
