@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import langid, mixing, toxicity
+from labelloom.llm import decontaminate, langid, mixing, toxicity
 from labelloom.session import materialise
 
 
@@ -25,6 +25,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.decontaminate(docs.select("doc_id", "text"), items.select("item_id", "text")).drop("text")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = _remainder(4) == 2
@@ -41,10 +46,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op8_decontaminate": op8_decontaminate,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
 }
