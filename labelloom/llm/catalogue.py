@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import decontaminate, langid, mixing, toxicity
+from labelloom.llm import decontaminate, langid, mixing, topk, toxicity, warc
 from labelloom.session import materialise
 
 
@@ -25,6 +25,15 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.captures(warc.read_archives(spark, warc.write_archives(pages), payloads=False))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return decontaminate.decontaminate(docs.select("doc_id", "text"), items.select("item_id", "text")).drop("text")
@@ -46,6 +55,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_warc": op3_warc,
+    "op6_topk": op6_topk,
     "op8_decontaminate": op8_decontaminate,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
@@ -53,5 +64,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
+    "op3_warc": warc.ORACLE,
+    "op6_topk": topk.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
 }
