@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import decontaminate, langid, mixing, topk, toxicity, warc
+from labelloom.llm import decontaminate, langid, linededup, mixing, topk, toxicity, warc
 from labelloom.session import materialise
 
 
@@ -34,6 +34,11 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return decontaminate.decontaminate(docs.select("doc_id", "text"), items.select("item_id", "text")).drop("text")
@@ -57,6 +62,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
     "op6_topk": op6_topk,
+    "op7_linededup": op7_linededup,
     "op8_decontaminate": op8_decontaminate,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
@@ -66,5 +72,6 @@ ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op3_warc": warc.ORACLE,
     "op6_topk": topk.ORACLE,
+    "op7_linededup": linededup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
 }
