@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import decontaminate, langid, linededup, mixing, topk, toxicity, warc
+from labelloom.llm import decontaminate, langid, linededup, mixing, neardup, topk, toxicity, warc
 from labelloom.session import materialise
 
 
@@ -30,6 +30,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(warc.read_archives(spark, warc.write_archives(pages), payloads=False))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -61,6 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
+    "op5_neardup": op5_neardup,
     "op6_topk": op6_topk,
     "op7_linededup": op7_linededup,
     "op8_decontaminate": op8_decontaminate,
