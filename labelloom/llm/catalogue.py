@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import decontaminate, langid, linededup, mixing, neardup, topk, toxicity, warc
+from labelloom.llm import decontaminate, langid, linededup, mixing, neardup, substring, topk, toxicity, warc
 from labelloom.session import materialise
 
 
@@ -30,6 +30,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(warc.read_archives(spark, warc.write_archives(pages), payloads=False))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
@@ -65,6 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
+    "op4_substring": op4_substring,
     "op5_neardup": op5_neardup,
     "op6_topk": op6_topk,
     "op7_linededup": op7_linededup,
@@ -76,6 +82,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op3_warc": warc.ORACLE,
+    "op4_substring": substring.ORACLE,
     "op6_topk": topk.ORACLE,
     "op7_linededup": linededup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,

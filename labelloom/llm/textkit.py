@@ -139,3 +139,24 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.float64)
     np.cumsum(values, out=sums[1:])
     return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def range_count(partitions: int) -> int:
+    """A power of two, at least the number of shuffle partitions: the ranges that 64-bit keys are dealt to."""
+    return 1 << max(3, (max(1, partitions) - 1).bit_length())
+
+
+def range_cuts(sorted_keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range of sorted 64-bit keys begins, and the total."""
+    width = 64 - (ranges.bit_length() - 1)
+    edges = np.arange(ranges, dtype=np.uint64) << np.uint64(width)
+    return np.append(np.searchsorted(sorted_keys, edges), len(sorted_keys))
+
+
+def binaries(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([a.tobytes() for a in arrays], pa.binary())
+
+
+def gathered(column: pa.Array, dtype) -> list[np.ndarray]:
+    """The packed arrays of a binary column."""
+    return [np.frombuffer(x.as_buffer(), dtype) for x in column]

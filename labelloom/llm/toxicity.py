@@ -2,8 +2,8 @@
 
 Features are the distinct hash buckets of a text's lower-cased words, neighbouring pairs and pairs with
 one word between them, each with value 1 / (number of features) ** POWER. Every shard of labelled rows
-runs FTRL (a learning rate per coordinate, L1 and L2 terms); the shards' weights are averaged and the
-next round starts from there. L1 leaves few weights, which are broadcast as two short arrays.
+runs some passes of FTRL (a learning rate per coordinate, L1 and L2 terms), and the shards' weights are
+averaged. L1 leaves few weights, which are broadcast as two short arrays.
 
 The fit reads at most ``max_rows`` labelled rows, chosen by a hash of the id (a documented bound); all
 rows are scored.
@@ -16,8 +16,10 @@ labels every score is the share of ones (0 if there are none); repeated rows are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +27,12 @@ from pyspark.sql import types as T
 
 from labelloom.functions.hashing import hash_int
 from labelloom.llm.textkit import ALNUM, LOWER, counted, mix, text_slices, word_bounds, word_hashes
-from labelloom.session import materialise
 
 BITS = 20
 MAX_ROWS = 30_000
-SHARDS = 4
-ROUNDS = 10
+#: Rows of one shard; more rows make more shards.
+SHARD_ROWS = 8_000
+PASSES = 8
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 1.0, 0.0
 POWER = 0.25
 
@@ -78,7 +80,7 @@ def ftrl(examples: list[tuple[np.ndarray, int]], start: np.ndarray, bias: float,
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, *, max_rows: int, bits: int) -> DataFrame:
-    """(shard, order, y, feats) of at most ``max_rows`` labelled texts, the first in the order of a hash of the id."""
+    """(order, y, feats) of at most ``max_rows`` labelled texts, the first in the order of a hash of the id."""
     marks = (
         labels.filter("doc_id is not null and toxic is not null")
         .groupBy("doc_id")
@@ -101,44 +103,38 @@ def labelled_features(docs: DataFrame, labels: DataFrame, *, max_rows: int, bits
                     names=["order", "y", "feats"],
                 )
 
-    rows = chosen.select("text", "__order", "__y").mapInArrow(features, "order long, y int, feats array<int>")
-    return rows.withColumn("shard", (F.col("order") % SHARDS).cast("int"))
-
-
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, bits: int = BITS, rounds: int = ROUNDS) -> dict:
-    """Sparse weights of a model fitted on labelled documents: buckets, weights, bias, bits."""
-    spark, size = docs.sparkSession, 1 << bits
-    rows = materialise(labelled_features(docs, labels, max_rows=max_rows, bits=bits).repartition(SHARDS, "shard"))
-    ones = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    total = sum(ones.values())
-    share = ones.get(1, 0) / total if total else 0.0
-    if not 0 < share < 1:
-        return {"buckets": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": None, "share": share, "bits": bits}
-    weights, bias = np.zeros(size), float(np.log(share / (1 - share)))
-    for _ in range(rounds):
-        filled = np.flatnonzero(weights)
-        start = spark.sparkContext.broadcast((filled, weights[filled], bias))
-
-        def fit(pdf):
-            at, values, own_bias = start.value
-            own = np.zeros(size)
-            own[at] = values
-            pdf = pdf.sort_values("order", kind="stable")
-            w, b = ftrl(list(zip(pdf["feats"], pdf["y"])), own, own_bias, size)
-            out = np.flatnonzero(w)
-            import pandas as pd
-
-            return pd.DataFrame({"bucket": np.concatenate(([-1], out)), "w": np.concatenate(([b], w[out])), "rows": len(pdf)})
-
-        parts = rows.groupBy("shard").applyInPandas(fit, "bucket int, w double, rows long").toPandas()
-        parts["w"] *= parts["rows"] / total
-        mean = parts.groupby("bucket")["w"].sum()
-        bias = float(mean.get(-1, 0.0))
-        mean = mean[mean.index >= 0]
-        weights = np.zeros(size)
-        weights[mean.index.to_numpy()] = mean.to_numpy()
+    return chosen.select("text", "__order", "__y").mapInArrow(features, "order long, y int, feats array<int>")
+
+
+def fit_shard(pdf: pd.DataFrame, *, bits: int, passes: int) -> pd.DataFrame:
+    """(bucket, w, rows, ones) of one shard: the weights that aren't 0, and the intercept as bucket -1."""
+    pdf = pdf.sort_values("order", kind="stable")
+    share = (pdf["y"].sum() + 0.5) / (len(pdf) + 1)
+    weights, bias = np.zeros(1 << bits), float(np.log(share / (1 - share)))
+    if 0 < pdf["y"].sum() < len(pdf):
+        examples = list(zip(pdf["feats"], pdf["y"]))
+        for _ in range(passes):
+            weights, bias = ftrl(examples, weights, bias, 1 << bits)
     filled = np.flatnonzero(weights)
-    return {"buckets": filled, "weights": weights[filled], "bias": bias, "share": share, "bits": bits}
+    out = pd.DataFrame({"bucket": np.concatenate(([-1], filled)), "w": np.concatenate(([bias], weights[filled]))})
+    return out.assign(rows=len(pdf), ones=int(pdf["y"].sum()))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, bits: int = BITS, passes: int = PASSES) -> dict:
+    """Sparse weights of a model fitted on labelled documents: buckets, weights, bias, share of ones, bits."""
+    shards = max(1, -(-min(max_rows, labels.count()) // SHARD_ROWS))
+    rows = labelled_features(docs, labels, max_rows=max_rows, bits=bits).withColumn("shard", (F.col("order") % shards).cast("int"))
+    fit = partial(fit_shard, bits=bits, passes=passes)
+    parts = rows.groupBy("shard").applyInPandas(lambda pdf: fit(pdf), "bucket int, w double, rows long, ones long").toPandas()
+    heads = parts[parts["bucket"] == -1]
+    total, ones = int(heads["rows"].sum()), int(heads["ones"].sum())
+    model = {"buckets": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": None, "share": ones / total if total else 0.0, "bits": bits}
+    if 0 < ones < total:
+        mean = (parts["w"] * parts["rows"] / total).groupby(parts["bucket"]).sum()
+        model["bias"] = float(mean[-1])
+        mean = mean[mean.index >= 0]
+        model |= {"buckets": mean.index.to_numpy(np.int64), "weights": mean.to_numpy()}
+    return model
 
 
 def score(docs: DataFrame, model: dict, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
