@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import decontaminate, langid, linededup, mixing, neardup, substring, topk, toxicity, warc
+from labelloom.llm import ctw, decontaminate, langid, linededup, mixing, neardup, substring, topk, toxicity, warc
 from labelloom.session import materialise
 
 
@@ -18,6 +18,13 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = ctw.score(docs, _remainder(7) != 2)
+    columns = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+    return scored.select("doc_id", (_remainder(7) == 2).alias("held_out"), *columns)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(materialise(mixing.with_size(docs).drop("text")))
@@ -68,6 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ctw": op1_ctw,
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
     "op4_substring": op4_substring,
