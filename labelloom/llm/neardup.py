@@ -238,7 +238,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, texthash, class_id, class_size, node): one row per document."""
+    """(id, texthash, class_id, class_size, class): one row per document; class is null without shingles."""
     rows = docs.select(F.col(id_col).alias("row"), F.xxhash64(text).alias("texthash"), F.col(text).cast("string").alias("text"))
     idf = docs.sparkSession.sparkContext.broadcast(document_frequencies(rows, "text"))
     signed = materialise(signatures(rows, idf, "text"))
@@ -277,5 +277,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         "texthash",
         F.when(F.col("class").isNull(), F.col("row")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        "node",
+        "class",
     )
+
+
+def first_of_each_class(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each class, that of the smallest id (then text hash); rows without shingles all stay."""
+    shown = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n"))
+    marks = near_duplicates(docs, id_col=id_col, text=text, threshold=threshold).withColumn("__k", shown)
+    heads = marks.filter("class is not null").groupBy("class").agg(F.min(F.struct(id_col, "texthash", "__k")).alias("m"))
+    alone = marks.filter("class is null").select("__k", F.col("texthash").alias("__th"), F.lit(False).alias("__one"))
+    kept = heads.select(F.col("m.__k").alias("__k"), F.col("m.texthash").alias("__th"), F.lit(True).alias("__one")).union(alone.distinct())
+    rows = docs.withColumns({"__k": shown, "__th": F.xxhash64(text)}).join(materialise(kept), ["__k", "__th"])
+    nth = F.row_number().over(Window.partitionBy("__k", "__th").orderBy(F.lit(1)))
+    return rows.withColumn("__n", F.when(F.col("__one"), nth).otherwise(1)).filter("__n = 1").select(*docs.columns)
