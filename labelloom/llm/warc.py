@@ -112,17 +112,17 @@ def inflated(content: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    rest, view = b"", memoryview(content)
-    at, member = 0, zlib.decompressobj(31)
-    while at < len(view) or rest:
-        data, rest = (rest, b"") if rest else (bytes(view[at : at + piece]), b"")
-        if data is not rest and at < len(view) and not member.unused_data:
+    view, at, data, member = memoryview(content), 0, b"", zlib.decompressobj(31)
+    while data or at < len(view):
+        if not data:
+            data = bytes(view[at : at + piece])
             at += len(data)
         out = member.decompress(data)
+        data = b""
         if out:
             yield out
         if member.eof:
-            rest, member = member.unused_data, zlib.decompressobj(31)
+            data, member = member.unused_data, zlib.decompressobj(31)
 
 
 def parsed(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
