@@ -6,6 +6,8 @@ evaluation of the plan sees the same values, whatever the partitioning.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ def hash_int(seed: int, salt: str, *keys: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
 
 
+def hash_constant(seed: int, salt: str) -> int:
+    """A whole number below 2**104 that depends on seed and salt alone."""
+    digest = hashlib.md5(f"{seed}|{salt}".encode()).hexdigest()
+    return int(digest[:26], 16)
+
+
 def uniform(seed: int, salt: str, *keys: Column | str) -> Column:
     """Uniform double in [0, 1); exact, because 52 bits fit a double."""
     return hash_int(seed, salt, *keys).cast("double") / F.lit(float(HASH_SPAN))

@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 from labelloom.functions.hashing import HASH_BITS, hash_int
 from labelloom.session import materialise
 
-MAX_BUCKETS = 2048  # h * MAX_BUCKETS still fits a bigint
+MAX_BUCKETS = 1 << 24  # bits of a hash that tell buckets apart
+MAX_QUANTILES = 2048  # bounds that a row is compared with in two steps
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -27,16 +28,29 @@ def bucket_count(df: DataFrame) -> int:
 
 
 def _hash_bucket(h: Column, buckets: int) -> Column:
-    return F.shiftright(h * F.lit(buckets).cast("bigint"), HASH_BITS).cast("int")
+    return F.shiftright(F.shiftright(h, HASH_BITS - 32) * F.lit(buckets).cast("bigint"), 32).cast("int")
 
 
-def _span_bucket(df: DataFrame, column: str, buckets: int) -> Column:
-    """Monotone bucket of a numeric column over its own range (range read by a scalar subquery)."""
-    bounds = df.agg(
-        F.struct(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).alias("b")
-    ).scalar()
-    share = (F.col(column).cast("double") - bounds["lo"]) / (bounds["hi"] - bounds["lo"] + F.lit(1.0))
-    return F.least(F.floor(share * F.lit(float(buckets))), F.lit(buckets - 1)).cast("int")
+def _quantile_bucket(df: DataFrame, column: str, buckets: int) -> Column:
+    """Monotone bucket of a numeric column: the number of its approximate quantiles below the value.
+
+    Quantiles follow the rows, so that outlying values and gaps don't leave the rest in one bucket. They
+    are read first (at most MAX_QUANTILES numbers) and searched in two steps.
+    """
+    buckets = min(buckets, MAX_QUANTILES)
+    if buckets < 2:
+        return F.lit(0)
+    value = F.col(column).cast("double")
+    shares = [k / buckets for k in range(1, buckets)]
+    bounds = sorted(set(df.agg(F.percentile_approx(value, shares, 20 * MAX_QUANTILES)).first()[0] or []))
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    every = F.array(*[F.lit(x) for x in bounds])
+    some = F.array(*[F.lit(x) for x in bounds[step - 1 :: step]])
+    below = F.size(F.filter(some, lambda x: x < value)) * step
+    inside = F.size(F.filter(F.slice(every, below + 1, F.lit(step)), lambda x: x < value))
+    return F.coalesce(below + inside, F.lit(0)).cast("int")
 
 
 def _bucketed_rank(
@@ -94,9 +108,9 @@ def order_rank(
     """Zero-based position of each row in its group, ordered by a unique numeric column.
 
     With no keys this is a global row index. ``bounds_from`` names a cheaper frame (a bare scan) that
-    covers the range of the order column.
+    has the same distribution of the order column.
     """
-    bucket = _span_bucket(df if bounds_from is None else bounds_from, order_col, bucket_count(df))
+    bucket = _quantile_bucket(df if bounds_from is None else bounds_from, order_col, bucket_count(df))
     return _bucketed_rank(df, keys, bucket, [F.col(order_col)], out, size_out)
 
 

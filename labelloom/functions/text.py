@@ -16,17 +16,17 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def class_label(domain: str = S.DOMAIN, concept: str = S.CONCEPT, separator: str = "_") -> Column:
+def class_label(domain: str = S.DOMAIN, topic: str = S.TOPIC, separator: str = "_") -> Column:
     """Display form of a class; null when either part is null."""
-    return F.concat(F.col(domain), F.lit(separator), F.col(concept))
+    return F.concat(F.col(domain), F.lit(separator), F.col(topic))
 
 
 def split_label(label: str, separator: str = "_") -> tuple[Column, Column]:
-    """(domain, concept) of an imported label, cut at the first separator only."""
+    """(domain, topic) of an imported label, cut at the first separator only."""
     at = F.instr(F.col(label), separator)
     domain = F.when(at > 0, F.substring(F.col(label), F.lit(1), at - 1)).otherwise(F.col(label))
-    concept = F.when(at > 0, F.substring(F.col(label), at + len(separator), F.length(label)))
-    return domain, concept
+    topic = F.when(at > 0, F.substring(F.col(label), at + len(separator), F.length(label)))
+    return domain, topic
 
 
 def attribute_text(name: str = S.NAME, description: str = S.DESCRIPTION) -> Column:
@@ -44,9 +44,9 @@ def effective_text(df: DataFrame) -> Column:
     return F.col(S.DESCRIPTION)
 
 
-def render_template(domain: Column, concept: Column, definition: Column, template: str = S.TEMPLATE_TEXT) -> Column:
-    """Fill ``{domain}``, ``{concept}`` and ``{definition}`` of a template text."""
-    values = {"domain": domain, "concept": concept, "definition": definition}
+def render_template(domain: Column, topic: Column, definition: Column, template: str = S.TEMPLATE_TEXT) -> Column:
+    """Fill ``{domain}``, ``{topic}`` and ``{definition}`` of a template text."""
+    values = {"domain": domain, "topic": topic, "definition": definition}
     pieces, rest = [], template
     while rest:
         spots = {k: rest.find("{" + k + "}") for k in values}

@@ -43,7 +43,7 @@ def short_classes(df: DataFrame, target: int | None = None) -> DataFrame:
 
 def _synthetic_name(i: Column) -> Column:
     return F.concat(
-        F.lit("synthetic_"), F.col(S.DOMAIN), F.lit("_"), F.col(S.CONCEPT), F.lit("_"), i.cast("string")
+        F.lit("synthetic_"), F.col(S.DOMAIN), F.lit("_"), F.col(S.TOPIC), F.lit("_"), i.cast("string")
     )
 
 

@@ -17,12 +17,11 @@ from labelloom.operators.evaluate import classification_report
 from labelloom.operators.prepare import known_pairs_only
 from labelloom.sources.readers import require_columns
 
-LEVELS = (S.DOMAIN, S.CONCEPT)
-MANY_CLASSES = 20  # beyond it, one boosted ensemble per class costs more than one forest
+LEVELS = (S.DOMAIN, S.TOPIC)
 
 
 def index_labels(df: DataFrame, level: str):
-    """Sorted label values to numbers (fitted indexer)."""
+    """Sorted label values to numbers (fitted indexer). It keeps unseen values of rows to be scored as one number more."""
     return StringIndexer(inputCol=level, outputCol=f"{level}_index", stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
 
 
@@ -51,21 +50,21 @@ def featurize(df: DataFrame, n_features: int = 1 << 12, vector: str | None = Non
     return Pipeline(stages=text_features(n_features)).fit(prepared).transform(prepared).drop("__text", "__words", "__tf", "__idf")
 
 
-def _head(level: str, kind: str, classes: int, max_iter: int, trees: int, depth: int, seed: int):
+def _head(level: str, kind: str, max_iter: int, trees: int, depth: int, seed: int, parallelism: int):
     columns = {"featuresCol": "features", "labelCol": f"{level}_index", "predictionCol": f"__{level}"}
     if kind == "logistic":
         return LogisticRegression(
             family="multinomial", maxIter=max_iter, rawPredictionCol=f"__{level}_raw", probabilityCol=f"__{level}_prob", **columns
         )
+    if kind == "forest":
+        return RandomForestClassifier(
+            numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, rawPredictionCol=f"__{level}_raw", probabilityCol=f"__{level}_prob", **columns
+        )
     if kind == "trees":
-        if classes > MANY_CLASSES:
-            return RandomForestClassifier(
-                numTrees=trees, maxDepth=depth, seed=seed, rawPredictionCol=f"__{level}_raw", probabilityCol=f"__{level}_prob", **columns
-            )
         outputs = {"rawPredictionCol": f"__{level}_raw"}
-        booster = GBTClassifier(maxIter=trees, stepSize=0.1, maxDepth=depth, seed=seed)
+        booster = GBTClassifier(maxIter=trees, stepSize=0.1, maxDepth=depth, seed=seed, cacheNodeIds=True)
         booster.setRawPredictionCol(f"__{level}_raw").setProbabilityCol(f"__{level}_prob")
-        return OneVsRest(classifier=booster, **outputs, **columns)
+        return OneVsRest(classifier=booster, parallelism=parallelism, **outputs, **columns)
     raise ValueError(f"unknown head: {kind}")
 
 
@@ -80,9 +79,13 @@ def train(
     depth: int = 6,
     n_features: int = 1 << 12,
     seed: int = S.SEED,
+    parallelism: int = 8,
 ) -> PipelineModel:
     """One pipeline: encoder, then an independent head per label level.
 
+    Heads: ``logistic``; ``trees``, boosted trees, one ensemble per class, ``parallelism`` of them at a time;
+    ``forest``, one random forest for all classes. The head is always the one asked for.
+
     The driver holds coefficients only; gradients and tree statistics are summed on executors.
     """
     require_columns(df, [*levels, *([] if vector else [S.DESCRIPTION])])
@@ -93,8 +96,8 @@ def train(
             indexer = index_labels(rows, level)
             stages += [
                 indexer,
-                _head(level, head, len(indexer.labels), max_iter, trees, depth, seed),
-                IndexToString(inputCol=f"__{level}", outputCol=f"predicted_{level}", labels=[*indexer.labels, "__unknown"]),
+                _head(level, head, max_iter, trees, depth, seed, parallelism),
+                IndexToString(inputCol=f"__{level}", outputCol=f"predicted_{level}", labels=indexer.labels),
             ]
         return Pipeline(stages=stages).fit(rows)
     finally:
@@ -108,7 +111,7 @@ def predict(
     vector: str | None = None,
     observed: DataFrame | None = None,
 ) -> DataFrame:
-    """Input columns plus ``predicted_domain`` and ``predicted_concept``.
+    """Input columns plus ``predicted_domain`` and ``predicted_topic``.
 
     With ``observed`` (the training table), only predicted pairs that occur there are kept.
     """
@@ -118,26 +121,23 @@ def predict(
 
 
 def save_model(model: PipelineModel, path: str, config: dict[str, object] | None = None, spark: SparkSession | None = None) -> str:
+    """Pipeline and config, the two parts that ``load_model`` needs."""
     model.write().overwrite().save(f"{path}/pipeline")
-    if config is not None:
-        session = spark or SparkSession.active()
-        session.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.mode(
-            "overwrite"
-        ).text(f"{path}/config")
+    session = spark or SparkSession.active()
+    line = session.createDataFrame([(json.dumps(config or {}, sort_keys=True),)], "value string")
+    line.coalesce(1).write.mode("overwrite").text(f"{path}/config")
     return path
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict[str, object]]:
     """(pipeline, config); an error names the part that is missing."""
-    try:
-        model = PipelineModel.load(f"{path}/pipeline")
-    except Exception as error:
-        raise FileNotFoundError(f"no saved pipeline under {path}") from error
-    try:
-        line = spark.read.text(f"{path}/config").first()
-    except Exception:  # noqa: BLE001 - a model may be saved without a config
-        line = None
-    return model, json.loads(line["value"]) if line else {}
+    parts = {}
+    for name, load in (("pipeline", PipelineModel.load), ("config", lambda p: spark.read.text(p).first())):
+        try:
+            parts[name] = load(f"{path}/{name}")
+        except Exception as error:
+            raise FileNotFoundError(f"no saved {name} under {path}") from error
+    return parts["pipeline"], json.loads(parts["config"]["value"])
 
 
 def evaluate(model: PipelineModel, df: DataFrame, *, vector: str | None = None) -> DataFrame:

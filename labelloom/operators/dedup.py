@@ -16,7 +16,7 @@ def _name_class_counts(df: DataFrame) -> DataFrame:
 def duplicate_stats(df: DataFrame) -> DataFrame:
     """One row: total rows, rows in exact duplicate groups, rows removed, rows of ambiguous names.
 
-    Everything is derived from one combinable count per (name, domain, concept), so a name held by a
+    Everything is derived from one combinable count per (name, domain, topic), so a name held by a
     third of all rows costs one partial count per task. A class with a null member is a class of its
     own; a null name is never ambiguous.
     """
@@ -37,7 +37,7 @@ def duplicate_stats(df: DataFrame) -> DataFrame:
 
 
 def partial_duplicates(df: DataFrame) -> DataFrame:
-    """Names that occur with more than one (domain, concept): variants and rows."""
+    """Names that occur with more than one (domain, topic): variants and rows."""
     return (
         _name_class_counts(df.filter(F.col(S.NAME).isNotNull()))
         .groupBy(S.NAME)
@@ -47,7 +47,7 @@ def partial_duplicates(df: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, order_by: str = S.ROW_ID) -> DataFrame:
-    """First row of each (name, domain, concept). Null members are equal.
+    """First row of each (name, domain, topic). Null members are equal.
 
     The rank bound of 1 is applied on the map side too, so copies of a hot key shrink to one row per
     map task before the shuffle.

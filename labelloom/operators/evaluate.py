@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelloom import schema as S
 
-LEVELS = (S.DOMAIN, S.CONCEPT)
+LEVELS = (S.DOMAIN, S.TOPIC)
 
 
 def _levels(df: DataFrame) -> DataFrame:

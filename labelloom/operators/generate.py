@@ -21,7 +21,7 @@ from labelloom.operators.profile import class_need, with_class
 from labelloom.session import materialise
 
 IDENTITY = [S.NAME, S.DESCRIPTION]
-NAME_IN_CLASS = [S.DOMAIN, S.CONCEPT, S.NAME]
+NAME_IN_CLASS = [S.DOMAIN, S.TOPIC, S.NAME]
 
 
 def context_size(n: Column, fixed: int | None = None) -> Column:
@@ -83,7 +83,7 @@ def build_prompts(
 ) -> DataFrame:
     """One prompt per planned batch.
 
-    A batch shows at most six examples. ``used`` (domain, concept, attribute_name) lists names to avoid;
+    A batch shows at most six examples. ``used`` (domain, topic, attribute_name) lists names to avoid;
     only classes below the cap are planned, so such a list is shorter than the cap.
     """
     plan = materialise(plan)
@@ -118,7 +118,7 @@ def build_prompts(
     avoid = F.when(F.col("__names").isNotNull(), F.concat(F.lit("\nNames already in use: "), F.col("__names"))).otherwise("")
     size = F.col("batch_size").cast("string")
     prompt = F.concat(
-        F.lit("Write "), size, F.lit(" new attributes of the class "), F.col(S.DOMAIN), F.lit(" / "), F.col(S.CONCEPT),
+        F.lit("Write "), size, F.lit(" new attributes of the class "), F.col(S.DOMAIN), F.lit(" / "), F.col(S.TOPIC),
         F.lit("."), defined, avoid, F.lit("\n"), F.col("__context"),
         F.lit("\nUse snake_case names, clear descriptions, and repeat none of the names above.\nAnswer with "), size,
         F.lit(' lines of JSON only: {"attribute_name": "...", "description": "..."}'),

@@ -9,12 +9,13 @@ resolved by an equi-join on the position.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom import schema as S
-from labelloom.functions.hashing import hash_int, hash_mod
+from labelloom.functions.hashing import hash_constant, hash_int, hash_mod
 from labelloom.functions.ranking import bucket_count, hash_rank, hex_bucket, order_rank, running_total, sample_n
 from labelloom.functions.text import effective_text
 from labelloom.functions.vectors import dot
@@ -32,10 +33,10 @@ def _whole_div(a: Column, b: Column) -> Column:
 def pair_classes(df: DataFrame) -> DataFrame:
     """Class table: rows before each class and after its domain, and later rows to pair with.
 
-    Classes are ordered by the md5 of domain and concept, which keeps the classes of a domain together
+    Classes are ordered by the md5 of domain and topic, which keeps the classes of a domain together
     and gives the running sums even buckets.
     """
-    counts = materialise(class_counts(df)).withColumns({"__d": F.md5(S.DOMAIN), "__c": F.md5(S.CONCEPT)})
+    counts = materialise(class_counts(df)).withColumns({"__d": F.md5(S.DOMAIN), "__c": F.md5(S.TOPIC)})
     domains = counts.groupBy(S.DOMAIN, "__d").agg(F.sum("n").alias("__size"))
     placed = running_total(domains, [], hex_bucket("__d"), ["__d"], "__size", out="__first").select(
         S.DOMAIN, "__first", (F.col("__first") + F.col("__size")).alias("domain_end")
@@ -54,16 +55,16 @@ def pair_classes(df: DataFrame) -> DataFrame:
 
 
 def _with_other(classes: DataFrame) -> DataFrame:
-    """Adds ``later_other`` and ``skips``: where the concept recurs in later domains.
+    """Adds ``later_other`` and ``skips``: where the topic recurs in later domains.
 
-    The list holds one entry per domain with that concept, so it is as short as the domain list.
+    The list holds one entry per domain with that topic, so it is as short as the domain list.
     """
-    spots = classes.groupBy(S.CONCEPT).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("__spots"))
+    spots = classes.groupBy(S.TOPIC).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("__spots"))
     later = F.filter("__spots", lambda e: e["start"] >= F.col("domain_end"))
     skipped = F.aggregate("skips", F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"])
     total = classes.agg(F.sum("n")).scalar()
     return (
-        classes.join(spots, S.CONCEPT)
+        classes.join(spots, S.TOPIC)
         .withColumn("skips", later)
         .withColumn("later_other", total - F.col("domain_end") - skipped)
         .drop("__spots")
@@ -82,7 +83,7 @@ class PairSpace:
 
 
 def pair_space(df: DataFrame, id_col: str = S.ROW_ID) -> PairSpace:
-    """Rows: (id, domain, concept, place in class, position in class order)."""
+    """Rows: (id, domain, topic, place in class, position in class order)."""
     classes = materialise(pair_classes(df))
     placed = order_rank(with_class(df).select(id_col, *S.CLASS), S.CLASS, id_col, out="place", bounds_from=df)
     starts = classes.select(*S.CLASS, "start")
@@ -118,6 +119,33 @@ def _positive_total(classes: DataFrame) -> DataFrame:
     )
 
 
+def drawn_positive_pairs(
+    df: DataFrame | PairSpace, n_pairs: int, *, seed: int = S.SEED, id_col: str = S.ROW_ID
+) -> DataFrame:
+    """Exactly ``n_pairs`` different pairs of one class (fewer only if fewer exist), label 1.0.
+
+    Evenly over all positive pairs of the table, by the same place arithmetic as the negatives: the work
+    follows the rows and ``n_pairs``, not the number of pairs.
+    """
+    space = df if isinstance(df, PairSpace) else pair_space(df, id_col)
+    n = F.col("n").cast(WIDE)
+    weighted = space.classes.withColumn("__w", _whole_div(n * (n - 1), F.lit(2).cast(WIDE)))
+    table = materialise(running_total(weighted, [], _class_bucket(), ["start"], "__w", out="__before"))
+    everything = table.agg(F.sum("__w").cast(WIDE)).scalar()
+    place = F.col("place").cast(WIDE)
+    anchors = space.rows.join(table.select(*S.CLASS, "n", "__before"), S.CLASS).withColumn("later", F.col("n") - 1 - F.col("place"))
+    base = F.col("__before") + place * (n - 1) - _whole_div(place * (place - 1), F.lit(2).cast(WIDE))
+    drawn = _draws(anchors, "later", base, F.lit(n_pairs), everything, seed, "positive_pairs", id_col)
+    left = drawn.select(F.col(id_col).alias("id1"), *S.CLASS, (F.col("pos") + 1 + F.col("offset")).alias("pos"))
+    right = space.rows.select("pos", F.col(id_col).alias("id2"))
+    return left.join(right, "pos").select("id1", "id2", *S.CLASS, F.lit(1.0).alias("label"))
+
+
+def _class_bucket() -> Column:
+    """Monotone bucket of a class along the position order."""
+    return F.floor(F.col("start").cast("double") / (F.col("later_all") + F.col("start") + F.col("n")) * 4096)
+
+
 def positive_pairs(df: DataFrame, id_col: str = S.ROW_ID) -> DataFrame:
     """Every unordered pair of one class, once, label 1.0.
 
@@ -144,12 +172,15 @@ def _draws(anchors: DataFrame, partners: str, base: Column, n_pairs: Column, tot
     """Spread exactly ``min(n_pairs, total)`` draws evenly over the pair ranges of the anchors.
 
     ``base`` is the number of pairs of all earlier anchors. An anchor with m partners gets
-    floor(N(base+m)/M) - floor(N base/M) draws, which sums to N; draw t falls into the t-th of its
-    equal strata, so no partner repeats. Adds ``slot`` and ``offset`` (the drawn partner's number).
+    floor((N(base+m) + u)/M) - floor((N base + u)/M) draws, which sums to N; u is drawn from [0, M) by the
+    seed, so every pair is equally likely over the seeds. Draw t falls into the t-th of its equal strata,
+    so no partner repeats. Adds ``slot`` and ``offset`` (the drawn partner's number).
     """
+    total = total.cast(WIDE)
+    start = (F.lit(Decimal(hash_constant(seed, salt))).cast(WIDE) % total).cast(WIDE)
     wide = anchors.withColumn("__m", F.col(partners).cast(WIDE)).withColumn("__base", base.cast(WIDE))
-    limit = F.least(n_pairs.cast(WIDE), total.cast(WIDE))
-    share = lambda upto: _whole_div(upto * limit, total.cast(WIDE))
+    limit = F.least(n_pairs.cast(WIDE), total)
+    share = lambda upto: _whole_div(upto * limit + start, total)
     m = F.col(partners)
     return (
         _spread(wide.filter(m > 0), id_col)
@@ -174,8 +205,8 @@ def negative_pairs(
 ) -> DataFrame:
     """Exactly ``n_pairs`` different negative pairs, label 0.0 (default: as many as positive pairs).
 
-    ``all``: domain or concept differs. ``same``: same domain, other concept. ``other``: other domain
-    and other concept. ``share`` scales the number (rounded down). Fewer come back only when fewer
+    ``all``: domain or topic differs. ``same``: same domain, other topic. ``other``: other domain
+    and other topic. ``share`` scales the number (rounded down). Fewer come back only when fewer
     exist. Every row costs the same arithmetic, whatever the size of its class.
     """
     column = {"all": "later_all", "same": "later_same", "other": "later_other"}[strategy]
@@ -186,8 +217,7 @@ def negative_pairs(
         classes = _with_other(classes)
     # pairs that start in a class; positions are in class order, so the start orders the classes
     weighted = classes.withColumn("__w", (F.col("n").cast(WIDE) * m).cast(WIDE))
-    bucket = F.floor(F.col("start").cast("double") / (F.col("later_all") + F.col("start") + F.col("n")) * 4096)
-    table = materialise(running_total(weighted, [], bucket, ["start"], "__w", out="__before"))
+    table = materialise(running_total(weighted, [], _class_bucket(), ["start"], "__w", out="__before"))
     everything = table.agg(F.sum("__w").cast(WIDE)).scalar()
     if n_pairs is None:
         wanted = _positive_total(classes).scalar()
@@ -200,38 +230,38 @@ def negative_pairs(
     drawn = _draws(anchors, column, base, scaled, everything, seed, "negative_" + strategy, id_col)
     if strategy == "other":
         start = F.col("domain_end") + F.col("offset")
-        # step over the runs of the anchor's own concept in later domains
+        # step over the runs of the anchor's own topic in later domains
         partner = F.aggregate("skips", start, lambda p, e: F.when(p >= e["start"], p + e["n"]).otherwise(p))
     else:
         partner = F.col("start") + F.col("n") + F.col("offset")
     left = drawn.select(
-        F.col(id_col).alias("id1"), F.col(S.DOMAIN).alias("domain1"), F.col(S.CONCEPT).alias("concept1"), partner.alias("pos")
+        F.col(id_col).alias("id1"), F.col(S.DOMAIN).alias("domain1"), F.col(S.TOPIC).alias("topic1"), partner.alias("pos")
     )
     right = rows.select(
-        "pos", F.col(id_col).alias("id2"), F.col(S.DOMAIN).alias("domain2"), F.col(S.CONCEPT).alias("concept2")
+        "pos", F.col(id_col).alias("id2"), F.col(S.DOMAIN).alias("domain2"), F.col(S.TOPIC).alias("topic2")
     )
     return left.join(right, "pos").select(
-        "id1", "id2", "domain1", "concept1", "domain2", "concept2", F.lit(0.0).alias("label")
+        "id1", "id2", "domain1", "topic1", "domain2", "topic2", F.lit(0.0).alias("label")
     )
 
 
 def hard_negative_pairs(
     df: DataFrame, ratio: float = S.HARD_NEGATIVE_RATIO, *, seed: int = S.SEED, id_col: str = S.ROW_ID
 ) -> DataFrame:
-    """For each two concepts of a domain, floor(ratio * smaller size) pairs across them.
+    """For each two topics of a domain, floor(ratio * smaller size) pairs across them.
 
     Rows get a seeded rank in their class and meet on (domain, rank); a key holds at most one row per
-    concept.
+    topic.
     """
     ranked = hash_rank(
         with_class(df).select(id_col, *S.CLASS), S.CLASS, seed=seed, salt="hard", id_col=id_col, out="rank", size_out="n"
     ).filter(F.col("rank") < F.floor(F.col("n") * F.lit(ratio)))
-    a = ranked.select(S.DOMAIN, "rank", F.col(id_col).alias("id1"), F.col(S.CONCEPT).alias("concept1"), F.col("n").alias("n1"))
-    b = ranked.select(S.DOMAIN, "rank", F.col(id_col).alias("id2"), F.col(S.CONCEPT).alias("concept2"), F.col("n").alias("n2"))
+    a = ranked.select(S.DOMAIN, "rank", F.col(id_col).alias("id1"), F.col(S.TOPIC).alias("topic1"), F.col("n").alias("n1"))
+    b = ranked.select(S.DOMAIN, "rank", F.col(id_col).alias("id2"), F.col(S.TOPIC).alias("topic2"), F.col("n").alias("n2"))
     return (
         a.join(b, [S.DOMAIN, "rank"])
-        .filter(F.col("concept1") < F.col("concept2"))
-        .select("id1", "id2", S.DOMAIN, "concept1", "concept2", F.lit(0.0).alias("label"))
+        .filter(F.col("topic1") < F.col("topic2"))
+        .select("id1", "id2", S.DOMAIN, "topic1", "topic2", F.lit(0.0).alias("label"))
     )
 
 
@@ -244,7 +274,7 @@ def domain_mix_negatives(
     seed: int = S.SEED,
     id_col: str = S.ROW_ID,
 ) -> DataFrame:
-    """Negatives with another concept: 70 % within the domain, 30 % across domains (of the positives)."""
+    """Negatives with another topic: 70 % within the domain, 30 % across domains (of the positives)."""
     space = pair_space(df, id_col)
     same = negative_pairs(space, n_pairs, strategy="same", share=same_share, seed=seed, id_col=id_col)
     other = negative_pairs(space, n_pairs, strategy="other", share=other_share, seed=seed, id_col=id_col)
@@ -252,18 +282,18 @@ def domain_mix_negatives(
 
 
 def mix_similar_negatives(
-    concept_pairs: DataFrame, text_pairs: DataFrame, total: Column | int, *, seed: int = S.SEED
+    topic_pairs: DataFrame, text_pairs: DataFrame, total: Column | int, *, seed: int = S.SEED
 ) -> DataFrame:
-    """Up to total // 2 pairs of similar concepts, then pairs of similar texts up to the total."""
+    """Up to total // 2 pairs of similar topics, then pairs of similar texts up to the total."""
     limit = F.lit(total).cast("bigint") if isinstance(total, int) else total.cast("bigint")
     keyed = lambda d: d.select("id1", "id2", F.concat_ws("|", "id1", "id2").alias("__pair"))
-    concept_pairs, text_pairs = materialise(keyed(concept_pairs)), materialise(keyed(text_pairs))
+    topic_pairs, text_pairs = materialise(keyed(topic_pairs)), materialise(keyed(text_pairs))
     half = F.floor(limit / 2)
-    by_concept = sample_n(concept_pairs, half, id_col="__pair", seed=seed, salt="mix_concept")
-    taken = F.least(half, concept_pairs.agg(F.count(F.lit(1))).scalar())
+    by_topic = sample_n(topic_pairs, half, id_col="__pair", seed=seed, salt="mix_topic")
+    taken = F.least(half, topic_pairs.agg(F.count(F.lit(1))).scalar())
     by_text = sample_n(text_pairs, limit - taken, id_col="__pair", seed=seed, salt="mix_text")
     tag = lambda d, kind: d.select("id1", "id2", F.lit(kind).alias("kind"), F.lit(0.0).alias("label"))
-    return tag(by_concept, "concept").unionByName(tag(by_text, "text"))
+    return tag(by_topic, "topic").unionByName(tag(by_text, "text"))
 
 
 def with_texts(pairs: DataFrame, df: DataFrame, id_col: str = S.ROW_ID) -> DataFrame:
@@ -311,7 +341,7 @@ def contrastive_slots(
     seed: int = S.SEED,
     id_col: str = S.ROW_ID,
 ) -> DataFrame:
-    """Long form of the tuples: (tuple_id, role, slot, id, domain, concept of the anchor).
+    """Long form of the tuples: (tuple_id, role, slot, id, domain, topic of the anchor).
 
     Per tuple: a label uniform over labels, an anchor uniform in the label, positives with another
     text than the anchor (different rows while enough exist, else repeated), negatives from uniform
@@ -398,7 +428,7 @@ def tuple_losses(
 ) -> DataFrame:
     """InfoNCE loss per tuple: mean over its positives (and its template) of -log softmax.
 
-    ``vectors`` (id, unit vector); ``template_vectors`` (domain, concept, vector) adds the template as
+    ``vectors`` (id, unit vector); ``template_vectors`` (domain, topic, vector) adds the template as
     one more positive.
     """
     anchors = slots.filter("role = 'anchor'").select("tuple_id", F.col("id").alias(id_col)).join(
@@ -439,24 +469,28 @@ def info_nce(slots: DataFrame, vectors: DataFrame, template_vectors: DataFrame |
 # --- pair agreement ----------------------------------------------------------------------------
 
 
-def average_rank(df: DataFrame, value: str, low: float, high: float, out: str) -> DataFrame:
-    """Tie-averaged rank of a value within known limits: counts per value, prefix-summed by bucket."""
-    buckets = bucket_count(df)
+def average_rank(counts: DataFrame, value: str, low: float, high: float, out: str, weight: str = "n") -> DataFrame:
+    """(value, ``out``): tie-averaged rank of each value of a count table, prefix-summed by bucket; limits are known."""
+    buckets = bucket_count(counts)
     share = (F.col(value) - F.lit(low)) / F.lit(high - low)
     bucket = F.least(F.greatest(F.floor(share * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__c")).withColumn("__spot", bucket)
-    ranks = running_total(counts, [], F.col("__spot"), [value], "__c", out="__before").select(
-        value, (F.col("__before") + (F.col("__c") + 1) / 2.0).alias(out)
-    )
-    return df.join(ranks, value)
+    sums = counts.groupBy(value).agg(F.sum(weight).alias("__c")).withColumn("__spot", bucket)
+    ranked = running_total(sums, [], F.col("__spot"), [value], "__c", out="__before")
+    return ranked.select(value, (F.col("__before") + (F.col("__c") + 1) / 2.0).alias(out))
 
 
 def pair_score(pairs: DataFrame, vectors: DataFrame, *, id_col: str = S.ROW_ID, vector: str = "vector") -> DataFrame:
-    """Spearman agreement of pair cosine with the 0/1 label (one row)."""
+    """Spearman agreement of pair cosine with the 0/1 label (one row).
+
+    Pairs are reduced to counts of (cosine, label) once; ranks and the correlation are weighted sums of
+    these counts.
+    """
     a = vectors.select(F.col(id_col).alias("id1"), F.col(vector).alias("__a"))
     b = vectors.select(F.col(id_col).alias("id2"), F.col(vector).alias("__b"))
-    scored = materialise(
-        pairs.join(a, "id1").join(b, "id2").select(F.round(dot("__a", "__b"), 9).alias("sim"), "label")
-    )
-    ranked = average_rank(average_rank(scored, "sim", -1.0, 1.0, "r_sim"), "label", 0.0, 1.0, "r_label")
-    return ranked.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.corr("r_sim", "r_label"), 6).alias("spearman"))
+    scored = pairs.join(a, "id1").join(b, "id2").select(F.round(dot("__a", "__b"), 9).alias("sim"), "label")
+    counts = materialise(scored.groupBy("sim", "label").agg(F.count(F.lit(1)).alias("n")))
+    ranked = counts.join(average_rank(counts, "sim", -1.0, 1.0, "x"), "sim").join(average_rank(counts, "label", 0.0, 1.0, "y"), "label")
+    middle = (counts.agg(F.sum("n").cast("double")).scalar() + 1.0) / 2.0
+    x, y, n = F.col("x") - middle, F.col("y") - middle, F.col("n")
+    sums = ranked.agg(F.sum("n").alias("pairs"), F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
+    return sums.select("pairs", F.round(F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")), 6).alias("spearman"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom import schema as S
@@ -66,22 +66,22 @@ def mask_labels(
     shares: tuple[float, float, float] = S.MASK_SHARES,
     *,
     seed: int = S.SEED,
-    id_col: str = S.ROW_ID,
+    id_col: Column | str = S.ROW_ID,
 ) -> DataFrame:
-    """Blank the domain, the concept or both of each row; rows beyond the shares stay intact.
+    """Blank the domain, the topic or both of each row; rows beyond the shares stay intact.
 
     Adds ``mask`` with the kind of blanking.
     """
     u = uniform(seed, "mask", id_col)
     d, c, b = shares
     mask = (
-        F.when(u < d, "domain").when(u < d + c, "concept").when(u < d + c + b, "both").otherwise("none")
+        F.when(u < d, "domain").when(u < d + c, "topic").when(u < d + c + b, "both").otherwise("none")
     )
     rows = df.withColumn("mask", mask)
     return rows.withColumn(
         S.DOMAIN, F.when(F.col("mask").isin("domain", "both"), F.lit("")).otherwise(F.col(S.DOMAIN))
     ).withColumn(
-        S.CONCEPT, F.when(F.col("mask").isin("concept", "both"), F.lit("")).otherwise(F.col(S.CONCEPT))
+        S.TOPIC, F.when(F.col("mask").isin("topic", "both"), F.lit("")).otherwise(F.col(S.TOPIC))
     )
 
 
@@ -99,22 +99,29 @@ def assign_batches(df: DataFrame, size: int, order_by: str = S.ROW_ID) -> DataFr
 
 
 def template_texts(templates: DataFrame) -> DataFrame:
-    """Template rows with their rendered text; full-row duplicates removed."""
+    """One rendered template per class. Of repeated classes the last row wins; where the table has no
+    ``row_id`` to tell the order, the one with the largest definition."""
     require_columns(templates, S.TEMPLATE_COLUMNS)
+    order = [F.col(c) for c in (S.ROW_ID,) if c in templates.columns] + [F.coalesce("topic_definition", F.lit(""))]
     return (
-        templates.select(*S.TEMPLATE_COLUMNS)
-        .distinct()
+        templates.groupBy("domain_name", "topic_name")
+        .agg(F.max_by("topic_definition", F.struct(*order)).alias("topic_definition"))
         .select(
             F.col("domain_name").alias(S.DOMAIN),
-            F.col("concept_name").alias(S.CONCEPT),
-            render_template(F.col("domain_name"), F.col("concept_name"), F.col("concept_definition")).alias("template"),
+            F.col("topic_name").alias(S.TOPIC),
+            render_template(F.col("domain_name"), F.col("topic_name"), F.col("topic_definition")).alias("template"),
         )
     )
 
 
 def with_definition(df: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Left lookup of the class definition; an empty text where there is none."""
-    return df.join(definitions.select(*S.CLASS, "definition"), S.CLASS, "left").withColumn(
+    """Left lookup of the class definition; an empty text where there is none.
+
+    Of repeated classes the last row (by ``line_no`` or ``row_id``, else the largest text) wins.
+    """
+    order = [F.col(c) for c in ("line_no", S.ROW_ID) if c in definitions.columns] + [F.coalesce("definition", F.lit(""))]
+    one = definitions.groupBy(*S.CLASS).agg(F.max_by("definition", F.struct(*order)).alias("definition"))
+    return df.join(one, S.CLASS, "left").withColumn(
         "definition", F.coalesce(F.col("definition"), F.lit(""))
     )
 
@@ -126,8 +133,8 @@ def with_template(df: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataF
 
 
 def known_pairs_only(
-    predictions: DataFrame, observed: DataFrame, domain: str = "predicted_domain", concept: str = "predicted_concept"
+    predictions: DataFrame, observed: DataFrame, domain: str = "predicted_domain", topic: str = "predicted_topic"
 ) -> DataFrame:
-    """Predictions whose (domain, concept) pair was observed in training."""
-    pairs = observed.select(F.col(S.DOMAIN).alias(domain), F.col(S.CONCEPT).alias(concept)).distinct()
-    return predictions.join(materialise(pairs), [domain, concept], "left_semi")
+    """Predictions whose (domain, topic) pair was observed in training."""
+    pairs = observed.select(F.col(S.DOMAIN).alias(domain), F.col(S.TOPIC).alias(topic)).distinct()
+    return predictions.join(materialise(pairs), [domain, topic], "left_semi")

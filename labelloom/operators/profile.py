@@ -14,7 +14,7 @@ from labelloom.session import materialise
 
 def with_class(df: DataFrame) -> DataFrame:
     """Rows whose class is known: grouping by class drops null labels."""
-    return df.filter(F.col(S.DOMAIN).isNotNull() & F.col(S.CONCEPT).isNotNull())
+    return df.filter(F.col(S.DOMAIN).isNotNull() & F.col(S.TOPIC).isNotNull())
 
 
 def class_counts(df: DataFrame) -> DataFrame:
@@ -22,10 +22,10 @@ def class_counts(df: DataFrame) -> DataFrame:
 
 
 def distribution(df: DataFrame) -> DataFrame:
-    """Per class: domain count and share of all rows, concept count and share of its domain.
+    """Per class: domain count and share of all rows, topic count and share of its domain.
 
     The rows are read once, into partial counts; the class table is written, because the total and
-    the shares both read it. Rows without a concept count for their domain, rows without a domain
+    the shares both read it. Rows without a topic count for their domain, rows without a domain
     only for the total.
     """
     counts = materialise(df.groupBy(*S.CLASS).agg(F.count(F.lit(1)).alias("n")))
@@ -33,22 +33,22 @@ def distribution(df: DataFrame) -> DataFrame:
     by_domain = Window.partitionBy(S.DOMAIN)
     return (
         counts.withColumn("domain_count", F.sum("n").over(by_domain))
-        .filter(F.col(S.DOMAIN).isNotNull() & F.col(S.CONCEPT).isNotNull())
+        .filter(F.col(S.DOMAIN).isNotNull() & F.col(S.TOPIC).isNotNull())
         .select(
             S.DOMAIN,
             "domain_count",
             F.round(F.col("domain_count") * 100.0 / total, 6).alias("domain_pct"),
-            S.CONCEPT,
-            F.col("n").alias("concept_count"),
-            F.round(F.col("n") * 100.0 / F.col("domain_count"), 6).alias("concept_pct"),
+            S.TOPIC,
+            F.col("n").alias("topic_count"),
+            F.round(F.col("n") * 100.0 / F.col("domain_count"), 6).alias("topic_pct"),
         )
     )
 
 
 def ordered_report(distribution_df: DataFrame) -> DataFrame:
-    """Report order: biggest domain first, then biggest concept, names on ties."""
+    """Report order: biggest domain first, then biggest topic, names on ties."""
     return distribution_df.orderBy(
-        F.desc("domain_count"), S.DOMAIN, F.desc("concept_count"), S.CONCEPT
+        F.desc("domain_count"), S.DOMAIN, F.desc("topic_count"), S.TOPIC
     )
 
 
@@ -61,15 +61,15 @@ def domain_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     return tagged[0].unionByName(tagged[1]).groupBy("phase", S.DOMAIN).agg(F.count(F.lit(1)).alias("n"))
 
 
-def concept_share(df: DataFrame) -> DataFrame:
-    """Share of each concept within its domain."""
+def topic_share(df: DataFrame) -> DataFrame:
+    """Share of each topic within its domain."""
     return distribution(df).select(
-        S.DOMAIN, S.CONCEPT, F.col("concept_count").alias("n"), F.col("concept_pct").alias("pct")
+        S.DOMAIN, S.TOPIC, F.col("topic_count").alias("n"), F.col("topic_pct").alias("pct")
     )
 
 
 def cardinalities(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Total rows, distinct domains, concepts and classes in one row.
+    """Total rows, distinct domains, topics and classes in one row.
 
     The exact form first reduces rows to classes with a combinable count, so the distinct counts
     only see the class table.
@@ -78,17 +78,17 @@ def cardinalities(df: DataFrame, approximate: bool = False) -> DataFrame:
         return df.agg(
             F.count(F.lit(1)).alias("total"),
             F.approx_count_distinct(S.DOMAIN).alias("domains"),
-            F.approx_count_distinct(S.CONCEPT).alias("concepts"),
+            F.approx_count_distinct(S.TOPIC).alias("topics"),
             F.approx_count_distinct(
-                F.when(F.col(S.DOMAIN).isNotNull() & F.col(S.CONCEPT).isNotNull(), F.struct(*S.CLASS))
+                F.when(F.col(S.DOMAIN).isNotNull() & F.col(S.TOPIC).isNotNull(), F.struct(*S.CLASS))
             ).alias("classes"),
         )
     counts = df.groupBy(*S.CLASS).agg(F.count(F.lit(1)).alias("n"))
-    known = F.col(S.DOMAIN).isNotNull() & F.col(S.CONCEPT).isNotNull()
+    known = F.col(S.DOMAIN).isNotNull() & F.col(S.TOPIC).isNotNull()
     return counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total"),
         F.countDistinct(S.DOMAIN).alias("domains"),
-        F.countDistinct(S.CONCEPT).alias("concepts"),
+        F.countDistinct(S.TOPIC).alias("topics"),
         F.count(F.when(known, F.lit(1))).alias("classes"),
     )
 
@@ -123,7 +123,7 @@ def label_stats(df: DataFrame) -> DataFrame:
             )
         ).alias("e")
     ).select(
-        "e.stat", F.lit(None).cast("string").alias(S.DOMAIN), F.lit(None).cast("string").alias(S.CONCEPT), "e.value"
+        "e.stat", F.lit(None).cast("string").alias(S.DOMAIN), F.lit(None).cast("string").alias(S.TOPIC), "e.value"
     )
     return overall.unionByName(per_label)
 
@@ -169,7 +169,7 @@ def balance_summary(split: DataFrame) -> DataFrame:
 
 
 def balance_report(split: DataFrame) -> DataFrame:
-    """Totals and class distributions as (section, domain, concept, metric, value) rows."""
+    """Totals and class distributions as (section, domain, topic, metric, value) rows."""
     counts = materialise(_balance_counts(split))
 
     def long(df: DataFrame, section: str, metrics: tuple[str, ...]) -> DataFrame:
@@ -179,6 +179,6 @@ def balance_report(split: DataFrame) -> DataFrame:
         )
 
     none = F.lit(None).cast("string")
-    totals = _balance_totals(counts).withColumns({S.DOMAIN: none, S.CONCEPT: none})
+    totals = _balance_totals(counts).withColumns({S.DOMAIN: none, S.TOPIC: none})
     metrics = ("original", "training", "evaluation")
     return long(totals, "totals", (*metrics, "generated")).unionByName(long(counts, "classes", metrics))

@@ -69,11 +69,11 @@ def top_k_matches(
     ``metric`` is ``dot`` (higher is better) or ``l2`` (squared distance, lower is better). Both
     sides are cut into hash blocks of about ``block`` rows per key; each (key, query block, base
     block) cell is one small matrix product that returns at most k rows per query, and the cell
-    answers are merged per query. A key that holds most rows is simply more cells.
+    answers are merged per query. A key that holds most rows is simply more cells. Null vectors take no part.
     """
     keys = keys or []
-    q = queries.select(*keys, F.col(query_id).alias("__id"), F.col(vector).alias("__v"))
-    b = base.select(*keys, F.col(base_id).alias("__id"), F.col(vector).alias("__v"))
+    q = queries.filter(F.col(vector).isNotNull()).select(*keys, F.col(query_id).alias("__id"), F.col(vector).alias("__v"))
+    b = base.filter(F.col(vector).isNotNull()).select(*keys, F.col(base_id).alias("__id"), F.col(vector).alias("__v"))
     in_blocks = F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("bigint")
 
     def sized(df: DataFrame) -> DataFrame:
@@ -183,8 +183,9 @@ def nearest_template(
 
     Templates whose measured size is within ``max_floats`` are broadcast, and each Arrow batch of rows
     is matched where it was read, without a shuffle. A larger template table goes through
-    ``top_k_matches``, with the same answer.
+    ``top_k_matches``, with the same answer. Null vectors take no part on either side.
     """
+    templates = templates.filter(F.col(vector).isNotNull())
     size = templates.agg(F.sum(F.size(vector)).alias("floats"), F.count(F.lit(1)).alias("n")).first()
     unit_templates = templates.select(template_id, unit(vector).alias(vector))
     if (size["floats"] or 0) > max_floats:
@@ -405,47 +406,47 @@ def similar_text_pairs(
     *,
     id_col: str = S.ROW_ID,
     vector: str = "vector",
-    concept: str = S.CONCEPT,
+    topic: str = S.TOPIC,
     block: int = BLOCK,
 ) -> DataFrame:
-    """Pairs of similar texts of different concepts: hard negatives.
+    """Pairs of similar texts of different topics: hard negatives.
 
-    Rows with the same vector and concept are one entry with a copy count, so a group of copies
+    Rows with the same vector and topic are one entry with a copy count, so a group of copies
     never pairs with itself; a result row stands for ``copies1 * copies2`` row pairs.
     """
-    entries = collapse_copies(df.select(id_col, vector, concept), [vector, concept], id_col)
-    pairs = similarity_pairs(entries, threshold, id_col=id_col, vector=vector, differ=concept, block=block)
-    info = entries.select(id_col, concept, "copies")
-    first = info.select(F.col(id_col).alias("id1"), F.col(concept).alias("concept1"), F.col("copies").alias("copies1"))
-    second = info.select(F.col(id_col).alias("id2"), F.col(concept).alias("concept2"), F.col("copies").alias("copies2"))
+    entries = collapse_copies(df.select(id_col, vector, topic), [vector, topic], id_col)
+    pairs = similarity_pairs(entries, threshold, id_col=id_col, vector=vector, differ=topic, block=block)
+    info = entries.select(id_col, topic, "copies")
+    first = info.select(F.col(id_col).alias("id1"), F.col(topic).alias("topic1"), F.col("copies").alias("copies1"))
+    second = info.select(F.col(id_col).alias("id2"), F.col(topic).alias("topic2"), F.col("copies").alias("copies2"))
     return pairs.join(first, "id1").join(second, "id2")
 
 
-def similar_concept_pairs(
-    concepts: DataFrame,
+def similar_topic_pairs(
+    topics: DataFrame,
     rows: DataFrame,
-    threshold: float = S.CONCEPT_SIMILARITY,
+    threshold: float = S.TOPIC_SIMILARITY,
     *,
-    per_concept: int = 2,
-    concept: str = S.CONCEPT,
+    per_topic: int = 2,
+    topic: str = S.TOPIC,
     vector: str = "vector",
     id_col: str = S.ROW_ID,
 ) -> DataFrame:
-    """For each pair of similar concept names, the first texts of one against the first of the other.
+    """For each pair of similar topic names, the first texts of one against the first of the other.
 
-    ``concepts`` holds one vector per concept name. At most ``per_concept ** 2`` pairs per concept
-    pair; each unordered concept pair occurs once.
+    ``topics`` holds one vector per topic name. At most ``per_topic ** 2`` pairs per topic
+    pair; each unordered topic pair occurs once.
     """
-    named = concepts.select(F.col(concept).cast("string").alias("__name"), vector)
+    named = topics.select(F.col(topic).cast("string").alias("__name"), vector)
     pairs = similarity_pairs(named, threshold, id_col="__name", vector=vector, inclusive=True)
     heads = head_per_group(
-        rows.filter(F.col(concept).isNotNull()).select(F.col(concept).cast("string").alias("__name"), id_col),
-        ["__name"], id_col, per_concept,
+        rows.filter(F.col(topic).isNotNull()).select(F.col(topic).cast("string").alias("__name"), id_col),
+        ["__name"], id_col, per_topic,
     )
-    first = heads.select(F.col("__name").alias("concept1"), F.col(id_col).alias("id1"))
-    second = heads.select(F.col("__name").alias("concept2"), F.col(id_col).alias("id2"))
+    first = heads.select(F.col("__name").alias("topic1"), F.col(id_col).alias("id1"))
+    second = heads.select(F.col("__name").alias("topic2"), F.col(id_col).alias("id2"))
     return (
-        pairs.select(F.col("id1").alias("concept1"), F.col("id2").alias("concept2"), "similarity")
-        .join(first, "concept1")
-        .join(second, "concept2")
+        pairs.select(F.col("id1").alias("topic1"), F.col("id2").alias("topic2"), "similarity")
+        .join(first, "topic1")
+        .join(second, "topic2")
     )

@@ -85,7 +85,7 @@ def smote_vectors(
 
 
 def _class_vectors(df: DataFrame, vectors: DataFrame, id_col: str) -> DataFrame:
-    known = df.filter(F.col(S.DOMAIN).isNotNull() & F.col(S.CONCEPT).isNotNull())
+    known = df.filter(F.col(S.DOMAIN).isNotNull() & F.col(S.TOPIC).isNotNull())
     return materialise(known.select(id_col, *S.CLASS).join(vectors.select(id_col, "vector"), id_col))
 
 
@@ -109,7 +109,7 @@ def smote_texts(
     ``vectors`` holds (id, vector) of every row.
     """
     keys = S.CLASS
-    known = df.filter(F.col(S.DOMAIN).isNotNull() & F.col(S.CONCEPT).isNotNull())
+    known = df.filter(F.col(S.DOMAIN).isNotNull() & F.col(S.TOPIC).isNotNull())
     placed = _class_vectors(df, vectors, id_col)
     points = materialise(smote_vectors(placed, target, keys=keys, neighbours=neighbours, seed=seed, id_col=id_col))
     near = _with_nearest(points, placed, keys, id_col)
@@ -118,7 +118,7 @@ def smote_texts(
     return near.join(texts, id_col).select(
         F.col(id_col).alias("source_id"),
         "i",
-        F.concat(F.lit("synthetic_"), F.col(S.DOMAIN), F.lit("_"), F.col(S.CONCEPT), F.lit("_"), F.col("i").cast("string")).alias(S.NAME),
+        F.concat(F.lit("synthetic_"), F.col(S.DOMAIN), F.lit("_"), F.col(S.TOPIC), F.lit("_"), F.col("i").cast("string")).alias(S.NAME),
         F.concat(F.lit("SMOTE Generated ("), number, F.lit("): Based on "), F.col(S.DESCRIPTION)).alias(S.DESCRIPTION),
         *keys,
     )
@@ -137,7 +137,7 @@ def simple_smote_texts(
     Names are numbered through after the originals, class by class.
     """
     keys = S.CLASS
-    known = df.filter(F.col(S.DOMAIN).isNotNull() & F.col(S.CONCEPT).isNotNull())
+    known = df.filter(F.col(S.DOMAIN).isNotNull() & F.col(S.TOPIC).isNotNull())
     placed = _class_vectors(df, vectors, id_col)
     points = materialise(smote_vectors(placed, None, keys=keys, neighbours=neighbours, seed=seed, id_col=id_col))
     named = points.withColumn("synthetic_id", F.concat_ws("|", *keys, F.col("i").cast("string")))

@@ -16,7 +16,7 @@ from labelloom.sources.readers import read_definitions, read_labelled
 from labelloom.sources.writers import write_csv, write_if_any
 
 
-def balance_csv(
+def balance_file(
     spark: SparkSession,
     path: str,
     out: str,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from labelloom.plans.catalogue import balancing, evaluation, models, pairing, profiling, vectors
+from labelloom.plans.catalogue import balancing, evaluation, flows, models, pairing, profiling, vectors
 
-MODULES = [profiling, balancing, pairing, vectors, evaluation, models]
+MODULES = [profiling, balancing, pairing, vectors, evaluation, models, flows]
 
 
 def queries() -> dict:

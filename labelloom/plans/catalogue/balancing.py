@@ -59,11 +59,11 @@ QUERIES = {
 }
 
 _COPIES = """
-SELECT source_id, i, n, 'synthetic_' || domain || '_' || concept || '_' || i::VARCHAR AS attribute_name, description, domain, concept
-FROM (SELECT c.domain, c.concept, c.n, unnest(range(0, (SELECT max(n) FROM counts) - c.n)) AS i FROM counts c) w
-JOIN (SELECT row_id AS source_id, description, domain, concept,
-             row_number() OVER (PARTITION BY domain, concept ORDER BY row_id) - 1 AS place FROM attributes) r
-USING (domain, concept) WHERE r.place = w.i % w.n"""
+SELECT source_id, i, n, 'synthetic_' || domain || '_' || topic || '_' || i::VARCHAR AS attribute_name, description, domain, topic
+FROM (SELECT c.domain, c.topic, c.n, unnest(range(0, (SELECT max(n) FROM counts) - c.n)) AS i FROM counts c) w
+JOIN (SELECT row_id AS source_id, description, domain, topic,
+             row_number() OVER (PARTITION BY domain, topic ORDER BY row_id) - 1 AS place FROM attributes) r
+USING (domain, topic) WHERE r.place = w.i % w.n"""
 
 _REPLICATED = "'Replicated (' || (i + 1)::VARCHAR || '): ' || description"
 
@@ -71,74 +71,74 @@ _VARIANT = f"""CASE {h('variant', 'source_id', 'i')} % 3 WHEN 0 THEN 'Alternativ
      WHEN 1 THEN 'Variant ' || (i + 1)::VARCHAR || ' of: ' || description ELSE 'Similar to: ' || description END"""
 
 _PLAN = """
-SELECT domain, concept, n, need, unnest(range(1, ceil(need / 5.0)::BIGINT + 1)) AS batch_id,
+SELECT domain, topic, n, need, unnest(range(1, ceil(need / 5.0)::BIGINT + 1)) AS batch_id,
        least(CASE WHEN n <= 1 THEN 1 WHEN n <= 3 THEN 2 WHEN n <= 10 THEN 3 ELSE 6 END, n)::BIGINT AS k FROM needs15"""
 
 _CONTEXT = f"""
-SELECT domain, concept, batch_id, slot, row_id, attribute_name, description
-FROM (SELECT *, lo + {h('context', 'domain', 'concept', 'batch_id', 'slot')} % (hi - lo) AS place
+SELECT domain, topic, batch_id, slot, row_id, attribute_name, description
+FROM (SELECT *, lo + {h('context', 'domain', 'topic', 'batch_id', 'slot')} % (hi - lo) AS place
       FROM (SELECT *, slot * n // k AS lo, (slot + 1) * n // k AS hi
             FROM (SELECT *, unnest(range(0, k)) AS slot FROM plan)))
-JOIN (SELECT *, row_number() OVER (PARTITION BY domain, concept ORDER BY row_id) - 1 AS place FROM attributes)
-USING (domain, concept, place)"""
+JOIN (SELECT *, row_number() OVER (PARTITION BY domain, topic ORDER BY row_id) - 1 AS place FROM attributes)
+USING (domain, topic, place)"""
 
 
 def _stats(parsed: str, fresh: str) -> str:
     return using("needs15", "response_lines", parsed, fresh) + f"""
-SELECT domain, concept, n AS original, need AS needed, least(coalesce(f, 0), need)::BIGINT AS generated,
+SELECT domain, topic, n AS original, need AS needed, least(coalesce(f, 0), need)::BIGINT AS generated,
        coalesce(ok, 0)::BIGINT AS ok_batches, coalesce(batches - ok, 0)::BIGINT AS failed_batches,
        (coalesce(v, 0) - coalesce(f, 0))::BIGINT AS duplicates_avoided,
        round(CASE WHEN batches > 0 THEN ok::DOUBLE * 100::DOUBLE / batches::DOUBLE ELSE 0::DOUBLE END, 6) AS success_pct,
        (need - least(coalesce(f, 0), need))::BIGINT AS shortfall
 FROM needs15 LEFT JOIN (
-    SELECT domain, concept, count(*) AS batches, sum(v)::BIGINT AS v, sum(f)::BIGINT AS f, count(*) FILTER (f > 0) AS ok
-    FROM (SELECT domain, concept, batch_id,
-            (SELECT count(*) FROM {parsed} p WHERE p.domain = b.domain AND p.concept = b.concept AND p.batch_id = b.batch_id) AS v,
-            (SELECT count(*) FROM {fresh} p WHERE p.domain = b.domain AND p.concept = b.concept AND p.batch_id = b.batch_id) AS f
-          FROM (SELECT DISTINCT domain, concept, batch_id FROM response_lines) b)
-    GROUP BY 1, 2) USING (domain, concept)"""
+    SELECT domain, topic, count(*) AS batches, sum(v)::BIGINT AS v, sum(f)::BIGINT AS f, count(*) FILTER (f > 0) AS ok
+    FROM (SELECT domain, topic, batch_id,
+            (SELECT count(*) FROM {parsed} p WHERE p.domain = b.domain AND p.topic = b.topic AND p.batch_id = b.batch_id) AS v,
+            (SELECT count(*) FROM {fresh} p WHERE p.domain = b.domain AND p.topic = b.topic AND p.batch_id = b.batch_id) AS f
+          FROM (SELECT DISTINCT domain, topic, batch_id FROM response_lines) b)
+    GROUP BY 1, 2) USING (domain, topic)"""
 
 
 def _prompt(definition: str, names: str) -> str:
-    return f"""'Write 5 new attributes of the class ' || domain || ' / ' || concept || '.' || {definition} || {names}
+    return f"""'Write 5 new attributes of the class ' || domain || ' / ' || topic || '.' || {definition} || {names}
       || chr(10) || examples || chr(10)
       || 'Use snake_case names, clear descriptions, and repeat none of the names above.' || chr(10)
       || 'Answer with 5 lines of JSON only: {{"attribute_name": "...", "description": "..."}}'"""
 
 
 _EXAMPLES = """
-SELECT domain, concept, batch_id, string_agg('Example ' || (slot + 1)::VARCHAR || ':' || chr(10) || 'Attribute: '
+SELECT domain, topic, batch_id, string_agg('Example ' || (slot + 1)::VARCHAR || ':' || chr(10) || 'Attribute: '
        || attribute_name || chr(10) || 'Description: ' || description, chr(10) ORDER BY slot) AS examples
 FROM context GROUP BY 1, 2, 3"""
 
 _NAMES = """
-SELECT domain, concept, string_agg(attribute_name, ', ' ORDER BY attribute_name) AS names
-FROM (SELECT DISTINCT domain, concept, attribute_name FROM attributes) GROUP BY 1, 2"""
+SELECT domain, topic, string_agg(attribute_name, ', ' ORDER BY attribute_name) AS names
+FROM (SELECT DISTINCT domain, topic, attribute_name FROM attributes) GROUP BY 1, 2"""
 
 ORACLES = {
     "replicate": using("attributes", "counts", copies=_COPIES)
-    + f"SELECT source_id, i, attribute_name, {_REPLICATED} AS description, domain, concept FROM copies",
+    + f"SELECT source_id, i, attribute_name, {_REPLICATED} AS description, domain, topic FROM copies",
     "augment_single": using("fine")
-    + f"""SELECT source_id, i, 'synthetic_' || domain || '_' || concept || '_' || i::VARCHAR AS attribute_name,
-          {_VARIANT} AS description, domain, concept
-          FROM (SELECT row_id AS source_id, description, domain, concept, unnest(range(0, 3)) AS i
-                FROM (SELECT *, count(*) OVER (PARTITION BY domain, concept) AS n FROM fine) WHERE n = 1)""",
+    + f"""SELECT source_id, i, 'synthetic_' || domain || '_' || topic || '_' || i::VARCHAR AS attribute_name,
+          {_VARIANT} AS description, domain, topic
+          FROM (SELECT row_id AS source_id, description, domain, topic, unnest(range(0, 3)) AS i
+                FROM (SELECT *, count(*) OVER (PARTITION BY domain, topic) AS n FROM fine) WHERE n = 1)""",
     "dynamic_balance": using("attributes", "counts", copies=_COPIES)
     + f"""SELECT source_id, attribute_name, CASE WHEN n = 1 THEN {_VARIANT} ELSE {_REPLICATED} END AS description,
-          domain, concept, CASE WHEN n = 1 THEN 'variation' ELSE 'replicated' END AS origin FROM copies
-          UNION ALL SELECT row_id, attribute_name, description, domain, concept, 'original' FROM attributes""",
+          domain, topic, CASE WHEN n = 1 THEN 'variation' ELSE 'replicated' END AS origin FROM copies
+          UNION ALL SELECT row_id, attribute_name, description, domain, topic, 'original' FROM attributes""",
     "balanced_training_set": using("balanced15") + "SELECT * FROM balanced15",
     "balance_summary": using("balanced15")
     + """SELECT count(*) FILTER (origin = 'original') AS original, count(*) FILTER (split = 'train') AS training,
          count(*) FILTER (split = 'eval') AS evaluation, count(*) FILTER (origin = 'generated') AS generated FROM balanced15""",
     "balance_report": using("balanced15")
-    + """SELECT 'totals' AS section, NULL AS domain, NULL AS concept, unnest(['original', 'training', 'evaluation', 'generated']) AS metric,
+    + """SELECT 'totals' AS section, NULL AS domain, NULL AS topic, unnest(['original', 'training', 'evaluation', 'generated']) AS metric,
            unnest([count(*) FILTER (origin = 'original'), count(*) FILTER (split = 'train'), count(*) FILTER (split = 'eval'),
                    count(*) FILTER (origin = 'generated')])::DOUBLE AS value FROM balanced15
          UNION ALL
-         SELECT 'classes', domain, concept, unnest(['original', 'training', 'evaluation']),
+         SELECT 'classes', domain, topic, unnest(['original', 'training', 'evaluation']),
            unnest([count(*) FILTER (origin = 'original'), count(*) FILTER (split = 'train'), count(*) FILTER (split = 'eval')])::DOUBLE
-         FROM balanced15 GROUP BY domain, concept""",
+         FROM balanced15 GROUP BY domain, topic""",
     "parse_responses_strict": using("strict") + "SELECT * FROM strict",
     "parse_responses_per_line": using("per_line") + "SELECT * FROM per_line",
     "drop_used": using("fresh_strict") + "SELECT * FROM fresh_strict",
@@ -148,15 +148,15 @@ ORACLES = {
     "generation_stats_per_line": _stats("per_line", "fresh_line"),
     "context_sample": using("needs15", plan=_PLAN) + _CONTEXT,
     "prompts": using("needs15", "definitions", plan=_PLAN, context=_CONTEXT, examples=_EXAMPLES, names=_NAMES)
-    + "SELECT domain, concept, batch_id, 5::BIGINT AS batch_size, "
+    + "SELECT domain, topic, batch_id, 5::BIGINT AS batch_size, "
     + _prompt(
         "CASE WHEN definition IS NOT NULL THEN chr(10) || 'Definition: ' || definition ELSE '' END",
         "chr(10) || 'Names already in use: ' || names",
     )
-    + " AS prompt FROM examples LEFT JOIN definitions USING (domain, concept) LEFT JOIN names USING (domain, concept)",
+    + " AS prompt FROM examples LEFT JOIN definitions USING (domain, topic) LEFT JOIN names USING (domain, topic)",
     "enrich_text": using("attributes")
     + """SELECT *, 'ok' AS rewrite_status, description || ' (checked)' AS processed_description FROM attributes""",
     "map_batches": using("docs") + "SELECT *, description || ' / ' || description AS mapped FROM docs",
     "generate_responses": using("needs15", plan=_PLAN)
-    + "SELECT domain, concept, batch_id, 'Write 5 new attributes of the class ' || domain || ' / ' || concept || '.' AS response FROM plan",
+    + "SELECT domain, topic, batch_id, 'Write 5 new attributes of the class ' || domain || ' / ' || topic || '.' AS response FROM plan",
 }

@@ -23,7 +23,7 @@ def _text_functions(spark, sf):
         "conv_id", "turn", F.col("role").alias(S.NAME), F.col("text").alias(S.DESCRIPTION), rewritten.alias("raw"),
         F.concat(F.col("role"), F.lit("_a_b")).alias("label"),
     )
-    domain, concept = X.split_label("label")
+    domain, topic = X.split_label("label")
     return frame.select(
         "conv_id",
         "turn",
@@ -32,7 +32,7 @@ def _text_functions(spark, sf):
         X.after_prefix(F.col("raw")).alias("after_prefix"),
         X.class_label(S.NAME, "label").alias("class_label"),
         domain.alias("label_domain"),
-        concept.alias("label_concept"),
+        topic.alias("label_topic"),
         X.is_snake_case(F.col("label")).alias("snake"),
         X.is_synthetic("label").alias("synthetic"),
     )
@@ -45,7 +45,7 @@ QUERIES = {
     "class_counts": lambda s, d: profile.class_counts(V.attributes(s, d)),
     "cardinalities": lambda s, d: profile.cardinalities(V.attributes(s, d)),
     "domain_counts": lambda s, d: profile.domain_counts(V.attributes(s, d), dedup.keep_first(V.attributes(s, d))),
-    "concept_share": lambda s, d: profile.concept_share(dedup.keep_first(V.attributes(s, d))),
+    "topic_share": lambda s, d: profile.topic_share(dedup.keep_first(V.attributes(s, d))),
     "label_stats": lambda s, d: profile.label_stats(V.attributes(s, d)),
     "target_size": lambda s, d: profile.target_size(V.attributes(s, d)),
     "class_need": lambda s, d: profile.class_need(V.attributes(s, d), 15),
@@ -71,13 +71,13 @@ QUERIES = {
     "with_template": lambda s, d: prepare.with_template(
         V.attributes(s, d),
         V.definitions(s, d).select(
-            F.col(S.DOMAIN).alias("domain_name"), F.col(S.CONCEPT).alias("concept_name"), F.col("definition").alias("concept_definition")
+            F.col(S.DOMAIN).alias("domain_name"), F.col(S.TOPIC).alias("topic_name"), F.col("definition").alias("topic_definition")
         ),
     )[0],
     "missing_templates": lambda s, d: prepare.with_template(
         V.attributes(s, d),
         V.definitions(s, d).select(
-            F.col(S.DOMAIN).alias("domain_name"), F.col(S.CONCEPT).alias("concept_name"), F.col("definition").alias("concept_definition")
+            F.col(S.DOMAIN).alias("domain_name"), F.col(S.TOPIC).alias("topic_name"), F.col("definition").alias("topic_definition")
         ),
     )[1],
     "read_definitions": lambda s, d: parse_definitions(V.definition_lines(s, d))[0],
@@ -97,19 +97,19 @@ QUERIES = {
 _SHARE = """
 SELECT domain, (sum(n) OVER (PARTITION BY domain))::BIGINT AS domain_count,
        round((sum(n) OVER (PARTITION BY domain))::DOUBLE * 100::DOUBLE / (sum(n) OVER ())::DOUBLE, 6) AS domain_pct,
-       concept, n AS concept_count,
-       round(n::DOUBLE * 100::DOUBLE / (sum(n) OVER (PARTITION BY domain))::DOUBLE, 6) AS concept_pct
-FROM (SELECT domain, concept, count(*) AS n FROM {source} GROUP BY 1, 2)"""
+       topic, n AS topic_count,
+       round(n::DOUBLE * 100::DOUBLE / (sum(n) OVER (PARTITION BY domain))::DOUBLE, 6) AS topic_pct
+FROM (SELECT domain, topic, count(*) AS n FROM {source} GROUP BY 1, 2)"""
 
-_TEMPLATE = "'In the domain of ' || domain || ', this attribute represents ' || concept || ' which is defined as ' || {d}"
+_TEMPLATE = "'In the domain of ' || domain || ', this attribute represents ' || topic || ' which is defined as ' || {d}"
 
 _LINES = f"""
 SELECT row_id AS line_no, CASE {h('line', 'row_id')} % 10 WHEN 0 THEN '# ' || attribute_name WHEN 1 THEN '   '
        WHEN 2 THEN domain || ' has no separator'
-       ELSE domain || ' | ' || concept || '|' || description || ' ' END AS value FROM attributes"""
+       ELSE domain || ' | ' || topic || '|' || description || ' ' END AS value FROM attributes"""
 
 _SPLIT_BY_RANK = """
-SELECT row_id, attribute_name, description, domain, concept,
+SELECT row_id, attribute_name, description, domain, topic,
        CASE WHEN rn <= {want} THEN '{first}' ELSE '{rest}' END AS split
 FROM (SELECT *, row_number() OVER ({part} ORDER BY {hash}, row_id) AS rn, count(*) OVER ({part}) AS n FROM {source})"""
 
@@ -117,49 +117,49 @@ ORACLES = {
     "distribution": using("attributes") + _SHARE.format(source="attributes"),
     "distribution_documents": using("docs") + _SHARE.format(source="docs"),
     "ordered_report": using("attributes") + _SHARE.format(source="attributes"),
-    "class_counts": using("attributes") + "SELECT domain, concept, count(*) AS n FROM attributes GROUP BY 1, 2",
+    "class_counts": using("attributes") + "SELECT domain, topic, count(*) AS n FROM attributes GROUP BY 1, 2",
     "cardinalities": using("attributes")
-    + """SELECT count(*) AS total, count(DISTINCT domain) AS domains, count(DISTINCT concept) AS concepts,
-         (SELECT count(*) FROM (SELECT DISTINCT domain, concept FROM attributes)) AS classes FROM attributes""",
+    + """SELECT count(*) AS total, count(DISTINCT domain) AS domains, count(DISTINCT topic) AS topics,
+         (SELECT count(*) FROM (SELECT DISTINCT domain, topic FROM attributes)) AS classes FROM attributes""",
     "domain_counts": using("attributes", "kept")
     + """SELECT 'before' AS phase, domain, count(*) AS n FROM attributes GROUP BY domain
          UNION ALL SELECT 'after', domain, count(*) FROM kept GROUP BY domain""",
-    "concept_share": using("kept")
-    + """SELECT domain, concept, n, round(n::DOUBLE * 100::DOUBLE / (sum(n) OVER (PARTITION BY domain))::DOUBLE, 6) AS pct
-         FROM (SELECT domain, concept, count(*) AS n FROM kept GROUP BY 1, 2)""",
+    "topic_share": using("kept")
+    + """SELECT domain, topic, n, round(n::DOUBLE * 100::DOUBLE / (sum(n) OVER (PARTITION BY domain))::DOUBLE, 6) AS pct
+         FROM (SELECT domain, topic, count(*) AS n FROM kept GROUP BY 1, 2)""",
     "label_stats": using("counts")
-    + """SELECT 'attributes_per_label' AS stat, domain, concept, n AS value FROM counts
+    + """SELECT 'attributes_per_label' AS stat, domain, topic, n AS value FROM counts
          UNION ALL SELECT 'total_labels', NULL, NULL, count(*) FROM counts
          UNION ALL SELECT 'total_attributes', NULL, NULL, sum(n)::BIGINT FROM counts""",
     "target_size": using("counts") + "SELECT max(n) AS target FROM counts",
     "class_need": using("counts")
-    + "SELECT domain, concept, n, greatest(15 - n, 0)::BIGINT AS need, greatest(n - 15, 0)::BIGINT AS overflow FROM counts",
+    + "SELECT domain, topic, n, greatest(15 - n, 0)::BIGINT AS need, greatest(n - 15, 0)::BIGINT AS overflow FROM counts",
     "phase_counts": using("attributes", "kept")
-    + """SELECT domain, concept, count(*) AS n, 'initial' AS phase FROM attributes GROUP BY 1, 2
-         UNION ALL SELECT domain, concept, count(*), 'deduplicated' FROM kept GROUP BY 1, 2""",
+    + """SELECT domain, topic, count(*) AS n, 'initial' AS phase FROM attributes GROUP BY 1, 2
+         UNION ALL SELECT domain, topic, count(*), 'deduplicated' FROM kept GROUP BY 1, 2""",
     "texts_by_class": using("docs")
-    + """SELECT row_id, domain, concept, description AS text,
-         row_number() OVER (PARTITION BY domain, concept ORDER BY row_id) - 1 AS text_no,
-         count(*) OVER (PARTITION BY domain, concept) AS n FROM docs""",
+    + """SELECT row_id, domain, topic, description AS text,
+         row_number() OVER (PARTITION BY domain, topic ORDER BY row_id) - 1 AS text_no,
+         count(*) OVER (PARTITION BY domain, topic) AS n FROM docs""",
     "duplicate_stats": using("attributes")
     + """SELECT count(*) AS total, count(*) FILTER (c > 1) AS rows_in_dup_groups,
-         count(*) - (SELECT count(*) FROM (SELECT DISTINCT attribute_name, domain, concept FROM attributes)) AS rows_removed,
+         count(*) - (SELECT count(*) FROM (SELECT DISTINCT attribute_name, domain, topic FROM attributes)) AS rows_removed,
          count(*) FILTER (attribute_name IN (SELECT attribute_name FROM attributes GROUP BY 1
-             HAVING count(DISTINCT (domain, concept)) > 1)) AS partial_duplicate_rows
-         FROM (SELECT *, count(*) OVER (PARTITION BY attribute_name, domain, concept) AS c FROM attributes)""",
+             HAVING count(DISTINCT (domain, topic)) > 1)) AS partial_duplicate_rows
+         FROM (SELECT *, count(*) OVER (PARTITION BY attribute_name, domain, topic) AS c FROM attributes)""",
     "partial_duplicates": using("attributes")
-    + """SELECT attribute_name, count(DISTINCT (domain, concept)) AS variants, count(*) AS rows FROM attributes
-         GROUP BY 1 HAVING count(DISTINCT (domain, concept)) > 1""",
+    + """SELECT attribute_name, count(DISTINCT (domain, topic)) AS variants, count(*) AS rows FROM attributes
+         GROUP BY 1 HAVING count(DISTINCT (domain, topic)) > 1""",
     "keep_first": using("kept") + "SELECT * FROM kept",
-    "full_row_dedup": using("docs") + "SELECT DISTINCT attribute_name, description, domain, concept FROM docs",
-    "distinct_classes": using("attributes") + "SELECT DISTINCT domain, concept FROM attributes",
+    "full_row_dedup": using("docs") + "SELECT DISTINCT attribute_name, description, domain, topic FROM docs",
+    "distinct_classes": using("attributes") + "SELECT DISTINCT domain, topic FROM attributes",
     "build_labelled": using("labelled") + "SELECT * FROM labelled",
     "drop_incomplete": using("complete") + "SELECT * FROM complete",
     "incomplete_counts": using("labelled", "complete")
     + """SELECT count(*) AS total, count(*) - (SELECT count(*) FROM complete) AS dropped,
          (SELECT count(*) FROM complete) AS kept FROM labelled""",
     "with_attribute_name": using("docs")
-    + """SELECT row_id, description, domain, concept,
+    + """SELECT row_id, description, domain, topic,
          (row_number() OVER (ORDER BY row_id) - 1)::VARCHAR AS attribute_name FROM docs""",
     "parse_text_spec": """
         SELECT conv_id, turn,
@@ -170,29 +170,29 @@ ORACLES = {
         FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN role || ' : ' || text ELSE text END AS v FROM conversations)""",
     "mask_labels": using("attributes")
     + f"""SELECT row_id, attribute_name, description, CASE WHEN mask IN ('domain', 'both') THEN '' ELSE domain END AS domain,
-          CASE WHEN mask IN ('concept', 'both') THEN '' ELSE concept END AS concept, mask
-          FROM (SELECT *, CASE WHEN k < 0.3::DOUBLE THEN 'domain' WHEN k < 0.6::DOUBLE THEN 'concept'
+          CASE WHEN mask IN ('topic', 'both') THEN '' ELSE topic END AS topic, mask
+          FROM (SELECT *, CASE WHEN k < 0.3::DOUBLE THEN 'domain' WHEN k < 0.6::DOUBLE THEN 'topic'
                 ELSE 'both' END AS mask FROM (SELECT *, {u('mask', 'row_id')} AS k FROM attributes))""",
     "mask_counts": using("attributes")
-    + f"""SELECT CASE WHEN k < 0.3::DOUBLE THEN 'domain' WHEN k < 0.6::DOUBLE THEN 'concept' ELSE 'both' END AS mask,
+    + f"""SELECT CASE WHEN k < 0.3::DOUBLE THEN 'domain' WHEN k < 0.6::DOUBLE THEN 'topic' ELSE 'both' END AS mask,
           count(*) AS n FROM (SELECT {u('mask', 'row_id')} AS k FROM attributes) GROUP BY 1""",
     "assign_batches": using("attributes")
     + "SELECT *, (row_number() OVER (ORDER BY row_id) - 1) // 50 AS batch_id FROM attributes",
     "render_template": using("attributes")
-    + f"""SELECT domain, concept, {_TEMPLATE.format(d='d')} AS template
-          FROM (SELECT domain, concept, min(description) AS d FROM attributes GROUP BY 1, 2)""",
+    + f"""SELECT domain, topic, {_TEMPLATE.format(d='d')} AS template
+          FROM (SELECT domain, topic, min(description) AS d FROM attributes GROUP BY 1, 2)""",
     "with_definition": using("attributes", "definitions")
-    + """SELECT domain, concept, row_id, attribute_name, description, coalesce(definition, '') AS definition
-         FROM attributes LEFT JOIN definitions USING (domain, concept)""",
+    + """SELECT domain, topic, row_id, attribute_name, description, coalesce(definition, '') AS definition
+         FROM attributes LEFT JOIN definitions USING (domain, topic)""",
     "with_template": using("attributes", "definitions")
-    + f"""SELECT domain, concept, row_id, attribute_name, description, {_TEMPLATE.format(d='definition')} AS template
-          FROM attributes JOIN definitions USING (domain, concept)""",
+    + f"""SELECT domain, topic, row_id, attribute_name, description, {_TEMPLATE.format(d='definition')} AS template
+          FROM attributes JOIN definitions USING (domain, topic)""",
     "missing_templates": using("attributes", "definitions")
-    + """SELECT domain, concept, row_id, attribute_name, description FROM attributes a WHERE NOT EXISTS
-         (SELECT 1 FROM definitions d WHERE d.domain = a.domain AND d.concept = a.concept)""",
+    + """SELECT domain, topic, row_id, attribute_name, description FROM attributes a WHERE NOT EXISTS
+         (SELECT 1 FROM definitions d WHERE d.domain = a.domain AND d.topic = a.topic)""",
     "read_definitions": using("attributes", lines=_LINES)
-    + """SELECT domain, concept, definition FROM (
-           SELECT trim(split_part(value, '|', 1)) AS domain, trim(split_part(value, '|', 2)) AS concept,
+    + """SELECT domain, topic, definition FROM (
+           SELECT trim(split_part(value, '|', 1)) AS domain, trim(split_part(value, '|', 2)) AS topic,
                   trim(split_part(value, '|', 3)) AS definition,
                   row_number() OVER (PARTITION BY trim(split_part(value, '|', 1)), trim(split_part(value, '|', 2))
                                      ORDER BY line_no DESC) AS rn
@@ -207,31 +207,31 @@ ORACLES = {
                THEN trim(split_part(CASE WHEN turn % 2 = 0 THEN 'Here. Standardized Description:  ' || text ELSE text END,
                                     'Standardized Description:', 2), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))
                ELSE text END AS after_prefix,
-          role || '_' || role || '_a_b' AS class_label, role AS label_domain, 'a_b' AS label_concept,
+          role || '_' || role || '_a_b' AS class_label, role AS label_domain, 'a_b' AS label_topic,
           regexp_full_match(role || '_a_b', '[a-z][a-z0-9_]*') AS snake, starts_with(role, 'synthetic_') AS synthetic
         FROM conversations""",
     "known_pairs_only": using("predictions")
-    + """SELECT predicted_domain, predicted_concept, row_id, domain, concept FROM predictions p WHERE EXISTS
-         (SELECT 1 FROM documents t WHERE t.lang = p.predicted_domain AND t.source = p.predicted_concept)""",
+    + """SELECT predicted_domain, predicted_topic, row_id, domain, topic FROM predictions p WHERE EXISTS
+         (SELECT 1 FROM documents t WHERE t.lang = p.predicted_domain AND t.source = p.predicted_topic)""",
     "cap_split": using("split15") + "SELECT * FROM split15",
     "cap_split_documents": using("docs")
-    + _SPLIT_BY_RANK.format(want="10", first="train", rest="eval", part="PARTITION BY domain, concept", hash=h("cap", "row_id"), source="docs"),
+    + _SPLIT_BY_RANK.format(want="10", first="train", rest="eval", part="PARTITION BY domain, topic", hash=h("cap", "row_id"), source="docs"),
     "train_test_split": using("docs")
     + _SPLIT_BY_RANK.format(want="ceil(n::DOUBLE * 0.2::DOUBLE)", first="test", rest="train", part="", hash=h("split", "row_id"), source="docs"),
     "train_test_split_fast": using("docs")
-    + f"""SELECT row_id, attribute_name, description, domain, concept,
+    + f"""SELECT row_id, attribute_name, description, domain, topic,
           CASE WHEN {u('split', 'row_id')} < 0.2::DOUBLE THEN 'test' ELSE 'train' END AS split FROM docs""",
     "split_per_label": using("fine")
-    + f"""SELECT row_id, attribute_name, description, domain, concept, unnest(
+    + f"""SELECT row_id, attribute_name, description, domain, topic, unnest(
             CASE WHEN n = 1 THEN ['train', 'val'] WHEN rn <= ceil(n::DOUBLE * 0.1::DOUBLE) THEN ['val'] ELSE ['train'] END) AS split
-          FROM (SELECT *, row_number() OVER (PARTITION BY domain, concept ORDER BY {h('val', 'row_id')}, row_id) AS rn,
-                count(*) OVER (PARTITION BY domain, concept) AS n FROM fine)""",
+          FROM (SELECT *, row_number() OVER (PARTITION BY domain, topic ORDER BY {h('val', 'row_id')}, row_id) AS rn,
+                count(*) OVER (PARTITION BY domain, topic) AS n FROM fine)""",
     "head_per_group": using("attributes")
-    + """SELECT row_id, attribute_name, description, domain, concept FROM (
+    + """SELECT row_id, attribute_name, description, domain, topic FROM (
          SELECT *, row_number() OVER (PARTITION BY domain ORDER BY row_id) AS rn FROM attributes) WHERE rn <= 2""",
     "sample_n": using("attributes")
     + f"SELECT * FROM attributes ORDER BY {h('sample', 'row_id')}, row_id LIMIT 100",
     "plan_batches": using("needs15")
-    + """SELECT domain, concept, n, need, unnest(range(1, ceil(need / 5.0)::BIGINT + 1)) AS batch_id, 5::BIGINT AS batch_size,
+    + """SELECT domain, topic, n, need, unnest(range(1, ceil(need / 5.0)::BIGINT + 1)) AS batch_id, 5::BIGINT AS batch_size,
          least(CASE WHEN n <= 1 THEN 1 WHEN n <= 3 THEN 2 WHEN n <= 10 THEN 3 ELSE 6 END, n)::BIGINT AS k FROM needs15""",
 }

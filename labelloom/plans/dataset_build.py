@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from labelloom import schema as S
 from labelloom.operators.prepare import build_labelled, drop_incomplete, incomplete_counts, mask_labels
@@ -28,11 +29,12 @@ def build_dataset(
     """Write ``input.csv``, ``test.csv`` and the distribution report. The join is computed once."""
     taxonomy = with_row_id(read_csv(spark, taxonomy_path, required=S.TAXONOMY_COLUMNS))
     master = read_csv(spark, master_path, required=S.MASTER_COLUMNS)
-    joined = materialise(build_labelled(taxonomy, master).drop(S.ROW_ID).transform(with_row_id))
+    joined = materialise(build_labelled(taxonomy, master).drop(S.ROW_ID))
     complete: DataFrame = drop_incomplete(joined)
     paths = DatasetPaths(f"{out}/input.csv", f"{out}/test.csv", f"{out}/distribution_analysis.txt", 0)
     write_csv(complete, paths.labelled)
-    write_csv(mask_labels(complete, seed=seed).drop("mask"), paths.masked)
+    content = F.concat_ws("|", *S.LABELLED_COLUMNS)  # equal rows are masked alike, wherever they lie
+    write_csv(mask_labels(complete, seed=seed, id_col=content).drop("mask"), paths.masked)
     distribution_text(ordered_report(distribution(complete))).write.mode("overwrite").text(paths.report)
     paths.dropped = incomplete_counts(joined).first()["dropped"]
     return paths

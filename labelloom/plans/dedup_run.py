@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from labelloom import schema as S
 from labelloom.operators.dedup import duplicate_stats, keep_first
-from labelloom.operators.profile import concept_share, domain_counts
+from labelloom.operators.profile import topic_share, domain_counts
 from labelloom.sources.readers import read_labelled
 from labelloom.sources.writers import cleaned_path, write_csv
 
@@ -19,5 +19,5 @@ def deduplicate_csv(spark: SparkSession, path: str, out: str | None = None) -> t
     return target, {
         "duplicates": duplicate_stats(df),
         "domains": domain_counts(df, cleaned),
-        "concepts": concept_share(cleaned),
+        "topics": topic_share(cleaned),
     }

@@ -44,13 +44,13 @@ def predict_templates(
     k: int = S.TEMPLATE_TOP_K,
     id_col: str = S.ROW_ID,
 ) -> DataFrame:
-    """Ranked (domain, concept, confidence) per row: rows (id, rank, predicted_*, confidence)."""
+    """Ranked (domain, topic, confidence) per row: rows (id, rank, predicted_*, confidence)."""
     encode = encoder or hashed_encoder()
     named = template_texts(templates).withColumn("template_id", F.xxhash64(*S.CLASS, "template"))
     encoded = encode(named, "template", "vector")
     ranked = nearest_template(encode(df.select(id_col, text), text, "vector"), encoded, k, id_col=id_col)
     labels = named.select(
-        "template_id", F.col(S.DOMAIN).alias("predicted_domain"), F.col(S.CONCEPT).alias("predicted_concept")
+        "template_id", F.col(S.DOMAIN).alias("predicted_domain"), F.col(S.TOPIC).alias("predicted_topic")
     )
     return ranked.join(labels, "template_id").drop("template_id")
 

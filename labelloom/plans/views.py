@@ -15,26 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled attributes: parts, with brand as domain and type as concept."""
+    """Labelled attributes: parts, with brand as domain and type as topic."""
     part = table(spark, sf_dir, "part")
     return part.select(
         F.col("p_partkey").alias(S.ROW_ID),
         F.col("p_name").alias(S.NAME),
         F.concat_ws(" ", "p_type", "p_name", F.lit("size"), F.col("p_size").cast("string")).alias(S.DESCRIPTION),
         F.col("p_brand").alias(S.DOMAIN),
-        F.col("p_type").alias(S.CONCEPT),
+        F.col("p_type").alias(S.TOPIC),
     )
 
 
 def doc_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled long texts: documents, with language as domain and source as concept."""
+    """Labelled long texts: documents, with language as domain and source as topic."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id").alias(S.ROW_ID),
         F.col("source").alias(S.NAME),
         F.col("text").alias(S.DESCRIPTION),
         F.col("lang").alias(S.DOMAIN),
-        F.col("source").alias(S.CONCEPT),
+        F.col("source").alias(S.TOPIC),
     )
 
 
@@ -52,19 +52,19 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embedded rows: domain is the parity of the label, concept the label."""
+    """Embedded rows: domain is the parity of the label, topic the label."""
     emb = table(spark, sf_dir, "embeddings")
     return emb.select(
         F.col("vec_id").alias(S.ROW_ID),
         F.col("embedding").cast("array<double>").alias("vector"),
         (F.col("label") % 2).cast("string").alias(S.DOMAIN),
-        F.col("label").cast("string").alias(S.CONCEPT),
+        F.col("label").cast("string").alias(S.TOPIC),
     )
 
 
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One mean vector per concept: the templates of the vector queries."""
-    return mean_vector(vectors(spark, sf_dir), [S.CONCEPT], "vector")
+    """One mean vector per topic: the templates of the vector queries."""
+    return mean_vector(vectors(spark, sf_dir), [S.TOPIC], "vector")
 
 
 def vector_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def vector_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         S.ROW_ID,
         F.concat(F.lit("vec_"), number).alias(S.NAME),
-        F.concat(F.lit("vector "), number, F.lit(" of concept "), F.col(S.CONCEPT)).alias(S.DESCRIPTION),
+        F.concat(F.lit("vector "), number, F.lit(" of topic "), F.col(S.TOPIC)).alias(S.DESCRIPTION),
         *S.CLASS,
         "vector",
     )
@@ -91,7 +91,7 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = attributes(spark, sf_dir).groupBy(*S.CLASS).agg(F.min(S.DESCRIPTION).alias("__d"))
     return classes.select(
-        F.col(S.DOMAIN).alias("domain_name"), F.col(S.CONCEPT).alias("concept_name"), F.col("__d").alias("concept_definition")
+        F.col(S.DOMAIN).alias("domain_name"), F.col(S.TOPIC).alias("topic_name"), F.col("__d").alias("topic_definition")
     )
 
 
@@ -99,7 +99,7 @@ def definition_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definition text lines made from parts: good ones, comments, blanks, and malformed ones."""
     rows = attributes(spark, sf_dir)
     kind = hash_int(S.SEED, "line", S.ROW_ID) % 10
-    good = F.concat(F.col(S.DOMAIN), F.lit(" | "), F.col(S.CONCEPT), F.lit("|"), F.col(S.DESCRIPTION), F.lit(" "))
+    good = F.concat(F.col(S.DOMAIN), F.lit(" | "), F.col(S.TOPIC), F.lit("|"), F.col(S.DESCRIPTION), F.lit(" "))
     value = (
         F.when(kind == 0, F.concat(F.lit("# "), F.col(S.NAME)))
         .when(kind == 1, F.lit("   "))
@@ -151,9 +151,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias(S.ROW_ID),
         F.col("lang").alias(S.DOMAIN),
-        F.col("source").alias(S.CONCEPT),
+        F.col("source").alias(S.TOPIC),
         F.when(h % 5 == 0, F.lit("xx")).when(h % 5 == 1, F.lit("en")).otherwise(F.col("lang")).alias("predicted_domain"),
-        F.when(h % 7 == 0, F.lit("nowhere")).when(h % 7 == 1, F.concat(F.col("source"), F.lit("s"))).otherwise(F.col("source")).alias("predicted_concept"),
+        F.when(h % 7 == 0, F.lit("nowhere")).when(h % 7 == 1, F.concat(F.col("source"), F.lit("s"))).otherwise(F.col("source")).alias("predicted_topic"),
     )
 
 
@@ -184,9 +184,9 @@ def metric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fine_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled attributes with many tiny classes: the concept is name and size."""
+    """Labelled attributes with many tiny classes: the topic is name and size."""
     return attributes(spark, sf_dir).withColumn(
-        S.CONCEPT, F.concat_ws(" ", S.NAME, F.element_at(F.split(S.DESCRIPTION, " "), -1))
+        S.TOPIC, F.concat_ws(" ", S.NAME, F.element_at(F.split(S.DESCRIPTION, " "), -1))
     )
 
 

@@ -40,8 +40,9 @@ def read_csv(
     multi_line: bool = True,
     na_values: Iterable[str] | None = S.NA_VALUES,
     encoding: str = "UTF-8",
+    names: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Header CSV as strings.
+    """Header CSV as strings. ``names`` maps the file's column names to the library's, where they differ.
 
     Quoted line breaks need ``multi_line``; such files are not splittable, so give a folder of
     files, or convert once to Parquet. ``multi_line=False`` splits large files.
@@ -55,13 +56,29 @@ def read_csv(
         .option("inferSchema", False)
         .csv(path)
     )
+    frame = frame.withColumnsRenamed(names or {})
     require_columns(frame, required)
     return null_out(frame, na_values) if na_values is not None else frame
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    """A row id that grows in file order: (file, block, row) order is kept by the partition order."""
-    return df.withColumn(S.ROW_ID, F.monotonically_increasing_id())
+def with_row_id(df: DataFrame, out: str = S.ROW_ID) -> DataFrame:
+    """Numbers the rows of a file scan from 0 in the order of file path, block and line.
+
+    A block is read in order by one task, so its rows have consecutive numbers there; they are shifted
+    by the rows of all earlier blocks. The result depends neither on how Spark packs and
+    schedules blocks nor on the number of cores, and rows aren't shuffled.
+    """
+    block = ["__file", "__block"]
+    placed = df.select(
+        "*",
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__at"),
+    )
+    blocks = placed.groupBy(*block).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    shift = blocks.select(*block, (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return placed.join(shift, block).select(*df.columns, (F.col("__at") + F.col("__shift")).alias(out))
 
 
 def read_labelled(
@@ -75,7 +92,7 @@ def read_templates(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def parse_definitions(lines: DataFrame, value: str = "value", order_by: str = "line_no") -> tuple[DataFrame, DataFrame]:
-    """(definitions, rejects) of ``domain|concept|definition`` lines.
+    """(definitions, rejects) of ``domain|topic|definition`` lines.
 
     Blank lines and ``#`` comments are skipped; of repeated keys the last line wins; lines without
     exactly three fields are rejects.
@@ -85,7 +102,7 @@ def parse_definitions(lines: DataFrame, value: str = "value", order_by: str = "l
     split = kept.withColumn("__parts", parts)
     good = split.filter(F.size("__parts") == 3).select(
         strip(F.col("__parts")[0]).alias(S.DOMAIN),
-        strip(F.col("__parts")[1]).alias(S.CONCEPT),
+        strip(F.col("__parts")[1]).alias(S.TOPIC),
         strip(F.col("__parts")[2]).alias("definition"),
         F.col(order_by),
     )
@@ -98,8 +115,7 @@ def parse_definitions(lines: DataFrame, value: str = "value", order_by: str = "l
 
 
 def read_definitions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-    return parse_definitions(lines)
+    return parse_definitions(with_row_id(spark.read.text(path), "line_no"))
 
 
 HISTORY_SCHEMA = T.StructType(

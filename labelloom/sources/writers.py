@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from labelloom import schema as S
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Header CSV, quotes doubled, without the technical row id."""
-    df.drop(S.ROW_ID).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", *, names: dict[str, str] | None = None) -> str:
+    """Header CSV, quotes doubled, without the technical row id. ``names`` maps columns to names of the file."""
+    df.drop(S.ROW_ID).withColumnsRenamed(names or {}).write.mode(mode).option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -24,6 +24,7 @@ def write_if_any(df: DataFrame, path: str) -> bool:
     return True
 
 
+# File names and line forms that readers of the files expect.
 def cleaned_path(path: str) -> str:
     return path.replace(".csv", "_cleaned.csv") if ".csv" in path else path.rstrip("/") + "_cleaned"
 
@@ -46,7 +47,7 @@ def distribution_text(distribution_df: DataFrame) -> DataFrame:
         F.format_string(
             "%s: %d records (%.2f%%) | %s: %d records (%.2f%% of domain)",
             F.col(S.DOMAIN), F.col("domain_count"), F.col("domain_pct"),
-            F.col(S.CONCEPT), F.col("concept_count"), F.col("concept_pct"),
+            F.col(S.TOPIC), F.col("topic_count"), F.col("topic_pct"),
         ).alias("value")
     )
 

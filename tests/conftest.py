@@ -30,7 +30,7 @@ def sf():
 
 
 def labelled(spark, rows):
-    """Rows of (row_id, name, description, domain, concept)."""
+    """Rows of (row_id, name, description, domain, topic)."""
     return spark.createDataFrame(
-        rows, "row_id long, attribute_name string, description string, domain string, concept string"
+        rows, "row_id long, attribute_name string, description string, domain string, topic string"
     )

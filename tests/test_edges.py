@@ -42,17 +42,17 @@ def test_keep_first_takes_the_lowest_row_and_keeps_null_keys(nulls):
 
 
 def test_class_operators_ignore_unknown_classes(nulls):
-    counts = {(r["domain"], r["concept"]): r["n"] for r in profile.class_counts(nulls).collect()}
+    counts = {(r["domain"], r["topic"]): r["n"] for r in profile.class_counts(nulls).collect()}
     assert counts == {("d1", "c1"): 2, ("d2", "c1"): 1, ("d2", "c2"): 3}
     card = profile.cardinalities(nulls).first()
-    assert (card["total"], card["domains"], card["concepts"], card["classes"]) == (8, 2, 2, 3)
+    assert (card["total"], card["domains"], card["topics"], card["classes"]) == (8, 2, 2, 3)
 
 
-def test_distribution_counts_null_concepts_for_their_domain(nulls):
-    rows = {(r["domain"], r["concept"]): r for r in profile.distribution(nulls).collect()}
+def test_distribution_counts_null_topics_for_their_domain(nulls):
+    rows = {(r["domain"], r["topic"]): r for r in profile.distribution(nulls).collect()}
     assert rows[("d1", "c1")]["domain_count"] == 3
     assert rows[("d1", "c1")]["domain_pct"] == round(300 / 8, 6)
-    assert rows[("d1", "c1")]["concept_pct"] == round(200 / 3, 6)
+    assert rows[("d1", "c1")]["topic_pct"] == round(200 / 3, 6)
 
 
 def test_drop_incomplete(nulls):
@@ -61,8 +61,8 @@ def test_drop_incomplete(nulls):
 
 
 def test_missing_column_is_named(nulls):
-    with pytest.raises(ValueError, match="concept"):
-        require_columns(nulls.drop("concept"), S.LABELLED_COLUMNS)
+    with pytest.raises(ValueError, match="topic"):
+        require_columns(nulls.drop("topic"), S.LABELLED_COLUMNS)
 
 
 def test_text_spec(spark):
@@ -112,7 +112,7 @@ def test_empty_input_keeps_schema(spark):
 
 def test_one_row_label_goes_to_both_sides(spark):
     df = labelled(spark, [(1, "a", "t", "d", "one")] + [(i, f"n{i}", "t", "d", "many") for i in range(2, 23)])
-    got = split.split_per_label(df).groupBy("concept", "split").count().collect()
+    got = split.split_per_label(df).groupBy("topic", "split").count().collect()
     assert {(r[0], r[1]): r[2] for r in got} == {
         ("one", "train"): 1, ("one", "val"): 1, ("many", "val"): math.ceil(2.1), ("many", "train"): 18,
     }
@@ -172,19 +172,19 @@ def test_generated_rows_never_repeat_originals_or_each_other(spark):
 
 def test_dynamic_balance_reaches_the_target_in_every_class(spark):
     rows, i = [], 0
-    for concept, n in (("many", 5), ("some", 3), ("one", 1), ("single", 1)):
+    for topic, n in (("many", 5), ("some", 3), ("one", 1), ("single", 1)):
         for _ in range(n):
-            rows.append((i, f"n{i}", f"text {i}", "d_x", concept))
+            rows.append((i, f"n{i}", f"text {i}", "d_x", topic))
             i += 1
     df = labelled(spark, rows)
     out = balance.dynamic_balance(df)
-    assert {r["count"] for r in out.groupBy("concept").count().collect()} == {5}
+    assert {r["count"] for r in out.groupBy("topic").count().collect()} == {5}
     replicated = out.filter("origin = 'replicated'").orderBy(S.NAME).collect()
     assert [r[S.DESCRIPTION] for r in replicated] == ["Replicated (1): text 5", "Replicated (2): text 6"]
     assert replicated[0][S.NAME] == "synthetic_d_x_some_0"
     vectors = df.select("row_id", F.array(*[F.sin(F.col("row_id") * k + 1.0) for k in range(4)]).alias("vector"))
     smoted = balance.dynamic_balance(df, vectors=vectors)
-    assert {r["count"] for r in smoted.groupBy("concept").count().collect()} == {5}
+    assert {r["count"] for r in smoted.groupBy("topic").count().collect()} == {5}
     texts = smoted.filter("origin = 'smote'").collect()
     assert sorted(r[S.DESCRIPTION][:28] for r in texts) == ["SMOTE Generated (1): Based o", "SMOTE Generated (2): Based o"]
 
@@ -202,7 +202,7 @@ def test_explode_copies_crosses_chunk_bounds(spark):
 def test_report_with_one_sided_labels(spark):
     df = spark.createDataFrame(
         [("a", "x", "a", "x"), ("a", "x", "b", "x"), ("c", "y", "b", "x")],
-        "domain string, concept string, predicted_domain string, predicted_concept string",
+        "domain string, topic string, predicted_domain string, predicted_topic string",
     )
     report = {(r["level"], r["kind"], r["label"]): r for r in evaluate.classification_report(df).collect()}
     assert report[("domain", "label", "b")]["support"] == 0
@@ -210,7 +210,7 @@ def test_report_with_one_sided_labels(spark):
     assert report[("domain", "label", "c")]["precision"] == 0.0
     assert report[("domain", "label", "a")]["f1"] == round(2 / 3, 6)
     assert report[("domain", "macro avg", None)]["f1"] == round(2 / 9, 6)
-    assert report[("concept", "accuracy", None)]["f1"] == round(2 / 3, 6)
+    assert report[("topic", "accuracy", None)]["f1"] == round(2 / 3, 6)
     assert {r["level"]: r["accuracy"] for r in evaluate.accuracy(df).collect()}["domain"] == round(1 / 3, 6)
 
 
@@ -247,10 +247,10 @@ def test_enrich_falls_back_and_aligns(spark):
 
 def test_similarity_edges(spark):
     rows = [(1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, [1.0, 0.0], "b"), (4, [0.0, 0.0], "b"), (5, [0.0, 1.0], "a"), (6, [1.0, 0.01], "b")]
-    df = spark.createDataFrame(rows, "row_id long, vector array<double>, concept string")
+    df = spark.createDataFrame(rows, "row_id long, vector array<double>, topic string")
     got = {(r["id1"], r["id2"]) for r in similarity.similarity_pairs(df, 0.8).collect()}
     assert got == {(1, 2), (1, 3), (2, 3), (1, 6), (2, 6), (3, 6)}
-    differ = {(r["id1"], r["id2"]) for r in similarity.similarity_pairs(df, 0.8, differ="concept").collect()}
+    differ = {(r["id1"], r["id2"]) for r in similarity.similarity_pairs(df, 0.8, differ="topic").collect()}
     assert differ == {(1, 3), (2, 3), (1, 6), (2, 6)}
     with pytest.raises(ValueError):
         similarity.similarity_pairs(df, 0.0)
@@ -267,7 +267,7 @@ def test_template_ties_take_the_first_label(spark):
 def test_smote_points_lie_between_their_ends(spark):
     rng = np.random.default_rng(0)
     rows = [(i, "d", "big" if i < 12 else "small", rng.normal(size=5).tolist()) for i in range(16)]
-    df = spark.createDataFrame(rows, "row_id long, domain string, concept string, vector array<double>")
+    df = spark.createDataFrame(rows, "row_id long, domain string, topic string, vector array<double>")
     values = {r[0]: np.array(r[3]) for r in rows}
     for k in (None, 2):
         made = smote.smote_vectors(df, keys=S.CLASS, neighbours=k).collect()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labelloom import schema as S
 from labelloom.operators import classify, split, tracking
 from labelloom.plans import views as V
-from labelloom.plans.balancing import balance_csv
+from labelloom.plans.balancing import balance_file
 from labelloom.plans.dataset_build import build_dataset
 from labelloom.plans.dedup_run import deduplicate_csv
 from labelloom.plans.template_route import predict_templates_csv
@@ -17,7 +17,7 @@ from labelloom.session import ensure_checkpoint_dir
 from labelloom.sources import readers, writers
 from labelloom.streaming.incremental import run_incrementally, stream_csv
 
-CSV = '''attribute_name,description,domain,concept
+CSV = '''attribute_name,description,domain,topic
 net_revenue,"Income, after ""returns""",finance,revenue
 page_views,"Views
 per page",web,usage
@@ -83,13 +83,13 @@ def test_dedup_flow(spark, folder):
 
 
 def test_dataset_flow(spark, folder):
-    taxonomy = _write(folder, "t.csv", "attribute_name,domain,concept\na,d,c\nb,d,e\nz,d,e\na,d2,c2\n")
+    taxonomy = _write(folder, "t.csv", "attribute_name,domain,topic\na,d,c\nb,d,e\nz,d,e\na,d2,c2\n")
     master = _write(folder, "m.csv", "attribute_name,description\na,text a\nb,\nq,unused\na,other a\n")
     paths = build_dataset(spark, taxonomy, master, f"{folder}/data")
     assert paths.dropped == 1
     assert readers.read_labelled(spark, paths.labelled).count() == 4
     masked = readers.read_labelled(spark, paths.masked)
-    assert masked.count() == 4 and masked.filter("domain IS NOT NULL AND concept IS NOT NULL").count() == 0
+    assert masked.count() == 4 and masked.filter("domain IS NOT NULL AND topic IS NOT NULL").count() == 0
     assert "records" in spark.read.text(paths.report).first()[0]
 
 
@@ -117,9 +117,9 @@ def test_balance_flow(spark, sf, folder):
         tag = str(abs(hash(prompt)) % 10**8)
         return "\n".join(f'{{"attribute_name": "new_{tag}_{i}", "description": "d {i}"}}' for i in range(5))
 
-    tables = balance_csv(spark, f"{folder}/in.csv", f"{folder}/out", generator, definitions_path=f"{folder}/defs.txt", cap=4)
+    tables = balance_file(spark, f"{folder}/in.csv", f"{folder}/out", generator, definitions_path=f"{folder}/defs.txt", cap=4)
     train = readers.read_labelled(spark, f"{folder}/out/balanced_training_data.csv")
-    assert {r["count"] for r in train.groupBy("domain", "concept").count().collect()} == {4}
+    assert {r["count"] for r in train.groupBy("domain", "topic").count().collect()} == {4}
     assert tables["generation"].agg(F.sum("shortfall")).first()[0] == 0
     assert tables["report"].filter("section = 'totals' AND metric = 'original'").first()["value"] == _attributes(spark, sf).count()
 
@@ -128,13 +128,13 @@ def test_train_predict_evaluate_flow(spark, sf, folder):
     rows = _attributes(spark, sf)
     path, report = run_training(spark, rows, f"{folder}/models", max_iter=30, n_features=256)
     averages = {(r["level"], r["kind"]): r["f1"] for r in report.collect()}
-    assert averages[("concept", "accuracy")] > 0.9  # the concept is a word of the text
-    writers.write_csv(rows.drop("domain", "concept"), f"{folder}/in.csv")
+    assert averages[("topic", "accuracy")] > 0.9  # the topic is a word of the text
+    writers.write_csv(rows.drop("domain", "topic"), f"{folder}/in.csv")
     out = predict_csv(spark, f"{folder}/in.csv", folder, history=f"{folder}/models/history")
     scored = readers.read_csv(spark, out)
-    assert {"predicted_domain", "predicted_concept"} <= set(scored.columns) and scored.count() == rows.count()
+    assert {"predicted_domain", "predicted_topic"} <= set(scored.columns) and scored.count() == rows.count()
     specs = spark.createDataFrame([("x: SMALL red widget size 3",)], "value string")
-    assert predict_texts(spark, path, specs).first()["predicted_concept"] == "SMALL"
+    assert predict_texts(spark, path, specs).first()["predicted_topic"] == "SMALL"
     writers.write_csv(rows, f"{folder}/full.csv")
     assert evaluate_csv(spark, f"{folder}/full.csv", path).count() > 0
     with pytest.raises(FileNotFoundError):
@@ -146,14 +146,14 @@ def test_heads_beat_the_majority_rate(spark, folder, head, options):
     rows = spark.range(240).select(
         F.col("id").alias("row_id"),
         F.concat(F.lit("d"), F.col("id") % 2).alias("domain"),
-        F.concat(F.lit("c"), F.col("id") % 3).alias("concept"),
+        F.concat(F.lit("c"), F.col("id") % 3).alias("topic"),
         F.array(*[F.when(F.col("id") % 6 == k, 1.0).otherwise(F.sin(F.col("id") + k) * 0.2) for k in range(6)]).alias("vector"),
     )
     parts = split.train_test_split(rows)
     model = classify.train(parts.filter("split = 'train'"), head, vector="vector", **options)
     report = classify.evaluate(model, parts.filter("split = 'test'"), vector="vector")
     accuracy = {r["level"]: r["f1"] for r in report.filter("kind = 'accuracy'").collect()}
-    assert accuracy["domain"] > 0.8 and accuracy["concept"] > 0.8
+    assert accuracy["domain"] > 0.8 and accuracy["topic"] > 0.8
 
 
 def test_template_flow_and_streaming(spark, sf, folder):
@@ -162,9 +162,9 @@ def test_template_flow_and_streaming(spark, sf, folder):
     writers.write_csv(rows, f"{folder}/in.csv")
     out = predict_templates_csv(spark, f"{folder}/in.csv", f"{folder}/out.csv", "description", templates)
     scored = readers.read_csv(spark, out)
-    assert {"predicted_domain", "predicted_concept", "confidence"} <= set(scored.columns)
+    assert {"predicted_domain", "predicted_topic", "confidence"} <= set(scored.columns)
     assert scored.count() == rows.count()
-    right = scored.filter("predicted_concept = concept").count()
+    right = scored.filter("predicted_topic = topic").count()
     assert right > rows.count() / 2
 
 
@@ -189,7 +189,7 @@ def test_streaming_equals_batch(spark, sf, folder):
 
     vectors = V.vectors(spark, sf).select("row_id", "vector")
     vectors.repartition(3).write.parquet(f"{folder}/vectors")
-    templates = V.centroids(spark, sf).withColumnRenamed("concept", "template_id")
+    templates = V.centroids(spark, sf).withColumnRenamed("topic", "template_id")
     source = spark.readStream.schema(vectors.schema).parquet(f"{folder}/vectors")
     run_incrementally(source, lambda d: nearest_template(d, templates), f"{folder}/near", f"{folder}/ckpt2").awaitTermination()
     batch = nearest_template(vectors, templates)

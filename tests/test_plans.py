@@ -65,7 +65,7 @@ def test_keep_first_prunes_on_the_map_side(spark, sf):
 
 def test_pair_joins_are_equi_joins_on_places(spark, sf):
     text = plan(pairs.positive_pairs(materialise(V.attributes(spark, sf))))
-    assert re.search(r"(SortMergeJoin|HashJoin) \[domain#\d+, concept#\d+, __mate", text)
+    assert re.search(r"(SortMergeJoin|HashJoin) \[domain#\d+, topic#\d+, __mate", text)
     hard = plan(pairs.hard_negative_pairs(V.attributes(spark, sf)))
     assert re.search(r"(SortMergeJoin|HashJoin) \[domain#\d+, rank#\d+L\]", hard)
 
@@ -90,5 +90,5 @@ def test_same_rows_without_any_broadcast(spark, sf, name):
 def test_prompts_group_bounded_lists_only(spark, sf):
     rows = V.attributes(spark, sf)
     planned = generate.plan_batches(rows, 15)
-    sizes = generate.context_sample(rows, planned).groupBy("domain", "concept", "batch_id").count()
+    sizes = generate.context_sample(rows, planned).groupBy("domain", "topic", "batch_id").count()
     assert sizes.agg(F.max("count")).first()[0] <= 6

@@ -51,7 +51,7 @@ def test_hash_rank_is_a_permutation_per_group(skewed, local):
     got = ranking.hash_rank(skewed, S.CLASS, seed=1, salt="x", id_col="row_id").collect()
     by_class = {}
     for r in got:
-        by_class.setdefault((r["domain"], r["concept"]), []).append(r["rank"])
+        by_class.setdefault((r["domain"], r["topic"]), []).append(r["rank"])
     assert all(sorted(v) == list(range(len(v))) for v in by_class.values())
 
 
@@ -60,7 +60,7 @@ def test_cap_split_is_a_partition(skewed, local, cap):
     out = split.cap_split(skewed, cap).collect()
     assert sorted(r["row_id"] for r in out) == list(range(N))
     for (d, c), ids in _classes(local).items():
-        train = [r for r in out if (r["domain"], r["concept"]) == (d, c) and r["split"] == "train"]
+        train = [r for r in out if (r["domain"], r["topic"]) == (d, c) and r["split"] == "train"]
         assert len(train) == min(cap, len(ids))
 
 
@@ -121,11 +121,11 @@ def test_negative_draws_are_spread_over_anchors(skewed, local):
     assert len(touched) == N
 
 
-def test_hard_negatives_have_the_quota_per_concept_pair(skewed, local):
+def test_hard_negatives_have_the_quota_per_topic_pair(skewed, local):
     sizes = {k: len(v) for k, v in _classes(local).items()}
     got = {}
     for r in pairs.hard_negative_pairs(skewed).collect():
-        got[(r["domain"], r["concept1"], r["concept2"])] = got.get((r["domain"], r["concept1"], r["concept2"]), 0) + 1
+        got[(r["domain"], r["topic1"], r["topic2"])] = got.get((r["domain"], r["topic1"], r["topic2"]), 0) + 1
     want = {}
     for d in {k[0] for k in sizes}:
         for a, b in itertools.combinations(sorted(c for x, c in sizes if x == d), 2):
@@ -138,15 +138,15 @@ def test_hard_negatives_have_the_quota_per_concept_pair(skewed, local):
 def test_mix_keeps_its_quotas(spark):
     a = spark.createDataFrame([(i, i + 100) for i in range(10)], "id1 long, id2 long")
     b = spark.createDataFrame([(i, i + 200) for i in range(30)], "id1 long, id2 long")
-    for total, concept, text in ((7, 3, 4), (40, 10, 30), (100, 10, 30), (0, 0, 0)):
+    for total, topic, text in ((7, 3, 4), (40, 10, 30), (100, 10, 30), (0, 0, 0)):
         got = {r["kind"]: r["count"] for r in pairs.mix_similar_negatives(a, b, total).groupBy("kind").count().collect()}
-        assert (got.get("concept", 0), got.get("text", 0)) == (concept, text)
+        assert (got.get("topic", 0), got.get("text", 0)) == (topic, text)
 
 
 def test_replication_matches_the_cyclic_rule(skewed, local):
     top = max(len(v) for v in _classes(local).values())
     texts = {r[0]: r[2] for r in local}
-    got = {(r["domain"], r["concept"], r["i"]): r for r in balance.replicate(skewed).collect()}
+    got = {(r["domain"], r["topic"], r["i"]): r for r in balance.replicate(skewed).collect()}
     want = {}
     for (d, c), ids in _classes(local).items():
         ids = sorted(ids)
@@ -180,7 +180,7 @@ def _vectors(n, dims, seed, copies=0):
 @pytest.mark.parametrize("threshold,pivots,block", [(0.8, 1, 500), (0.8, 9, 500), (0.8, 9, 11), (0.9, 25, 7), (0.3, 12, 20)])
 def test_similarity_join_equals_brute_force(spark, threshold, pivots, block):
     points = _vectors(150, 8, 5, copies=50)
-    df = spark.createDataFrame([(i, p.tolist(), str(i % 3)) for i, p in enumerate(points)], "row_id long, vector array<double>, concept string")
+    df = spark.createDataFrame([(i, p.tolist(), str(i % 3)) for i, p in enumerate(points)], "row_id long, vector array<double>, topic string")
     units = points / np.linalg.norm(points, axis=1, keepdims=True)
     sims = np.round(units @ units.T, 9)
     want = {(i, j) for i in range(150) for j in range(i + 1, 150) if sims[i, j] > threshold}
@@ -190,7 +190,7 @@ def test_similarity_join_equals_brute_force(spark, threshold, pivots, block):
 
 def test_copies_pair_once_with_their_number(spark):
     rows = [(i, [1.0, 0.0], "a" if i < 40 else "b") for i in range(60)] + [(60, [1.0, 0.1], "a"), (61, [0.0, 1.0], "a")]
-    df = spark.createDataFrame(rows, "row_id long, vector array<double>, concept string")
+    df = spark.createDataFrame(rows, "row_id long, vector array<double>, topic string")
     got = {(r["id1"], r["id2"]): (r["copies1"], r["copies2"]) for r in similarity.similar_text_pairs(df, 0.8).collect()}
     assert got == {(0, 40): (40, 20), (40, 60): (20, 1)}
 
@@ -213,7 +213,7 @@ def test_top_k_equals_brute_force(spark, block):
 def test_info_nce_of_one_tuple(spark):
     slots = spark.createDataFrame(
         [(0, "anchor", 0, 1, "d", "c"), (0, "positive", 0, 2, "d", "c"), (0, "negative", 0, 3, "d", "c"), (0, "negative", 1, 4, "d", "c")],
-        "tuple_id long, role string, slot long, id long, domain string, concept string",
+        "tuple_id long, role string, slot long, id long, domain string, topic string",
     )
     vectors = spark.createDataFrame(
         [(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 1.0]), (4, [-1.0, 0.0])], "row_id long, vector array<double>"
