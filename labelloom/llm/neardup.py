@@ -39,6 +39,9 @@ BANDS, ROWS = 10, 4
 DF_BITS = 18
 IDF_FLOOR = 0.1
 SECOND_ROUND = 4
+ROWS_PER_FILE = 100_000
+#: Bits of the filter that tells which texts to read again; false positives cost time only.
+FILTER_BITS = 26
 #: Bits of a shingle's hash that are kept within a slice (the rest number the slice's documents).
 HASH_BITS = 46
 
@@ -176,12 +179,25 @@ def signatures(docs: DataFrame, idf, text: str) -> DataFrame:
     return docs.mapInArrow(sign, out)
 
 
-def vectors(docs: DataFrame, idf) -> DataFrame:
-    """(node, h, w): the weighted set of each text of ``docs`` (text), as packed arrays."""
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """Bits of the hashes in the column ``key``: 2**FILTER_BITS of them, whatever the number of rows."""
+    placed = keys.select(F.shiftrightunsigned("key", 64 - FILTER_BITS).alias("place"))
+    bits = F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")
+    words = placed.groupBy(F.shiftright("place", 6).alias("at")).agg(bits).toPandas()
+    bitmap = np.zeros((1 << FILTER_BITS) // 64, np.uint64)
+    bitmap[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return bitmap
+
+
+def vectors(docs: DataFrame, wanted, idf) -> DataFrame:
+    """(node, h, w): the weighted sets of those texts of ``docs`` (text, key) whose key is in the bitmap, as packed arrays."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = wanted.value
         for batch in batches:
-            for _, _, h, tf, bounds in shingle_slices(batch.column(0)):
+            place = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            chosen = (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
+            for _, _, h, tf, bounds in shingle_slices(batch.column(0).filter(pa.array(chosen == 1))):
                 some = np.flatnonzero(np.diff(bounds) > 0)
                 if not len(some):
                     continue
@@ -192,7 +208,7 @@ def vectors(docs: DataFrame, idf) -> DataFrame:
                     names=["node", "h", "w"],
                 )
 
-    return docs.select("text").mapInArrow(pack, "node binary, h binary, w binary").dropDuplicates(["node"])
+    return docs.mapInArrow(pack, "node binary, h binary, w binary")
 
 
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,29 +225,39 @@ def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, idf, threshold: float) -> DataFrame:
-    """(a, b, sim) of the pairs of nodes whose weighted Jaccard similarity reaches the threshold."""
+    """(a, b, sim) of the pairs of nodes whose weighted Jaccard similarity reaches the threshold.
+
+    Texts of nodes in pairs are read again where they lie: a bitmap of fixed size tells them, so no text is shuffled.
+    """
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    holders = materialise(nodes.join(wanted, "node").select("row", "texthash"))
-    texts = docs.join(holders, ["row", "texthash"], "left_semi")
-    packed = materialise(vectors(texts.select("text"), idf))
+    key = F.xxhash64("row", "texthash").alias("key")
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(nodes.join(wanted, "node").select(key)))
+    packed = vectors(docs.select("text", key), bitmap, idf).dropDuplicates(["node"]).join(wanted, "node", "left_semi")
+    packed = materialise(packed)
     joined = pairs.join(packed.toDF("a", "h1", "w1"), "a").join(packed.toDF("b", "h2", "w2"), "b")
     sims = joined.select("a", "b", "h1", "w1", "h2", "w2").mapInArrow(_similarity, "a binary, b binary, sim double")
     return sims.filter(F.col("sim") >= threshold)
 
 
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """Written in as many files as about ``rows`` narrow rows need, however many partitions a shuffle has."""
+    return materialise(df.coalesce(max(1, -(-rows // ROWS_PER_FILE))))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of the links: the smallest node that it is connected with.
 
     Labels spread to neighbours and are then looked up again (label of the label), until none changes.
     """
-    both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    n = 2 * links.count()
+    both = compact(links.select("a", "b").union(links.select("b", "a")).distinct(), n)
+    labels = compact(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), n)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        spread = materialise(spread)
+        spread = compact(spread, n)
         jump = spread.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        jumped = materialise(spread.join(jump, "label").select("node", F.least("label", "far").alias("label"), "old"))
+        jumped = compact(spread.join(jump, "label").select("node", F.least("label", "far").alias("label"), "old"), n)
         if jumped.filter("label <> old").limit(1).count() == 0:
             return jumped.select("node", "label")
         labels = jumped.select("node", "label")
@@ -245,15 +271,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     nodes = signed.filter("node is not null").groupBy("node").agg(
         F.min(F.struct("row", "texthash", "total", "keys")).alias("m")
     ).select("node", "m.row", "m.texthash", "m.total", "m.keys")
-    nodes = materialise(nodes)
+    n = signed.count()
+    nodes = compact(nodes, n)
     keyed = nodes.select("node", "total", F.posexplode("keys").alias("band", "key"))
     crowd = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).filter("n > 1").drop("n")
-    members = materialise(keyed.join(crowd, ["band", "key"]))
+    members = compact(keyed.join(crowd, ["band", "key"]), n)
     along = Window.partitionBy("band", "key").orderBy("total", "node")
     first = members.filter(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
     beside = members.withColumn("a", F.lag("node").over(along)).filter("a is not null").select("a", F.col("node").alias("b"))
     lengths = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    pairs = materialise(first.union(beside).select(*lengths).distinct())
+    pairs = compact(first.union(beside).select(*lengths).distinct(), n)
     links = materialise(verified(pairs, rows, nodes, idf, threshold))
     labels = components(links)
     placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -264,7 +291,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         later = later.withColumn(f"n{k}", F.lag(F.struct("node", "label"), k).over(along))
     other = later.select("node", "label", F.explode(F.array(*[f"n{k}" for k in range(1, SECOND_ROUND + 1)])).alias("n"))
     more = other.filter("n is not null and n.label <> label").select(F.col("n.node").alias("a"), F.col("node").alias("b"))
-    more = materialise(more.select(*lengths).distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = compact(more.select(*lengths).distinct().join(pairs, ["a", "b"], "left_anti"), n)
     if more.limit(1).count():
         found = materialise(verified(more, rows, nodes, idf, threshold))
         if found.limit(1).count():
