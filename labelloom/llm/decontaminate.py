@@ -34,6 +34,8 @@ PARTING = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 SHINGLE = 3
 BROADCAST_ROWS = 1_000_000
+#: Files of a table that follows the benchmark, not the documents.
+SMALL_FILES = 8
 KEY = ["__id", "__text"]
 
 
@@ -61,7 +63,7 @@ def _shingles(words: Column, q: int) -> Column:
 
 def _bounded(df: DataFrame) -> DataFrame:
     """Written once; marked for broadcast only if its size has been checked."""
-    df = materialise(df)
+    df = materialise(df.repartition(SMALL_FILES))
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
@@ -96,7 +98,7 @@ def occurrences(docs: DataFrame, tokens: DataFrame, sizes: list[int]) -> DataFra
 
 def windows_found(docs: DataFrame, items: DataFrame, *, size: int = WINDOW) -> DataFrame:
     """(__id, __text, item_id, start, stop): every occurrence of a window of an item, words [start, stop) of the document."""
-    placed = materialise(item_shingles(items, size=size))
+    placed = materialise(item_shingles(items, size=size).repartition(SMALL_FILES))
     sizes = [r["q"] for r in placed.select("q").distinct().collect()]  # at most SHINGLE values
     if not sizes:
         return docs.select(*KEY, F.lit("").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("stop")).filter("false")

@@ -48,12 +48,10 @@ from labelloom.llm.textkit import (
     word_bounds,
     word_hashes,
 )
-from labelloom.session import materialise
-
 WINDOW = 20
 ANCHOR = 12
 BITMAP_BITS = 27
-FLUSH = 1_500_000
+FLUSH = 500_000
 SECOND = Powers(0xA24BAED4963EE407)
 
 
@@ -222,7 +220,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     rows = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), last), "__th": F.xxhash64(text), "__t": F.col(text).cast("string")})
     bare = rows.select(F.col("__t").alias("text"), F.col("__id").alias("id"), F.col("__th").alias("th"))
     bitmap = repeated_anchors(bare, window=window, anchor=anchor)
-    spans = materialise(repeated_windows(bare, bitmap, window=window, anchor=anchor))
+    spans = repeated_windows(bare, bitmap, window=window, anchor=anchor)
     joined = rows.join(spans.toDF("__id", "__th", "__spans"), ["__id", "__th"], "left")
     names = [*docs.columns, "__t", "__spans"]
     out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
