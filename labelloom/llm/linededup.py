@@ -11,6 +11,9 @@ is extended both ways, over the runs that selected it, and these runs are compar
 their lines; the first of equal runs stays. So a fingerprint shared by millions of documents makes one
 row per position, never pairs. Deleted runs of a document merge by a running maximum.
 
+The joins are sort-merge joins at every size: a broadcast that only small tables get would hide what large ones
+need, and hot keys are split by adaptive execution.
+
 Lines are parted by LF. Empty lines (after trimming spaces, tabs and CR) are no lines: they take no part in
 runs, and those inside a repeat are deleted with it.
 
@@ -52,7 +55,7 @@ def fingerprints(docs: DataFrame, *, run: int = RUN, shingle: int = SHINGLE) ->
     """(order columns, start, a, b, print, own): each run of lines with its first and last position, the
     fingerprint it selected and the hashes of its lines. ``docs`` has the order columns and ``lines``."""
     width = run - shingle + 1
-    long = docs.filter(F.size("lines") >= run).dropDuplicates(ORDER)
+    long = docs.filter(F.size("lines") >= run)
     long = long.select(*ORDER, F.transform("lines", lambda x: F.struct(F.xxhash64(x["line"]).alias("h"), x["pos"].alias("pos"))).alias("l"))
 
     def shingled(i: Column) -> Column:
@@ -75,10 +78,10 @@ def fingerprints(docs: DataFrame, *, run: int = RUN, shingle: int = SHINGLE) ->
 def repeats(prints: DataFrame) -> DataFrame:
     """(order columns, start, a, b) of every run that also starts earlier."""
     often = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
-    shared = prints.join(often, "print", "left_semi")
+    shared = prints.join(often.hint("merge"), "print", "left_semi")
     place = F.struct(*ORDER, "start")
     firsts = shared.groupBy("own").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return shared.join(firsts, "own").filter(place != F.col("first")).select(*ORDER, "start", "a", "b")
+    return shared.join(firsts.hint("merge"), "own").filter(place != F.col("first")).select(*ORDER, "start", "a", "b")
 
 
 def repeated_spans(gone: DataFrame, run: int) -> DataFrame:
@@ -112,7 +115,7 @@ def dedup_lines(docs: DataFrame, *, run: int = RUN, shingle: int = SHINGLE, id_c
     rows = keyed(docs.drop("n_lines", "n_removed"), id_col, text)
     prints = materialise(fingerprints(rows.select(*ORDER, counting_lines(text).alias("lines")), run=run, shingle=shingle))
     spans = materialise(repeated_spans(repeats(prints), run).withColumnsRenamed({"spans": "__spans", "n_removed": "__n"}))
-    joined = rows.join(spans, ORDER, "left")
+    joined = rows.join(spans.hint("merge"), ORDER, "left")
     n_lines = F.coalesce(F.size(counting_lines(text)), F.lit(0))
     return (
         joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long"))
