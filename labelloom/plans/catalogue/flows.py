@@ -113,7 +113,8 @@ def _conditional(spark, sf):
     parts = split.cap_split(rows, 15)
     wrote = writers.write_if_any(split.evaluation_part(parts), path)
     skipped = writers.write_if_any(rows.filter("row_id < 0"), f"{path}-none")
-    return readers.read_csv(spark, path).agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(wrote).alias("wrote"), F.lit(skipped).alias("skipped"))
+    back = readers.read_csv(spark, path) if wrote else rows.filter("row_id < 0")
+    return back.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(wrote).alias("wrote"), F.lit(skipped).alias("skipped"))
 
 
 def _dedup(spark, sf):
@@ -180,7 +181,7 @@ ORACLES = {
     "report_text": f"""SELECT printf('%s: %d records (%.2f%%) | %s: %d records (%.2f%% of domain)', domain, domain_count, domain_pct,
          topic, topic_count, topic_pct) AS value FROM ({profiling.ORACLES["ordered_report"]})""",
     "conditional_write": using("split15")
-    + "SELECT count(*) AS n, true AS wrote, false AS skipped FROM split15 WHERE split = 'eval'",
+    + "SELECT count(*) AS n, count(*) > 0 AS wrote, false AS skipped FROM split15 WHERE split = 'eval'",
     "dedup_file": using("kept") + f"SELECT {_ALL} FROM kept",
     "dataset_build": using("complete", masked=f"SELECT {_ALL}, {_MASK} AS u FROM complete")
     + f"""SELECT {_ALL}, 'input' AS part FROM complete UNION ALL

@@ -19,7 +19,8 @@ def plan(df):
 
 
 # queries whose plan is fixed before any model is fitted
-PLANNED = sorted(set(QUERIES) - {"predict_logistic", "predict_trees", "predict_text", "evaluate_model"})
+FITTED = {"predict_logistic", "predict_trees", "predict_forest", "predict_text", "evaluate_model", "train_and_predict_file"}
+PLANNED = sorted(name for name in set(QUERIES) - FITTED if not re.match(r"op\d+_|pipeline$", name))
 
 
 @pytest.mark.parametrize("name", PLANNED)
