@@ -9,10 +9,12 @@ documents that fall in a bucket by chance, alike at every number of documents. S
 1. Every document gets K consistent weighted samples; BANDS keys combine ROWS of them each. A pair of
    similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS: 0.995 at 0.8.
 2. Documents with equal weighted sets are one node. Within a key, nodes are paired with the first of the key
-   and with their neighbour by total weight: linear, never all pairs. Pairs are verified by
-   exact weighted Jaccard similarity.
-3. Links become classes (connected components). Keys that still hold several classes get a second
-   round: each node with the next SECOND_ROUND nodes of other classes.
+   and with their neighbour by total weight: linear. Pairs are verified by exact weighted Jaccard similarity.
+3. Links become classes (connected components). In keys that still hold several classes all pairs of different
+   classes are compared whose total weights allow the threshold: as pairs in keys of at most FEW nodes, else by
+   blocks of nodes. Every pair of blocks is a group of its own, whose similarities are one matrix product,
+   and gives a spanning forest of its links. So every link that shares a key counts. The work grows with
+   the square of a key's nodes only as far as they are of different classes and of similar weight.
 
 Defined cases: null texts and texts without words have no shingles, each is a class of its own; equal texts are one
 class; a null id may be in a class, whose id is the smallest id of its documents, null only if all are; rows with
@@ -38,7 +40,15 @@ THRESHOLD = 0.8
 BANDS, ROWS = 10, 4
 DF_BITS = 18
 IDF_FLOOR = 0.1
-SECOND_ROUND = 4
+#: Keys of at most so many nodes are compared pair by pair, larger ones by blocks of at most so many nodes and about so much weight.
+FEW = 8
+BLOCK_NODES = 1024
+BLOCK_WEIGHT = 2_000_000
+#: Shingles in at most so few documents of two blocks are compared pair by pair, others in dense matrices of so many columns.
+RARE = 8
+COLUMNS = 2048
+#: Similarities of blocks are sums in single precision; they are exact to far less than this.
+MARGIN = 1e-4
 ROWS_PER_FILE = 100_000
 #: Bits of the filter that tells which texts to read again; false positives cost time only.
 FILTER_BITS = 26
@@ -211,34 +221,130 @@ def vectors(docs: DataFrame, wanted, idf) -> DataFrame:
     return docs.mapInArrow(pack, "node binary, h binary, w binary")
 
 
+def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sets of sorted hashes."""
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = b[at] == a
+    shared = np.minimum(wa[both], wb[at[both]]).sum(dtype=np.float64)
+    return shared / (wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - shared)
+
+
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sims = np.zeros(batch.num_rows)
         for k, (h1, w1, h2, w2) in enumerate(zip(*[batch.column(c) for c in ("h1", "w1", "h2", "w2")])):
             a, b = np.frombuffer(h1.as_buffer(), np.uint64), np.frombuffer(h2.as_buffer(), np.uint64)
-            wa, wb = np.frombuffer(w1.as_buffer(), np.float32), np.frombuffer(w2.as_buffer(), np.float32)
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            both = b[at] == a
-            shared = np.minimum(wa[both], wb[at[both]]).sum(dtype=np.float64)
-            sims[k] = shared / (wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - shared)
+            sims[k] = similarity(a, np.frombuffer(w1.as_buffer(), np.float32), b, np.frombuffer(w2.as_buffer(), np.float32))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims)], names=["a", "b", "sim"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, idf, threshold: float) -> DataFrame:
-    """(a, b, sim) of the pairs of nodes whose weighted Jaccard similarity reaches the threshold.
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+
 
-    Texts of nodes in pairs are read again where they lie: a bitmap of fixed size tells them, so no text is shuffled.
+def packed_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
+    """(node, h, w) of the wanted nodes.
+
+    Their texts are read again where they lie: a bitmap of fixed size tells them, so no text is shuffled.
     """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = wanted.distinct()
     key = F.xxhash64("row", "texthash").alias("key")
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(nodes.join(wanted, "node").select(key)))
-    packed = vectors(docs.select("text", key), bitmap, idf).dropDuplicates(["node"]).join(wanted, "node", "left_semi")
-    packed = materialise(packed)
+    return materialise(vectors(docs.select("text", key), bitmap, idf).dropDuplicates(["node"]).join(wanted, "node", "left_semi"))
+
+
+def verified(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim) of the pairs of nodes whose weighted Jaccard similarity reaches the threshold."""
     joined = pairs.join(packed.toDF("a", "h1", "w1"), "a").join(packed.toDF("b", "h2", "w2"), "b")
     sims = joined.select("a", "b", "h1", "w1", "h2", "w2").mapInArrow(_similarity, "a binary, b binary, sim double")
     return sims.filter(F.col("sim") >= threshold)
 
 
+def block_overlaps(h: np.ndarray, w: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sum of the smaller weights of the shared shingles, of each left and each right document (entries: shingle, weight, document).
+
+    A shingle's k-th smallest weight is a column that the documents of at least this weight have; it weighs
+    what it exceeds the one before. Columns of few documents add up pair by pair.
+    """
+    n = int(max(left.max(), right.max())) + 1
+    out = np.zeros((len(left), len(right)))
+    row_of, col_of = np.full(n, -1), np.full(n, -1)
+    row_of[left], col_of[right] = np.arange(len(left)), np.arange(len(right))
+    order = np.lexsort((w, h))
+    h, w, doc = h[order], w[order].astype(np.float64), doc[order]
+    new_h = np.concatenate(([True], h[1:] != h[:-1]))
+    ends = np.append(np.flatnonzero(new_h)[1:], len(h))[np.cumsum(new_h) - 1]  # after the last entry of the shingle
+    at = np.flatnonzero(new_h | np.concatenate(([True], w[1:] != w[:-1])))  # first entry of each column; it holds all up to ``ends``
+    gain = w[at] - np.where(new_h[at], 0.0, w[at - 1])
+    held = ends[at] - at
+    flat = out.ravel()
+    for c in range(2, RARE + 1):
+        own = np.flatnonzero(held == c)
+        members = doc[at[own][:, None] + np.arange(c)]
+        for x in range(c):
+            for y in range(c):
+                if x != y:
+                    r, k = row_of[members[:, x]], col_of[members[:, y]]
+                    both = (r >= 0) & (k >= 0)
+                    np.add.at(flat, r[both] * len(right) + k[both], gain[own][both])
+    own = np.flatnonzero(held > RARE)
+    for part in (own[k : k + COLUMNS] for k in range(0, len(own), COLUMNS)):
+        dense = np.zeros((n, len(part)), np.float32)
+        many = held[part]
+        entry = np.repeat(at[part] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        dense[doc[entry], np.repeat(np.arange(len(part)), many)] = 1
+        out += (dense[left] * gain[part].astype(np.float32)) @ dense[right].T
+    return out
+
+
+def block_links(table: pa.Table, threshold: float) -> pa.Table:
+    """(a, b): a spanning forest of the links between classes that a pair of blocks holds (side, node, label, h, w)."""
+    side = table.column("side").to_numpy()
+    nodes = table.column("node").to_pylist()
+    _, label = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)
+    h, w = ([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)] for c, kind in (("h", np.uint64), ("w", np.float32)))
+    doc = np.repeat(np.arange(len(h)), [len(x) for x in h])
+    total = np.array([x.sum(dtype=np.float64) for x in w])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if side.any() else 0))
+    shared = block_overlaps(np.concatenate(h), np.concatenate(w), doc, left, right)
+    sims = shared / (total[left][:, None] + total[right] - shared)
+    found: list[tuple[int, int]] = []
+    root = np.arange(int(label.max()) + 1)
+    # single precision decides all but a margin; in it, the exact similarity does
+    for low, high in ((threshold + MARGIN, np.inf), (threshold - MARGIN, threshold + MARGIN)):
+        for k, i in enumerate(left):
+            for j in right[np.flatnonzero((sims[k] >= low) & (sims[k] < high))]:
+                a, b = root[label[i]], root[label[j]]
+                if a != b and (high == np.inf or similarity(h[i], w[i], h[j], w[j]) >= threshold):
+                    root[root == b] = a
+                    found.append((i, j))
+    return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
+
+
+def links_by_blocks(still: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between the classes of each key of ``still`` (band, key, node, total, label), enough to connect all that are linked."""
+    key, least = ["band", "key"], threshold * (1 - 1e-6)
+    held = still.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("held"))
+    own = F.when(F.col("held") >= BLOCK_NODES, F.col("label"))  # large classes have blocks of their own
+    along = Window.partitionBy(*key).orderBy("own", "total", "node")
+    nth, weight = F.row_number().over(along), F.sum("total").over(along)
+    block = F.xxhash64(F.coalesce("own", F.lit(b"")), F.floor(nth / BLOCK_NODES), F.floor(weight / BLOCK_WEIGHT))
+    placed = still.join(held, [*key, "label"]).withColumn("own", own).withColumn("block", block).select(*key, "block", "node", "total", "label")
+    placed = materialise(placed)
+    sizes = [F.min("total").alias("lo"), F.max("total").alias("hi"), F.min("label").alias("l0"), F.max("label").alias("l1")]
+    blocks = placed.groupBy(*key, "block").agg(*sizes)
+    x, y = (blocks.select(*key, *[F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi", "l0", "l1")]) for s in "xy")
+    alike = (F.col("hi_x") >= least * F.col("lo_y")) & (F.col("hi_y") >= least * F.col("lo_x"))
+    one = (F.col("l0_x") == F.col("l1_x")) & (F.col("l0_y") == F.col("l1_y")) & (F.col("l0_x") == F.col("l0_y"))
+    met = x.join(y, key).filter((F.col("block_x") <= F.col("block_y")) & alike & ~one)
+    first, second = F.struct(F.col("block_x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("block_y").alias("block"), F.lit(1).alias("side"))
+    sides = F.when(F.col("block_x") == F.col("block_y"), F.array(first)).otherwise(F.array(first, second))
+    sides = met.select(*key, F.col("block_x").alias("i"), F.col("block_y").alias("j"), F.inline(sides))
+    sent = placed.select(*key, "block", "node", "label").join(sides, [*key, "block"]).join(packed, "node")
+    groups = sent.select(*key, "i", "j", "side", "node", "label", "h", "w").groupBy(*key, "i", "j")
+    return groups.applyInArrow(lambda table: block_links(table, threshold), "a binary, b binary")
+
+
 def compact(df: DataFrame, rows: int) -> DataFrame:
     """Written in as many files as about ``rows`` narrow rows need, however many partitions a shuffle has."""
     return materialise(df.coalesce(max(1, -(-rows // ROWS_PER_FILE))))
@@ -281,19 +387,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     beside = members.withColumn("a", F.lag("node").over(along)).filter("a is not null").select("a", F.col("node").alias("b"))
     lengths = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     pairs = compact(first.union(beside).select(*lengths).distinct(), n)
-    links = materialise(verified(pairs, rows, nodes, idf, threshold))
+    links = materialise(verified(pairs, packed_sets(ends_of(pairs), rows, nodes, idf), threshold).select("a", "b"))
     labels = components(links)
     placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band", "key")
-    still = placed.join(mixed, ["band", "key"], "left_semi").select("band", "key", "node", "total", "label")
-    later = still
-    for k in range(1, SECOND_ROUND + 1):
-        later = later.withColumn(f"n{k}", F.lag(F.struct("node", "label"), k).over(along))
-    other = later.select("node", "label", F.explode(F.array(*[f"n{k}" for k in range(1, SECOND_ROUND + 1)])).alias("n"))
-    more = other.filter("n is not null and n.label <> label").select(F.col("n.node").alias("a"), F.col("node").alias("b"))
-    more = compact(more.select(*lengths).distinct().join(pairs, ["a", "b"], "left_anti"), n)
-    if more.limit(1).count():
-        found = materialise(verified(more, rows, nodes, idf, threshold))
+    ranges = [F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")]
+    mixed = placed.groupBy("band", "key").agg(*ranges).filter("lo <> hi").select("band", "key", "n")
+    still = compact(placed.join(mixed, ["band", "key"]).select("band", "key", "node", "total", "label", "n"), n)
+    few, many = still.filter(F.col("n") <= FEW).drop("n"), still.filter(F.col("n") > FEW).drop("n")
+    other = few.join(few.toDF("band", "key", "b", "total_b", "label_b"), ["band", "key"]).filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")))
+    other = other.filter(F.least("total", "total_b") >= threshold * (1 - 1e-6) * F.greatest("total", "total_b"))
+    more = compact(other.select(F.col("node").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"), n)
+    if still.limit(1).count():
+        packed = packed_sets(ends_of(more).union(many.select("node")), rows, nodes, idf)
+        found = materialise(verified(more, packed, threshold).select("a", "b").union(links_by_blocks(many, packed, threshold)))
         if found.limit(1).count():
             labels = components(links.union(found))
     classed = signed.join(labels, "node", "left").select("row", "texthash", "node", F.coalesce("label", "node").alias("class"))

@@ -352,6 +352,48 @@ def test_near_duplicates_against_all_pairs(spark):
     assert Counter(d for d in kept if sets[1000 - d]) == Counter(some)
 
 
+def test_near_duplicates_in_a_family_on_one_template(spark):
+    """Two copies of different length of 300 texts on one template: about a tenth of the copies share only keys with all the family."""
+    rng = random.Random(11)
+    fresh = iter(range(10**9))
+    template, own = sentence(rng, 300, 10**9), lambda n: " ".join(f"o{next(fresh)}" for _ in range(n))
+    texts = []
+    for _ in range(300):
+        one = f"{template} {own(rng.randrange(40, 44))}"
+        texts += [one, f"{one} {own(rng.randrange(50, 66))}"]
+    n = len(texts)
+    sets = [set(shingles(t)) for t in texts]
+    texts += [own(5) for _ in range(7_000)]
+    df = Counter(s for x in sets for s in x)
+    weight = {s: math.log((1 + len(texts)) / (1 + max(c, neardup.IDF_FLOOR * len(texts)))) + 1 for s, c in df.items()}
+    total = [sum(weight[s] for s in x) for x in sets]
+    links = set()
+    for i in range(n):
+        for j in range(i):
+            shared = sum(weight[s] for s in sets[i] & sets[j])
+            if shared / (total[i] + total[j] - shared) >= 0.8:
+                links.add((j, i))
+    assert links == {(k, k + 1) for k in range(0, n, 2)}
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {k for k in range(0, n, 2) if got[k] != k} == set()
+    missed = sum(got[k + 1] != k for k in range(0, n, 2))
+    assert missed <= 3  # the keys themselves miss less than one in a hundred
+
+
+def test_block_overlaps_against_pairs():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400 if k % 2 else 60, 50)).astype(np.uint64) for k in range(60)]
+    ws = [rng.choice([1.5, 3.0, 4.5], len(x)).astype(np.float32) for x in sets]
+    doc = np.repeat(np.arange(60), [len(x) for x in sets])
+    for left, right in ((np.arange(60), np.arange(60)), (np.arange(25), np.arange(25, 60))):
+        got = neardup.block_overlaps(np.concatenate(sets), np.concatenate(ws), doc, left, right)
+        for r, i in enumerate(left):
+            for c, j in enumerate(right):
+                if i != j:
+                    sim = got[r, c] / (ws[i].sum() + ws[j].sum() - got[r, c])
+                    assert sim == pytest.approx(neardup.similarity(sets[i], ws[i], sets[j], ws[j]), abs=1e-6)
+
+
 def test_samples_are_consistent_with_weighted_similarity():
     rng = np.random.default_rng(4)
     h = np.sort(rng.integers(0, 1 << 46, 400).astype(np.uint64))
