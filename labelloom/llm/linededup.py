@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes. DataFrame functions only.
+"""Line dedup by hashes of runs of lines, filtered by winnowing. DataFrame functions only.
 
 A run of ``run`` consecutive lines that also starts earlier (in a smaller document, or before in the
 same one) is a repeat; lines covered by a repeat are deleted. Winnowing finds the runs: shingles of
@@ -6,10 +6,10 @@ same one) is a repeat; lines covered by a repeat are deleted. Winnowing finds th
 smallest hash (the first of equals). The choice depends on the window alone, so equal runs select
 the same fingerprint at the same distance: a guarantee for every match of ``run`` lines or more.
 
-Positions are joined on fingerprints: only those that occur twice go on. Around such a position the match
-is extended both ways, over the runs that selected it, and these runs are compared by the hash of all
-their lines; the first of equal runs stays. So a fingerprint shared by millions of documents makes one
-row per position, never pairs. Deleted runs of a document merge by a running maximum.
+Fingerprints are only a filter: every run has a row with the fingerprint that it selected, and those whose fingerprint
+occurs twice go on. They are grouped by the hashes of all their lines, and the first of equal runs stays. There
+is no join of positions and no extension: the union of equal runs is what extending exact matches gives. So a
+fingerprint shared by millions of documents makes one row per run, never pairs. Deleted runs of a document merge by a running maximum.
 
 The joins are sort-merge joins at every size: a broadcast that only small tables get would hide what large ones
 need, and hot keys are split by adaptive execution.
