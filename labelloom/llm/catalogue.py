@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import ctw, decontaminate, langid, linededup, mixing, neardup, substring, topk, toxicity, warc
+from labelloom.llm import ctw, decontaminate, filteraudit, langid, linededup, merkle, mixing, neardup, qualityrules, substring, topk, toxicity, warc
 from labelloom.session import materialise
 
 
@@ -74,6 +74,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op11_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return filteraudit.audit(filteraudit.mask_counts(docs, labels), "ABCDE")
+
+
+def op12_qualityrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    counted = materialise(qualityrules.with_statistics(docs))
+    certs = qualityrules.calibrate(counted, _table(spark, sf_dir, "labels"))
+    return qualityrules.judge(counted, certs).drop("lang", "n_lines")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    more = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
+    changed = F.coalesce(_remainder(7) == 0, F.lit(False)) & F.col("doc_id").isNotNull()
+    rows = merkle.manifest(docs.withColumn("other", F.when(changed, merkle.leaf_hash(*more))), keep=["other"])
+    shown = rows.withColumn("folded_root", merkle.folded(F.coalesce("other", "leaf"), F.col("witness")))
+    columns = ["doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("witness")).alias("proof_sha256"), "folded_root"]
+    return shown.select(*columns, (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_ctw": op1_ctw,
     "op2_mixing": op2_mixing,
@@ -85,6 +107,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
+    "op11_filteraudit": op11_filteraudit,
+    "op12_qualityrules": op12_qualityrules,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -94,4 +119,7 @@ ORACLES: dict[str, str] = {
     "op6_topk": topk.ORACLE,
     "op7_linededup": linededup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
+    "op11_filteraudit": filteraudit.ORACLE,
+    "op12_qualityrules": qualityrules.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }
