@@ -243,11 +243,12 @@ def calibrate(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", str
 
 def judge(docs: DataFrame, certs: DataFrame, *, stratum: str = "lang", rules: dict = RULES) -> DataFrame:
     """``docs`` (with counts) plus ``base_failed`` and ``kept``."""
-    chosen = materialise(cutoffs(certs, rules))  # its size is known then: Spark joins it as suits
-    joined = docs.join(chosen, F.col(stratum).cast("string").eqNullSafe(F.col("stratum")), "left")
+    chosen = cutoffs(certs, rules).withColumnsRenamed({"stratum": "__stratum", **{f"cut_{r}": f"__cut_{r}" for r in rules}})
+    chosen = materialise(chosen)  # its size is known then: Spark joins it as suits
+    joined = docs.join(chosen, F.col(stratum).cast("string").eqNullSafe(F.col("__stratum")), "left")
     rejected = F.lit(False)
     for r, (count, base, _) in rules.items():
-        rejected = rejected | F.coalesce(F.lit(1000) * F.col(count) > F.col(f"cut_{r}") * F.col(base), F.lit(False))
+        rejected = rejected | F.coalesce(F.lit(1000) * F.col(count) > F.col(f"__cut_{r}") * F.col(base), F.lit(False))
     failed = base_failed()
     return joined.select(*[c for c in docs.columns if c not in ("base_failed", "kept")], failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))
 
