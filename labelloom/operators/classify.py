@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, Normalizer, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from labelloom import schema as S
 from labelloom.functions.text import effective_text
+from labelloom.operators.boosting import BoostedTreesModel, fit_trees
 from labelloom.operators.evaluate import classification_report
 from labelloom.operators.prepare import known_pairs_only
 from labelloom.sources.readers import require_columns
@@ -50,21 +53,15 @@ def featurize(df: DataFrame, n_features: int = 1 << 12, vector: str | None = Non
     return Pipeline(stages=text_features(n_features)).fit(prepared).transform(prepared).drop("__text", "__words", "__tf", "__idf")
 
 
-def _head(level: str, kind: str, max_iter: int, trees: int, depth: int, seed: int, parallelism: int):
-    columns = {"featuresCol": "features", "labelCol": f"{level}_index", "predictionCol": f"__{level}"}
+def _fitted_head(rows: DataFrame, level: str, classes: int, kind: str, max_iter: int, trees: int, depth: int, seed: int):
+    columns = {"featuresCol": "features", "predictionCol": f"__{level}", "rawPredictionCol": f"__{level}_raw", "probabilityCol": f"__{level}_prob"}
+    label = f"{level}_index"
     if kind == "logistic":
-        return LogisticRegression(
-            family="multinomial", maxIter=max_iter, rawPredictionCol=f"__{level}_raw", probabilityCol=f"__{level}_prob", **columns
-        )
+        return LogisticRegression(family="multinomial", maxIter=max_iter, labelCol=label, **columns).fit(rows)
     if kind == "forest":
-        return RandomForestClassifier(
-            numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, rawPredictionCol=f"__{level}_raw", probabilityCol=f"__{level}_prob", **columns
-        )
+        return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, labelCol=label, **columns).fit(rows)
     if kind == "trees":
-        outputs = {"rawPredictionCol": f"__{level}_raw"}
-        booster = GBTClassifier(maxIter=trees, stepSize=0.1, maxDepth=depth, seed=seed, cacheNodeIds=True)
-        booster.setRawPredictionCol(f"__{level}_raw").setProbabilityCol(f"__{level}_prob")
-        return OneVsRest(classifier=booster, parallelism=parallelism, **outputs, **columns)
+        return BoostedTreesModel(*fit_trees(rows, classes, label=label, trees=trees, depth=depth, seed=seed), classes, **columns)
     raise ValueError(f"unknown head: {kind}")
 
 
@@ -79,27 +76,30 @@ def train(
     depth: int = 6,
     n_features: int = 1 << 12,
     seed: int = S.SEED,
-    parallelism: int = 8,
 ) -> PipelineModel:
     """One pipeline: encoder, then an independent head per label level.
 
-    Heads: ``logistic``; ``trees``, boosted trees, one ensemble per class, ``parallelism`` of them at a time;
-    ``forest``, one random forest for all classes. The head is always the one asked for.
+    Heads: ``logistic``; ``trees``, boosted trees, one ensemble for all classes; ``forest``, one random forest
+    for all classes. The head is always the one asked for, and knows exactly the labels that occur.
 
     The driver holds coefficients only; gradients and tree statistics are summed on executors.
     """
     require_columns(df, [*levels, *([] if vector else [S.DESCRIPTION])])
     rows = prepare_features(df.dropna("any", subset=list(levels)), vector).persist()
     try:
-        stages = [] if vector else text_features(n_features)
-        for level in levels:
+        encoder = Pipeline(stages=[] if vector else text_features(n_features)).fit(rows)
+        encoded = encoder.transform(rows)
+
+        def stages_of(level: str) -> list:
             indexer = index_labels(rows, level)
-            stages += [
-                indexer,
-                _head(level, head, max_iter, trees, depth, seed, parallelism),
-                IndexToString(inputCol=f"__{level}", outputCol=f"predicted_{level}", labels=indexer.labels),
-            ]
-        return Pipeline(stages=stages).fit(rows)
+            # a head is fitted to the labels that occur; the number for unseen labels is for rows to be scored alone
+            labelled = indexer.copy().setHandleInvalid("error").transform(encoded)
+            fitted = _fitted_head(labelled, level, len(indexer.labels), head, max_iter, trees, depth, seed)
+            return [indexer, fitted, IndexToString(inputCol=f"__{level}", outputCol=f"predicted_{level}", labels=indexer.labels)]
+
+        with ThreadPoolExecutor(len(levels)) as pool:  # the levels' chains of jobs side by side
+            fitted = list(pool.map(inheritable_thread_target(df.sparkSession)(stages_of), levels))
+        return PipelineModel([*encoder.stages, *(stage for stages in fitted for stage in stages)])
     finally:
         rows.unpersist()
 

@@ -19,6 +19,7 @@ from labelloom import schema as S
 from labelloom.functions.hashing import hash_int, hash_mod
 from labelloom.functions.ranking import head_per_group
 from labelloom.functions.vectors import unit
+from labelloom.session import materialise
 
 BLOCK = 2048  # vectors of one side in one task
 BROADCAST_FLOATS = 4_000_000  # at most 32 MB of doubles are sent to every executor
@@ -162,11 +163,17 @@ def nearest_original(
     synthetic_id: str = "synthetic_id",
     id_col: str = S.ROW_ID,
     vector: str = "vector",
+    cells: int | None = None,
 ) -> DataFrame:
-    """For each synthetic vector the original with the largest dot product (lowest id on ties)."""
-    return top_k_matches(
-        synthetic, originals, 1, keys=keys, query_id=synthetic_id, base_id=id_col, vector=vector
-    ).select(F.col("query_id").alias(synthetic_id), F.col("base_id").alias(id_col), F.col("score").alias("dot"))
+    """For each synthetic vector the original with the largest dot product (lowest id on ties).
+
+    Without ``keys`` all originals are candidates: a vector then only meets the cells of originals whose bounds can hold its best.
+    """
+    from labelloom.operators.vectorindex import pruned_top_k
+
+    sides = {"query_id": synthetic_id, "base_id": id_col, "vector": vector}
+    found = top_k_matches(synthetic, originals, 1, keys=keys, **sides) if keys else pruned_top_k(synthetic, originals, 1, cells=cells, **sides)
+    return found.select(F.col("query_id").alias(synthetic_id), F.col("base_id").alias(id_col), F.col("score").alias("dot"))
 
 
 def nearest_template(
@@ -178,19 +185,22 @@ def nearest_template(
     vector: str = "vector",
     template_id: str = "template_id",
     max_floats: int = BROADCAST_FLOATS,
+    cells: int | None = None,
 ) -> DataFrame:
     """Top-k templates of every row by cosine: (id, template_id, confidence, rank).
 
     Templates whose measured size is within ``max_floats`` are broadcast, and each Arrow batch of rows
     is matched where it was read, without a shuffle. A larger template table goes through
-    ``top_k_matches``, with the same answer. Null vectors take no part on either side.
+    ``pruned_top_k``, with the same answer. Null vectors take no part on either side.
     """
+    from labelloom.operators.vectorindex import pruned_top_k
+
     templates = templates.filter(F.col(vector).isNotNull())
     size = templates.agg(F.sum(F.size(vector)).alias("floats"), F.count(F.lit(1)).alias("n")).first()
     unit_templates = templates.select(template_id, unit(vector).alias(vector))
     if (size["floats"] or 0) > max_floats:
         rows = df.select(id_col, unit(vector).alias(vector))
-        return top_k_matches(rows, unit_templates, k, query_id=id_col, base_id=template_id, vector=vector).select(
+        return pruned_top_k(rows, unit_templates, k, query_id=id_col, base_id=template_id, vector=vector, cells=cells).select(
             F.col("query_id").alias(id_col), F.col("base_id").alias(template_id), F.col("score").alias("confidence"), "rank"
         )
     kept = unit_templates.toPandas()  # bounded by the size check above
@@ -408,14 +418,19 @@ def similar_text_pairs(
     vector: str = "vector",
     topic: str = S.TOPIC,
     block: int = BLOCK,
+    recall: float | None = None,
 ) -> DataFrame:
     """Pairs of similar texts of different topics: hard negatives.
 
     Rows with the same vector and topic are one entry with a copy count, so a group of copies
-    never pairs with itself; a result row stands for ``copies1 * copies2`` row pairs.
+    never pairs with itself; a result row stands for ``copies1 * copies2`` row pairs. With ``recall`` the pairs come
+    from hash buckets (``lsh_pairs``): none below the threshold, and at least about that share of the others.
     """
-    entries = collapse_copies(df.select(id_col, vector, topic), [vector, topic], id_col)
-    pairs = similarity_pairs(entries, threshold, id_col=id_col, vector=vector, differ=topic, block=block)
+    from labelloom.operators.lsh import lsh_pairs
+
+    entries = materialise(collapse_copies(df.select(id_col, vector, topic), [vector, topic], id_col))  # read by every step of the join
+    options = {"id_col": id_col, "vector": vector, "differ": topic, "block": block}
+    pairs = similarity_pairs(entries, threshold, **options) if recall is None else lsh_pairs(entries, threshold, recall=recall, **options)
     info = entries.select(id_col, topic, "copies")
     first = info.select(F.col(id_col).alias("id1"), F.col(topic).alias("topic1"), F.col("copies").alias("copies1"))
     second = info.select(F.col(id_col).alias("id2"), F.col(topic).alias("topic2"), F.col("copies").alias("copies2"))

@@ -3,7 +3,6 @@ the comparison with the majority rate have, and so has a nearest-template route
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +34,9 @@ def judged(predicted: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def _predict(spark, sf, head, **options):
-    train, test = _split(V.vectors(spark, sf))
+    train, test = _split(V.decided_vectors(spark, sf))
     model = classify.train(train, head, vector="vector", **options)
-    # labels of these vectors are drawn at random: no model can beat the majority rate
-    return judged(classify.predict(model, test, vector="vector"), train).drop("better_topic")
+    return judged(classify.predict(model, test, vector="vector"), train)
 
 
 def _text_model(spark, sf):
@@ -48,7 +46,7 @@ def _text_model(spark, sf):
 
 def _evaluate(spark, sf):
     """Per level and label of the report: its support in the test rows, and whether its scores are shares."""
-    train, test = _split(V.vectors(spark, sf))
+    train, test = _split(V.decided_vectors(spark, sf))
     report = classify.evaluate(classify.train(train, vector="vector"), test, vector="vector")
     shares = F.lit(True)
     for score in ("precision", "recall", "f1"):
@@ -82,19 +80,19 @@ def _index(spark, sf):
 def _features(spark, sf):
     """Of each row: the number of words of any weight (``size`` is in every row, so it has none), and its length."""
     made = classify.featurize(V.attributes(spark, sf), 1 << 14)
-    values = F.filter(vector_to_array("features"), lambda x: x != 0)
+    values = F.filter(F.unwrap_udt("features")["values"], lambda x: x != 0)  # of the sparse rows as they are
     return made.select(S.ROW_ID, F.size(values).cast("bigint").alias("words"), F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
 
 
 _TEST = f"""SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {h('split', 'row_id')}, row_id) AS place, count(*) OVER () AS total FROM {{source}})
   WHERE place <= ceil(total * 0.2::DOUBLE)"""
-_JUDGED = "SELECT row_id, domain, topic, true AS known_domain, true AS known_topic FROM "
+_JUDGED = "SELECT row_id, domain, topic, true AS known_domain, true AS known_topic, true AS better_topic FROM "
 
 QUERIES = {
     "index_labels": _index,
     "featurize": _features,
     "predict_logistic": lambda s, d: _predict(s, d, "logistic"),
-    "predict_trees": lambda s, d: _predict(s, d, "trees", trees=10, depth=3),
+    "predict_trees": lambda s, d: _predict(s, d, "trees"),
     "predict_forest": lambda s, d: _predict(s, d, "forest"),
     "predict_text": _text_model,
     "evaluate_model": _evaluate,
@@ -107,11 +105,11 @@ ORACLES = {
     "index_labels": using("attributes")
     + """SELECT row_id, domain, topic, (dense_rank() OVER (ORDER BY domain) - 1)::DOUBLE AS domain_index,
          (dense_rank() OVER (ORDER BY topic) - 1)::DOUBLE AS topic_index FROM attributes""",
-    "predict_logistic": using("vectors") + _JUDGED + "(" + _TEST.format(source="vectors") + ")",
-    "predict_forest": using("vectors") + _JUDGED + "(" + _TEST.format(source="vectors") + ")",
-    "predict_trees": using("vectors") + _JUDGED + "(" + _TEST.format(source="vectors") + ")",
-    "predict_text": using("attributes") + _JUDGED.replace(" FROM", ", true AS better_topic FROM") + "(" + _TEST.format(source="attributes") + ")",
-    "evaluate_model": using("vectors", test=_TEST.format(source="vectors"))
+    "predict_logistic": using("decided") + _JUDGED + "(" + _TEST.format(source="decided") + ")",
+    "predict_forest": using("decided") + _JUDGED + "(" + _TEST.format(source="decided") + ")",
+    "predict_trees": using("decided") + _JUDGED + "(" + _TEST.format(source="decided") + ")",
+    "predict_text": using("attributes") + _JUDGED + "(" + _TEST.format(source="attributes") + ")",
+    "evaluate_model": using("decided", test=_TEST.format(source="decided"))
     + """SELECT level, label, support, true AS shares FROM (
            SELECT 'domain' AS level, domain AS label, count(*) AS support FROM test GROUP BY domain
            UNION ALL SELECT 'topic', topic, count(*) FROM test GROUP BY topic)""",

@@ -46,6 +46,10 @@ VIEWS = {
         SELECT vec_id AS row_id, embedding::DOUBLE[] AS vector, (label % 2)::VARCHAR AS domain,
                label::VARCHAR AS topic
         FROM embeddings""",
+    "decided": """
+        SELECT row_id, CASE WHEN vector[4] > 0 THEN 'up' ELSE 'down' END AS domain,
+               CASE WHEN vector[1] >= vector[2] AND vector[1] >= vector[3] THEN 'first' WHEN vector[2] >= vector[3] THEN 'second' ELSE 'third' END AS topic
+        FROM vectors""",
     "centroids": """
         SELECT topic, list(x ORDER BY pos) AS vector FROM (
             SELECT topic, pos, avg(vector[pos]) AS x
@@ -130,7 +134,7 @@ VIEWS = {
 
 NEEDS = {
     "kept": ["attributes"], "master": ["attributes"], "labelled": ["attributes", "master"], "complete": ["labelled"],
-    "centroids": ["vectors"], "units": ["vectors"], "counts": ["attributes"], "capped": ["attributes"],
+    "centroids": ["vectors"], "decided": ["vectors"], "units": ["vectors"], "counts": ["attributes"], "capped": ["attributes"],
     "definitions": ["attributes"], "split15": ["attributes"], "response_lines": ["attributes"],
     "parsed": ["response_lines"], "strict": ["parsed"], "per_line": ["parsed"],
     "fresh_strict": ["strict", "attributes"], "fresh_line": ["per_line", "attributes"], "needs15": ["counts"],

@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from labelloom import schema as S
 from labelloom.functions.vectors import squared_norm
-from labelloom.operators import pairs, similarity, smote
+from labelloom.operators import pairs, similarity, smote, vectorindex
 from labelloom.plans import views as V
 from labelloom.plans.catalogue.sql import h, u, using
+from labelloom.session import materialise
 
 TEXT_AT = 0.3  # the tables hold no pair above the default .8
 TOPIC_AT = 0.05  # nor two class means above the default .7
+CELLS = 16
+PROBES = 12  # these vectors hardly cluster: a neighbour may lie in most cells
 
 
 def _text_pairs(spark, sf):
@@ -59,6 +62,50 @@ def _nearest_original(spark, sf):
     return found.withColumn("dot", F.round("dot", 6))
 
 
+def _text_pairs_lsh(spark, sf):
+    found = similarity.similar_text_pairs(V.vectors(spark, sf), TEXT_AT, recall=0.98)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def _lsh_recall(spark, sf):
+    """Pairs above the threshold, and whether the buckets give 90 % of them and none besides."""
+    keys = ["id1", "id2"]
+    exact, found = (materialise(pairs_of(spark, sf).select(*keys, "similarity")) for pairs_of in (_text_pairs, _text_pairs_lsh))
+    both = exact.join(found.withColumn("hit", F.lit(True)), [*keys, "similarity"], "full")
+    sides = both.join(exact.select(*keys, F.lit(True).alias("true")), keys, "left")
+    n, hits = F.count("true"), F.count_if(F.col("true") & F.col("hit"))
+    return sides.agg(n.alias("pairs"), (hits >= 0.9 * n).alias("recalled"), (F.count_if(F.col("true").isNull()) == 0).alias("none_else"))
+
+
+def _index(spark, sf):
+    """A kept index of the first half of the rows, the second half appended later, opened again from its files."""
+    rows = V.vectors(spark, sf)
+    later = F.col(S.ROW_ID) % 2 == 1
+    index = vectorindex.build_index(rows.filter(~later), keys=S.CLASS, cells=CELLS)
+    vectorindex.append(index, rows.filter(later))
+    return vectorindex.load_index(spark, index.path)
+
+
+def _knn_indexed(spark, sf, **options):
+    found = vectorindex.knn_join_indexed(V.vectors(spark, sf), 5, _index(spark, sf), **options)
+    return found.withColumn("distance2", F.round("distance2", 6))
+
+
+def _knn_recall(spark, sf):
+    """Neighbours in all, and whether the probed cells alone give 90 % of them."""
+    keys = [S.ROW_ID, "neighbour_id"]
+    probed = _knn_indexed(spark, sf, probes=PROBES).select(*keys, F.lit(True).alias("hit"))
+    both = _knn(spark, sf).join(probed, keys, "left")
+    n = F.count(F.lit(1))
+    return both.agg(n.alias("neighbours"), (F.count("hit") >= 0.9 * n).alias("recalled"))
+
+
+def _nearest_original_all(spark, sf):
+    rows = V.vectors(spark, sf)
+    made = materialise(smote.smote_vectors(rows, keys=S.CLASS).withColumn("synthetic_id", F.concat_ws("|", S.DOMAIN, S.TOPIC, "i")))
+    return similarity.nearest_original(made, rows, cells=CELLS).withColumn("dot", F.round("dot", 6))
+
+
 def _texts(spark, sf):
     rows = V.vector_texts(spark, sf)
     return smote.smote_texts(rows.drop("vector"), rows.select(S.ROW_ID, "vector"))
@@ -71,14 +118,20 @@ def _simple_texts(spark, sf):
 
 QUERIES = {
     "similar_text_pairs": _text_pairs,
+    "similar_text_pairs_lsh": _text_pairs_lsh,
+    "similar_text_pairs_recall": _lsh_recall,
     "similar_topic_pairs": _topic_pairs,
     "mix_similar_negatives": _mix,
     "nearest_template_top3": _nearest_template,
-    "nearest_template_top3_shuffled": lambda s, d: _nearest_template(s, d, max_floats=0),
+    "nearest_template_top3_shuffled": lambda s, d: _nearest_template(s, d, max_floats=0, cells=4),
     "knn_join": _knn,
+    "knn_join_indexed": _knn_indexed,
+    "knn_join_probed": lambda s, d: _knn_indexed(s, d, probes=PROBES),
+    "knn_join_recall": _knn_recall,
     "smote_vectors": _points,
     "smote_vectors_knn": lambda s, d: _points(s, d, neighbours=5),
     "nearest_original": _nearest_original,
+    "nearest_original_all": _nearest_original_all,
     "smote_to_text": _texts,
     "smote_to_text_simple": _simple_texts,
 }
@@ -160,8 +213,11 @@ SELECT domain, topic, n, i, row_id, d FROM (
 _IN_CLASS = "s.domain = v.domain AND s.topic = v.topic"
 _NAMED = "'vector ' || row_id::VARCHAR || ' of topic ' || (SELECT t.topic FROM vectors t WHERE t.row_id = x.row_id)"
 
+_KNN = using("vectors") + "SELECT row_id, neighbour_id, round(distance2, 6) AS distance2, rank FROM (" + _NEIGHBOURS + ")"
+
 ORACLES = {
     "similar_text_pairs": using("units") + _TEXT_PAIRS,
+    "similar_text_pairs_recall": using("units", tp=_TEXT_PAIRS) + "SELECT count(*) AS pairs, true AS recalled, true AS none_else FROM tp",
     "similar_topic_pairs": using("centroids", heads=_HEADS) + _TOPIC_PAIRS,
     "mix_similar_negatives": using("units", "centroids", heads=_HEADS, tp=_TEXT_PAIRS, cp=_TOPIC_PAIRS)
     + f""", ranked AS (
@@ -174,13 +230,17 @@ ORACLES = {
          WHERE CASE kind WHEN 'topic' THEN rn <= total // 2 ELSE rn <= total - least(total // 2, c) END""",
     "nearest_template_top3": using("units", "centroids") + _TEMPLATES,
     "nearest_template_top3_shuffled": using("units", "centroids") + _TEMPLATES,
-    "knn_join": using("vectors")
-    + "SELECT row_id, neighbour_id, round(distance2, 6) AS distance2, rank FROM (" + _NEIGHBOURS + ")",
+    "knn_join": _KNN,
+    "knn_join_indexed": _KNN,
+    "knn_join_recall": using("vectors") + "SELECT count(*) AS neighbours, true AS recalled FROM (" + _NEIGHBOURS + ")",
     "smote_vectors": using("vectors", **_VIEWS) + _SCALARS.format(source="synthetic"),
     "smote_vectors_knn": using("vectors", **_VIEWS, neighbours=_NEIGHBOURS, near=_KNN_SYNTHETIC) + _SCALARS.format(source="near"),
     "nearest_original": using("vectors", **_VIEWS)
     + "SELECT domain || '|' || topic || '|' || i::VARCHAR AS synthetic_id, row_id, round(d, 6) AS dot FROM ("
     + _nearest("synthetic", _IN_CLASS) + ")",
+    "nearest_original_all": using("vectors", **_VIEWS)
+    + "SELECT domain || '|' || topic || '|' || i::VARCHAR AS synthetic_id, row_id, round(d, 6) AS dot FROM ("
+    + _nearest("synthetic", "true") + ")",
     "smote_to_text": using("vectors", **_VIEWS)
     + f"""SELECT row_id AS source_id, i, 'synthetic_' || domain || '_' || topic || '_' || i::VARCHAR AS attribute_name,
           'SMOTE Generated (' || (i - n + 1)::VARCHAR || '): Based on ' || {_NAMED} AS description, domain, topic

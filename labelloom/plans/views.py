@@ -62,6 +62,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decided_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedded rows with labels that the vector decides: the axis, of the first three, that it is nearest to, and a sign."""
+    x = lambda k: F.get("vector", F.lit(k))
+    axis = F.when((x(0) >= x(1)) & (x(0) >= x(2)), "first").when(x(1) >= x(2), "second").otherwise("third")
+    return vectors(spark, sf_dir).withColumns({S.DOMAIN: F.when(x(3) > 0, "up").otherwise("down"), S.TOPIC: axis})
+
+
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One mean vector per topic: the templates of the vector queries."""
     return mean_vector(vectors(spark, sf_dir), [S.TOPIC], "vector")
