@@ -147,7 +147,7 @@ def repeated_windows(docs: DataFrame, bitmap: np.ndarray, *, window: int, anchor
         held, size = [], 0
         for batch in batches:
             ids, hashes = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for first, stop, _, _, _, at, words in sliced_words(batch.column(0)):
+            for first, stop, data, starts, ends, at, words in sliced_words(batch.column(0)):
                 start, row, least, _ = anchors(words, at, window, anchor)
                 bit = least >> np.uint64(64 - BITMAP_BITS)
                 some = (shared.value[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8))) & 1
@@ -155,9 +155,11 @@ def repeated_windows(docs: DataFrame, bitmap: np.ndarray, *, window: int, anchor
                 start, row = start[some], row[some]
                 if not len(start):
                     continue
+                # the second half of the hash has nothing of the first: other word hashes, another base
+                twice = word_hashes(data, starts, ends, lane=1)
                 up, down = SECOND.upto(len(words) + 1)
                 sums = np.zeros(len(words) + 1, np.uint64)
-                np.cumsum(words * up[: len(words)], out=sums[1:])
+                np.cumsum(twice * up[: len(words)], out=sums[1:])
                 other = mix((sums[start + window] - sums[start]) * down[start])
                 held.append((window_hashes(words, window)[start], other, ids[first:stop][row], hashes[first:stop][row], (start - at[row]).astype(np.int32)))
                 size += len(start)

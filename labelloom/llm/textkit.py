@@ -13,10 +13,11 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 
-#: Odd multipliers of the polynomial hashes, and of the finaliser (splitmix64).
-BYTE_BASE = 0x9E3779B97F4A7C15
+#: Odd multiplier of the polynomial hash of windows.
 WORD_BASE = 0xD6E8FEB86659FD93
-MASK64 = (1 << 64) - 1
+#: What tells the two lanes of word hashes apart.
+LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+PLACES = 48
 
 
 def byte_table(*members: tuple[int, int]) -> np.ndarray:
@@ -86,7 +87,7 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-BYTE_POWERS, WORD_POWERS = Powers(BYTE_BASE), Powers(WORD_BASE)
+WORD_POWERS = Powers(WORD_BASE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,12 +100,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, from prefix sums of a polynomial over its bytes."""
-    up, down = BYTE_POWERS.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+def _placed(place: np.ndarray, byte: np.ndarray, lane: int) -> np.ndarray:
+    """A 64-bit number for a byte at a place of its word; lanes are independent of each other."""
+    return mix(mix((place.astype(np.uint64) << np.uint64(8)) + byte + np.uint64(1)) + np.uint64(LANES[lane]))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hash of each word: the sum over its bytes of numbers drawn for (place in the word, byte).
+
+    The places don't follow a formula that texts could cancel out, unlike powers modulo 2**64. Two lanes together
+    are a hash of 128 bits.
+    """
+    sizes = ends - starts
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    byte = data[place + np.repeat(starts, sizes)]
+    near = place < PLACES
+    if near.all():
+        values = PLACE_TABLES[lane][place, byte]
+    else:
+        values = np.empty(len(place), np.uint64)
+        values[near] = PLACE_TABLES[lane][place[near], byte[near]]
+        values[~near] = _placed(place[~near], byte[~near], lane)
+    return mix(np.add.reduceat(values, first) + mix(sizes.astype(np.uint64)))
+
+
+#: Numbers of the first places of a word; later ones are computed.
+PLACE_TABLES = [_placed(np.arange(PLACES)[:, None], np.arange(256, dtype=np.uint64)[None, :], lane) for lane in range(2)]
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.llm import catalogue, ctw, decontaminate, langid, linededup, mixing, neardup, substring, topk, toxicity, warc
+from labelloom.llm.textkit import NOT_SPACE, word_bounds, word_hashes
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -185,7 +186,8 @@ def test_ctw_equals_a_plain_tree(spark):
                     break
                 zeros, ones = counts(d, c, prefix)
                 one, stop = (ones + 0.5) / (zeros + ones + 1), weighted(d, c, prefix)[1]
-                p1 = sure + left * one
+                # every context of these texts is a branch, so a path that leaves them has seen nothing
+                p1 = sure + left * (stop * one + (1 - stop) * 0.5)
                 sure, left = sure + left * stop * one, left * (1 - stop)
             total += math.log10(p1 if bit else 1 - p1)
         assert got.loc[k, "score"] == pytest.approx(total, rel=1e-5)
@@ -197,6 +199,64 @@ def test_ctw_equals_a_plain_tree(spark):
         assert (got.loc[k, "n_tokens"], got.loc[k, "n_known"], got.loc[k, "train_tokens"]) == (len(tokens), sum(c[w] > 0 for w in tokens), n)
 
 
+def test_ctw_follows_the_chain_rule():
+    """The probability of a next bit is the ratio of the weighted probabilities of all bits with and without it."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abc"), 40)) for _ in range(3)]
+    found = np.concatenate([ctw.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in texts])
+
+    def log_weighted(seen):
+        """Log probability of the whole tree of the first bit of a byte; contexts that were not seen are fresh nodes."""
+        def node(context, depth):
+            own = [sum(1 for g, bit in seen if g[len(g) - depth :] == context and bit == b) for b in (0, 1)]
+            kt = math.lgamma(own[0] + 0.5) + math.lgamma(own[1] + 0.5) - math.log(math.pi) - math.lgamma(sum(own) + 1)
+            if depth == ctw.DEPTH:
+                return kt
+            longer = {g[len(g) - depth - 1 :] for g, _ in seen if g[len(g) - depth :] == context}
+            return np.logaddexp(kt, sum(node(c, depth + 1) for c in longer)) - math.log(2)
+        return node(b"", 0)
+
+    pairs = [(int(g).to_bytes(6, "big")[:5], int(g) >> 7 & 1) for g in found]
+    keys, counts = np.unique(found, return_counts=True)
+    tree = ctw.weigh([ctw.nodes_of(keys, counts, d) for d in range(ctw.DEPTH + 1)])
+    for context in [pairs[3][0], pairs[50][0], b"zzabc", b"zzzzz", b"abczz"]:
+        want = math.exp(log_weighted([*pairs, (context, 1)]) - log_weighted(pairs))
+        for d in range(ctw.DEPTH, -1, -1):  # the deepest node of the path
+            key = int.from_bytes(context[5 - d :], "big") << 8 | 1
+            at = np.searchsorted(tree[d][0], np.uint64(key))
+            if at < len(tree[d][0]) and tree[d][0][at] == key:
+                assert tree[d][1][at] == pytest.approx(want, rel=1e-5)
+                break
+
+
+def test_ctw_models_of_equal_size_are_told_apart(spark):
+    scores = []
+    for pair in ("ab", "ij"):
+        df = spark.createDataFrame([(0, pair * 4), (1, "ab" * 4)], "doc_id long, text string")
+        scores.append(ctw.score(df, F.col("doc_id") == 0).toPandas().set_index("doc_id")["score"])
+    assert scores[0][0] == pytest.approx(scores[1][0]) and scores[0][1] == scores[0][0] and scores[1][1] < scores[1][0] - 5
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_words_that_cancel_out_in_powers_have_different_hashes(spark):
+    one, other = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    texts = [one, other, one[:48], one[1:48] + "a", "ab", "ba", "a", "é", one]
+    data = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    starts, ends, _ = word_bounds(data, np.array([0, len(data)]), NOT_SPACE)
+    for lane in (0, 1):
+        found = word_hashes(data, starts, ends, lane)
+        assert len(set(found.tolist())) == len(set(texts)) and found[0] == found[-1]
+    assert word_hashes(data, starts, ends, 0)[0] != word_hashes(data, starts, ends, 1)[0]
+    same = " ".join(f"w{k}" for k in range(19))
+    df = spark.createDataFrame([(1, f"{same} {one}"), (2, f"{same} {other}"), (3, f"{same} {one}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring.remove_repeats(df).orderBy("doc_id").collect()] == [0, 0, 20]
+    got = ctw.score(df, F.col("doc_id") == 1).toPandas().set_index("doc_id")["n_known"]
+    assert got[1] == 21 and got[2] == 20
+
+
 def test_ctw_without_training_texts(spark, docs):
     got = ctw.score(docs, F.lit(False)).toPandas()
     assert np.allclose(got["bits_per_byte"], 8) and (got["n_known"] == 0).all() and (got["train_tokens"] == 0).all()
