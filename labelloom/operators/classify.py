@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from labelloom import schema as S
 from labelloom.functions.text import effective_text
 from labelloom.operators.boosting import BoostedTreesModel, fit_trees
+from labelloom.operators.encoders import Factory, fit_word_vectors, send_files, user_encoder
 from labelloom.operators.evaluate import classification_report
 from labelloom.operators.prepare import known_pairs_only
 from labelloom.sources.readers import require_columns
@@ -53,6 +55,18 @@ def featurize(df: DataFrame, n_features: int = 1 << 12, vector: str | None = Non
     return Pipeline(stages=text_features(n_features)).fit(prepared).transform(prepared).drop("__text", "__words", "__tf", "__idf")
 
 
+def fit_encoder(rows: DataFrame, encoder: str | Factory, *, n_features: int = 1 << 12, files: Sequence[str] = (), seed: int = S.SEED) -> PipelineModel:
+    """From the column ``__text`` to ``features``."""
+    if callable(encoder):
+        send_files(rows.sparkSession, files)
+        return PipelineModel([user_encoder(encoder)])
+    if encoder == "vectors":
+        return fit_word_vectors(rows, seed=seed)
+    if encoder == "words":
+        return Pipeline(stages=text_features(n_features)).fit(rows)
+    raise ValueError(f"unknown encoder: {encoder}")
+
+
 def _fitted_head(rows: DataFrame, level: str, classes: int, kind: str, max_iter: int, trees: int, depth: int, seed: int):
     columns = {"featuresCol": "features", "predictionCol": f"__{level}", "rawPredictionCol": f"__{level}_raw", "probabilityCol": f"__{level}_prob"}
     label = f"{level}_index"
@@ -70,6 +84,8 @@ def train(
     head: str = "logistic",
     *,
     vector: str | None = None,
+    encoder: str | Factory = "words",
+    files: Sequence[str] = (),
     levels: tuple[str, ...] = LEVELS,
     max_iter: int = 1000,
     trees: int = 100,
@@ -79,6 +95,10 @@ def train(
 ) -> PipelineModel:
     """One pipeline: encoder, then an independent head per label level.
 
+    Encoders of the text: ``words``, hashed words (``n_features`` buckets); ``vectors``, word vectors learned from the given
+    text; or a function that loads a model and returns ``texts -> vectors`` (with ``files`` sent to the workers). A ``vector``
+    column is used as it is.
+
     Heads: ``logistic``; ``trees``, boosted trees, one ensemble for all classes; ``forest``, one random forest
     for all classes. The head is always the one asked for, and knows exactly the labels that occur.
 
@@ -87,8 +107,8 @@ def train(
     require_columns(df, [*levels, *([] if vector else [S.DESCRIPTION])])
     rows = prepare_features(df.dropna("any", subset=list(levels)), vector).persist()
     try:
-        encoder = Pipeline(stages=[] if vector else text_features(n_features)).fit(rows)
-        encoded = encoder.transform(rows)
+        fitted_encoder = PipelineModel([]) if vector else fit_encoder(rows, encoder, n_features=n_features, files=files, seed=seed)
+        encoded = fitted_encoder.transform(rows)
 
         def stages_of(level: str) -> list:
             indexer = index_labels(rows, level)
@@ -99,7 +119,7 @@ def train(
 
         with ThreadPoolExecutor(len(levels)) as pool:  # the levels' chains of jobs side by side
             fitted = list(pool.map(inheritable_thread_target(df.sparkSession)(stages_of), levels))
-        return PipelineModel([*encoder.stages, *(stage for stages in fitted for stage in stages)])
+        return PipelineModel([*fitted_encoder.stages, *(stage for stages in fitted for stage in stages)])
     finally:
         rows.unpersist()
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from labelloom import schema as S
 from labelloom.operators import classify, split
+from labelloom.operators.encoders import DIMENSIONS
 from labelloom.plans import views as V
 from labelloom.plans.catalogue.sql import h, using
 from labelloom.plans.template_route import predict_templates
@@ -39,9 +40,24 @@ def _predict(spark, sf, head, **options):
     return judged(classify.predict(model, test, vector="vector"), train)
 
 
-def _text_model(spark, sf):
+def _text_model(spark, sf, **options):
     train, test = _split(V.attributes(spark, sf))
-    return judged(classify.predict(classify.train(train), test), train)
+    return judged(classify.predict(classify.train(train, **options), test), train)
+
+
+def letter_model():
+    """A user encoder: how often each letter occurs, for batches of texts."""
+    return lambda texts: [[float(t.lower().count(c)) for c in LETTERS] for t in texts]
+
+
+def _encoder_gain(spark, sf):
+    """Do word vectors learned from the text tell more topics right than as many buckets of hashed words."""
+    train, test = _split(V.attributes(spark, sf))
+    right = []
+    for options in ({"encoder": "vectors"}, {"encoder": "words", "n_features": DIMENSIONS}):
+        scored = classify.predict(classify.train(train, levels=(S.TOPIC,), **options), test)
+        right.append(scored.agg(F.count_if(F.col(S.TOPIC) == F.col("predicted_topic"))).first()[0])
+    return test.agg(F.count(F.lit(1)).alias("rows"), F.lit(right[0] > right[1]).alias("vectors_better"))
 
 
 def _evaluate(spark, sf):
@@ -95,6 +111,9 @@ QUERIES = {
     "predict_trees": lambda s, d: _predict(s, d, "trees"),
     "predict_forest": lambda s, d: _predict(s, d, "forest"),
     "predict_text": _text_model,
+    "predict_text_vectors": lambda s, d: _text_model(s, d, encoder="vectors"),
+    "predict_text_user_encoder": lambda s, d: _text_model(s, d, encoder=letter_model),
+    "encoder_gain": _encoder_gain,
     "evaluate_model": _evaluate,
     "predict_templates": _templates,
 }
@@ -109,6 +128,9 @@ ORACLES = {
     "predict_forest": using("decided") + _JUDGED + "(" + _TEST.format(source="decided") + ")",
     "predict_trees": using("decided") + _JUDGED + "(" + _TEST.format(source="decided") + ")",
     "predict_text": using("attributes") + _JUDGED + "(" + _TEST.format(source="attributes") + ")",
+    "predict_text_vectors": using("attributes") + _JUDGED + "(" + _TEST.format(source="attributes") + ")",
+    "predict_text_user_encoder": using("attributes") + _JUDGED + "(" + _TEST.format(source="attributes") + ")",
+    "encoder_gain": using("attributes") + "SELECT count(*) AS rows, true AS vectors_better FROM (" + _TEST.format(source="attributes") + ")",
     "evaluate_model": using("decided", test=_TEST.format(source="decided"))
     + """SELECT level, label, support, true AS shares FROM (
            SELECT 'domain' AS level, domain AS label, count(*) AS support FROM test GROUP BY domain
