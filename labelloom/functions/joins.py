@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from labelloom import schema as S
 from labelloom.functions.hashing import hash_mod
 from labelloom.functions.ranking import bucket_count
+from labelloom.session import materialise
 
 HOT_SHARE = 0.01
 MAX_SALTS = 64
@@ -30,3 +32,30 @@ def join_hot(
     every = F.sequence(zero, F.lit(salts - 1).cast("bigint"))
     repeated = right.withColumn("__salt", F.explode(F.when(is_hot, every).otherwise(F.array(zero))))
     return spread.join(repeated, [on, "__salt"], how).drop("__salt")
+
+
+def as_of_join(left: DataFrame, right: DataFrame, key: str, on: str, value: str) -> DataFrame:
+    """``left`` with the ``value`` of the last ``right`` row of equal ``key`` whose ``on`` is not larger; null where there is none.
+
+    Both sides are sorted together by (key, on) into ranges, so a hot key spans many tasks. Inside a range the last
+    value is carried along; into a range it comes from a table of at most one row per range and key. Null keys have no match.
+    """
+    columns = left.columns
+    rows = left.select(F.struct(*columns).alias("__row"), F.col(key).alias("__k"), F.col(on).alias("__on"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
+    marks = right.filter(F.col(value).isNotNull() & F.col(key).isNotNull()).select(
+        F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.col(key).alias("__k"), F.col(on).alias("__on"), F.col(value).alias("__v")
+    )
+    # of equal places the right side comes first
+    both = rows.unionByName(marks).withColumn("__left", F.col("__row").isNotNull())
+    salt = F.xxhash64("__row")  # many rows at one place of one key still part into ranges
+    order = ["__k", "__on", "__left", "__salt"]
+    ranged = both.withColumn("__salt", salt).repartitionByRange(max(2, bucket_count(left)), *order).sortWithinPartitions(*order)
+    placed = materialise(ranged.withColumn("__at", F.monotonically_increasing_id()).drop("__salt"))
+    part = F.shiftright("__at", 33)
+    last = placed.filter("__v is not null").groupBy("__k", part.alias("__part")).agg(F.max_by("__v", "__at").alias("__last"))
+    parts = placed.groupBy("__k", part.alias("__part")).agg(F.lit(1).alias("__one")).drop("__one").join(last, ["__k", "__part"], "left")
+    before = Window.partitionBy("__k").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = materialise(parts.select("__k", "__part", F.last("__last", ignorenulls=True).over(before).alias("__carried")).filter("__carried is not null"))
+    inside = Window.partitionBy("__part", "__k").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = placed.withColumn("__part", part).withColumn("__seen", F.last("__v", ignorenulls=True).over(inside)).filter("__row is not null")
+    return seen.join(carried, ["__k", "__part"], "left").select("__row.*", F.coalesce("__seen", "__carried").alias(value))

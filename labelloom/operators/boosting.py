@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol, HasProbabilityCol, HasRawPredictionCol
@@ -34,6 +35,7 @@ from labelloom.session import materialise
 BINS = 32
 SAMPLE = 20_000  # bin edges are quantiles of about this many rows
 BLOCK_ROWS = 1024
+TASK_ROWS = 1 << 16  # a task has at least about as many rows, so that small tables don't pay for many
 CHUNK = 16  # features whose splits are searched together
 GROUP_CELLS = 1 << 21  # rows of sums that one task searches
 ROUNDS_HELD = 5  # rounds after which scores are written
@@ -262,7 +264,7 @@ def _level(blocks: DataFrame, tasks: int, held: Trees, growing: Trees, level: in
             some = listed[start : start + step]
             mine = order[cuts[k] : cuts[k + 1]]
             key = (place[mine] - start) * size + (feature[mine] % CHUNK) * bins + bin_[mine]
-            sums = np.stack([np.bincount(key, x[mine], len(some) * size) for x in (g, h)], 1).reshape(len(some), CHUNK, bins, 2)
+            sums = np.stack([np.bincount(key, x[mine], len(some) * size).astype(np.float64) for x in (g, h)], 1).reshape(len(some), CHUNK, bins, 2)
             from_ = (some % chunks) * CHUNK
             zeros = padded[from_[:, None] + np.arange(CHUNK)]
             f, b, gain, left = best_splits(sums, zeros, totals[start : start + step], reg, least)
@@ -273,8 +275,16 @@ def _level(blocks: DataFrame, tasks: int, held: Trees, growing: Trees, level: in
 
     padded = np.zeros(chunks * CHUNK, np.int64)
     padded[:features] = zero
-    summed = blocks.mapInArrow(cells, CELLS).repartition(groups, "part")
-    found = summed.groupBy("part").applyInArrow(search, SPLITS).toPandas()
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pa.Table.from_batches(list(cells(batches)))
+        for g in range(groups):
+            yield from search(own.filter(pc.equal(own["part"], g))).to_batches()
+
+    if tasks == 1:  # the sums of the only task are those of all rows: nothing to exchange
+        found = blocks.mapInArrow(alone, SPLITS).toPandas()
+    else:
+        found = blocks.mapInArrow(cells, CELLS).repartition(groups, "part").groupBy("part").applyInArrow(search, SPLITS).toPandas()
     # of the units the largest gain, then the smallest feature
     return found.sort_values(["node", "gain", "feature"], ascending=[True, False, True]).drop_duplicates("node")
 
@@ -323,12 +333,14 @@ def fit_trees(
     if not 2 <= bins <= 256 or depth < 1:
         raise ValueError("2 to 256 bins and a depth of at least 1")
     rows = materialise(df.filter(F.col(features).isNotNull()).select(features, label, F.monotonically_increasing_id().alias("__n")))
-    picked = rows.filter(uniform(seed, "bins", "__n") < min(1.0, SAMPLE / max(rows.count(), 1)))
+    n = rows.count()
+    picked = rows.filter(uniform(seed, "bins", "__n") < min(1.0, SAMPLE / max(n, 1)))
     sample = [_parts(r["v"]) for r in picked.select(F.unwrap_udt(features).alias("v")).collect()]  # about SAMPLE rows
     if not sample:
         return Trees(0, depth), np.zeros((0, bins - 1))
     edges = quantile_edges([(i, v) for i, v, _ in sample], sample[0][2], bins)
     zero = np.array([np.searchsorted(e, 0.0, side="left") for e in edges], np.uint8)
+    rows = rows.coalesce(max(1, -(-n // TASK_ROWS)))
     blocks = materialise(blocks_of(rows, features, label, classes, edges))
     tasks = blocks.rdd.getNumPartitions()
     done: list[Trees] = []

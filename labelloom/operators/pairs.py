@@ -13,15 +13,18 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from labelloom import schema as S
 from labelloom.functions.hashing import hash_constant, hash_int, hash_mod
+from labelloom.functions.joins import as_of_join
 from labelloom.functions.ranking import bucket_count, hash_rank, hex_bucket, order_rank, running_total, sample_n
 from labelloom.functions.text import effective_text
 from labelloom.functions.vectors import dot
 from labelloom.operators.profile import class_counts, with_class
 from labelloom.session import materialise
 
+HARD_BLOCK = 512  # topics of one side in one group
 WIDE = "decimal(38,0)"  # numbers of pairs outgrow a bigint
 
 
@@ -55,20 +58,27 @@ def pair_classes(df: DataFrame) -> DataFrame:
 
 
 def _with_other(classes: DataFrame) -> DataFrame:
-    """Adds ``later_other`` and ``skips``: where the topic recurs in later domains.
+    """Adds ``later_other`` (rows of later domains with another topic) and ``skipped``: rows of the topic up to the class's domain.
 
-    The list holds one entry per domain with that topic, so it is as short as the domain list.
+    Both come from a running sum over the classes of a topic, so a topic may recur in any number of domains.
     """
-    spots = classes.groupBy(S.TOPIC).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("__spots"))
-    later = F.filter("__spots", lambda e: e["start"] >= F.col("domain_end"))
-    skipped = F.aggregate("skips", F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"])
+    before = running_total(classes, [S.TOPIC], _class_bucket(), ["start"], "n", out="__before").withColumn("skipped", F.col("__before") + F.col("n"))
+    sums = materialise(classes.groupBy(S.TOPIC).agg(F.sum("n").alias("__topic")))
     total = classes.agg(F.sum("n")).scalar()
-    return (
-        classes.join(spots, S.TOPIC)
-        .withColumn("skips", later)
-        .withColumn("later_other", total - F.col("domain_end") - skipped)
-        .drop("__spots")
-    )
+    later = total - F.col("domain_end") - (F.col("__topic") - F.col("skipped"))
+    return before.join(sums, S.TOPIC).withColumn("later_other", later).drop("__topic", "__before")
+
+
+def _past_own_topic(drawn: DataFrame, classes: DataFrame) -> DataFrame:
+    """``pos`` of each draw: place number ``offset`` after its domain, rows of its own topic not counted.
+
+    Without the rows of a topic, positions close up: a class of the topic that starts at s with c rows of the topic before it lies at s - c.
+    So the last such class at or below the closed-up place tells how many rows to step over: one as-of join per topic.
+    """
+    marks = classes.select(S.TOPIC, (F.col("start") + F.col("n") - F.col("skipped")).alias("__place"), F.col("skipped").alias("__over"))
+    placed = drawn.withColumn("__place", F.col("domain_end") - F.col("skipped") + F.col("offset"))
+    found = as_of_join(placed, marks, S.TOPIC, "__place", "__over")
+    return found.withColumn("pos", F.col("__place") + F.coalesce("__over", F.lit(0))).drop("__place", "__over")
 
 
 @dataclass
@@ -214,7 +224,7 @@ def negative_pairs(
     classes, rows = space.classes, space.rows
     m = F.col(column).cast(WIDE)
     if strategy == "other":
-        classes = _with_other(classes)
+        classes = materialise(_with_other(classes))
     # pairs that start in a class; positions are in class order, so the start orders the classes
     weighted = classes.withColumn("__w", (F.col("n").cast(WIDE) * m).cast(WIDE))
     table = materialise(running_total(weighted, [], _class_bucket(), ["start"], "__w", out="__before"))
@@ -224,18 +234,16 @@ def negative_pairs(
         scaled = wanted if share == 1.0 else F.floor(wanted.cast("double") * F.lit(share))
     else:
         scaled = F.lit(n_pairs) if share == 1.0 else F.lit(int(n_pairs * share))
-    facts = ["n", "start", column, "__before", *(["domain_end", "skips"] if strategy == "other" else [])]
+    facts = ["n", "start", column, "__before", *(["domain_end", "skipped"] if strategy == "other" else [])]
     anchors = rows.join(table.select(*S.CLASS, *facts), S.CLASS)
     base = F.col("__before") + (F.col("place").cast(WIDE) * m)
     drawn = _draws(anchors, column, base, scaled, everything, seed, "negative_" + strategy, id_col)
     if strategy == "other":
-        start = F.col("domain_end") + F.col("offset")
-        # step over the runs of the anchor's own topic in later domains
-        partner = F.aggregate("skips", start, lambda p, e: F.when(p >= e["start"], p + e["n"]).otherwise(p))
+        drawn = _past_own_topic(drawn, classes)
     else:
-        partner = F.col("start") + F.col("n") + F.col("offset")
+        drawn = drawn.withColumn("pos", F.col("start") + F.col("n") + F.col("offset"))
     left = drawn.select(
-        F.col(id_col).alias("id1"), F.col(S.DOMAIN).alias("domain1"), F.col(S.TOPIC).alias("topic1"), partner.alias("pos")
+        F.col(id_col).alias("id1"), F.col(S.DOMAIN).alias("domain1"), F.col(S.TOPIC).alias("topic1"), "pos"
     )
     right = rows.select(
         "pos", F.col(id_col).alias("id2"), F.col(S.DOMAIN).alias("domain2"), F.col(S.TOPIC).alias("topic2")
@@ -245,24 +253,61 @@ def negative_pairs(
     )
 
 
-def hard_negative_pairs(
-    df: DataFrame, ratio: float = S.HARD_NEGATIVE_RATIO, *, seed: int = S.SEED, id_col: str = S.ROW_ID
+def hard_negative_tasks(
+    df: DataFrame, ratio: float = S.HARD_NEGATIVE_RATIO, *, seed: int = S.SEED, id_col: str = S.ROW_ID, block: int = HARD_BLOCK
 ) -> DataFrame:
-    """For each two topics of a domain, floor(ratio * smaller size) pairs across them.
+    """Rows dealt to (domain, rank, a, b): blocks a and b of the topics that have a row of that rank, ``first`` for those of a.
 
-    Rows get a seeded rank in their class and meet on (domain, rank); a key holds at most one row per
-    topic.
+    Rows get a seeded rank in their class; the first floor(ratio * size) of a class take part. A (domain, rank) holds at most one
+    row a topic; with more than ``block`` topics they are cut into blocks, and each pair of blocks is a group of its own. So a group
+    holds about ``block`` rows of each side, however many topics a domain has.
     """
     ranked = hash_rank(
         with_class(df).select(id_col, *S.CLASS), S.CLASS, seed=seed, salt="hard", id_col=id_col, out="rank", size_out="n"
     ).filter(F.col("rank") < F.floor(F.col("n") * F.lit(ratio)))
-    a = ranked.select(S.DOMAIN, "rank", F.col(id_col).alias("id1"), F.col(S.TOPIC).alias("topic1"), F.col("n").alias("n1"))
-    b = ranked.select(S.DOMAIN, "rank", F.col(id_col).alias("id2"), F.col(S.TOPIC).alias("topic2"), F.col("n").alias("n2"))
-    return (
-        a.join(b, [S.DOMAIN, "rank"])
-        .filter(F.col("topic1") < F.col("topic2"))
-        .select("id1", "id2", S.DOMAIN, "topic1", "topic2", F.lit(0.0).alias("label"))
+    ranked = materialise(ranked.drop("n"))  # read for the sizes and the pairs
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int")
+    sizes = materialise(ranked.groupBy(S.DOMAIN, "rank").agg(blocks.alias("__blocks"), F.count(F.lit(1)).alias("__topics")))
+    own = hash_mod(F.col("__blocks"), seed, "hard_block", S.TOPIC).cast("int")
+    placed = ranked.join(sizes.filter("__topics > 1"), [S.DOMAIN, "rank"]).withColumn("__own", own)
+    task = lambda a, b, first: F.struct(a.alias("a"), b.alias("b"), F.lit(first).alias("first"))
+    mine, zero = F.col("__own"), F.lit(0)
+    tasks = F.concat(
+        F.transform(F.sequence(mine, F.col("__blocks") - 1), lambda x: task(mine, x, True)),
+        F.transform(F.sequence(zero, mine), lambda x: task(x, mine, False)),
     )
+    return placed.select(id_col, *S.CLASS, "rank", F.explode(tasks).alias("t")).select(id_col, *S.CLASS, "rank", "t.a", "t.b", "t.first")
+
+
+def hard_negative_pairs(
+    df: DataFrame, ratio: float = S.HARD_NEGATIVE_RATIO, *, seed: int = S.SEED, id_col: str = S.ROW_ID, block: int = HARD_BLOCK
+) -> DataFrame:
+    """For each two topics of a domain, floor(ratio * smaller size) pairs across them.
+
+    Rows of equal seeded rank in their classes are pairs; they meet in groups of bounded size (``hard_negative_tasks``).
+    """
+    dealt = hard_negative_tasks(df, ratio, seed=seed, id_col=id_col, block=block)
+    keys = [S.DOMAIN, "rank", "a", "b"]
+    left = dealt.filter("first").select(*keys, F.struct(F.col(S.TOPIC).alias("topic"), F.col(id_col).alias("id")).alias("x"))
+    right = dealt.filter("not first").select(*keys, F.struct(F.col(S.TOPIC).alias("topic"), F.col(id_col).alias("id")).alias("y"))
+    # in a block with itself each pair is met from both sides; blocks apart meet once
+    met = left.join(right, keys).filter((F.col("a") < F.col("b")) | (F.col("x.topic") < F.col("y.topic")))
+    low, high = F.least("x", "y"), F.greatest("x", "y")
+    return met.select(low["id"].alias("id1"), high["id"].alias("id2"), S.DOMAIN, low["topic"].alias("topic1"), high["topic"].alias("topic2"), F.lit(0.0).alias("label"))
+
+
+def hard_negative_total(df: DataFrame, ratio: float = S.HARD_NEGATIVE_RATIO) -> DataFrame:
+    """``n_pairs`` of ``hard_negative_pairs``, from class sizes alone (one row).
+
+    Two topics have as many pairs as the smaller share of the two. So with the topics of a domain by falling share, each adds its share once for
+    every topic before it; topics of equal share are one row.
+    """
+    share = F.floor(F.col("n") * F.lit(ratio)).cast(WIDE)
+    sizes = class_counts(df).select(S.DOMAIN, share.alias("m")).filter("m > 0").groupBy(S.DOMAIN, "m").agg(F.count(F.lit(1)).cast(WIDE).alias("c"))
+    larger = F.sum("c").over(Window.partitionBy(S.DOMAIN).orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c")
+    inside = _whole_div(F.col("c") * (F.col("c") - 1), F.lit(2).cast(WIDE))
+    counted = sizes.withColumn("__pairs", F.col("m") * (F.col("c") * larger + inside))
+    return counted.agg(F.coalesce(F.sum("__pairs"), F.lit(0)).cast("bigint").alias("n_pairs"))
 
 
 def domain_mix_negatives(

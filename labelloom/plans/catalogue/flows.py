@@ -18,7 +18,7 @@ from labelloom.plans.dedup_run import deduplicate_csv
 from labelloom.plans.training import predict_csv, run_training
 from labelloom.session import ensure_checkpoint_dir
 from labelloom.sources import readers, writers
-from labelloom.streaming.incremental import run_incrementally, stream_csv
+from labelloom.streaming.incremental import run_incrementally, sketch_incrementally, stream_csv
 
 #: Names of the columns in the files of these flows, and what the library calls them.
 FILE_NAMES = {"field": S.NAME, "text": S.DESCRIPTION, "area": S.DOMAIN, "kind": S.TOPIC}
@@ -122,6 +122,28 @@ def _dedup(spark, sf):
     return readers.read_csv(spark, path)
 
 
+def _dedup_default(spark, sf):
+    """Without a path, the cleaned file lies beside the input."""
+    path = _attributes_file(spark, sf)
+    deduplicate_csv(spark, path)
+    return readers.read_csv(spark, f"{path}_cleaned")
+
+
+def _timestamped(spark, sf):
+    """Outputs of a run carry its time: found again by the name's form."""
+    folder = _folder(spark, "outputs")
+    writers.write_csv(_in_file_order(V.attributes(spark, sf)), writers.timestamped_path(folder))
+    back = readers.read_csv(spark, f"{folder}/predictions_" + "[0-9]" * 8 + "_" + "[0-9]" * 6 + ".csv")
+    return back.groupBy(*S.CLASS).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sketched_stream(spark, sf):
+    """A file at a time, a row of sketches for each, united afterwards."""
+    out = _folder(spark, "sketches")
+    sketch_incrementally(stream_csv(spark, _attributes_file(spark, sf), files_per_chunk=1), out, f"{out}-state").awaitTermination()
+    return profiling.near_exact(spark, sf, profile.united_cardinalities(spark.read.parquet(out)))
+
+
 def _dataset(spark, sf):
     """What the build writes: the labelled rows and the masked test rows."""
     folder = _folder(spark, "dataset")
@@ -158,6 +180,9 @@ QUERIES = {
     "report_text": _report_text,
     "conditional_write": _conditional,
     "dedup_file": _dedup,
+    "dedup_file_default": _dedup_default,
+    "timestamped_output": _timestamped,
+    "cardinalities_streamed": _sketched_stream,
     "dataset_build": _dataset,
     "train_and_predict_file": _training,
 }
@@ -183,6 +208,9 @@ ORACLES = {
     "conditional_write": using("split15")
     + "SELECT count(*) AS n, count(*) > 0 AS wrote, false AS skipped FROM split15 WHERE split = 'eval'",
     "dedup_file": using("kept") + f"SELECT {_ALL} FROM kept",
+    "dedup_file_default": using("kept") + f"SELECT {_ALL} FROM kept",
+    "timestamped_output": using("attributes") + "SELECT domain, topic, count(*) AS n FROM attributes GROUP BY 1, 2",
+    "cardinalities_streamed": profiling.ORACLES["cardinalities_sketched"],
     "dataset_build": using("complete", masked=f"SELECT {_ALL}, {_MASK} AS u FROM complete")
     + f"""SELECT {_ALL}, 'input' AS part FROM complete UNION ALL
           SELECT attribute_name, description, CASE WHEN u < 0.3::DOUBLE OR (u >= 0.3::DOUBLE + 0.3::DOUBLE AND u < 0.3::DOUBLE + 0.3::DOUBLE + 0.4::DOUBLE) THEN NULL ELSE domain END,

@@ -11,6 +11,7 @@ from labelloom.operators import dedup, prepare, profile, split
 from labelloom.operators.generate import plan_batches
 from labelloom.plans import views as V
 from labelloom.plans.catalogue.sql import h, u, using
+from labelloom.session import materialise
 from labelloom.sources.readers import parse_definitions
 
 
@@ -38,12 +39,26 @@ def _text_functions(spark, sf):
     )
 
 
+def near_exact(spark, sf, estimated):
+    """The exact total, and whether each estimate lies within four standard errors of the exact number."""
+    exact = profile.cardinalities(V.attributes(spark, sf)).select(F.struct(*profile.SKETCHED)).scalar()
+    error = 4 * 1.04 / 2 ** (profile.SKETCH_BITS / 2)
+    return estimated.select("total", *[(F.abs(F.col(c) - exact[c]) <= error * exact[c]).alias(c) for c in profile.SKETCHED])
+
+
+def _sketched(spark, sf):
+    """Sketches of sixteen chunks, united."""
+    chunks = profile.cardinality_sketches(V.attributes(spark, sf).withColumn("chunk", F.col(S.ROW_ID) % 16), ["chunk"])
+    return near_exact(spark, sf, profile.united_cardinalities(materialise(chunks)))
+
+
 QUERIES = {
     "distribution": lambda s, d: profile.distribution(V.attributes(s, d)),
     "distribution_documents": lambda s, d: profile.distribution(V.doc_attributes(s, d)),
     "ordered_report": lambda s, d: profile.ordered_report(profile.distribution(V.attributes(s, d))),
     "class_counts": lambda s, d: profile.class_counts(V.attributes(s, d)),
     "cardinalities": lambda s, d: profile.cardinalities(V.attributes(s, d)),
+    "cardinalities_sketched": _sketched,
     "domain_counts": lambda s, d: profile.domain_counts(V.attributes(s, d), dedup.keep_first(V.attributes(s, d))),
     "topic_share": lambda s, d: profile.topic_share(dedup.keep_first(V.attributes(s, d))),
     "label_stats": lambda s, d: profile.label_stats(V.attributes(s, d)),
@@ -121,6 +136,7 @@ ORACLES = {
     "cardinalities": using("attributes")
     + """SELECT count(*) AS total, count(DISTINCT domain) AS domains, count(DISTINCT topic) AS topics,
          (SELECT count(*) FROM (SELECT DISTINCT domain, topic FROM attributes)) AS classes FROM attributes""",
+    "cardinalities_sketched": using("attributes") + "SELECT count(*) AS total, true AS domains, true AS topics, true AS classes FROM attributes",
     "domain_counts": using("attributes", "kept")
     + """SELECT 'before' AS phase, domain, count(*) AS n FROM attributes GROUP BY domain
          UNION ALL SELECT 'after', domain, count(*) FROM kept GROUP BY domain""",

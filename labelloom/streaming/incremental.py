@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from labelloom import schema as S
+from labelloom.operators.profile import cardinality_sketches
 from labelloom.sources.readers import null_out
 
 
@@ -50,3 +51,15 @@ def run_incrementally(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def sketch_incrementally(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keep a row of cardinality sketches per micro-batch of files not yet seen; unite them with ``united_cardinalities``.
+
+    A batch that runs twice replaces its own folder.
+    """
+
+    def keep(chunk: DataFrame, batch: int) -> None:
+        cardinality_sketches(chunk).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -86,3 +86,37 @@ def test_heads_have_the_labels_of_training_only(spark):
     model = classify.train(rows, vector="vector", levels=(S.TOPIC,), max_iter=5)
     unseen = rows.withColumn("topic", F.lit("never"))
     assert {r["predicted_topic"] for r in classify.predict(model, unseen, vector="vector").collect()} <= {"c0", "c1"}
+
+
+def test_as_of_join_over_a_hot_key(spark):
+    """A key of most rows over many ranges, ties, nulls, and no earlier row, against a plain search."""
+    import bisect
+    import random
+
+    from labelloom.functions.joins import as_of_join
+
+    rng = random.Random(3)
+    left = [(i, rng.choice(["hot"] * 8 + ["b", "none", None]), rng.randrange(500)) for i in range(3000)]
+    right = [(rng.choice(["hot", "b", None]), rng.randrange(20, 500), i) for i in range(300)]
+    right = list({(k, x): (k, x, v) for k, x, v in right}.values())  # one value for a place
+    got = as_of_join(spark.createDataFrame(left, "id long, k string, x long"), spark.createDataFrame(right, "k string, x long, v long"), "k", "x", "v")
+    places = {k: sorted((x, v) for kk, x, v in right if kk == k) for k in ("hot", "b", "none")}
+    for r in got.collect():
+        own = places.get(r["k"], [])
+        at = bisect.bisect_right(own, (r["x"], 10**9)) - 1
+        assert r["v"] == (own[at][1] if at >= 0 else None)
+    assert got.count() == len(left)
+
+
+def test_cross_domain_draws_of_a_topic_in_very_many_domains(spark):
+    """One topic in 100,000 domains: no list per topic, exact number, never the own topic or domain."""
+    from labelloom.operators import pairs
+
+    rows = spark.range(101_000).select(
+        F.col("id").alias("row_id"), F.lit("n").alias("attribute_name"), F.lit("t").alias("description"),
+        F.concat(F.lit("d"), F.col("id") % 100_000).alias("domain"), F.when(F.col("id") < 100_000, "same").otherwise(F.concat(F.lit("t"), F.col("id") % 7)).alias("topic"),
+    )
+    got = pairs.negative_pairs(rows, 5000, strategy="other")
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    counts = got.agg(F.count("*"), F.countDistinct("id1", "id2"), F.count_if(F.col("topic1") == F.col("topic2")), F.count_if(F.col("domain1") == F.col("domain2"))).first()
+    assert tuple(counts) == (5000, 5000, 0, 0)

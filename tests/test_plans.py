@@ -68,7 +68,7 @@ def test_pair_joins_are_equi_joins_on_places(spark, sf):
     text = plan(pairs.positive_pairs(materialise(V.attributes(spark, sf))))
     assert re.search(r"(SortMergeJoin|HashJoin) \[domain#\d+, topic#\d+, __mate", text)
     hard = plan(pairs.hard_negative_pairs(V.attributes(spark, sf)))
-    assert re.search(r"(SortMergeJoin|HashJoin) \[domain#\d+, rank#\d+L\]", hard)
+    assert re.search(r"(SortMergeJoin|HashJoin) \[domain#\d+, rank#\d+L, a#\d+, b#\d+\]", hard)
 
 
 @pytest.mark.parametrize(

@@ -133,6 +133,21 @@ def test_hard_negatives_have_the_quota_per_topic_pair(skewed, local):
             if quota:
                 want[(d, a, b)] = quota
     assert got == want
+    assert pairs.hard_negative_total(skewed).first()[0] == sum(want.values())
+
+
+def test_hard_negatives_of_many_topics_meet_in_bounded_groups(spark):
+    """One domain of 10,000 topics: no group of many rows, the exact number, and equal pairs whatever the blocks."""
+    rows = spark.range(20_000).select(
+        F.col("id").alias("row_id"), F.lit("n").alias("attribute_name"), F.lit("t").alias("description"), F.lit("d").alias("domain"),
+        (F.col("id") % 10_000).cast("string").alias("topic"),
+    )
+    groups = pairs.hard_negative_tasks(rows).groupBy("domain", "rank", "a", "b", "first").count().agg(F.max("count"), F.count("*")).first()
+    assert groups[0] < 1.5 * pairs.HARD_BLOCK and groups[1] > 300
+    assert pairs.hard_negative_total(rows).first()[0] == 10_000 * 9_999 // 2
+    few = rows.filter("row_id % 10000 < 40")
+    whole, cut = (sorted(map(tuple, pairs.hard_negative_pairs(few, block=b).collect())) for b in (512, 6))
+    assert whole == cut and len(whole) == 40 * 39 // 2
 
 
 def test_mix_keeps_its_quotas(spark):
