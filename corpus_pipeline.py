@@ -5,6 +5,12 @@
 3. near-duplicates: one document of each class stays.
 4. decontamination: documents that contain a window of a benchmark item go.
 5. mix: sources are sampled to their target weights; a document is emitted once per copy.
+
+Defined cases: a null or empty text has no letter, so stage 1 drops it (the later stages would keep it, as they find nothing in it);
+texts of any length are read whole; null ids are kept and count as last; rows of equal id and text are one document in stages 2 and 4,
+copies in stage 3, where the smallest id of a class stays (of equal ids, one row), and rows of their own in stage 5; null sources are
+a source; an empty table gives an empty table; other columns pass unchanged, but for those named like a count of stages 2, 4 or 5,
+which then hold that count. Stage 5 adds the columns of ``mixing``.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ rows are scored.
 
 Defined cases: null and empty texts have no features and get the score of the intercept alone; null
 labels don't train; a document labelled twice counts with its largest label; without rows of both
-labels every score is the share of ones (0 if there are none); repeated rows are scored alike.
+labels every score is the share of ones (0 if there are none); repeated rows are scored alike, null ids like others (but don't
+train); texts of any length are read whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
