@@ -36,6 +36,7 @@ def join_hot(
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, on: str, value: str) -> DataFrame:
     """``left`` with the ``value`` of the last ``right`` row of equal ``key`` whose ``on`` is not larger; null where there is none.
+    Of several right rows at one place the largest value counts.
 
     Both sides are sorted together by (key, on) into ranges, so a hot key spans many tasks. Inside a range the last
     value is carried along; into a range it comes from a table of at most one row per range and key. Null keys have no match.
@@ -48,7 +49,7 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, on: str, value: str)
     # of equal places the right side comes first
     both = rows.unionByName(marks).withColumn("__left", F.col("__row").isNotNull())
     salt = F.xxhash64("__row")  # many rows at one place of one key still part into ranges
-    order = ["__k", "__on", "__left", "__salt"]
+    order = ["__k", "__on", "__left", "__v", "__salt"]
     ranged = both.withColumn("__salt", salt).repartitionByRange(max(2, bucket_count(left)), *order).sortWithinPartitions(*order)
     placed = materialise(ranged.withColumn("__at", F.monotonically_increasing_id()).drop("__salt"))
     part = F.shiftright("__at", 33)
