@@ -1,15 +1,18 @@
-"""Line dedup by hashes of runs of lines, filtered by winnowing. DataFrame functions only.
+"""Line dedup by content hashes of short runs of lines, filtered by winnowing. DataFrame functions only.
 
-A run of ``run`` consecutive lines that also starts earlier (in a smaller document, or before in the
-same one) is a repeat; lines covered by a repeat are deleted. Winnowing finds the runs: shingles of
-``shingle`` lines are hashed, and every window of run - shingle + 1 neighbouring shingles selects its
-smallest hash (the first of equals). The choice depends on the window alone, so equal runs select
-the same fingerprint at the same distance: a guarantee for every match of ``run`` lines or more.
+A run of consecutive lines that also occurs earlier (in a smaller document, or before in the same one) is a repeat if it
+has ``chars`` characters or more, or ``run`` lines; lines covered by a repeat are deleted. So a single line of 40 characters
+counts, and any passage of 21 words or more does (it has 41 characters at least), on however few lines.
 
-Fingerprints are only a filter: every run has a row with the fingerprint that it selected, and those whose fingerprint
-occurs twice go on. They are grouped by the hashes of all their lines, and the first of equal runs stays. There
-is no join of positions and no extension: the union of equal runs is what extending exact matches gives. So a
-fingerprint shared by millions of documents makes one row per run, never pairs. Deleted runs of a document merge by a running maximum.
+Only shortest runs are looked at: from each line on, and up to each line, the fewest lines that are enough. Both depend on the content
+alone, so equal passages have equal shortest runs, and these cover a passage whole: a line either begins such a run inside the
+passage, or lies in the one that ends with it. That is what extending a match both ways to its ends gives.
+
+Winnowing filters the runs of several lines: shingles of ``shingle`` lines are hashed, and a run selects the smallest of its own (the
+first of equals). The choice depends on the run alone, so equal runs select the same fingerprint; runs whose
+fingerprint occurs twice go on. They are grouped by the hashes of all their lines, and the first of equal runs stays. There
+is no join of positions. So a fingerprint shared by millions of documents makes one row per run, never pairs. Deleted runs of a
+document merge by a running maximum.
 
 The joins are sort-merge joins at every size: a broadcast that only small tables get would hide what large ones
 need, and hot keys are split by adaptive execution.
@@ -17,7 +20,7 @@ need, and hot keys are split by adaptive execution.
 Lines are parted by LF. Empty lines (after trimming spaces, tabs and CR) are no lines: they take no part in
 runs, and those inside a repeat are deleted with it.
 
-Defined cases: null texts have no lines and stay null; documents shorter than a run keep all; rows with equal
+Defined cases: null texts have no lines and stay null; documents without a run that is enough keep all; rows with equal
 id and text are one document and get equal results; equal ids with different texts are different
 documents, the smaller text hash first; null ids come last; empty tables give empty tables.
 """
@@ -32,6 +35,7 @@ from labelloom.session import materialise
 
 RUN = 3
 SHINGLE = 2
+CHARS = 40
 ORDER = ["__null", "__id", "__text"]
 
 
@@ -51,47 +55,68 @@ def counting_lines(text: str) -> Column:
     return F.filter(placed, lambda x: ~_blank(x["line"]))
 
 
-def fingerprints(docs: DataFrame, *, run: int = RUN, shingle: int = SHINGLE) -> DataFrame:
-    """(order columns, start, a, b, print, own): each run of lines with its first and last position, the
-    fingerprint it selected and the hashes of its lines. ``docs`` has the order columns and ``lines``."""
-    width = run - shingle + 1
-    long = docs.filter(F.size("lines") >= run)
-    long = long.select(*ORDER, F.transform("lines", lambda x: F.struct(F.xxhash64(x["line"]).alias("h"), x["pos"].alias("pos"))).alias("l"))
-
-    def shingled(i: Column) -> Column:
-        return F.xxhash64(*[F.get("l", i + k)["h"] for k in range(shingle)])
-
-    long = long.withColumn("s", F.transform(F.sequence(F.lit(0), F.size("l") - shingle), shingled))
-
-    def selected(i: Column) -> Column:
+def fingerprints(docs: DataFrame, *, run: int = RUN, shingle: int = SHINGLE, chars: int = CHARS) -> DataFrame:
+    """(order columns, start, stop, a, b, print, own): each shortest run that is enough, as counting lines from ``start`` up to
+    ``stop``, with its first and last position, the fingerprint it selected and the hashes of its lines. ``docs`` has the
+    order columns and ``lines``."""
+    hashed = F.transform(
+        "lines", lambda x: F.struct(F.xxhash64(x["line"]).alias("h"), x["pos"].alias("pos"), F.least(F.length(x["line"]), F.lit(chars)).alias("n"))
+    )
+    placed = docs.filter(F.size("lines") > 0).select(*ORDER, hashed.alias("l"))
+
+    def needed(i: Column, step: int) -> Column:
+        """Lines that are enough from line i on (step 1) or back (step -1); null where the text has no such run."""
+        total, out, found = F.lit(0), None, F.lit(True)
+        cases = []
+        for k in range(run):
+            line = F.get("l", i + step * k)
+            found = found & (i + step * k >= 0) & line.isNotNull()
+            total = total + F.coalesce(line["n"], F.lit(0))
+            cases.append((found & ((total >= chars) if k + 1 < run else F.lit(True)), k + 1))
+        for enough, k in cases:
+            out = F.when(enough, k) if out is None else out.when(enough, k)
+        return out
+
+    every = F.sequence(F.lit(0), F.size("l") - 1)
+    measured = placed.withColumns({"on": F.transform(every, lambda i: needed(i, 1)), "back": F.transform(every, lambda i: needed(i, -1))})
+    # a run up to a line that is also the one from its own first line on is the same row
+    ahead = F.transform("on", lambda n, i: F.struct(i.alias("start"), n.alias("n")))
+    behind = F.transform("back", lambda n, i: F.struct((i - n + 1).alias("start"), n.alias("n")))
+    behind = F.filter(behind, lambda x: x["n"].isNotNull() & ~F.get("on", x["start"]).eqNullSafe(x["n"]))
+    runs = F.concat(F.filter(ahead, lambda x: x["n"].isNotNull()), behind)
+
+    def selected(x: Column) -> Column:
+        i, n = x["start"], x["n"]
+        lines = [F.when(n > k, F.get("l", i + k)["h"]) for k in range(run)]
+        shingles = [F.when(n >= k + shingle, F.xxhash64(*lines[k : k + shingle])) for k in range(run - shingle + 1)]
         return F.struct(
             i.alias("start"),
+            (i + n).alias("stop"),
             F.get("l", i)["pos"].alias("a"),
-            F.get("l", i + (run - 1))["pos"].alias("b"),
-            F.array_min(F.slice("s", i + 1, width)).alias("print"),
-            F.struct(*[F.get("l", i + k)["h"].alias(f"l{k}") for k in range(run)]).alias("own"),
+            F.get("l", i + n - 1)["pos"].alias("b"),
+            F.coalesce(F.least(*shingles) if len(shingles) > 1 else shingles[0], lines[0]).alias("print"),
+            F.struct(*[line.alias(f"l{k}") for k, line in enumerate(lines)]).alias("own"),
         )
 
-    return long.select(*ORDER, F.inline(F.transform(F.sequence(F.lit(0), F.size("l") - run), selected)))
+    return measured.select(*ORDER, F.inline(F.transform(runs, selected)))
 
 
 def repeats(prints: DataFrame) -> DataFrame:
-    """(order columns, start, a, b) of every run that also starts earlier."""
+    """(order columns, start, stop, a, b) of every run that also starts earlier."""
     often = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
     shared = prints.join(often.hint("merge"), "print", "left_semi")
     place = F.struct(*ORDER, "start")
     firsts = shared.groupBy("own").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return shared.join(firsts.hint("merge"), "own").filter(place != F.col("first")).select(*ORDER, "start", "a", "b")
+    return shared.join(firsts.hint("merge"), "own").filter(place != F.col("first")).select(*ORDER, "start", "stop", "a", "b")
 
 
-def repeated_spans(gone: DataFrame, run: int) -> DataFrame:
+def repeated_spans(gone: DataFrame) -> DataFrame:
     """One row per document: ``spans``, disjoint (a, b) positions in order, and ``n_removed`` lines."""
-    along = Window.partitionBy(*ORDER).orderBy("start")
-    before = F.lag("start").over(along)
-    opened = F.when(before.isNull() | (F.col("start") >= before + run), 1).otherwise(0)
-    numbered = gone.withColumn("open", opened).withColumn("span", F.sum("open").over(along))
+    along = Window.partitionBy(*ORDER).orderBy("start", "stop")
+    reached = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = gone.withColumn("open", F.when(reached.isNull() | (F.col("start") >= reached), 1).otherwise(0)).withColumn("span", F.sum("open").over(along))
     spans = numbered.groupBy(*ORDER, "span").agg(
-        F.min("a").alias("a"), F.max("b").alias("b"), (F.max("start") - F.min("start") + run).alias("n")
+        F.min("a").alias("a"), F.max("b").alias("b"), (F.max("stop") - F.min("start")).alias("n")
     )
     listed = F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")  # the spans of one document
     return spans.groupBy(*ORDER).agg(listed, F.sum("n").cast("long").alias("n_removed"))
@@ -110,11 +135,11 @@ def without_spans(text: str, spans: str) -> Column:
     return F.when(F.col(spans).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
 
 
-def dedup_lines(docs: DataFrame, *, run: int = RUN, shingle: int = SHINGLE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, run: int = RUN, shingle: int = SHINGLE, chars: int = CHARS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the text that deletion leaves, ``n_lines`` and ``n_removed`` (lines that count)."""
     rows = keyed(docs.drop("n_lines", "n_removed"), id_col, text)
-    prints = materialise(fingerprints(rows.select(*ORDER, counting_lines(text).alias("lines")), run=run, shingle=shingle))
-    spans = materialise(repeated_spans(repeats(prints), run).withColumnsRenamed({"spans": "__spans", "n_removed": "__n"}))
+    prints = materialise(fingerprints(rows.select(*ORDER, counting_lines(text).alias("lines")), run=run, shingle=shingle, chars=chars))
+    spans = materialise(repeated_spans(repeats(prints)).withColumnsRenamed({"spans": "__spans", "n_removed": "__n"}))
     joined = rows.join(spans.hint("merge"), ORDER, "left")
     n_lines = F.coalesce(F.size(counting_lines(text)), F.lit(0))
     return (
@@ -130,11 +155,20 @@ ORACLE = f"""
 with split as (
   select doc_id, pos, line, trim(translate(line, chr(9) || chr(13), '  ')) = '' as blank
   from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as pos from documents)
-), c as (select *, row_number() over (partition by doc_id order by pos) as start from split where not blank
+), c as (
+  select *, row_number() over (partition by doc_id order by pos) as start from split where not blank
 ), r as (
-  select doc_id, start, pos as a, lead(pos, {RUN - 1}) over d as b, line || chr(10) || lead(line, 1) over d || chr(10) || lead(line, 2) over d as own
+  select doc_id, start, line as l0, lead(line, 1) over d as l1, lead(line, 2) over d as l2, pos as a0, lead(pos, 1) over d as a1, lead(pos, 2) over d as a2
   from c window d as (partition by doc_id order by pos)
-), f as (select *, row_number() over (partition by own order by doc_id, start) as nth from r where b is not null
+), shortest as (
+  -- a run is one that is enough of which the lines without its last, or without its first, are not
+  select doc_id, start, a0 as a, a0 as b, l0 as own from r where length(l0) >= {CHARS}
+  union all
+  select doc_id, start, a0, a1, l0 || chr(10) || l1 from r where l1 is not null and length(l0) + length(l1) >= {CHARS} and least(length(l0), length(l1)) < {CHARS}
+  union all
+  select doc_id, start, a0, a2, l0 || chr(10) || l1 || chr(10) || l2 from r
+  where l2 is not null and least(length(l0) + length(l1), length(l1) + length(l2)) < {CHARS}
+), f as (select *, row_number() over (partition by own order by doc_id, start) as nth from shortest
 ), gone as (select distinct doc_id, unnest(range(a, b + 1)) as pos from f where nth > 1
 ), left_ as (
   select s.doc_id, count(*) filter (where not blank) as n_lines, count(*) filter (where not blank and g.pos is not null) as n_removed,
