@@ -246,10 +246,12 @@ def _level(blocks: DataFrame, tasks: int, held: Trees, growing: Trees, level: in
                 yield sums_of(key, sums[k, 0, key], sums[k, 1, key], k)
         used = np.flatnonzero(totals[1])
         for chunk in range(chunks):
-            none = np.full(len(used), -1)
-            yield batch(used, none, none * 0, totals[0, used], totals[1, used], np.full(len(used), chunk))
+            no_feature = np.full(len(used), -1)
+            yield batch(used, no_feature, no_feature * 0, totals[0, used], totals[1, used], np.full(len(used), chunk))
 
     def search(part: pa.Table) -> pa.Table:
+        if not len(part):
+            return none
         unit, feature, bin_, g, h = (part[c].to_numpy() for c in names[1:])
         listed, place = np.unique(unit, return_inverse=True)
         own = np.flatnonzero(feature < 0)
@@ -269,10 +271,10 @@ def _level(blocks: DataFrame, tasks: int, held: Trees, growing: Trees, level: in
             zeros = padded[from_[:, None] + np.arange(CHUNK)]
             f, b, gain, left = best_splits(sums, zeros, totals[start : start + step], reg, least)
             found.append((some // chunks, from_ + f, b, gain, left[:, 0], left[:, 1], *totals[start : start + step].T))
-        kinds = [np.int32] * 3 + [np.float64] * 5
-        columns = [np.concatenate(c).astype(kind) for c, kind in zip(zip(*found), kinds)]
-        return pa.table(dict(zip([c.split()[0] for c in SPLITS.split(", ")], columns)))
+        return pa.table([np.concatenate(c).astype(kind) for c, kind in zip(zip(*found), kinds)], names=outs)
 
+    outs, kinds = [c.split()[0] for c in SPLITS.split(", ")], [np.int32] * 3 + [np.float64] * 5
+    none = pa.table([np.zeros(0, kind) for kind in kinds], names=outs)
     padded = np.zeros(chunks * CHUNK, np.int64)
     padded[:features] = zero
 
@@ -342,7 +344,7 @@ def fit_trees(
     zero = np.array([np.searchsorted(e, 0.0, side="left") for e in edges], np.uint8)
     rows = rows.coalesce(max(1, -(-n // TASK_ROWS)))
     blocks = materialise(blocks_of(rows, features, label, classes, edges))
-    tasks = blocks.rdd.getNumPartitions()
+    tasks = blocks.select(F.spark_partition_id()).distinct().count()
     done: list[Trees] = []
     held: list[Trees] = []
     for _ in range(trees):
@@ -429,9 +431,9 @@ class _Writer(MLWriter):
         spark, m = SparkSession.active(), self.model
         DefaultParamsWriter.saveMetadata(m, path, spark)
         nodes = [(k, m.trees.depth, m.trees.feature[k].tolist(), m.trees.bin[k].astype(int).tolist(), m.trees.value[k].tolist()) for k in range(len(m.trees.feature))]
-        spark.createDataFrame(nodes, "tree int, depth int, feature array<int>, bin array<int>, value array<double>").coalesce(1).write.parquet(f"{path}/trees")
+        spark.createDataFrame(nodes, "tree int, depth int, feature array<int>, bin array<int>, value array<double>").write.parquet(f"{path}/trees")
         edges = [(k, [x for x in e.tolist() if x < np.inf], m.edges.shape[1]) for k, e in enumerate(m.edges)]
-        spark.createDataFrame(edges, "feature int, edges array<double>, width int").coalesce(1).write.parquet(f"{path}/edges")
+        spark.createDataFrame(edges, "feature int, edges array<double>, width int").write.parquet(f"{path}/edges")
 
 
 class _Reader(MLReader):

@@ -131,7 +131,7 @@ def _write(index: VectorIndex, df: DataFrame) -> None:
     bounds = placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("__far").alias("radius"), F.max("__angle").alias("angle"), F.max("__length").alias("length")
     )
-    bounds.coalesce(1).write.mode("append").parquet(f"{index.path}/bounds")  # at most a row a cell
+    bounds.write.mode("append").parquet(f"{index.path}/bounds")  # at most a row a cell
     # by ranges of (cell, hash): a cell that holds most vectors is many files, small cells share a task
     narrow = placed.select(*columns, "cell").withColumn("__h", hash_int(S.SEED, "file", index.id_col))
     ordered = narrow.repartitionByRange(bucket_count(df), "cell", "__h").drop("__h")
@@ -179,7 +179,7 @@ def build_index(
     path = path or scratch_path(spark)
     meta = json.dumps({"keys": keys, "id_col": id_col, "vector": vector, "schema": schema.json()})
     listed = spark.createDataFrame([(k, c.tolist(), meta) for k, c in enumerate(centres)], "cell int, centre array<double>, meta string")
-    listed.coalesce(1).write.parquet(f"{path}/centres")
+    listed.write.parquet(f"{path}/centres")
     index = VectorIndex(spark, path, keys, id_col, vector, schema, _unfilled(centres))
     _write(index, df)
     return _with_bounds(index)
