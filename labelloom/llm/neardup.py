@@ -1,10 +1,10 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 Shingles are five lower-cased (A-Z) words; a text of fewer words is one shingle. A shingle weighs term frequency
-times ln((1 + N) / (1 + df)) + 1. Document frequencies are counted over all documents in a table of
-``2**DF_BITS`` hash buckets, so the table, which is broadcast, has a fixed size; its error is the share of
-documents that fall in a bucket by chance, alike at every number of documents. Shares below
-``IDF_FLOOR`` weigh the same.
+times ln((1 + N) / (1 + df)) + 1. Document frequencies are exact down to a share ``floor`` of all documents: the larger of
+``IDF_FLOOR`` and twice the share that falls in one of ``2**DF_BITS`` hash buckets by chance. Shingles below it weigh as if they had
+it. The table of exact frequencies, which is broadcast, has at most ``2**(DF_BITS - 1)`` entries whatever the documents: every entry
+stands for floor * N of the shingles of N documents.
 
 1. Every document gets K consistent weighted samples; BANDS keys combine ROWS of them each. A pair of
    similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS: 0.995 at 0.8.
@@ -24,6 +24,7 @@ equal ids are documents of their own; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,12 @@ from labelloom.session import materialise
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 4
-DF_BITS = 18
-IDF_FLOOR = 0.1
+DF_BITS = 20
+#: Shares of documents below which all shingles weigh the same, as far as chance in the buckets allows.
+IDF_FLOOR = 2.0**-10
+#: Buckets travel in so many ranges, partial counts in runs of so many shingles.
+DF_RANGES = 256
+DF_RUN = 1 << 20
 #: Keys of at most so many nodes are compared pair by pair, larger ones by blocks of at most so many nodes and about so much weight.
 FEW = 8
 BLOCK_NODES = 1024
@@ -121,31 +126,101 @@ def shingle_slices(column: pa.Array):
         yield first, stop, keys & low, tf, bounds
 
 
-def document_frequencies(docs: DataFrame, text: str) -> np.ndarray:
-    """idf of each hash bucket, from the counts over all documents."""
-    size = 1 << DF_BITS
+class Idf(NamedTuple):
+    """Weights of the frequent shingles (sorted), of all others, and the buckets that hold a frequent one."""
+
+    held: np.ndarray
+    shingles: np.ndarray
+    weights: np.ndarray
+    rest: np.float32
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(HASH_BITS - DF_BITS)).astype(np.int64)
+
+
+def _bucket_totals(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents by hash bucket of their shingles, and the number of documents."""
+    size, width = 1 << DF_BITS, (1 << DF_BITS) // DF_RANGES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(size, np.int64), 0
         for batch in batches:
             for first, stop, h, _, _ in shingle_slices(batch.column(0)):
-                total += np.bincount((h >> np.uint64(HASH_BITS - DF_BITS)).astype(np.int64), minlength=size)
+                total += np.bincount(_bucket(h), minlength=size)
                 n += stop - first
-        filled = np.flatnonzero(total)
+        parts = [x.astype(np.min_scalar_type(int(x.max()))) for x in total.reshape(DF_RANGES, width)]
+        filled = [k for k, x in enumerate(parts) if x.any()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(([-1], filled)).astype(np.int32)), pa.array(np.concatenate(([n], total[filled])))], names=["bucket", "n"]
+            [pa.array([-1, *filled], pa.int32()), pa.array([np.int64(n).tobytes(), *[parts[k].tobytes() for k in filled]])], names=["range", "counts"]
         )
 
-    counts = docs.select(F.col(text).cast("string")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(size)
-    rows = counts[counts["bucket"] >= 0]
-    df[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    n = max(float(counts.loc[counts["bucket"] < 0, "n"].sum()), 1.0)
-    return (np.log((1 + n) / (1 + np.maximum(df, IDF_FLOOR * n))) + 1).astype(np.float32)
-
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = raw.as_buffer()
+                values = np.frombuffer(raw, np.int64 if k < 0 else f"u{len(raw) // width}").astype(np.int64)
+                sums[k] = sums[k] + values if k in sums else values
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["range", "counts"])
+
+    form = "range int, counts binary"
+    merged = texts.mapInArrow(count, form).repartition("range").mapInArrow(add, form).toPandas()
+    total, n = np.zeros((DF_RANGES, width), np.int64), 0
+    for k, raw in zip(merged["range"], merged["counts"]):
+        values = np.frombuffer(raw, np.int64)
+        if k < 0:
+            n = int(values[0])
+        else:
+            total[k] = values
+    return total.ravel(), n
+
+
+def frequent_shingles(texts: DataFrame, wanted, least: float) -> DataFrame:
+    """(h, n): shingles of wanted buckets that occur in at least ``least`` documents, and their exact number."""
 
-def _weights(idf: np.ndarray, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
-    return tf.astype(np.float32) * idf[(h >> np.uint64(HASH_BITS - DF_BITS)).astype(np.int64)]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = wanted.value
+        found, waiting = [], 0
+        for batch in batches:
+            for _, _, h, _, _ in shingle_slices(batch.column(0)):
+                found.append(h[flags[_bucket(h)]])
+                waiting += len(found[-1])
+                if waiting >= DF_RUN:
+                    yield counts_of(found)
+                    found, waiting = [], 0
+        if waiting:
+            yield counts_of(found)
+
+    def counts_of(found: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = counted(np.sort(np.concatenate(found)))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+
+
+def document_frequencies(docs: DataFrame, text: str) -> Idf:
+    """Weights of shingles, from the counts over all documents."""
+    texts, sc = docs.select(F.col(text).cast("string")), docs.sparkSession.sparkContext
+    total, n = _bucket_totals(texts)
+    n = max(n, 1)
+    floor = max(IDF_FLOOR, 2 * float(total.sum()) / n / (1 << DF_BITS))
+    weight = lambda df: (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    table = frequent_shingles(texts, sc.broadcast(total >= floor * n), floor * n).toPandas().sort_values("h")
+    shingles = table["h"].to_numpy(np.int64).view(np.uint64)
+    held = np.zeros(1 << DF_BITS, bool)
+    held[_bucket(shingles)] = True
+    return Idf(held, shingles, weight(table["n"].to_numpy(np.float64)), weight(np.float64(floor * n)))
+
+
+def _weights(idf: Idf, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    weight = np.full(len(h), idf.rest, np.float32)
+    maybe = np.flatnonzero(idf.held[_bucket(h)])
+    if len(maybe):
+        at = np.minimum(np.searchsorted(idf.shingles, h[maybe]), len(idf.shingles) - 1)
+        hit = idf.shingles[at] == h[maybe]
+        weight[maybe[hit]] = idf.weights[at[hit]]
+    return tf.astype(np.float32) * weight
 
 
 def _set_hash(h: np.ndarray, tf: np.ndarray, at: np.ndarray) -> list[bytes]:
