@@ -8,8 +8,10 @@ map-side-combined aggregate with at most ``groups x buckets`` rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +21,7 @@ from labelloom.session import materialise
 
 MAX_BUCKETS = 1 << 24  # bits of a hash that tell buckets apart
 MAX_QUANTILES = 2048  # bounds that a row is compared with in two steps
+LEVEL_BITS = 16  # bits of a hash that tell a task which rows can still be among the first
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -222,6 +225,29 @@ def sample_n(df: DataFrame, n: int | Column, *, id_col: str, seed: int, salt: st
     return marked.filter("__chosen").drop("__chosen")
 
 
+def first_candidates(df: DataFrame, n: int | Column, *, id_col: str, seed: int, salt: str = "sample") -> DataFrame:
+    """The rows of which ``sample_n`` with the same seed and salt can choose, found in one pass without a shuffle.
+
+    Each task counts its rows by the leading bits of their hash. Once ``n`` rows lie at or below a level, rows above it are
+    dropped. The memory is one histogram, whatever ``n``; about ``n * (1 + ln(rows / n))`` rows of a task are left. A null ``n`` is 0.
+    """
+    limit = F.lit(n) if isinstance(n, int) else n
+    numbered = df.withColumns({"__h": hash_int(seed, salt, id_col), "__n": F.coalesce(limit.cast("bigint"), F.lit(0).cast("bigint"))})
+    kept, shift = df.columns, HASH_BITS - LEVEL_BITS
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, edge = np.zeros(1 << LEVEL_BITS, np.int64), (1 << LEVEL_BITS) - 1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            level = batch.column("__h").to_numpy() >> shift
+            counts += np.bincount(level, minlength=len(counts))
+            edge = min(edge, int(np.searchsorted(np.cumsum(counts), batch.column("__n")[0].as_py())))
+            yield batch.select(kept).filter(pa.array(level <= edge))
+
+    return numbered.mapInArrow(below, df.schema)
+
+
 def head_per_group(df: DataFrame, keys: list[str], order_col: str, n: int) -> DataFrame:
     """First n rows of each group. The literal bound lets Spark prune each map task to n rows a group."""
     window = Window.partitionBy(*keys).orderBy(order_col)

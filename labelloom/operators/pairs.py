@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from labelloom import schema as S
 from labelloom.functions.hashing import hash_constant, hash_int, hash_mod
 from labelloom.functions.joins import as_of_join
-from labelloom.functions.ranking import bucket_count, hash_rank, hex_bucket, order_rank, running_total, sample_n
+from labelloom.functions.ranking import bucket_count, first_candidates, hash_rank, hex_bucket, order_rank, running_total, sample_n
 from labelloom.functions.text import effective_text
 from labelloom.functions.vectors import dot
 from labelloom.operators.profile import class_counts, with_class
@@ -329,11 +329,15 @@ def domain_mix_negatives(
 def mix_similar_negatives(
     topic_pairs: DataFrame, text_pairs: DataFrame, total: Column | int, *, seed: int = S.SEED
 ) -> DataFrame:
-    """Up to total // 2 pairs of similar topics, then pairs of similar texts up to the total."""
+    """Up to total // 2 pairs of similar topics, then pairs of similar texts up to the total.
+
+    The tasks that find the pairs keep only those that the quota can still take, so neither set of pairs is written whole.
+    """
     limit = F.lit(total).cast("bigint") if isinstance(total, int) else total.cast("bigint")
     keyed = lambda d: d.select("id1", "id2", F.concat_ws("|", "id1", "id2").alias("__pair"))
-    topic_pairs, text_pairs = materialise(keyed(topic_pairs)), materialise(keyed(text_pairs))
     half = F.floor(limit / 2)
+    quota = lambda d, n, salt: materialise(first_candidates(keyed(d), n, id_col="__pair", seed=seed, salt=salt))
+    topic_pairs, text_pairs = quota(topic_pairs, half, "mix_topic"), quota(text_pairs, limit, "mix_text")
     by_topic = sample_n(topic_pairs, half, id_col="__pair", seed=seed, salt="mix_topic")
     taken = F.least(half, topic_pairs.agg(F.count(F.lit(1))).scalar())
     by_text = sample_n(text_pairs, limit - taken, id_col="__pair", seed=seed, salt="mix_text")

@@ -11,6 +11,7 @@ from conftest import labelled
 from labelloom import schema as S
 from labelloom.functions import ranking
 from labelloom.operators import balance, pairs, similarity, split
+from labelloom.session import materialise
 
 N = 240
 
@@ -158,6 +159,32 @@ def test_mix_keeps_its_quotas(spark):
         assert (got.get("topic", 0), got.get("text", 0)) == (topic, text)
 
 
+@pytest.mark.parametrize("n", [0, 1, 37, 5_000, 19_999, 30_000])
+def test_first_candidates_hold_the_sample(spark, n):
+    """Of 20,000 rows in 4 tasks, small batches: the sample is that of all rows, and the rows left follow n."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(size)
+    spark.conf.set(size, "100")
+    try:
+        rows = spark.range(0, 20_000, 1, 4).select(F.col("id").cast("string").alias("k"), F.col("id").alias("__x"))
+        left = materialise(ranking.first_candidates(rows, n, id_col="k", seed=3, salt="t"))
+        want = {r["k"] for r in ranking.sample_n(rows, n, id_col="k", seed=3, salt="t").collect()}
+        assert {r["k"] for r in ranking.sample_n(left, n, id_col="k", seed=3, salt="t").collect()} == want
+        assert len(want) == min(n, 20_000) <= left.count()
+        if n < 100:
+            assert left.count() < 4 * (100 + n * 8)
+        assert left.columns == rows.columns
+    finally:
+        spark.conf.set(size, old)
+
+
+def test_first_candidates_without_rows_or_limit(spark):
+    none = spark.createDataFrame([], "k string")
+    assert ranking.first_candidates(none, 5, id_col="k", seed=1).count() == 0
+    some = spark.range(10).select(F.col("id").cast("string").alias("k"))
+    assert ranking.sample_n(ranking.first_candidates(some, F.lit(None), id_col="k", seed=1), 0, id_col="k", seed=1).count() == 0
+
+
 def test_replication_matches_the_cyclic_rule(skewed, local):
     top = max(len(v) for v in _classes(local).values())
     texts = {r[0]: r[2] for r in local}
