@@ -226,7 +226,8 @@ def weigh(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple
     for d, (keys, zeros, ones) in enumerate(levels):
         one = (ones + 0.5) / (zeros + ones + 1)
         a, b = (0.0, 1.0) if d == 0 else (sure[parents[d]], left[parents[d]]) if len(parents[d]) else (np.zeros(0), np.zeros(0))
-        out.append((keys, (a + b * (stop[d] * one + (1 - stop[d]) * off[d])).astype(np.float32)))
+        # in single precision a bit that always followed would become certain beyond 2^24 times, and any other impossible
+        out.append((keys, a + b * (stop[d] * one + (1 - stop[d]) * off[d])))
         sure, left = a + b * stop[d] * one, b * (1 - stop[d])
     return out
 

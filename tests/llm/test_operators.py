@@ -230,6 +230,13 @@ def test_ctw_follows_the_chain_rule():
                 break
 
 
+def test_ctw_stays_finite_where_one_bit_followed_very_often():
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tree = ctw.weigh([(np.array([1], np.uint64), np.array([0]), np.array([1 << 26])), *[none] * ctw.DEPTH])
+    got = ctw.Scorer({"name": "often", "tree": tree})(np.array([0, 0x80], np.uint64))
+    assert got == pytest.approx([math.log10(0.5 / (2**26 + 1)) + 7 * math.log10(0.5), 7 * math.log10(0.5)], rel=1e-6)
+
+
 def test_ctw_models_of_equal_size_are_told_apart(spark):
     scores = []
     for pair in ("ab", "ij"):
