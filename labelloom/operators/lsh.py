@@ -9,6 +9,10 @@ How many tables and probes a wanted recall takes follows from the threshold alon
 normal with correlation s in any dimension, so a fixed simulation of such pairs tells how often they meet.
 
 Hot buckets are cut into blocks, and each pair of blocks is one task-sized product, as in the exact join.
+
+A low threshold on many rows takes so many tables that a vector is sent to hundreds of buckets. Where cutting all rows into
+blocks sends it to fewer places, each pair of blocks is a task instead, which looks up for its pairs above the threshold
+whether they share a bucket: the same pairs, with less to send.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import types as T
 
 from labelloom import schema as S
 from labelloom.functions.hashing import hash_mod
+from labelloom.functions.ranking import bucket_count
 from labelloom.functions.vectors import unit
 from labelloom.operators.similarity import BLOCK, DIGITS
 from labelloom.session import materialise
@@ -32,6 +37,12 @@ RECALL = 0.95
 MAX_BITS = 24
 MAX_TABLES = 4096  # a threshold that needs more gets an error, not a smaller recall
 TRIALS = 20_000
+CELL_ROWS = 16_384  # most rows of a block where all pairs of blocks meet
+CELL_LOOKS = 1 << 25  # most looks of such a block, over all tables (4 bytes each)
+CELLS_WIDE = 12  # blocks of a small table, so that their pairs fill a cluster
+CELL_SCORES = 1 << 22  # similarities held at once
+FEW_COPIES = 64  # places that a vector may be sent to before blocks are tried
+MAX_TASKS = 2048
 
 
 # --- the plan ----------------------------------------------------------------------------------
@@ -119,6 +130,9 @@ def lsh_pairs(
     # dimensions x tables x bits numbers, whatever the rows
     directions = np.random.default_rng(seed).standard_normal((tables, max(known["d"] or 1, 1), bits))
     shared = df.sparkSession.sparkContext.broadcast(directions)
+    blocks = cell_blocks(known["n"], tables, probes, block)
+    if tables * (2 + probes) > max(FEW_COPIES, blocks):
+        return _pairs_of_blocks(rows, blocks, threshold, shared, bits, probes, bool(differ))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -161,8 +175,7 @@ def lsh_pairs(
 
     left = dealt(spread(True), "__ln", "__sn", "__lb", "__sb")
     right = dealt(spread(False), "__sn", "__ln", "__sb", "__lb")
-    kind = rows.schema["__id"].dataType
-    schema = T.StructType([T.StructField("id1", kind), T.StructField("id2", kind), T.StructField("similarity", T.DoubleType())])
+    schema = _pair_schema(rows)
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -177,3 +190,85 @@ def lsh_pairs(
 
     found = left.groupBy("__task").cogroup(right.groupBy("__task")).applyInPandas(match, schema)
     return found.groupBy("id1", "id2").agg(F.max("similarity").alias("similarity"))
+
+
+def _pair_schema(rows: DataFrame) -> T.StructType:
+    kind = rows.schema["__id"].dataType
+    return T.StructType([T.StructField("id1", kind), T.StructField("id2", kind), T.StructField("similarity", T.DoubleType())])
+
+
+# --- all pairs of blocks -----------------------------------------------------------------------
+
+
+def cell_blocks(rows: int, tables: int, probes: int, block: int = BLOCK) -> int:
+    """Blocks that all rows are cut into where every pair of blocks meets, which is how many places a vector is sent to."""
+    most = max(1, min(CELL_ROWS, CELL_LOOKS // (tables * (1 + probes))))
+    return max(1, -(-rows // most), min(-(-rows // block), CELLS_WIDE))
+
+
+def looks(vectors: np.ndarray, directions: np.ndarray, bits: int, probes: int) -> np.ndarray:
+    """(table, probe, vector): the buckets that each vector looks into; probe 0 is its own."""
+    found = [buckets(vectors, planes, bits, probes).T.astype(np.int32) for planes in directions]
+    return np.stack(found)
+
+
+def met(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether vector i of one block or j of the other looks into the bucket of its partner in any table.
+
+    Rows of one id (``other`` false) only meet where one looks into a bucket that isn't its own.
+    """
+    found = np.zeros(len(i), bool)
+    todo = np.arange(len(i))
+    for left, right in zip(a, b):
+        x, y = i[todo], j[todo]
+        own_left, own_right = left[0][x], right[0][y]
+        hit = (own_left == own_right) & other[todo]
+        for p in range(1, len(left)):
+            hit |= (left[p][x] == own_right) | (right[p][y] == own_left)
+        found[todo[hit]] = True
+        todo = todo[~hit]
+        if not len(todo):
+            break
+    return found
+
+
+def _pairs_of_blocks(rows: DataFrame, blocks: int, threshold: float, shared, bits: int, probes: int, differ: bool) -> DataFrame:
+    """The pairs of ``lsh_pairs``, each tested in the task of its two blocks."""
+    zero, last = F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")
+    # a hash of the id and the vector: rows of one id must not make a block of their own
+    placed = rows.withColumn("__block", hash_mod(F.lit(blocks).cast("bigint"), S.SEED, "cell", "__id", F.xxhash64("__v").cast("string")))
+    sent = placed.withColumn("__to", F.explode(F.sequence(zero, last))).select(
+        F.least("__block", "__to").alias("__a"), F.greatest("__block", "__to").alias("__b"), (F.col("__block") <= F.col("__to")).alias("__left"), "__id", "__v", "__c"
+    )
+
+    def gathered(batches: Iterator[pd.DataFrame]) -> dict[bool, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, vectors, classes) of each side."""
+        parts = [(b["__left"].to_numpy(dtype=bool), b["__id"].to_numpy(), _matrix(b["__v"]), b["__c"].to_numpy(dtype=object)) for b in batches if len(b)]
+        sides, ids, vectors, classes = (np.concatenate(x) for x in zip(*parts))
+        codes = pd.factorize(classes)[0]
+        return {side: (ids[sides == side], vectors[sides == side], codes[sides == side]) for side in (True, False)}
+
+    def match(key: tuple[int, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sides, alone = gathered(batches), key[0] == key[1]
+        (lid, left, lc), (rid, right, rc) = sides[True], sides[alone]
+        if not len(lid) or not len(rid):
+            return
+        a = looks(left, shared.value, bits, probes)
+        b = a if alone else looks(right, shared.value, bits, probes)
+        step = max(1, CELL_SCORES // len(rid))
+        for first in range(0, len(lid), step):
+            sims = np.round(left[first : first + step] @ right.T, DIGITS)
+            keep = sims > threshold
+            if alone:
+                keep &= np.arange(first, first + len(sims))[:, None] < np.arange(len(rid))[None, :]
+            if differ:
+                keep &= lc[first : first + step, None] != rc[None, :]
+            i, j = np.nonzero(keep)
+            i, scores = i + first, sims[i, j]
+            hit = met(a, b, i, j, lid[i] != rid[j])
+            i, j = i[hit], j[hit]
+            yield pd.DataFrame({"id1": np.minimum(lid[i], rid[j]), "id2": np.maximum(lid[i], rid[j]), "similarity": scores[hit]})
+
+    tasks = max(bucket_count(rows), min(blocks * (blocks + 1) // 2, MAX_TASKS))
+    found = sent.repartition(tasks, "__a", "__b").groupBy("__a", "__b").applyInPandas(match, _pair_schema(rows))
+    return found.groupBy("id1", "id2").agg(F.max("similarity").alias("similarity"))

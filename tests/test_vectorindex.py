@@ -141,6 +141,27 @@ def test_hashed_text_pairs_collapse_copies_and_skip_one_topic(spark):
     assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, found.collect())) and exact.count() >= 40
 
 
+@pytest.mark.parametrize("rows", [1 << 25, 20_000])
+def test_pairs_of_blocks_are_those_of_the_buckets(spark, monkeypatch, rows):
+    """A low threshold sends a vector to hundreds of buckets, or to a few blocks: the same pairs, also where ids and vectors repeat."""
+    rng = np.random.default_rng(15)
+    vectors = rng.normal(size=(150, 6))
+    data = [(k if k % 10 else 7, [float(x) for x in v], f"t{k % 3}" if k % 7 else None) for k, v in enumerate([*vectors, *vectors[:20]])]
+    df = spark.createDataFrame(data, "row_id long, vector array<double>, topic string").repartition(4)
+    plan = lsh.plan(0.3, 20_000)
+    assert plan[0] * (2 + plan[2]) > 2 * lsh.FEW_COPIES and lsh.cell_blocks(120_000, *plan[::2]) < 64
+    monkeypatch.setattr(lsh, "CELL_LOOKS", rows)
+    shown = {}
+    for form, few in (("buckets", 1 << 30), ("blocks", 1)):
+        monkeypatch.setattr(lsh, "FEW_COPIES", few)
+        for differ in (None, "topic"):
+            found = lsh.lsh_pairs(df, 0.5, recall=0.6, bits=5, probes=2, block=40, differ=differ)
+            assert ("FlatMapCoGroups" in found._jdf.queryExecution().toString()) == (form == "buckets")
+            shown[form, differ] = sorted((r["id1"], r["id2"], round(r["similarity"], 9)) for r in found.collect())
+    for differ in (None, "topic"):
+        assert shown["buckets", differ] == shown["blocks", differ] and len(shown["blocks", differ]) > 500
+
+
 def test_hot_bucket_is_cut_into_blocks(spark):
     """A third of all vectors in one bucket: blocks bound every task."""
     rng = np.random.default_rng(13)
