@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,8 @@ from labelloom import schema as S
 from labelloom.functions.text import after_prefix
 from labelloom.session import materialise
 
+PIECE_ROWS = 256  # rows whose texts a task holds at once
+
 BatchFunction = Callable[[Sequence[str]], Sequence[str]]
 
 
@@ -22,19 +25,24 @@ def map_batches(
     """Apply ``fn`` to lists of at most ``batch_size`` texts; answers stay with their rows."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame[column].tolist()
-            answers: list[str] = []
-            for start in range(0, len(texts), batch_size):
-                part = texts[start : start + batch_size]
-                got = list(fn(part))
-                if len(got) != len(part):
-                    raise ValueError("batch function must answer every text")
-                answers.extend(got)
-            yield frame.assign(**{out: pd.Series(answers, index=frame.index, dtype="object")})
-
-    return df.mapInPandas(run, schema)
+    piece = max(1, PIECE_ROWS // batch_size) * batch_size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # texts may be long: only a piece of an Arrow batch is held as Python strings, with its answers
+            for first in range(0, batch.num_rows, piece):
+                rows = batch.slice(first, piece)
+                texts = rows.column(column).to_pylist()
+                answers: list[str] = []
+                for start in range(0, len(texts), batch_size):
+                    part = texts[start : start + batch_size]
+                    got = list(fn(part))
+                    if len(got) != len(part):
+                        raise ValueError("batch function must answer every text")
+                    answers.extend(got)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(answers, pa.string())], names=[*rows.schema.names, out])
+
+    return df.mapInArrow(run, schema)
 
 
 def _spread(df: DataFrame, tasks: int | None) -> DataFrame:

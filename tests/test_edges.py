@@ -3,8 +3,10 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import labelled
 from labelloom import schema as S
@@ -293,3 +295,17 @@ def test_tuples_without_other_text_are_left_out(spark):
         negatives = [r["id"] for r in mine if r["role"] == "negative"]
         assert len(positives) == 4 and len(set(positives)) == 4 and all(texts[p] != texts[a] and p >= 3 for p in positives)
         assert len(negatives) == 8 and set(negatives) <= {1, 2}
+
+
+def test_map_batches_holds_pieces_of_a_batch():
+    class Frame:
+        schema = T.StructType([T.StructField("t", T.StringType())])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = enrich.map_batches(Frame(), lambda ts: [f"{t}!" for t in ts], "t", 30)
+    texts = [None, *map(str, range(1000))]
+    pieces = list(run(iter([pa.record_batch({"t": pa.array(texts, pa.string())})])))
+    assert max(p.num_rows for p in pieces) <= enrich.PIECE_ROWS
+    assert [x for p in pieces for x in p.column("mapped").to_pylist()] == [f"{t}!" for t in texts]
