@@ -22,6 +22,7 @@ from labelloom.functions.vectors import unit
 from labelloom.session import materialise
 
 BLOCK = 2048  # vectors of one side in one task
+SENT = 8192  # rows of one batch that a task returns
 BROADCAST_FLOATS = 4_000_000  # at most 32 MB of doubles are sent to every executor
 MAX_PIVOTS = 2048  # bounds the pivot table on the driver and in each task
 ANGLE_SLACK = 1e-6  # covers the rounding of arccos near 1
@@ -334,9 +335,11 @@ def similarity_pairs(
             if frame.empty:
                 continue
             home, row, cell = homes_and_visits(_matrix(frame["__v"]))
-            stay = frame.assign(__cell=home.astype("int32"), __home=True)
-            visit = frame.iloc[row].assign(__cell=cell.astype("int32"), __home=False)
-            yield pd.concat([stay, visit])
+            yield frame.assign(__cell=home.astype("int32"), __home=True)
+            # a vector may visit every later cell: a batch's visits leave in pieces
+            for first in range(0, len(row), SENT):
+                some = slice(first, first + SENT)
+                yield frame.iloc[row[some]].assign(__cell=cell[some].astype("int32"), __home=False)
 
     def count_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stays, visits = np.zeros(len(shared.value), "int64"), np.zeros(len(shared.value), "int64")
