@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from labelloom import schema as S
 from labelloom.functions.hashing import hash_int, uniform
 from labelloom.functions.ranking import bucket_count
-from labelloom.operators.similarity import BLOCK, top_k_matches
+from labelloom.operators.similarity import BLOCK, SENT, top_k_matches
 from labelloom.session import ensure_checkpoint_dir, materialise
 
 MAX_CELLS = 2048  # bounds the centres on the driver and in each task
@@ -257,7 +257,10 @@ def _visits(index: VectorIndex, queries: DataFrame, metric: str, first: int, sec
                 least = frame["__kth"].fillna(-np.inf).to_numpy(dtype="float64") - _slack(cells, vectors, metric)
                 near = ~near & (bound >= least[:, None])
             row, cell = np.nonzero(near & np.isfinite(bound))
-            yield frame.iloc[row].drop(columns=["__kth", "__cells"], errors="ignore").assign(cell=cell.astype("int32"))
+            frame = frame.drop(columns=["__kth", "__cells"], errors="ignore")
+            # a query may meet every cell: a batch's visits leave in pieces
+            for at in range(0, len(row), SENT):
+                yield frame.iloc[row[at : at + SENT]].assign(cell=cell[at : at + SENT].astype("int32"))
 
     return queries.mapInPandas(choose, schema)
 

@@ -1,6 +1,9 @@
 """Kept vector index, pruned nearest-neighbour search and the hashed similarity join, against brute force."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +200,24 @@ def test_buckets_differ_in_the_least_sure_bits():
 def test_no_rows(spark):
     assert lsh.lsh_pairs(frame(spark, [None]), 0.8).count() == 0
     assert lsh.lsh_pairs(frame(spark, [np.ones(3)]).filter(F.lit(False)), 0.8).count() == 0
+
+
+def test_visits_of_a_batch_leave_in_pieces(spark, monkeypatch):
+    """A vector may visit every cell: what a task returns at once must not grow with the number of cells."""
+    rng = np.random.default_rng(16)
+    df = frame(spark, rng.normal(size=(60, 4)))
+    made = []
+    kept = type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, run, schema, *a, **k: (made.append(run), kept(self, run, schema, *a, **k))[1])
+    similarity.similarity_pairs(df, 0.1, pivots=30)
+    to_cells = next(f for f in made if f.__name__ == "to_cells")
+    rows = pd.DataFrame({"__id": np.arange(2000), "__v": list(rng.normal(size=(2000, 4))), "__c": None})
+    pieces = list(to_cells(iter([rows])))
+    assert max(map(len, pieces)) <= similarity.SENT < sum(map(len, pieces)) and pieces[0]["__home"].all()
+    assert sum(p["__home"].sum() for p in pieces) == 2000
+    cells = vectorindex.CellBounds(rng.normal(size=(20, 4)), np.ones(20, np.int64), np.ones(20), np.ones(20), np.ones(20))
+    made.clear()
+    index = SimpleNamespace(cells=cells)
+    vectorindex._visits(index, df.selectExpr("row_id AS __id", "vector AS __v"), "l2", 12, False)
+    pieces = list(made[0](iter([rows.drop(columns="__c")])))
+    assert max(map(len, pieces)) <= similarity.SENT and sum(map(len, pieces)) == 12 * 2000
