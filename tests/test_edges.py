@@ -309,3 +309,15 @@ def test_map_batches_holds_pieces_of_a_batch():
     pieces = list(run(iter([pa.record_batch({"t": pa.array(texts, pa.string())})])))
     assert max(p.num_rows for p in pieces) <= enrich.PIECE_ROWS
     assert [x for p in pieces for x in p.column("mapped").to_pylist()] == [f"{t}!" for t in texts]
+
+
+def test_positive_pairs_meet_in_blocks_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "PAIR_BLOCK", 4)
+    sizes = {"x": 9, "y": 1, "z": 4, "w": 13}
+    rows = [(100 * c + k, "n", "d", "dom", t) for c, (t, n) in enumerate(sizes.items()) for k in range(n)] + [(900, "n", "d", None, "x"), (901, "n", "d", "dom", None)]
+    found = pairs.positive_pairs(labelled(spark, rows))
+    got = sorted((r["id1"], r["id2"]) for r in found.collect())
+    assert got == [(100 * c + i, 100 * c + j) for c, n in enumerate(sizes.values()) for i in range(n) for j in range(i + 1, n)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joined = next(line for line in plan.splitlines() if "Join [" in line)
+    assert "SortMergeJoin" in joined and "__mate" not in joined.split("Inner")[0]
