@@ -320,4 +320,4 @@ def test_positive_pairs_meet_in_blocks_without_a_broadcast(spark, monkeypatch):
     assert got == [(100 * c + i, 100 * c + j) for c, n in enumerate(sizes.values()) for i in range(n) for j in range(i + 1, n)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     joined = next(line for line in plan.splitlines() if "Join [" in line)
-    assert "SortMergeJoin" in joined and "__mate" not in joined.split("Inner")[0]
+    assert "SortMergeJoin" in joined and "__mate#" not in joined.split("Inner")[0]
