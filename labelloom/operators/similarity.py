@@ -27,6 +27,9 @@ BROADCAST_FLOATS = 4_000_000  # at most 32 MB of doubles are sent to every execu
 MAX_PIVOTS = 2048  # bounds the pivot table on the driver and in each task
 ANGLE_SLACK = 1e-6  # covers the rounding of arccos near 1
 DIGITS = 9  # similarities are rounded before ranking, so that ties are ties in every engine
+CELL_SCORES = 1 << 22  # similarities held at once
+MANY_VISITS = 12  # visits a vector, from which on cells are made larger
+WIDE_BLOCK = 8192  # most vectors of one side in one task where bounds exclude few cells
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -275,12 +278,17 @@ def similarity_pairs(
     so a small table is one product. With ``differ`` only pairs that differ in that column are kept.
 
     The answer is exact, so the work depends on how well the data clusters: high thresholds on
-    clustered vectors meet few cells, low thresholds on spread-out vectors meet all of them.
+    clustered vectors meet few cells, low thresholds on spread-out vectors meet all of them. Where a vector would visit more
+    than MANY_VISITS cells on average, there are fewer and larger ones instead, so that less is sent.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
+    fewer = None
     if pivots is None:
-        pivots = max(1, min(MAX_PIVOTS, -(-df.count() // block)))
+        n = df.count()
+        pivots = max(1, min(MAX_PIVOTS, -(-n // block)))
+        wide = max(block, min(WIDE_BLOCK, -(-n // MANY_VISITS)))
+        fewer = max(1, -(-n // wide))
     centres = _pivots(df, id_col, vector, pivots)
     if not len(centres):
         width = df.filter(F.col(vector).isNotNull()).agg(F.max(F.size(vector))).first()[0] or 1
@@ -354,6 +362,10 @@ def similarity_pairs(
     celled = rows.mapInPandas(to_cells, cell_schema)
     # one record per cell and task is shuffled to size the blocks
     counted = rows.select("__v").mapInPandas(count_cells, "__cell int, __stays long, __visits long")
+    if fewer is not None and fewer < pivots:
+        visits = counted.agg((F.sum("__visits") / F.sum("__stays")).alias("x")).first()["x"] or 0
+        if visits > MANY_VISITS // 2:  # a pair of cells meets in one of them, so half of the cells are visited
+            return similarity_pairs(df, threshold, id_col=id_col, vector=vector, differ=differ, pivots=fewer, block=wide, inclusive=inclusive)
     in_blocks = lambda c: F.ceil(F.sum(c) / F.lit(float(block))).cast("bigint")
     sizes = counted.groupBy("__cell").agg(in_blocks("__stays").alias("__hn"), in_blocks("__visits").alias("__vn"))
     zero = F.lit(0).cast("bigint")
@@ -387,23 +399,25 @@ def similarity_pairs(
         ]
     )
 
-    def match(task: pd.DataFrame) -> pd.DataFrame:
-        left, right = task[task["left"]], task[~task["left"]]
-        empty = pd.DataFrame({"id1": task["__id"].iloc[:0], "id2": task["__id"].iloc[:0], "similarity": np.zeros(0)})
-        if left.empty or right.empty:
-            return empty
-        sims = np.round(_matrix(left["__v"]) @ _matrix(right["__v"]).T, DIGITS)
-        lid, rid = left["__id"].to_numpy(), right["__id"].to_numpy()
-        keep = (sims >= threshold) if inclusive else (sims > threshold)
-        if not task["visit"].iloc[0] and task["a"].iloc[0] == task["b"].iloc[0]:
-            keep &= lid[:, None] < rid[None, :]
-        if differ:
-            lc, rc = left["__c"].to_numpy(), right["__c"].to_numpy()
-            keep &= lc[:, None] != rc[None, :]
-        i, j = np.nonzero(keep)
-        return pd.DataFrame(
-            {"id1": np.minimum(lid[i], rid[j]), "id2": np.maximum(lid[i], rid[j]), "similarity": sims[i, j]}
-        )
+    def match(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [(b["left"].to_numpy(dtype=bool), b["__id"].to_numpy(), _matrix(b["__v"]), b["__c"].to_numpy(dtype=object)) for b in batches if len(b)]
+        side, ids, vectors, classes = (np.concatenate(x) for x in zip(*parts))
+        codes = pd.factorize(classes)[0]
+        (lid, left, lc), (rid, right, rc) = ((ids[x], vectors[x], codes[x]) for x in (side, ~side))
+        if not len(lid) or not len(rid):
+            return
+        step = max(1, CELL_SCORES // len(rid))
+        for first in range(0, len(lid), step):
+            some = slice(first, first + step)
+            sims = np.round(left[some] @ right.T, DIGITS)
+            keep = (sims >= threshold) if inclusive else (sims > threshold)
+            if not key[1] and key[2] == key[3]:
+                keep &= lid[some, None] < rid[None, :]
+            if differ:
+                keep &= lc[some, None] != rc[None, :]
+            i, j = np.nonzero(keep)
+            scores, i = sims[i, j], i + first
+            yield pd.DataFrame({"id1": np.minimum(lid[i], rid[j]), "id2": np.maximum(lid[i], rid[j]), "similarity": scores})
 
     return spread.groupBy("__cell", "visit", "a", "b").applyInPandas(match, schema)
 
