@@ -28,9 +28,16 @@ def _folder(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/labelloom-{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of text in a file: a file with quoted line breaks is read by one task.
+FILE_BYTES = 32 << 20
+
+
 def _in_file_order(df: DataFrame) -> DataFrame:
-    """Files whose path order is the order of the row ids."""
-    return df.repartitionByRange(4, S.ROW_ID).sortWithinPartitions(S.ROW_ID)
+    """Files of bounded size whose path order is the order of the row ids."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "string"]
+    size = df.agg(F.sum(sum(texts, F.lit(0)).cast("bigint"))).first()[0] or 0
+    # ranges hold like numbers of rows, so a range of long texts is larger than another
+    return df.repartitionByRange(max(4, -(-size // FILE_BYTES)), S.ROW_ID).sortWithinPartitions(S.ROW_ID)
 
 
 def _attributes_file(spark, sf, rows=None, **options) -> str:

@@ -1,8 +1,13 @@
+import os
+
 import numpy as np
 import pytest
 
 from labelloom.operators import similarity
-from labelloom.plans.catalogue import vectors
+from labelloom.plans.catalogue import flows, vectors
+from labelloom.sources import readers
+
+LABELLED = "row_id long, attribute_name string, description string, domain string, topic string"
 
 
 def test_recall_query_writes_no_set_of_pairs(spark, sf, monkeypatch):
@@ -26,3 +31,14 @@ def test_larger_cells_give_every_pair(spark, differ, monkeypatch):
     assert [(k["pivots"], k["block"]) for k in calls] == [(12, 13)]
     want = {(i, j) for i in range(150) for j in range(i) if round(v[i] @ v[j], 9) > 0.2 and (not differ or topic[i] != topic[j])}
     assert len(found) == len(want) and {(r["id2"], r["id1"]) for r in found} == want
+
+
+def test_written_files_stay_small(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(flows, "FILE_BYTES", 1000)
+    df = spark.createDataFrame([(k, None if k == 5 else "a", "x\n" * 100, "d", "t") for k in range(60)], LABELLED)
+    path = flows._attributes_file(spark, None, df)
+    files = [f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".csv")]
+    assert len(files) >= 12  # 12,180 bytes of text
+    rows = readers.read_labelled(spark, path).orderBy("row_id").collect()
+    assert [r["row_id"] for r in rows] == list(range(60)) and {r["description"] for r in rows} == {"x\n" * 100}
+    assert [r["attribute_name"] for r in rows].index(None) == 5
