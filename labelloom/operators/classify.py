@@ -9,7 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, HashingTF, IndexToString, Normalizer, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import IDF, PCA, HashingTF, IndexToString, Normalizer, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ from labelloom.operators.prepare import known_pairs_only
 from labelloom.sources.readers import require_columns
 
 LEVELS = (S.DOMAIN, S.TOPIC)
+NARROW = 512  # features that a covariance matrix is cheap for
+NO_SPREAD = 1e-12  # directions with less of the variance hold rounding alone
 
 
 def index_labels(df: DataFrame, level: str):
@@ -67,8 +69,26 @@ def fit_encoder(rows: DataFrame, encoder: str | Factory, *, n_features: int = 1
     raise ValueError(f"unknown encoder: {encoder}")
 
 
-def _fitted_head(rows: DataFrame, level: str, classes: int, kind: str, max_iter: int, trees: int, depth: int, seed: int):
-    columns = {"featuresCol": "features", "predictionCol": f"__{level}", "rawPredictionCol": f"__{level}_raw", "probabilityCol": f"__{level}_prob"}
+def uncorrelated(rows: DataFrame) -> list:
+    """Stages that turn narrow features to their principal axes, all of them: logistic regression has the same optimum there.
+
+    It scales each axis by its spread, so that its steps no longer crawl along what the features have in common. Axes without
+    any spread are left out, as no row differs in them. No stage where the features are wide or there is nothing to turn.
+    """
+    width = rows.agg(F.max(F.size(F.unwrap_udt("features")["values"])).alias("values"), F.max(F.unwrap_udt("features")["size"]).alias("size"), F.count("features").alias("n")).first()
+    size = width["size"] or width["values"] or 0
+    if not 1 < size <= NARROW or width["n"] < 2:
+        return []
+    turned = PCA(k=size, inputCol="features", outputCol="__axes").fit(rows)
+    share = turned.explainedVariance.toArray()
+    spread = int((share > NO_SPREAD).sum())  # NaN where all rows are equal
+    if spread == 0:
+        return []
+    return [turned if spread == size else PCA(k=spread, inputCol="features", outputCol="__axes").fit(rows)]
+
+
+def _fitted_head(rows: DataFrame, features: str, level: str, classes: int, kind: str, max_iter: int, trees: int, depth: int, seed: int):
+    columns = {"featuresCol": features, "predictionCol": f"__{level}", "rawPredictionCol": f"__{level}_raw", "probabilityCol": f"__{level}_prob"}
     label = f"{level}_index"
     if kind == "logistic":
         return LogisticRegression(family="multinomial", maxIter=max_iter, labelCol=label, **columns).fit(rows)
@@ -102,24 +122,29 @@ def train(
     Heads: ``logistic``; ``trees``, boosted trees, one ensemble for all classes; ``forest``, one random forest
     for all classes. The head is always the one asked for, and knows exactly the labels that occur.
 
-    The driver holds coefficients only; gradients and tree statistics are summed on executors.
+    The driver holds coefficients only; gradients and tree statistics are summed on executors. A logistic head on at most NARROW
+    features is fitted along their principal axes (``uncorrelated``), which takes far fewer passes. The rows are dealt evenly to
+    at least as many tasks as there are cores, however few splits their files have.
     """
     require_columns(df, [*levels, *([] if vector else [S.DESCRIPTION])])
-    rows = prepare_features(df.dropna("any", subset=list(levels)), vector).persist()
+    labelled_rows = prepare_features(df.dropna("any", subset=list(levels)), vector).select(*levels, "features" if vector else "__text")
+    rows = labelled_rows.repartition(max(df.sparkSession.sparkContext.defaultParallelism, labelled_rows.rdd.getNumPartitions())).persist()
     try:
         fitted_encoder = PipelineModel([]) if vector else fit_encoder(rows, encoder, n_features=n_features, files=files, seed=seed)
         encoded = fitted_encoder.transform(rows)
+        axes = PipelineModel(uncorrelated(encoded) if head == "logistic" else [])
+        encoded, features = axes.transform(encoded), "__axes" if axes.stages else "features"
 
         def stages_of(level: str) -> list:
             indexer = index_labels(rows, level)
             # a head is fitted to the labels that occur; the number for unseen labels is for rows to be scored alone
             labelled = indexer.copy().setHandleInvalid("error").transform(encoded)
-            fitted = _fitted_head(labelled, level, len(indexer.labels), head, max_iter, trees, depth, seed)
+            fitted = _fitted_head(labelled, features, level, len(indexer.labels), head, max_iter, trees, depth, seed)
             return [indexer, fitted, IndexToString(inputCol=f"__{level}", outputCol=f"predicted_{level}", labels=indexer.labels)]
 
         with ThreadPoolExecutor(len(levels)) as pool:  # the levels' chains of jobs side by side
             fitted = list(pool.map(inheritable_thread_target(df.sparkSession)(stages_of), levels))
-        return PipelineModel([*fitted_encoder.stages, *(stage for stages in fitted for stage in stages)])
+        return PipelineModel([*fitted_encoder.stages, *axes.stages, *(stage for stages in fitted for stage in stages)])
     finally:
         rows.unpersist()
 

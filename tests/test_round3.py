@@ -2,8 +2,9 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegressionModel
 
-from labelloom.operators import similarity
+from labelloom.operators import classify, similarity
 from labelloom.plans.catalogue import flows, vectors
 from labelloom.sources import readers
 
@@ -35,10 +36,29 @@ def test_larger_cells_give_every_pair(spark, differ, monkeypatch):
 
 def test_written_files_stay_small(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(flows, "FILE_BYTES", 1000)
-    df = spark.createDataFrame([(k, None if k == 5 else "a", "x\n" * 100, "d", "t") for k in range(60)], LABELLED)
+    df = spark.createDataFrame([(k, None if k == 5 else "a", "x\n" * 99 + "x", "d", "t") for k in range(60)], LABELLED)
     path = flows._attributes_file(spark, None, df)
     files = [f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".csv")]
-    assert len(files) >= 12  # 12,180 bytes of text
+    assert len(files) >= 12  # 12,119 bytes of text
     rows = readers.read_labelled(spark, path).orderBy("row_id").collect()
-    assert [r["row_id"] for r in rows] == list(range(60)) and {r["description"] for r in rows} == {"x\n" * 100}
+    assert [r["row_id"] for r in rows] == list(range(60)) and {r["description"] for r in rows} == {"x\n" * 99 + "x"}
     assert [r["attribute_name"] for r in rows].index(None) == 5
+
+
+def test_logistic_head_takes_few_passes_over_correlated_features(spark):
+    rng = np.random.default_rng(5)
+    common, own = rng.standard_normal((400, 1)), rng.standard_normal((400, 8))
+    x = np.hstack([common * 100 + own * 0.01, common])  # nearly one direction, and one that depends on the others not at all
+    labels = np.where(own[:, 0] - own[:, 1] + rng.standard_normal(400) > 0, "a", "b")
+    df = spark.createDataFrame([(k, v.tolist(), c, c) for k, (v, c) in enumerate(zip(x, labels.tolist()))], "row_id long, v array<double>, domain string, topic string")
+    model = classify.train(df, vector="v")
+    heads = [m for m in model.stages if isinstance(m, LogisticRegressionModel)]
+    assert len(heads) == 2 and all(m.summary.totalIterations < 60 for m in heads)
+    right = classify.predict(model, df, vector="v").filter("predicted_topic = topic").count()
+    assert right > 280
+
+
+@pytest.mark.parametrize("vectors_", [[[1.0, 2.0]] * 4, [[1.0]] * 4, [[0.0, 1.0], [0.0, 2.0], [0.0, 3.0], None]])
+def test_features_without_spread_still_train(spark, vectors_):
+    df = spark.createDataFrame([(k, v, "d", "ab"[k % 2]) for k, v in enumerate(vectors_) if v], "row_id long, v array<double>, domain string, topic string")
+    assert classify.predict(classify.train(df, vector="v"), df, vector="v").filter("predicted_topic IN ('a', 'b')").count() == df.count()
