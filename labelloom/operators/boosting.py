@@ -35,13 +35,15 @@ from labelloom.session import materialise
 BINS = 32
 SAMPLE = 20_000  # bin edges are quantiles of about this many rows
 BLOCK_ROWS = 1024
-TASK_ROWS = 1 << 16  # a task has at least about as many rows, so that small tables don't pay for many
+LEAST_ROWS = 1 << 13  # a task has at least about as many rows, so that small tables don't pay for many
+TASK_ROWS = 1 << 16  # about as many rows a task once every core has one; each task sends sums of its own
 CHUNK = 16  # features whose splits are searched together
 GROUP_CELLS = 1 << 21  # rows of sums that one task searches
 ROUNDS_HELD = 5  # rounds after which scores are written
 DIGITS = 9  # gains are rounded before they are compared, so that sums in another order choose alike
 
 CELLS = "part int, unit int, feature int, bin int, g double, h double"
+PACKED = "part int, unit binary, feature binary, bin binary, g binary, h binary"  # the sums of a task for one part, in one row
 SPLITS = "node int, feature int, bin int, gain double, gl double, hl double, g double, h double"
 
 
@@ -229,17 +231,18 @@ def _level(blocks: DataFrame, tasks: int, held: Trees, growing: Trees, level: in
                 for k in range(classes):
                     node = growing.nodes(dense, k, level) - first
                     inside = node >= 0  # rows in a leaf above take no part
-                    for j, x in enumerate((g, h)):
-                        totals[j, k * count : (k + 1) * count] += np.bincount(node[inside], x[inside, k], count)
-                    use = slice(None) if inside.all() else inside[row]
-                    at = row[use]
-                    key = node[at] * (features * bins) + cell[use]
+                    own = np.ascontiguousarray(g[:, k]), np.ascontiguousarray(h[:, k])
+                    for j, x in enumerate(own):
+                        totals[j, k * count : (k + 1) * count] += np.bincount(node[inside], x[inside], count)
+                    every = inside.all()
+                    at = row if every else row[inside[row]]
+                    key = (node * (features * bins))[at] + (cell if every else cell[inside[row]])
                     if whole:
-                        for j, x in enumerate((g, h)):
-                            sums[k, j] += np.bincount(key, x[at, k], space)
+                        for j, x in enumerate(own):
+                            sums[k, j] += np.bincount(key, x[at], space)
                     elif len(key):
                         key, back = np.unique(key, return_inverse=True)
-                        yield sums_of(key, np.bincount(back, g[at, k]), np.bincount(back, h[at, k]), k)
+                        yield sums_of(key, np.bincount(back, own[0][at]), np.bincount(back, own[1][at]), k)
         if whole:
             for k in range(classes):
                 key = np.flatnonzero(sums[k, 1])
@@ -283,10 +286,30 @@ def _level(blocks: DataFrame, tasks: int, held: Trees, growing: Trees, level: in
         for g in range(groups):
             yield from search(own.filter(pc.equal(own["part"], g))).to_batches()
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's sums as few rows: millions of small ones would cost more to exchange than to sum."""
+        for own in cells(batches):
+            part, *columns = (own.column(c).to_numpy() for c in names)
+            order = np.argsort(part, kind="stable")
+            parts, first = np.unique(part[order], return_index=True)
+            cuts = [*first, len(part)]
+            listed = [pa.array([c[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), *listed], names=names)
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[dict]] = {}
+        for own in batches:
+            for r in _rows(own):
+                held.setdefault(r["part"], []).append(r)
+        for part, rows in held.items():
+            kinds_in = [np.int32] * 4 + [np.float64] * 2
+            columns = [np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in list(zip(names, kinds_in))[1:]]
+            yield from search(pa.table([np.full(len(columns[0]), part, np.int32), *columns], names=names)).to_batches()
+
     if tasks == 1:  # the sums of the only task are those of all rows: nothing to exchange
         found = blocks.mapInArrow(alone, SPLITS).toPandas()
     else:
-        found = blocks.mapInArrow(cells, CELLS).repartition(groups, "part").groupBy("part").applyInArrow(search, SPLITS).toPandas()
+        found = blocks.mapInArrow(packed, PACKED).repartition(groups, "part").mapInArrow(searched, SPLITS).toPandas()
     # of the units the largest gain, then the smallest feature
     return found.sort_values(["node", "gain", "feature"], ascending=[True, False, True]).drop_duplicates("node")
 
@@ -314,6 +337,11 @@ def _joined(parts: list[Trees], depth: int) -> Trees:
     return out
 
 
+def task_count(rows: int, cores: int) -> int:
+    """Tasks of a level: as many as there are cores where each then has LEAST_ROWS, more where they would exceed TASK_ROWS."""
+    return max(1, min(-(-rows // LEAST_ROWS), max(cores, -(-rows // TASK_ROWS))))
+
+
 def fit_trees(
     df: DataFrame,
     classes: int,
@@ -342,7 +370,7 @@ def fit_trees(
         return Trees(0, depth), np.zeros((0, bins - 1))
     edges = quantile_edges([(i, v) for i, v, _ in sample], sample[0][2], bins)
     zero = np.array([np.searchsorted(e, 0.0, side="left") for e in edges], np.uint8)
-    rows = rows.coalesce(max(1, -(-n // TASK_ROWS)))
+    rows = rows.repartition(task_count(n, df.sparkSession.sparkContext.defaultParallelism))
     blocks = materialise(blocks_of(rows, features, label, classes, edges))
     tasks = blocks.select(F.spark_partition_id()).distinct().count()
     done: list[Trees] = []

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegressionModel
 
-from labelloom.operators import classify, similarity
+from labelloom.operators import boosting, classify, similarity
 from labelloom.plans.catalogue import flows, vectors
 from labelloom.sources import readers
 
@@ -62,3 +62,18 @@ def test_logistic_head_takes_few_passes_over_correlated_features(spark):
 def test_features_without_spread_still_train(spark, vectors_):
     df = spark.createDataFrame([(k, v, "d", "ab"[k % 2]) for k, v in enumerate(vectors_) if v], "row_id long, v array<double>, domain string, topic string")
     assert classify.predict(classify.train(df, vector="v"), df, vector="v").filter("predicted_topic IN ('a', 'b')").count() == df.count()
+
+def test_boosting_uses_the_cores_before_its_tasks_are_full():
+    assert [boosting.task_count(n, 12) for n in (1, 8192, 8193, 80_000, 500_000, 10**7)] == [1, 1, 2, 10, 12, 153]
+
+
+def test_boosting_in_many_tasks_grows_the_trees_of_one(spark, monkeypatch):
+    x = np.random.default_rng(2).integers(0, 9, (600, 5)).astype(float)
+    df = spark.createDataFrame([(k, v.tolist(), "up" if v[0] > v[1] else "down", "ab"[int(v[2] > 4)]) for k, v in enumerate(x)], "row_id long, v array<double>, domain string, topic string")
+    trees = []
+    for least in (boosting.LEAST_ROWS, 100):
+        monkeypatch.setattr(boosting, "LEAST_ROWS", least)
+        model = classify.train(df, "trees", vector="v", trees=2, depth=3)
+        trees.append([m.trees for m in model.stages if isinstance(m, boosting.BoostedTreesModel)])
+    for one, many in zip(*trees):
+        assert np.array_equal(one.feature, many.feature) and np.array_equal(one.bin, many.bin) and np.allclose(one.value, many.value)
