@@ -129,9 +129,12 @@ def train(
     require_columns(df, [*levels, *([] if vector else [S.DESCRIPTION])])
     labelled_rows = prepare_features(df.dropna("any", subset=list(levels)), vector).select(*levels, "features" if vector else "__text")
     rows = labelled_rows.repartition(max(df.sparkSession.sparkContext.defaultParallelism, labelled_rows.rdd.getNumPartitions())).persist()
+    kept = rows
     try:
         fitted_encoder = PipelineModel([]) if vector else fit_encoder(rows, encoder, n_features=n_features, files=files, seed=seed)
         encoded = fitted_encoder.transform(rows)
+        if callable(encoder):  # a user's model is not asked again for each pass
+            encoded = kept = encoded.select(*levels, "features").persist()
         axes = PipelineModel(uncorrelated(encoded) if head == "logistic" else [])
         encoded, features = axes.transform(encoded), "__axes" if axes.stages else "features"
 
@@ -146,6 +149,7 @@ def train(
             fitted = list(pool.map(inheritable_thread_target(df.sparkSession)(stages_of), levels))
         return PipelineModel([*fitted_encoder.stages, *axes.stages, *(stage for stages in fitted for stage in stages)])
     finally:
+        kept.unpersist()
         rows.unpersist()
 
 
