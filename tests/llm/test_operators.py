@@ -237,6 +237,27 @@ def test_ctw_stays_finite_where_one_bit_followed_very_often():
     assert got == pytest.approx([math.log10(0.5 / (2**26 + 1)) + 7 * math.log10(0.5), 7 * math.log10(0.5)], rel=1e-6)
 
 
+def test_ctw_keeps_contexts_seen_once_in_a_large_corpus(spark):
+    """Of more than 2^21 training bytes: the rare text's contexts are nodes like all others, and blocks of any size give the same."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    common, rare = " ".join(word() for _ in range(40)), " ".join(word() for _ in range(60))
+    texts = [f"{common} {rng.choice(common.split())}\n" * 400 for _ in range(26)] + [rare, rare[:150], rare[::-1], common[:50] + rare[50:90], "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    training = F.col("doc_id") <= 26
+    found = np.concatenate([ctw.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in texts[:27]])
+    assert len(found) > 1 << 21
+    keys, counts = np.unique(found, return_counts=True)
+    plain = ctw.Scorer({"name": "plain", "tree": ctw.weigh([ctw.nodes_of(keys, counts, d) for d in range(ctw.DEPTH + 1)])})
+    want = {k: plain(ctw.grams(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len(t or "")]))).sum() for k, t in enumerate(texts)}
+    for more in ({}, {"most": 100}):
+        got = ctw.score(df, training, **more).toPandas().set_index("doc_id")
+        assert sorted(got.index) == list(range(len(texts)))
+        for k, score in want.items():
+            assert got.loc[k, "score"] == pytest.approx(score, rel=1e-6)
+    assert got.loc[27, "bits_per_byte"] < got.loc[28, "bits_per_byte"] / 2  # its contexts were seen, once each
+
+
 def test_ctw_models_of_equal_size_are_told_apart(spark):
     scores = []
     for pair in ("ab", "ij"):
