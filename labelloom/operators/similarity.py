@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,7 @@ from pyspark.sql.window import Window
 
 from labelloom import schema as S
 from labelloom.functions.hashing import hash_int, hash_mod
-from labelloom.functions.ranking import head_per_group
+from labelloom.functions.ranking import bucket_count, head_per_group
 from labelloom.functions.vectors import unit
 from labelloom.session import materialise
 
@@ -29,13 +30,23 @@ ANGLE_SLACK = 1e-6  # covers the rounding of arccos near 1
 DIGITS = 9  # similarities are rounded before ranking, so that ties are ties in every engine
 CELL_SCORES = 1 << 22  # similarities held at once
 MANY_VISITS = 12  # visits a vector, from which on cells are made larger
-WIDE_BLOCK = 8192  # most vectors of one side in one task where bounds exclude few cells
+WIDE_BLOCK = 65_536  # most vectors of one side in one task where bounds exclude few cells
+WIDE_FLOATS = 1 << 22  # most numbers of such a side
+PIECE = 1 << 15  # pairs tested exactly at once
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype="float64") for v in column])
 
 
+def dense(column: pa.Array) -> np.ndarray:
+    """The rows of an Arrow list column, all of one length, as a matrix."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError("vectors of different lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False).reshape(len(lengths), lengths[0] if len(lengths) else 0)
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, rank from 1) of the k best scores of each row, lowest id first on ties."""
     width = scores.shape[1]
@@ -241,6 +252,69 @@ def nearest_template(
 # --- threshold join ----------------------------------------------------------------------------
 
 
+def pairs_above(left: np.ndarray, right: np.ndarray, threshold: float, *, inclusive: bool = False, one_side: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of (i, j, similarity): every pair of rows above the threshold, of those with i < j where both sides are one block.
+
+    Products in single precision find the candidates, with more slack than they can err; each candidate is then computed in
+    double precision. Where many are candidates, their part of the product is computed whole.
+    """
+    l32, r32 = left.astype("float32"), right.astype("float32")
+    longest = [float(np.sqrt(np.max(x, initial=0.0, where=np.isfinite(x)))) for x in (np.einsum("ij,ij->i", m, m) for m in (left, right))]
+    low = np.float32(threshold - (left.shape[1] + 8) * 2.0**-22 * max(1.0, longest[0] * longest[1]))
+    step = max(1, CELL_SCORES // max(1, len(right)))
+    for first in range(0, len(left), step):
+        start = first if one_side else 0
+        near = l32[first : first + step] @ r32[start:].T
+        width = near.shape[1]
+        found = np.flatnonzero(near > low)
+        whole = (left[first : first + step] @ right[start:].T).ravel() if len(found) > near.size // 16 else None
+        for piece in range(0, len(found), PIECE):
+            at = found[piece : piece + PIECE]
+            i = at // width
+            j = at - i * width + start
+            i += first
+            if one_side:
+                at, i, j = (x[i < j] for x in (at, i, j))
+            sims = np.round(np.einsum("ij,ij->i", left[i], right[j]) if whole is None else whole[at], DIGITS)
+            keep = (sims >= threshold) if inclusive else (sims > threshold)
+            yield i[keep], j[keep], sims[keep]
+
+
+class Sides:
+    """The rows of the two sides of a task, and its answer: pairs with the smaller id first and what the rows carry."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], one_side: bool, carried: list[str]):
+        names = ["__id", "__c", *carried]
+        parts = [(b.column("__left").to_numpy(zero_copy_only=False).astype(bool), dense(b.column("__v")), [b.column(c) for c in names]) for b in batches if b.num_rows]
+        self.left = self.right = np.zeros((0, 0))
+        if not parts:
+            return
+        side, vectors = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.concatenate([np.flatnonzero(side), np.flatnonzero(~side)])  # the left side comes first
+        n = int(side.sum())
+        columns = (pa.concat_arrays([p[2][k] for p in parts]).take(pa.array(order)) for k in range(len(names)))
+        self.columns = dict(zip(names, columns))
+        self.ids = self.columns["__id"].to_numpy(zero_copy_only=False)
+        self.classes = pd.factorize(self.columns["__c"].to_numpy(zero_copy_only=False))[0]  # null is one class
+        self.carried, self.shift = carried, 0 if one_side else n
+        self.left = vectors[side]
+        self.right = self.left if one_side else vectors[~side]
+
+    def answer(self, i: np.ndarray, j: np.ndarray, sims: np.ndarray) -> pa.RecordBatch:
+        j = j + self.shift
+        swap = self.ids[i] > self.ids[j]
+        first, second = (pa.array(x) for x in (np.where(swap, j, i), np.where(swap, i, j)))
+        out = {"id1": self.columns["__id"].take(first), "id2": self.columns["__id"].take(second), "similarity": pa.array(sims)}
+        for c in self.carried:
+            out |= {f"{c}1": self.columns[c].take(first), f"{c}2": self.columns[c].take(second)}
+        return pa.RecordBatch.from_pydict(out)
+
+
+def pair_schema(df: DataFrame, id_col: str, carry: dict[str, str]) -> T.StructType:
+    fields = [("id1", _spec(df, id_col)), ("id2", _spec(df, id_col)), ("similarity", T.DoubleType())]
+    return T.StructType([T.StructField(n, t) for n, t in [*fields, *((f"{c}{k}", _spec(df, column)) for c, column in carry.items() for k in (1, 2))]])
+
+
 def _pivots(df: DataFrame, id_col: str, vector: str, count: int) -> np.ndarray:
     """A bounded seeded sample of distinct vectors: cell centres. Any choice gives the same answer."""
     rows = (
@@ -267,15 +341,17 @@ def similarity_pairs(
     pivots: int | None = None,
     block: int = BLOCK,
     inclusive: bool = False,
+    carry: dict[str, str] | None = None,
 ) -> DataFrame:
-    """All pairs (id1 < id2) of unit vectors with cosine above ``threshold``: exact.
+    """All pairs (id1 < id2) of unit vectors with cosine above ``threshold``: exact. Null ids and vectors take no part.
 
     Each vector has the cell of its nearest pivot as its home. By the triangle inequality on angles, a
     vector can only match vectors of another cell j when its angle to pivot j is at most the radius
     of cell j plus the threshold angle, and exceeds the angle to its own pivot by at most twice the
     threshold angle; only there it is sent as a visitor. Cells are cut into blocks of bounded size,
     and every block pair is one task-sized matrix product. There are about as many pivots as blocks,
-    so a small table is one product. With ``differ`` only pairs that differ in that column are kept.
+    so a small table is one product. With ``differ`` only pairs that differ in that column are kept. ``carry`` names columns
+    (out: column) that travel with their vectors and come back as ``out1`` and ``out2``, so that pairs need no join.
 
     The answer is exact, so the work depends on how well the data clusters: high thresholds on
     clustered vectors meet few cells, low thresholds on spread-out vectors meet all of them. Where a vector would visit more
@@ -283,11 +359,12 @@ def similarity_pairs(
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
-    fewer = None
+    fewer, carry = None, carry or {}
     if pivots is None:
-        n = df.count()
+        size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
+        n, most = size["n"], min(WIDE_BLOCK, WIDE_FLOATS // max(1, size["d"] or 1))
         pivots = max(1, min(MAX_PIVOTS, -(-n // block)))
-        wide = max(block, min(WIDE_BLOCK, -(-n // MANY_VISITS)))
+        wide = max(block, min(most, -(-n // MANY_VISITS)))
         fewer = max(1, -(-n // wide))
     centres = _pivots(df, id_col, vector, pivots)
     if not len(centres):
@@ -299,7 +376,8 @@ def similarity_pairs(
         F.col(id_col).alias("__id"),
         unit(vector).alias("__v"),
         (F.col(differ).cast("string") if differ else F.lit(None).cast("string")).alias("__c"),
-    ).filter(F.col("__v").isNotNull())
+        *(F.col(column).alias(out) for out, column in carry.items()),
+    ).filter(F.col("__v").isNotNull() & F.col("__id").isNotNull())
     radii = np.full(len(centres), np.inf)
     if len(centres) > 1:
 
@@ -323,6 +401,7 @@ def similarity_pairs(
             T.StructField("__id", _spec(df, id_col)),
             T.StructField("__v", T.ArrayType(T.DoubleType())),
             T.StructField("__c", T.StringType()),
+            *(T.StructField(out, _spec(df, column)) for out, column in carry.items()),
             T.StructField("__cell", T.IntegerType()),
             T.StructField("__home", T.BooleanType()),
         ]
@@ -365,7 +444,7 @@ def similarity_pairs(
     if fewer is not None and fewer < pivots:
         visits = counted.agg((F.sum("__visits") / F.sum("__stays")).alias("x")).first()["x"] or 0
         if visits > MANY_VISITS // 2:  # a pair of cells meets in one of them, so half of the cells are visited
-            return similarity_pairs(df, threshold, id_col=id_col, vector=vector, differ=differ, pivots=fewer, block=wide, inclusive=inclusive)
+            return similarity_pairs(df, threshold, id_col=id_col, vector=vector, differ=differ, pivots=fewer, block=wide, inclusive=inclusive, carry=carry)
     in_blocks = lambda c: F.ceil(F.sum(c) / F.lit(float(block))).cast("bigint")
     sizes = counted.groupBy("__cell").agg(in_blocks("__stays").alias("__hn"), in_blocks("__visits").alias("__vn"))
     zero = F.lit(0).cast("bigint")
@@ -377,49 +456,39 @@ def similarity_pairs(
     def target(a: Column, b: Column, visit: bool, left: bool) -> Column:
         return F.struct(F.lit(visit).alias("visit"), a.alias("a"), b.alias("b"), F.lit(left).alias("left"))
 
+    none = F.array().cast("array<struct<visit:boolean,a:bigint,b:bigint,left:boolean>>")
     home_tasks = F.flatten(
         F.array(
             F.transform(F.sequence(F.col("__block"), F.col("__hn") - 1), lambda x: target(F.col("__block"), x, False, True)),
-            F.transform(F.sequence(zero, F.col("__block")), lambda x: target(x, F.col("__block"), False, False)),
+            # a block meets itself in the rows of its left side
+            F.when(F.col("__block") > 0, F.transform(F.sequence(zero, F.greatest(F.col("__block") - 1, zero)), lambda x: target(x, F.col("__block"), False, False))).otherwise(none),
             F.when(
                 F.col("__vn") > 0,
                 F.transform(F.sequence(zero, F.greatest(F.col("__vn") - 1, zero)), lambda x: target(F.col("__block"), x, True, True)),
-            ).otherwise(F.array().cast("array<struct<visit:boolean,a:bigint,b:bigint,left:boolean>>")),
+            ).otherwise(none),
         )
     )
     visit_tasks = F.transform(F.sequence(zero, F.col("__hn") - 1), lambda x: target(x, F.col("__block"), True, False))
     spread = own.withColumn("__task", F.explode(F.when(F.col("__home"), home_tasks).otherwise(visit_tasks))).select(
-        "__cell", "__task.visit", "__task.a", "__task.b", "__task.left", "__id", "__v", "__c"
-    )
-    schema = T.StructType(
-        [
-            T.StructField("id1", _spec(df, id_col)),
-            T.StructField("id2", _spec(df, id_col)),
-            T.StructField("similarity", T.DoubleType()),
-        ]
+        "__cell", "__task.visit", "__task.a", "__task.b", F.col("__task.left").alias("__left"), "__id", "__v", "__c", *carry
     )
 
-    def match(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [(b["left"].to_numpy(dtype=bool), b["__id"].to_numpy(), _matrix(b["__v"]), b["__c"].to_numpy(dtype=object)) for b in batches if len(b)]
-        side, ids, vectors, classes = (np.concatenate(x) for x in zip(*parts))
-        codes = pd.factorize(classes)[0]
-        (lid, left, lc), (rid, right, rc) = ((ids[x], vectors[x], codes[x]) for x in (side, ~side))
-        if not len(lid) or not len(rid):
+    def match(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        visit, a, b = (x.as_py() for x in key[1:])
+        alone = not visit and a == b
+        sides = Sides(batches, alone, [*carry])
+        if not len(sides.left) or not len(sides.right):
             return
-        step = max(1, CELL_SCORES // len(rid))
-        for first in range(0, len(lid), step):
-            some = slice(first, first + step)
-            sims = np.round(left[some] @ right.T, DIGITS)
-            keep = (sims >= threshold) if inclusive else (sims > threshold)
-            if not key[1] and key[2] == key[3]:
-                keep &= lid[some, None] < rid[None, :]
+        for i, j, sims in pairs_above(sides.left, sides.right, threshold, inclusive=inclusive, one_side=alone):
+            keep = sides.ids[i] != sides.ids[j] if alone else np.ones(len(i), bool)
             if differ:
-                keep &= lc[some, None] != rc[None, :]
-            i, j = np.nonzero(keep)
-            scores, i = sims[i, j], i + first
-            yield pd.DataFrame({"id1": np.minimum(lid[i], rid[j]), "id2": np.maximum(lid[i], rid[j]), "similarity": scores})
+                keep &= sides.classes[i] != sides.classes[j + sides.shift]
+            yield sides.answer(i[keep], j[keep], sims[keep])
 
-    return spread.groupBy("__cell", "visit", "a", "b").applyInPandas(match, schema)
+    task = ["__cell", "visit", "a", "b"]
+    if len(centres) > 1:  # the few bytes of a task are much work: tasks are not merged by their bytes
+        spread = spread.repartition(max(bucket_count(df), min(MAX_PIVOTS, len(centres) * (len(centres) + 1))), *task)
+    return spread.groupBy(*task).applyInArrow(match, pair_schema(df, id_col, carry))
 
 
 def collapse_copies(df: DataFrame, by: list[str], id_col: str = S.ROW_ID) -> DataFrame:
@@ -447,13 +516,21 @@ def similar_text_pairs(
 
     entries = materialise(collapse_copies(df.select(id_col, vector, topic), [vector, topic], id_col))  # read by every step of the join
     options = {"id_col": id_col, "vector": vector, "differ": topic, "block": block}
-    pairs = similarity_pairs(entries, threshold, **options) if recall is None else lsh_pairs(entries, threshold, recall=recall, **options)
+    # where an id is one entry, topic and copies travel with its vector; a join would send every pair twice
+    carry = {"topic": topic, "copies": "copies"} if recall is None and _one_entry_an_id(entries, id_col) else {}
+    pairs = similarity_pairs(entries, threshold, carry=carry, **options) if recall is None else lsh_pairs(entries, threshold, recall=recall, **options)
+    if "copies1" in pairs.columns:
+        return pairs.select("id2", "id1", "similarity", "topic1", "copies1", "topic2", "copies2")
     info = entries.select(id_col, topic, "copies")
     first = info.select(F.col(id_col).alias("id1"), F.col(topic).alias("topic1"), F.col("copies").alias("copies1"))
     second = info.select(F.col(id_col).alias("id2"), F.col(topic).alias("topic2"), F.col("copies").alias("copies2"))
     return pairs.join(first, "id1").join(second, "id2")
 
 
+def _one_entry_an_id(entries: DataFrame, id_col: str) -> bool:
+    return entries.agg((F.count(F.lit(1)) == F.count_distinct(id_col)).alias("one")).first()["one"]
+
+
 def similar_topic_pairs(
     topics: DataFrame,
     rows: DataFrame,

@@ -17,9 +17,14 @@ CELLS = 16
 PROBES = 12  # these vectors hardly cluster: a neighbour may lie in most cells
 
 
+def _six_digits(similarity):
+    """``round`` to six digits, half up, of a positive number of nine: in doubles, where ``round`` makes a decimal of every pair."""
+    return F.floor((F.rint(F.col(similarity) * 1e9) + 500) / 1000) / F.lit(1e6)
+
+
 def _text_pairs(spark, sf):
     found = similarity.similar_text_pairs(V.vectors(spark, sf), TEXT_AT)
-    return found.withColumn("similarity", F.round("similarity", 6))
+    return found.withColumn("similarity", _six_digits("similarity"))
 
 
 def _topic_pairs(spark, sf):
@@ -64,7 +69,7 @@ def _nearest_original(spark, sf):
 
 def _text_pairs_lsh(spark, sf):
     found = similarity.similar_text_pairs(V.vectors(spark, sf), TEXT_AT, recall=0.98)
-    return found.withColumn("similarity", F.round("similarity", 6))
+    return found.withColumn("similarity", _six_digits("similarity"))
 
 
 def _lsh_recall(spark, sf):
