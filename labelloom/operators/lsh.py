@@ -22,6 +22,7 @@ from math import ceil, log, log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,17 +31,17 @@ from labelloom import schema as S
 from labelloom.functions.hashing import hash_mod
 from labelloom.functions.ranking import bucket_count
 from labelloom.functions.vectors import unit
-from labelloom.operators.similarity import BLOCK, DIGITS
+from labelloom.operators.similarity import BLOCK, DIGITS, WIDE_FLOATS, Sides, pair_schema, pairs_above
 from labelloom.session import materialise
 
 RECALL = 0.95
 MAX_BITS = 24
 MAX_TABLES = 4096  # a threshold that needs more gets an error, not a smaller recall
 TRIALS = 20_000
-CELL_ROWS = 16_384  # most rows of a block where all pairs of blocks meet
-CELL_LOOKS = 1 << 25  # most looks of such a block, over all tables (4 bytes each)
+CELL_ROWS = 65_536  # most rows of a block where all pairs of blocks meet
+CELL_LOOKS = 1 << 27  # most looks of such a block, over all tables (about a byte each)
+LOOK_ROWS = 4096  # rows whose buckets are found at once
 CELLS_WIDE = 12  # blocks of a small table, so that their pairs fill a cluster
-CELL_SCORES = 1 << 22  # similarities held at once
 FEW_COPIES = 64  # places that a vector may be sent to before blocks are tried
 MAX_TASKS = 2048
 
@@ -115,24 +116,17 @@ def lsh_pairs(
     probes: int | None = None,
     block: int = BLOCK,
     seed: int = S.SEED,
+    carry: dict[str, str] | None = None,
 ) -> DataFrame:
     """Pairs (id1 < id2, similarity) with cosine above ``threshold``: each is found with probability ``recall`` or more.
 
-    With ``differ`` only pairs that differ in that column are kept. Null vectors take no part.
+    With ``differ`` only pairs that differ in that column are kept. Null vectors take no part. Where blocks meet, the columns of
+    ``carry`` (out: column) come back as ``out1`` and ``out2``.
     """
-    rows = materialise(
-        df.select(
-            F.col(id_col).alias("__id"), unit(vector).alias("__v"), (F.col(differ).cast("string") if differ else F.lit(None).cast("string")).alias("__c")
-        ).filter(F.col("__v").isNotNull())
-    )
-    known = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__v")).alias("d")).first()
-    tables, bits, probes = plan(threshold, known["n"], recall=recall, bits=bits, probes=probes, block=block)
-    # dimensions x tables x bits numbers, whatever the rows
-    directions = np.random.default_rng(seed).standard_normal((tables, max(known["d"] or 1, 1), bits))
-    shared = df.sparkSession.sparkContext.broadcast(directions)
-    blocks = cell_blocks(known["n"], tables, probes, block)
-    if tables * (2 + probes) > max(FEW_COPIES, blocks):
-        return _pairs_of_blocks(rows, blocks, threshold, shared, bits, probes, bool(differ))
+    rows, shared, tables, bits, probes, blocks = _prepared(df, threshold, id_col, vector, differ, recall, bits, probes, block, seed, carry or {})
+    if blocks:
+        return _pairs_of_blocks(rows, blocks, threshold, shared, bits, probes, bool(differ), carry or {})
+    rows = rows.select("__id", "__v", "__c")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -175,7 +169,7 @@ def lsh_pairs(
 
     left = dealt(spread(True), "__ln", "__sn", "__lb", "__sb")
     right = dealt(spread(False), "__sn", "__ln", "__sb", "__lb")
-    schema = _pair_schema(rows)
+    schema = pair_schema(rows, "__id", {})
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -192,86 +186,118 @@ def lsh_pairs(
     return found.groupBy("id1", "id2").agg(F.max("similarity").alias("similarity"))
 
 
-def _pair_schema(rows: DataFrame) -> T.StructType:
-    kind = rows.schema["__id"].dataType
-    return T.StructType([T.StructField("id1", kind), T.StructField("id2", kind), T.StructField("similarity", T.DoubleType())])
+def _prepared(df, threshold, id_col, vector, differ, recall, bits, probes, block, seed, carry):
+    """The unit vectors, written, the directions on every executor, the plan, and the number of blocks that meet, or 0 where buckets take fewer copies."""
+    rows = materialise(
+        df.select(
+            F.col(id_col).alias("__id"),
+            unit(vector).alias("__v"),
+            (F.col(differ).cast("string") if differ else F.lit(None).cast("string")).alias("__c"),
+            *(F.col(column).alias(out) for out, column in carry.items()),
+        ).filter(F.col("__v").isNotNull())
+    )
+    known = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__v")).alias("d")).first()
+    tables, bits, probes = plan(threshold, known["n"], recall=recall, bits=bits, probes=probes, block=block)
+    # dimensions x tables x bits numbers, whatever the rows
+    directions = np.random.default_rng(seed).standard_normal((tables, max(known["d"] or 1, 1), bits))
+    shared = df.sparkSession.sparkContext.broadcast(directions)
+    blocks = cell_blocks(known["n"], tables, probes, block, bits=bits, width=known["d"] or 1)
+    return rows, shared, tables, bits, probes, blocks if tables * (2 + probes) > max(FEW_COPIES, blocks) else 0
 
 
 # --- all pairs of blocks -----------------------------------------------------------------------
 
 
-def cell_blocks(rows: int, tables: int, probes: int, block: int = BLOCK) -> int:
+def cell_blocks(rows: int, tables: int, probes: int, block: int = BLOCK, *, bits: int = 0, width: int = 1) -> int:
     """Blocks that all rows are cut into where every pair of blocks meets, which is how many places a vector is sent to."""
-    most = max(1, min(CELL_ROWS, CELL_LOOKS // (tables * (1 + probes))))
+    held = max(1 + probes, 4 + len(flips(bits)) // 8 + 1 if bits else 0)  # bytes of a row in one table
+    most = max(1, min(CELL_ROWS, CELL_LOOKS // (tables * held), WIDE_FLOATS // width))
     return max(1, -(-rows // most), min(-(-rows // block), CELLS_WIDE))
 
 
-def looks(vectors: np.ndarray, directions: np.ndarray, bits: int, probes: int) -> np.ndarray:
-    """(table, probe, vector): the buckets that each vector looks into; probe 0 is its own."""
-    found = [buckets(vectors, planes, bits, probes).T.astype(np.int32) for planes in directions]
-    return np.stack(found)
-
-
-def met(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, other: np.ndarray) -> np.ndarray:
+def looks(vectors: np.ndarray, directions: np.ndarray, bits: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(table, vector) the own buckets, and (table, vector, byte) a bit for each pattern of flips that leads to a bucket looked into."""
+    patterns, powers = flips(bits), 1 << np.arange(bits, dtype=np.int64)
+    width = min(probes + 1, len(patterns))
+    own = np.empty((len(directions), len(vectors)), np.int32)
+    into = np.empty((len(directions), len(vectors), -(-len(patterns) // 8)), np.uint8)
+    turned = patterns.T.astype("float64")
+    for t, planes in enumerate(directions):
+        for first in range(0, len(vectors), LOOK_ROWS):
+            some = slice(first, first + LOOK_ROWS)
+            products = vectors[some] @ planes
+            own[t, some] = (products > 0) @ powers
+            cost = products**2 @ turned
+            cheapest = cost <= np.partition(cost, width - 1, axis=1)[:, width - 1 : width]
+            cheapest[:, 0] = True
+            into[t, some] = np.packbits(cheapest, axis=1)
+    return own, into
+
+
+def met(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray, other: np.ndarray, bits: int) -> np.ndarray:
     """Whether vector i of one block or j of the other looks into the bucket of its partner in any table.
 
     Rows of one id (``other`` false) only meet where one looks into a bucket that isn't its own.
     """
-    found = np.zeros(len(i), bool)
-    todo = np.arange(len(i))
-    for left, right in zip(a, b):
-        x, y = i[todo], j[todo]
-        own_left, own_right = left[0][x], right[0][y]
-        hit = (own_left == own_right) & other[todo]
-        for p in range(1, len(left)):
-            hit |= (left[p][x] == own_right) | (right[p][y] == own_left)
+    masks = flips(bits) @ (1 << np.arange(bits, dtype=np.int64))
+    order = np.argsort(masks)
+    ranked = masks[order].astype(np.int32)
+    found, todo, x, y = np.zeros(len(i), bool), np.arange(len(i)), i, j
+    for t, (own_left, own_right, into_left, into_right) in enumerate(zip(a[0], b[0], a[1], b[1])):
+        apart = own_left[x] ^ own_right[y]
+        near = np.flatnonzero(np.bitwise_count(apart) <= 2)  # further buckets are looked into by none
+        flipped = order[np.searchsorted(ranked, apart[near])]
+        byte, bit = flipped >> 3, (7 - (flipped & 7)).astype(np.uint8)
+        looked = ((into_left[x[near], byte] | into_right[y[near], byte]) >> bit) & 1
+        hit = near[(looked == 1) & ((flipped > 0) | other[todo[near]])]
         found[todo[hit]] = True
-        todo = todo[~hit]
-        if not len(todo):
-            break
+        if t % 4 == 3:
+            todo = todo[~found[todo]]
+            if not len(todo):
+                break
+            x, y = i[todo], j[todo]
     return found
 
 
-def _pairs_of_blocks(rows: DataFrame, blocks: int, threshold: float, shared, bits: int, probes: int, differ: bool) -> DataFrame:
-    """The pairs of ``lsh_pairs``, each tested in the task of its two blocks."""
+def _cells(rows: DataFrame, blocks: int, carry: list[str]) -> DataFrame:
+    """Each row sent to every pair of blocks that its own is in."""
     zero, last = F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")
     # a hash of the id and the vector: rows of one id must not make a block of their own
-    placed = rows.withColumn("__block", hash_mod(F.lit(blocks).cast("bigint"), S.SEED, "cell", "__id", F.xxhash64("__v").cast("string")))
+    placed = rows.filter(F.col("__id").isNotNull()).withColumn("__block", hash_mod(F.lit(blocks).cast("bigint"), S.SEED, "cell", "__id", F.xxhash64("__v").cast("string")))
     sent = placed.withColumn("__to", F.explode(F.sequence(zero, last))).select(
-        F.least("__block", "__to").alias("__a"), F.greatest("__block", "__to").alias("__b"), (F.col("__block") <= F.col("__to")).alias("__left"), "__id", "__v", "__c"
+        F.least("__block", "__to").alias("__a"), F.greatest("__block", "__to").alias("__b"), (F.col("__block") <= F.col("__to")).alias("__left"), "__id", "__v", "__c", *carry
     )
+    tasks = max(bucket_count(rows), min(blocks * (blocks + 1) // 2, MAX_TASKS))
+    return sent.repartition(tasks, "__a", "__b")
 
-    def gathered(batches: Iterator[pd.DataFrame]) -> dict[bool, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(ids, vectors, classes) of each side."""
-        parts = [(b["__left"].to_numpy(dtype=bool), b["__id"].to_numpy(), _matrix(b["__v"]), b["__c"].to_numpy(dtype=object)) for b in batches if len(b)]
-        sides, ids, vectors, classes = (np.concatenate(x) for x in zip(*parts))
-        codes = pd.factorize(classes)[0]
-        return {side: (ids[sides == side], vectors[sides == side], codes[sides == side]) for side in (True, False)}
-
-    def match(key: tuple[int, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sides, alone = gathered(batches), key[0] == key[1]
-        (lid, left, lc), (rid, right, rc) = sides[True], sides[alone]
-        if not len(lid) or not len(rid):
-            return
-        a = looks(left, shared.value, bits, probes)
-        b = a if alone else looks(right, shared.value, bits, probes)
-        step = max(1, CELL_SCORES // len(rid))
-        for first in range(0, len(lid), step):
-            sims = np.round(left[first : first + step] @ right.T, DIGITS)
-            keep = sims > threshold
-            if alone:
-                keep &= np.arange(first, first + len(sims))[:, None] < np.arange(len(rid))[None, :]
-            if differ:
-                keep &= lc[first : first + step, None] != rc[None, :]
-            i, j = np.nonzero(keep)
-            i, scores = i + first, sims[i, j]
-            hit = met(a, b, i, j, lid[i] != rid[j])
-            i, j = i[hit], j[hit]
-            yield pd.DataFrame({"id1": np.minimum(lid[i], rid[j]), "id2": np.maximum(lid[i], rid[j]), "similarity": scores[hit]})
 
-    tasks = max(bucket_count(rows), min(blocks * (blocks + 1) // 2, MAX_TASKS))
-    found = sent.repartition(tasks, "__a", "__b").groupBy("__a", "__b").applyInPandas(match, _pair_schema(rows))
+def _exact(sides: Sides, alone: bool, threshold: float, differ: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for i, j, sims in pairs_above(sides.left, sides.right, threshold, one_side=alone):
+        keep = sides.classes[i] != sides.classes[j + sides.shift] if differ else slice(None)
+        yield i[keep], j[keep], sims[keep]
+
+
+def _hashed(sides: Sides, alone: bool, threshold: float, differ: bool, directions: np.ndarray, bits: int, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of two blocks that share a bucket and lie above the threshold."""
+    a = looks(sides.left, directions, bits, probes)
+    b = a if alone else looks(sides.right, directions, bits, probes)
+    for i, j, sims in _exact(sides, alone, threshold, differ):
+        hit = met(a, b, i, j, sides.ids[i] != sides.ids[j + sides.shift], bits)
+        yield i[hit], j[hit], sims[hit]
+
+
+def _pairs_of_blocks(rows: DataFrame, blocks: int, threshold: float, shared, bits: int, probes: int, differ: bool, carry: dict[str, str]) -> DataFrame:
+    """The pairs of ``lsh_pairs``, each tested in the task of its two blocks."""
+
+    def match(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone = key[0] == key[1]
+        sides = Sides(batches, alone, [*carry])
+        if len(sides.left) and len(sides.right):
+            for found in _hashed(sides, alone, threshold, differ, shared.value, bits, probes):
+                yield sides.answer(*found)
+
+    found = _cells(rows, blocks, [*carry]).groupBy("__a", "__b").applyInArrow(match, pair_schema(rows, "__id", {c: c for c in carry}))
     ids = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("__id").alias("ids")).first()
     if ids["rows"] == ids["ids"]:
         return found  # two rows meet in one task: a pair of their own ids comes once
-    return found.groupBy("id1", "id2").agg(F.max("similarity").alias("similarity"))
+    return found.groupBy("id1", "id2").agg(F.max("similarity").alias("similarity"), *(F.any_value(f"{c}{k}").alias(f"{c}{k}") for c in carry for k in (1, 2)))

@@ -517,8 +517,8 @@ def similar_text_pairs(
     entries = materialise(collapse_copies(df.select(id_col, vector, topic), [vector, topic], id_col))  # read by every step of the join
     options = {"id_col": id_col, "vector": vector, "differ": topic, "block": block}
     # where an id is one entry, topic and copies travel with its vector; a join would send every pair twice
-    carry = {"topic": topic, "copies": "copies"} if recall is None and _one_entry_an_id(entries, id_col) else {}
-    pairs = similarity_pairs(entries, threshold, carry=carry, **options) if recall is None else lsh_pairs(entries, threshold, recall=recall, **options)
+    carry = {"topic": topic, "copies": "copies"} if _one_entry_an_id(entries, id_col) else {}
+    pairs = similarity_pairs(entries, threshold, carry=carry, **options) if recall is None else lsh_pairs(entries, threshold, recall=recall, carry=carry, **options)
     if "copies1" in pairs.columns:
         return pairs.select("id2", "id1", "similarity", "topic1", "copies1", "topic2", "copies2")
     info = entries.select(id_col, topic, "copies")

@@ -33,7 +33,7 @@ def test_single_precision_loses_no_pair(monkeypatch, threshold, inclusive, one_s
     assert got == sorted(got) and all(abs(s - sims[i, j]) < 2e-9 for i, j, s in got)
 
 
-@pytest.mark.parametrize("recall", [None])
+@pytest.mark.parametrize("recall", [None, 0.6])
 def test_pairs_of_texts_are_not_joined(spark, monkeypatch, recall):
     """Topic and copies come with the pairs: no join may send every pair through a shuffle."""
     monkeypatch.setattr(lsh, "FEW_COPIES", 1)
@@ -61,3 +61,27 @@ def test_repeated_ids_still_join_every_entry(spark):
     found = similarity.similar_text_pairs(df, 0.2).collect()
     assert {(r["id1"], r["topic1"]) for r in found if r["id1"] == 2} == {(2, "t2"), (2, "t1")}
     assert found[0].asDict().keys() == {"id2", "id1", "similarity", "topic1", "copies1", "topic2", "copies2"}
+
+
+@pytest.mark.parametrize("bits,probes", [(4, 4), (9, 2), (12, 16)])
+def test_looks_are_the_buckets(bits, probes):
+    vectors, rng = units(50, 10), np.random.default_rng(1)
+    directions = rng.standard_normal((6, 10, bits))
+    own, into = lsh.looks(vectors, directions, bits, probes)
+    masks = lsh.flips(bits) @ (1 << np.arange(bits))
+    opened = np.unpackbits(into, axis=2)[:, :, : len(masks)].astype(bool)
+    for t, planes in enumerate(directions):
+        at = lsh.buckets(vectors, planes, bits, probes)
+        assert (own[t] == at[:, 0]).all()
+        assert [set(own[t, k] ^ masks[opened[t, k]]) for k in range(50)] == [set(x) for x in at]
+    i, j = (x.ravel() for x in np.indices((50, 50)))
+    for other in (True, False):
+        found = lsh.met((own, into), (own, into), i, j, np.full(len(i), other), bits)
+        looked = [[set(x[0 if other else 1 :]) for x in lsh.buckets(vectors, planes, bits, probes)] for planes in directions]
+        assert found.tolist() == [any(own[t, b] in looked[t][a] or own[t, a] in looked[t][b] for t in range(6)) for a, b in zip(i, j)]
+
+
+def test_vectors_are_sent_to_few_blocks():
+    tables, bits, probes = lsh.plan(0.3, 615_000, recall=0.98)
+    assert lsh.cell_blocks(615_000, tables, probes, bits=bits, width=64) <= 16
+    assert lsh.cell_blocks(10_000, 4, 1, bits=24, width=1 << 20) == 2500
