@@ -301,3 +301,47 @@ def _pairs_of_blocks(rows: DataFrame, blocks: int, threshold: float, shared, bit
     if ids["rows"] == ids["ids"]:
         return found  # two rows meet in one task: a pair of their own ids comes once
     return found.groupBy("id1", "id2").agg(F.max("similarity").alias("similarity"), *(F.any_value(f"{c}{k}").alias(f"{c}{k}") for c in carry for k in (1, 2)))
+
+
+def agreement(exact: Iterator, given: Iterator, width: int) -> np.ndarray:
+    """(pairs of ``exact``, of them in ``given``, pairs of ``given`` besides) of two streams of (i, j, similarity) in the order of i, then j < ``width``."""
+    counts = np.zeros(3, np.int64)
+    keyed = lambda pairs: ((i * width + j, np.round(sims, 6)) for i, j, sims in pairs if len(i))
+    given, keys, values = keyed(given), np.zeros(0, np.int64), np.zeros(0)
+    for known, sims in keyed(exact):
+        while not len(keys) or keys[-1] <= known[-1]:
+            more = next(given, None)
+            if more is None:
+                break
+            keys, values = np.concatenate([keys, more[0]]), np.concatenate([values, more[1]])
+        upto = np.searchsorted(keys, known[-1], side="right")
+        at = np.searchsorted(known, keys[:upto])
+        hits = int(((known[at] == keys[:upto]) & (sims[at] == values[:upto])).sum())
+        counts += (len(known), hits, upto - hits)
+        keys, values = keys[upto:], values[upto:]
+    counts[2] += len(keys) + sum(len(more[0]) for more in given)
+    return counts
+
+
+def compare_in_blocks(
+    df: DataFrame, threshold: float, *, id_col: str = S.ROW_ID, vector: str = "vector", differ: str | None = None, recall: float = RECALL, block: int = BLOCK
+) -> DataFrame | None:
+    """The numbers of exact pairs, of those that ``lsh_pairs`` gives too, and of those that it gives besides, for ids that don't repeat.
+
+    Both joins run over the same pairs of blocks, each on its own, and a task compares what they give. None where ``lsh_pairs`` uses buckets.
+    """
+    rows, shared, _, bits, probes, blocks = _prepared(df, threshold, id_col, vector, differ, recall, None, None, block, S.SEED, {})
+    if not blocks:
+        return None
+
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone = key[0] == key[1]
+        sides = Sides(batches, alone, [])
+        counts = np.zeros(3, np.int64)
+        if len(sides.left) and len(sides.right):
+            exact = _exact(sides, alone, threshold, bool(differ))
+            counts += agreement(exact, _hashed(sides, alone, threshold, bool(differ), shared.value, bits, probes), len(sides.right))
+        yield pa.RecordBatch.from_pydict({c: pa.array([int(n)]) for c, n in zip(("true", "hit", "other"), counts)})
+
+    counted = _cells(rows, blocks, []).groupBy("__a", "__b").applyInArrow(compare, "true long, hit long, other long")
+    return counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("true", "hit", "other")))

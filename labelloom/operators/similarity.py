@@ -531,6 +531,34 @@ def _one_entry_an_id(entries: DataFrame, id_col: str) -> bool:
     return entries.agg((F.count(F.lit(1)) == F.count_distinct(id_col)).alias("one")).first()["one"]
 
 
+def compare_text_pairs(
+    df: DataFrame, threshold: float = S.TEXT_SIMILARITY, *, recall: float, id_col: str = S.ROW_ID, vector: str = "vector", topic: str = S.TOPIC, block: int = BLOCK
+) -> DataFrame:
+    """``similar_text_pairs`` with ``recall`` against the exact ones: one row with the numbers of exact pairs (``true``), of those that
+    the buckets give too (``hit``), and of pairs that they give besides (``other``). Pairs are equal if their ids and similarity (six digits) are.
+
+    There may be far more pairs than rows. Where the buckets are looked up for pairs of blocks, both joins run in the task of two
+    blocks and their answers are compared there; only the rows are sent. Otherwise the pairs of both meet as hashes in a shuffle.
+    """
+    from labelloom.operators.lsh import compare_in_blocks
+
+    options = {"id_col": id_col, "vector": vector, "block": block}
+    entries = materialise(collapse_copies(df.select(id_col, vector, topic), [vector, topic], id_col))
+    if _one_entry_an_id(entries, id_col):
+        inside = compare_in_blocks(entries, threshold, recall=recall, differ=topic, **options)
+        if inside is not None:
+            return inside
+    sides = [
+        similar_text_pairs(df, threshold, recall=r, topic=topic, **options)
+        .select(F.xxhash64("id1", "id2", F.round("similarity", 6)).alias("pair"), *(F.lit(n).alias(c) for n, c in zip(marks, ("true", "hit"))))
+        for r, marks in ((None, (1, 0)), (recall, (0, 1)))
+    ]
+    # neither set is written: a pair goes to its comparison as a hash (counts stay right if two hashes are equal)
+    met = sides[0].union(sides[1]).groupBy("pair").agg(F.sum("true").alias("true"), F.sum("hit").alias("hit"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return met.agg(total("true").alias("true"), total(F.least("true", "hit")).alias("hit"), total(F.greatest(F.col("hit") - F.col("true"), F.lit(0))).alias("other"))
+
+
 def similar_topic_pairs(
     topics: DataFrame,
     rows: DataFrame,

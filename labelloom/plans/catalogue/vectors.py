@@ -74,14 +74,8 @@ def _text_pairs_lsh(spark, sf):
 
 def _lsh_recall(spark, sf):
     """Pairs above the threshold, and whether the buckets give 90 % of them and none besides."""
-    sides = [
-        pairs_of(spark, sf).select(F.xxhash64("id1", "id2", "similarity").alias("pair"), *(F.lit(n).alias(c) for n, c in zip(marks, ("true", "hit"))))
-        for pairs_of, marks in ((_text_pairs, (1, 0)), (_text_pairs_lsh, (0, 1)))
-    ]
-    # neither set is written: a pair goes to its comparison as a hash (counts stay right if two hashes are equal)
-    met = sides[0].union(sides[1]).groupBy("pair").agg(F.sum("true").alias("true"), F.sum("hit").alias("hit"))
-    n, hits = F.coalesce(F.sum("true"), F.lit(0)), F.coalesce(F.sum(F.least("true", "hit")), F.lit(0))
-    return met.agg(n.alias("pairs"), (hits >= 0.9 * n).alias("recalled"), (F.count_if(F.col("hit") > F.col("true")) == 0).alias("none_else"))
+    met = similarity.compare_text_pairs(V.vectors(spark, sf), TEXT_AT, recall=0.98)
+    return met.select(F.col("true").alias("pairs"), (F.col("hit") >= 0.9 * F.col("true")).alias("recalled"), (F.col("other") == 0).alias("none_else"))
 
 
 def _index(spark, sf):

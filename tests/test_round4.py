@@ -85,3 +85,31 @@ def test_vectors_are_sent_to_few_blocks():
     tables, bits, probes = lsh.plan(0.3, 615_000, recall=0.98)
     assert lsh.cell_blocks(615_000, tables, probes, bits=bits, width=64) <= 16
     assert lsh.cell_blocks(10_000, 4, 1, bits=24, width=1 << 20) == 2500
+
+
+def test_agreement_counts_missing_and_other_pairs():
+    def stream(pairs, *cuts):
+        for part in np.split(np.array(pairs, dtype=float).reshape(-1, 3), cuts):
+            yield part[:, 0].astype(int), part[:, 1].astype(int), part[:, 2]
+
+    exact = [(0, 1, 0.5), (0, 4, 0.5), (1, 2, 0.5), (3, 0, 0.5), (3, 9, 0.25)]
+    for given, want in (
+        (exact, [5, 5, 0]), ([], [5, 0, 0]), (exact[1:4], [5, 3, 0]), ([(0, 0, 0.5), *exact, (7, 7, 0.5)], [5, 5, 2]), ([(0, 1, 0.6), (1, 2, 0.5)], [5, 1, 1])
+    ):
+        for cuts in ((), (1,), (2, 2, 3)):
+            assert lsh.agreement(stream(exact, 2), stream(given, *cuts), 10).tolist() == want
+    assert lsh.agreement(stream([]), stream(exact), 10).tolist() == [0, 0, 5]
+
+
+def test_recall_is_counted_where_blocks_meet(spark, monkeypatch):
+    """The joins are compared in the tasks of the blocks, without a shuffle of pairs, and the counts are those of the two sets."""
+    v = units(120, 6)
+    df = rows_of(spark, np.concatenate([v, v[:10]]))
+    exact, given = ({(r["id1"], r["id2"], round(r["similarity"], 6)) for r in similarity.similar_text_pairs(df, 0.5, recall=r, block=40).collect()} for r in (None, 0.6))
+    shown = []
+    for few in (1 << 30, 1):
+        monkeypatch.setattr(lsh, "FEW_COPIES", few)
+        counted = similarity.compare_text_pairs(df, 0.5, recall=0.6, block=40)
+        assert ("pair#" in counted._jdf.queryExecution().toString()) == (few > 1)
+        shown.append(tuple(counted.first()))
+    assert shown[0] == shown[1] == (len(exact), len(exact & given), 0) and 0 < len(given) < len(exact)
