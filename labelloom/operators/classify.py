@@ -128,7 +128,8 @@ def train(
     """
     require_columns(df, [*levels, *([] if vector else [S.DESCRIPTION])])
     labelled_rows = prepare_features(df.dropna("any", subset=list(levels)), vector).select(*levels, "features" if vector else "__text")
-    rows = labelled_rows.repartition(max(df.sparkSession.sparkContext.defaultParallelism, labelled_rows.rdd.getNumPartitions())).persist()
+    splits = (labelled_rows.select(F.spark_partition_id().alias("split")).agg(F.max("split")).first()[0] or 0) + 1
+    rows = labelled_rows.repartition(max(df.sparkSession.sparkContext.defaultParallelism, splits)).persist()
     kept = rows
     try:
         fitted_encoder = PipelineModel([]) if vector else fit_encoder(rows, encoder, n_features=n_features, files=files, seed=seed)
